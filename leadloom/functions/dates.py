@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
 from leadloom.functions.text import clean, col, let
 
-_TIME = r"(?:[ T](\d{2}):(\d{2})(?::(\d{2}))?)?\z"
-_YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})" + _TIME
-_YEAR_LAST = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})" + _TIME
+_TIME = r"(?:[ T]\d{2}:\d{2}(?::\d{2})?)?\z"
+_YEAR_FIRST = r"^\d{4}([-/])\d{1,2}\1\d{1,2}" + _TIME
+_YEAR_LAST = r"^\d{1,2}([-/])\d{1,2}\1\d{4}" + _TIME
 _YEAR_LAST_HEAD = r"^(\d{1,2})[-/](\d{1,2})[-/]\d{4}(?:\D|\z)"
 
-def _digits(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+
+def _leading_pair(c: Column | str, body) -> Column:
+    """``body(a, b)`` over the first two numbers of a year-last date, null for other texts."""
+
+    def cast(x: Column) -> Column:
+        # the pattern only yields digits, so the cast cannot fail on the empty no-match
+        a, b = (
+            F.nullif(F.regexp_extract(x, _YEAR_LAST_HEAD, g), F.lit("")).cast("int")
+            for g in (1, 2)
+        )
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    return let(let(F.trim(col(c).cast("string")), cast), lambda p: body(p["a"], p["b"]))
 
 
 def _pad(c: Column, width: int) -> Column:
@@ -27,98 +36,94 @@ def _read(c: Column | str) -> Column:
     """The written parts of a date: text, form (iso, last or null) and its numbers."""
 
     def parts(text: Column) -> Column:
-        iso, last = text.rlike(_YEAR_FIRST), text.rlike(_YEAR_LAST)
-
-        def group(g: int) -> Column:
-            return F.when(iso, F.regexp_extract(text, _YEAR_FIRST, g)).when(
-                last, F.regexp_extract(text, _YEAR_LAST, g))
-
-        def whole(g: int) -> Column:
-            return F.nullif(group(g), F.lit("")).try_cast("int")
+        form = F.when(text.rlike(_YEAR_FIRST), "iso").when(text.rlike(_YEAR_LAST), "last")
+        return F.struct(
+            text.alias("text"), form.alias("form"), F.split(text, "[-/ T:]").alias("x"))
 
+    def numbers(p: Column) -> Column:
+        values = F.when(
+            p["form"].isNotNull(), F.transform(p["x"], lambda x: x.cast("int")))
         return F.struct(
-            text.alias("text"),
-            F.when(iso, "iso").when(last, "last").alias("form"),
-            whole(1).alias("p1"), whole(3).alias("p2"), whole(4).alias("p3"),
-            (group(5) != "").alias("timed"),
-            *[F.coalesce(whole(g), F.lit(0)).alias(n) for g, n in ((5, "h"), (6, "mi"), (7, "s"))],
-        )
+            p["text"].alias("text"), p["form"].alias("form"), values.alias("n"),
+            (F.size(p["x"]) > 3).alias("timed"))
 
-    return let(clean(c), parts)
+    return let(let(clean(c), parts), numbers)
 
 
-def _interpret(p: Column, mdy: Column) -> Column:
-    """Parse result of the written parts under a day/month order."""
+def _fields(p: Column, mdy: Column) -> tuple[Column, Column, Column]:
+    """Year, month and day of the written parts under a day/month order."""
     iso = p["form"] == "iso"
-    order = F.when(iso, "ISO").when(mdy, "MDY").otherwise("DMY")
-    fields = F.struct(
-        F.when(iso, p["p1"]).otherwise(p["p3"]).alias("y"),
-        F.when(iso, p["p2"]).when(mdy, p["p1"]).otherwise(p["p2"]).alias("m"),
-        F.when(iso, p["p3"]).when(mdy, p["p2"]).otherwise(p["p1"]).alias("d"),
-        F.when(p["timed"], "fecha_hora").otherwise("fecha").alias("precision"),
-        reduce(
-            lambda acc, k: acc.when(order == k, V.DATE_ORDER_TEXT[k]),
-            ("MDY", "DMY"), F.when(order == "ISO", V.DATE_ORDER_TEXT["ISO"]),
-        ).alias("order"),
+    a, b, c = (F.get(p["n"], F.lit(i)) for i in range(3))
+    return (
+        F.when(iso, a).otherwise(c),
+        F.when(iso | ~mdy, b).otherwise(a),
+        F.when(iso, c).when(mdy, b).otherwise(a),
     )
 
-    def decide(f: Column) -> Column:
-        year, month, day = f["y"], f["m"], f["d"]
-        leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-        longest = (
-            F.when(month.isin(4, 6, 9, 11), 30).when((month == 2) & leap, 29)
-            .when(month == 2, 28).otherwise(31)
-        )
-        hour, minute, second = p["h"], p["mi"], p["s"]
-        value = F.call_function(
-            "try_make_timestamp_ntz", year, month, day, hour, minute,
-            second.cast("decimal(16,6)"))
-        fault = (
-            F.when(p["text"].isNull(), "missing")
-            .when(p["form"].isNull(), "format")
-            .when(year < 1, "year")
-            .when(~month.between(1, 12), "month")
-            .when(~day.between(1, longest), "day")
-            .when((hour > 23) | (minute > 59) | (second > 59), "hour")
-        )
 
-        def finish(bad: Column) -> Column:
-            reason = (
-                F.when(bad == "missing", V.DATE_MISSING)
-                .when(bad == "format", V.DATE_BAD_FORMAT)
-                .when(bad == "year", F.concat(
-                    F.lit("Año "), year.cast("string"),
-                    F.lit(" fuera del intervalo admitido (1–9999).")))
-                .when(bad == "month", F.concat(
-                    F.lit("Interpretación "), f["order"], F.lit(": el mes sería "),
-                    month.cast("string"),
-                    F.lit(", fuera de 1–12. El orden se evalúa junto con las otras fechas del "
-                          "mismo lead.")))
-                .when(bad == "day", F.concat(
-                    F.lit("Interpretación "), f["order"], F.lit(": día "), day.cast("string"),
-                    F.lit(" imposible; el mes "), _pad(month, 2), F.lit(" de "),
-                    year.cast("string"), F.lit(" tiene "), longest.cast("string"),
-                    F.lit(" días.")))
-                .when(bad == "hour", F.concat(
-                    F.lit("Hora inválida "), _pad(hour, 2), F.lit(":"), _pad(minute, 2),
-                    F.lit(":"), _pad(second, 2), F.lit("; se requiere 00–23:00–59:00–59.")))
-                .otherwise(F.concat(
-                    F.lit("Interpretada como "), f["order"], F.lit(": "), _pad(year, 4),
-                    F.lit("-"), _pad(month, 2), F.lit("-"), _pad(day, 2), F.lit("."),
-                    F.when(p["timed"], "").otherwise(V.DATE_NO_HOUR)))
-            )
-            return F.struct(
-                F.when(bad.isNull(), value).alias("valor"),
-                F.when(bad.isNull(), "valida").when(bad == "missing", "faltante")
-                .otherwise("invalida").alias("estado"),
-                F.when(bad.isNull() | ~bad.isin("missing", "format"), f["precision"])
-                .alias("precision"),
-                reason.alias("criterio"),
-            )
-
-        return let(fault, finish)
-
-    return let(fields, decide)
+def _clock(p: Column) -> list[Column]:
+    return [F.coalesce(F.get(p["n"], F.lit(i)), F.lit(0)) for i in (3, 4, 5)]
+
+
+def _value(p: Column, mdy: Column) -> Column:
+    """The instant, or null when the parts are no real date."""
+    year, month, day = _fields(p, mdy)
+    hour, minute, second = _clock(p)
+    plausible = (
+        (year >= 1) & month.between(1, 12) & day.between(1, 31)
+        & (hour <= 23) & (minute <= 59) & (second <= 59)
+    )
+    made = F.call_function(
+        "try_make_timestamp_ntz", year, month, day, hour, minute, second.cast("decimal(16,6)"))
+    return F.when(p["form"].isNotNull() & plausible, made)
+
+
+def _told(p: Column, mdy: Column, value: Column, motive: Column | None = None) -> Column:
+    """The full parse result, with the reason in words."""
+    year, month, day = _fields(p, mdy)
+    hour, minute, second = _clock(p)
+    order = (
+        F.when(p["form"] == "iso", V.DATE_ORDER_TEXT["ISO"])
+        .when(mdy, V.DATE_ORDER_TEXT["MDY"])
+        .otherwise(V.DATE_ORDER_TEXT["DMY"])
+    )
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    longest = (
+        F.when(month.isin(4, 6, 9, 11), 30).when((month == 2) & leap, 29)
+        .when(month == 2, 28).otherwise(31)
+    )
+    reason = (
+        F.when(value.isNotNull(), F.concat(
+            F.lit("Interpretada como "), order, F.lit(": "),
+            F.date_format(value, "yyyy-MM-dd"), F.lit("."),
+            F.when(p["timed"], "").otherwise(V.DATE_NO_HOUR)))
+        .when(p["text"].isNull(), V.DATE_MISSING)
+        .when(p["form"].isNull(), V.DATE_BAD_FORMAT)
+        .when(year < 1, F.concat(
+            F.lit("Año "), year.cast("string"),
+            F.lit(" fuera del intervalo admitido (1–9999).")))
+        .when(~month.between(1, 12), F.concat(
+            F.lit("Interpretación "), order, F.lit(": el mes sería "), month.cast("string"),
+            F.lit(", fuera de 1–12. El orden se evalúa junto con las otras fechas del mismo "
+                  "lead.")))
+        .when(~day.between(1, longest), F.concat(
+            F.lit("Interpretación "), order, F.lit(": día "), day.cast("string"),
+            F.lit(" imposible; el mes "), _pad(month, 2), F.lit(" de "),
+            year.cast("string"), F.lit(" tiene "), longest.cast("string"), F.lit(" días.")))
+        .otherwise(F.concat(
+            F.lit("Hora inválida "), _pad(hour, 2), F.lit(":"), _pad(minute, 2), F.lit(":"),
+            _pad(second, 2), F.lit("; se requiere 00–23:00–59:00–59.")))
+    )
+    if motive is not None:
+        reason = F.concat(reason, F.lit(" "), motive)
+    return F.struct(
+        value.alias("valor"),
+        F.when(value.isNotNull(), "valida").when(p["text"].isNull(), "faltante")
+        .otherwise("invalida").alias("estado"),
+        F.when(p["form"].isNotNull(), F.when(p["timed"], "fecha_hora").otherwise("fecha"))
+        .alias("precision"),
+        reason.alias("criterio"),
+    )
 
 
 def parse_date(c: Column | str, order: Column | str = "DMY") -> Column:
@@ -128,22 +133,20 @@ def parse_date(c: Column | str, order: Column | str = "DMY") -> Column:
     column) only matters for year-last dates.
     """
     mdy = F.lit(order == "MDY") if isinstance(order, str) else (order == "MDY")
-    return let(_read(c), lambda p: _interpret(p, mdy))
+    read = let(_read(c), lambda p: F.struct(p.alias("p"), _value(p, mdy).alias("v")))
+    return let(read, lambda x: _told(x["p"], mdy, x["v"]))
 
 
 def order_evidence(c: Column | str) -> Column:
     """MDY or DMY when a component above 12 rules the other order out."""
-    text = F.trim(col(c).cast("string"))
-    a, b = (_digits(text, _YEAR_LAST_HEAD, g) for g in (1, 2))
-    return F.when(a.between(1, 12) & b.between(13, 31), "MDY").when(
-        a.between(13, 31) & b.between(1, 12), "DMY"
-    )
+    return _leading_pair(c, lambda a, b: F.when(
+        a.between(1, 12) & b.between(13, 31), "MDY"
+    ).when(a.between(13, 31) & b.between(1, 12), "DMY"))
 
 
 def _ambiguous(c: Column | str) -> Column:
-    text = F.trim(col(c).cast("string"))
-    a, b = (_digits(text, _YEAR_LAST_HEAD, g) for g in (1, 2))
-    return F.coalesce(a.between(1, 12) & b.between(1, 12), F.lit(False))
+    return _leading_pair(c, lambda a, b: F.coalesce(
+        a.between(1, 12) & b.between(1, 12), F.lit(False)))
 
 
 def sequence_possible(earlier: Column, later: Column) -> Column:
@@ -161,96 +164,90 @@ def resolve_pair(registered: Column | str, contacted: Column | str) -> Column:
     ``criterio`` already carries the motive. Evidence wins, then a joint flip that restores the
     sequence, then a single consistent combination of the ambiguous fields.
     """
+    no, yes = F.lit(False), F.lit(True)
     written = F.struct(
-        order_evidence(registered).alias("er"), order_evidence(contacted).alias("ec"),
         _read(registered).alias("r"), _read(contacted).alias("c"),
+        order_evidence(registered).alias("er"), order_evidence(contacted).alias("ec"),
         _ambiguous(registered).alias("ar"), _ambiguous(contacted).alias("ac"),
     )
 
-    def both(w: Column) -> Column:
+    def valued(w: Column) -> Column:
         return F.struct(
-            w["er"].alias("er"), w["ec"].alias("ec"), w["ar"].alias("ar"), w["ac"].alias("ac"),
-            _interpret(w["r"], F.lit(False)).alias("rd"), _interpret(w["r"], F.lit(True)).alias("rm"),
-            _interpret(w["c"], F.lit(False)).alias("cd"), _interpret(w["c"], F.lit(True)).alias("cm"),
+            w.alias("w"),
+            _value(w["r"], no).alias("rd"), _value(w["r"], yes).alias("rm"),
+            _value(w["c"], no).alias("cd"), _value(w["c"], yes).alias("cm"),
+            (~w["r"]["timed"] | ~w["c"]["timed"]).alias("by_day"),
         )
 
-    return let(let(written, both), _settle)
-
-
-def _settle(s: Column) -> Column:
-    no_evidence = s["er"].isNull() & s["ec"].isNull()
-    any_mdy = F.coalesce(s["er"] == "MDY", F.lit(False)) | F.coalesce(s["ec"] == "MDY", F.lit(False))
-    any_dmy = F.coalesce(s["er"] == "DMY", F.lit(False)) | F.coalesce(s["ec"] == "DMY", F.lit(False))
-    mixed = any_mdy & any_dmy
+    def possible(s: Column, r: Column, c: Column) -> Column:
+        return F.when(s["by_day"], r.cast("date") <= c.cast("date")).otherwise(r <= c)
 
-    def pick(own: Column, dmy: Column, mdy: Column) -> Column:
-        flipped = F.when(mixed, own == "MDY").otherwise(any_mdy)
-        return F.when(flipped, mdy).otherwise(dmy)
+    def option(s: Column, rule: str | Column, fr: Column, fc: Column) -> Column:
+        rv, cv = F.when(fr, s["rm"]).otherwise(s["rd"]), F.when(fc, s["cm"]).otherwise(s["cd"])
+        return F.struct(
+            (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"),
+            fr.alias("fr"), fc.alias("fc"), rv.alias("rv"), cv.alias("cv"),
+            possible(s, rv, cv).alias("ok"),
+        )
 
-    base = F.struct(
-        F.when(mixed, "origen_mixto_resuelto_por_valores")
-        .when(any_mdy, "MDY_por_evidencia_del_lead")
-        .when(any_dmy, "DMY_por_evidencia_del_lead")
-        .otherwise("DMY_por_defecto")
-        .alias("regla"),
-        pick(s["er"], s["rd"], s["rm"]).alias("registro"),
-        pick(s["ec"], s["cd"], s["cm"]).alias("contacto"),
-    )
+    def evidence(s: Column) -> Column:
+        er, ec = s["w"]["er"], s["w"]["ec"]
+        any_mdy = F.coalesce((er == "MDY"), no) | F.coalesce((ec == "MDY"), no)
+        any_dmy = F.coalesce((er == "DMY"), no) | F.coalesce((ec == "DMY"), no)
+        mixed = any_mdy & any_dmy
+        rule = (
+            F.when(mixed, "origen_mixto_resuelto_por_valores")
+            .when(any_mdy, "MDY_por_evidencia_del_lead")
+            .when(any_dmy, "DMY_por_evidencia_del_lead")
+            .otherwise("DMY_por_defecto")
+        )
+        return F.struct(s.alias("s"), option(
+            s, rule,
+            F.when(mixed, er == "MDY").otherwise(any_mdy),
+            F.when(mixed, ec == "MDY").otherwise(any_mdy)).alias("b"))
 
-    def flip(b: Column) -> Column:
+    def flip(x: Column) -> Column:
+        s, b = x["s"], x["b"]
         worth = (
-            no_evidence
-            & (sequence_possible(b["registro"], b["contacto"]) == F.lit(False))
-            & sequence_possible(s["rm"], s["cm"])
+            s["w"]["er"].isNull() & s["w"]["ec"].isNull()
+            & ~F.coalesce(b["ok"], yes) & possible(s, s["rm"], s["cm"])
         )
-        turned = F.struct(
-            F.lit("MDY_por_coherencia_del_lead").alias("regla"),
-            s["rm"].alias("registro"),
-            s["cm"].alias("contacto"),
-        )
-        return F.when(worth, turned).otherwise(b)
+        turned = option(s, "MDY_por_coherencia_del_lead", yes, yes)
+        return F.struct(s.alias("s"), F.when(worth, turned).otherwise(b).alias("b"))
+
+    def combine(x: Column) -> Column:
+        s, b = x["s"], x["b"]
 
-    def combine(b: Column) -> Column:
-        def options(ambiguous: Column, now: Column, dmy: Column, mdy: Column) -> list[Column]:
-            return [F.when(ambiguous, x).otherwise(now) for x in (dmy, mdy)]
+        def choices(ambiguous: Column, now: Column) -> list[Column]:
+            return [F.when(ambiguous, wanted).otherwise(now) for wanted in (no, yes)]
 
         pairs = F.array(*[
-            F.struct(
-                F.lit("origen_mixto_por_coherencia_unica").alias("regla"),
-                r.alias("registro"),
-                c.alias("contacto"),
-            )
-            for r in options(s["ar"], b["registro"], s["rd"], s["rm"])
-            for c in options(s["ac"], b["contacto"], s["cd"], s["cm"])
+            option(s, "origen_mixto_por_coherencia_unica", fr, fc)
+            for fr in choices(s["w"]["ar"], b["fr"]) for fc in choices(s["w"]["ac"], b["fc"])
         ])
-        possible = F.filter(pairs, lambda p: sequence_possible(p["registro"], p["contacto"]))
-        distinct = F.array_distinct(F.transform(
-            possible, lambda p: F.struct(p["registro"]["valor"], p["contacto"]["valor"])))
-        impossible = sequence_possible(b["registro"], b["contacto"]) == F.lit(False)
-        return F.when(
-            impossible & (F.size(distinct) == 1), F.element_at(possible, F.lit(-1))
-        ).otherwise(b)
-
-    def explain(b: Column) -> Column:
-        motive = reduce(
-            lambda acc, item: acc.when(b["regla"] == item[0], item[1]),
-            [(k, v) for k, v in V.DATE_RULE_TEXT.items() if k != "DMY"],
-            F.when(F.lit(False), ""),
-        ).otherwise(V.DATE_RULE_TEXT["DMY"])
-
-        def told(p: Column) -> Column:
-            return F.struct(
-                p["valor"].alias("valor"), p["estado"].alias("estado"),
-                p["precision"].alias("precision"),
-                F.concat(p["criterio"], F.lit(" "), motive).alias("criterio"),
-            )
 
+        def settle(found: Column) -> Column:
+            different = F.array_distinct(F.transform(found, lambda p: F.struct(p["rv"], p["cv"])))
+            return F.when(F.size(different) == 1, F.get(found, F.size(found) - 1)).otherwise(b)
+
+        repaired = let(F.filter(pairs, lambda p: p["ok"]), settle)
+        return F.struct(
+            s.alias("s"), F.when(~F.coalesce(b["ok"], yes), repaired).otherwise(b).alias("b"))
+
+    def explain(x: Column) -> Column:
+        s, b = x["s"], x["b"]
+        motive = F.coalesce(
+            F.element_at(
+                F.create_map(*[F.lit(t) for kv in V.DATE_RULE_TEXT.items() for t in kv]),
+                F.when(b["rule"].startswith("DMY"), "DMY").otherwise(b["rule"])),
+            F.lit(""))
         return F.struct(
-            b["regla"].alias("regla"), motive.alias("motivo"),
-            told(b["registro"]).alias("registro"), told(b["contacto"]).alias("contacto"),
+            b["rule"].alias("regla"), motive.alias("motivo"),
+            _told(s["w"]["r"], b["fr"], b["rv"], motive).alias("registro"),
+            _told(s["w"]["c"], b["fc"], b["cv"], motive).alias("contacto"),
         )
 
-    return let(let(let(base, flip), combine), explain)
+    return let(let(let(let(let(written, valued), evidence), flip), combine), explain)
 
 
 def sequence_state(registered: Column, contacted: Column) -> Column:

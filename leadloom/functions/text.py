@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from leadloom import fixed_values as V
 
 # Python's str.isspace also counts the four separators 0x1c-0x1f.
+_NOT_ASCII = r"[^\x00-\x7F]"
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -51,7 +52,7 @@ def _char_tables(kind: str) -> tuple[str, str, dict[str, str]]:
     """
     rule = _fold_char if kind == "fold" else _ascii_char
     plain, deleted, many = [], [], {}
-    for code in range(0x80 if kind == "ascii" else 0x41, sys.maxunicode + 1):
+    for code in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3:
             continue
         ch = chr(code)
@@ -72,16 +73,24 @@ def _char_tables(kind: str) -> tuple[str, str, dict[str, str]]:
 
 
 def _fold(c: Column, kind: str) -> Column:
+    """Per-character mapping; plain ASCII rows and rows without rare characters stay cheap."""
     source, target, many = _char_tables(kind)
-    single = F.translate(c, source, target)
-    found = "[" + "".join(many) + "]"
     table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    expanded = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(c, F.lit(found), F.lit(0))),
-        c,
-        lambda acc, ch: F.replace(acc, ch, F.element_at(table, ch)),
-    )
-    return F.when(c.rlike(found), F.translate(expanded, source, target)).otherwise(single)
+
+    def expand(s: Column) -> Column:
+        rare = F.array_distinct(F.regexp_extract_all(s, F.lit(_NOT_ASCII), F.lit(0)))
+        return F.aggregate(
+            rare, s,
+            lambda acc, ch: F.replace(acc, ch, F.coalesce(F.try_element_at(table, ch), ch)),
+        )
+
+    def common(s: Column) -> Column:
+        return F.when(s.rlike(_NOT_ASCII), expand(s)).otherwise(s)
+
+    def start(b: Column) -> Column:
+        return F.when(b.rlike(_NOT_ASCII), let(F.translate(b, source, target), common)).otherwise(b)
+
+    return let(F.lower(c), start)
 
 
 def fold_key(c: Column | str) -> Column:
@@ -91,8 +100,7 @@ def fold_key(c: Column | str) -> Column:
 
 def ascii_fold(c: Column | str) -> Column:
     """Compatibility-decomposed ASCII lower case; everything else is dropped."""
-    folded = _fold(col(c), "ascii")
-    return F.lower(F.regexp_replace(folded, r"[^\x00-\x7F]", ""))
+    return F.lower(F.regexp_replace(_fold(col(c), "ascii"), _NOT_ASCII, ""))
 
 
 def alnum_key(c: Column | str) -> Column:
