@@ -157,23 +157,22 @@ def names_in_text(texts: DataFrame, row_id: str, text: str, catalogue: DataFrame
     # at most GRAM different lengths, whatever the size of the catalogue
     lengths = sorted(
         r[0] for r in names.select(F.length("_gram").alias("n")).distinct().collect())
-    folded = texts.select(row_id, ascii_fold(text).alias("_t"))
-    grams = [
-        F.when(
-            F.length("_t") >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.length("_t") - (n - 1)),
-                lambda i, n=n: F.substring(F.col("_t"), i, F.lit(n)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in lengths
-    ]
-    if not grams:
+    if not lengths:
         return texts.select(row_id, F.lit(None).cast("string").alias("sku")).where("false")
-    exploded = folded.withColumn("_gram", F.explode(F.array_distinct(F.concat(*grams))))
+
+    def grams(n: int):
+        cut = F.transform(
+            F.sequence(F.lit(1), F.length("_t") - (n - 1)),
+            lambda i: F.substring(F.col("_t"), i, F.lit(n)))
+        return F.when(F.length("_t") >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    folded = texts.select(row_id, ascii_fold(text).alias("_t")).where(F.col("_t").isNotNull())
+    exploded = folded.select(
+        row_id, F.explode(F.concat(*[grams(n) for n in lengths])).alias("_gram"))
+    # only (row, gram) pairs travel; the text is joined back for the few candidate rows
+    candidates = exploded.join(names, "_gram").select(row_id, "sku", "_name").distinct()
     return (
-        exploded.join(names, "_gram")
+        candidates.join(folded, row_id)
         .where(F.contains(F.col("_t"), F.col("_name")))
         .select(row_id, "sku")
-        .distinct()
     )
