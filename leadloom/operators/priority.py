@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
 from leadloom.functions import signals
-from leadloom.operators.ranking import Key, provable_latest, with_positions
+from leadloom.operators.ranking import Key, attach_single, provable_latest, with_positions
 
 LEAD = ["empresa_id", "lead_consolidado_id"]
 QUEUE_ORDER = [
@@ -50,7 +50,7 @@ def fifo_rank(df: DataFrame, date: str, row: str, coarse: Key, group: tuple[str,
     ranked = with_positions(
         df, list(group), [Key(date), Key(row)], [coarse], [Key(date)], out="_p")
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    joined = ranked.join(counts, list(group)) if group else ranked.join(F.broadcast(counts))
+    joined = ranked.join(counts, list(group)) if group else attach_single(ranked, counts)
     return joined.withColumn("fifo", F.col("_n") - F.col("_p") + 1).drop("_n", "_p")
 
 

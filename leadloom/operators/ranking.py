@@ -87,6 +87,15 @@ def with_positions(
     )
 
 
+def attach_single(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row (an equality join on a constant)."""
+    return (
+        df.withColumn("_one", F.lit(1))
+        .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one")
+        .drop("_one")
+    )
+
+
 @dataclass(frozen=True)
 class Running:
     """A running value: ``last`` / ``sum`` / ``max`` over earlier rows, or ``next`` after."""

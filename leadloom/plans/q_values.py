@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadloom import fixed_values as V
 from leadloom.functions import dates, ids, money, names, numbers, text
 from leadloom.operators import catalog, identity, intake
+from leadloom.operators.ranking import attach_single
 from leadloom.plans import bindings as B
 from leadloom.plans.registry import Tables, query
 
@@ -416,7 +417,7 @@ def wanted_models(t: Tables) -> DataFrame:
     """Orders with a free-text wish built from some catalogue row."""
     n = t.part.agg(F.count(F.lit(1)).alias("_n"))
     k = F.col("o_orderkey") % 6
-    picked = t.orders.select("o_orderkey").join(F.broadcast(n)).withColumn(
+    picked = attach_single(t.orders.select("o_orderkey"), n).withColumn(
         "p_partkey", (F.col("o_orderkey") * 7) % F.col("_n"))
     return picked.join(t.part, "p_partkey", "left").select(
         F.col("o_orderkey").alias("fila"),

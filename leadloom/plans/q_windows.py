@@ -219,7 +219,7 @@ def f2_page(t: Tables) -> DataFrame:
     rows = ranking.page(
         scope.select("o_orderkey", "o_totalprice"),
         [Key("o_totalprice", desc=True), Key("o_orderkey")], 25, 50)
-    return rows.join(F.broadcast(total))
+    return ranking.attach_single(rows, total)
 
 
 @query("f3_top_n", """SELECT user_id, event_id, orden FROM (SELECT user_id, event_id, row_number()
