@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -27,6 +28,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def literal_map(table: dict[str, str]) -> Column:
+    """A constant text map; parsed once by constant folding."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
 def clean(c: Column | str) -> Column:
     """One blank between words, none around, empty becomes null."""
     return F.nullif(F.trim(F.regexp_replace(col(c).cast("string"), WHITESPACE, " ")), F.lit(""))
@@ -75,7 +81,7 @@ def _char_tables(kind: str) -> tuple[str, str, dict[str, str]]:
 def _fold(c: Column, kind: str) -> Column:
     """Per-character mapping; plain ASCII rows and rows without rare characters stay cheap."""
     source, target, many = _char_tables(kind)
-    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    table = literal_map(many)
 
     def expand(s: Column) -> Column:
         rare = F.array_distinct(F.regexp_extract_all(s, F.lit(_NOT_ASCII), F.lit(0)))
@@ -196,7 +202,7 @@ def html_unescape(c: Column) -> Column:
     named = {"&" + k: v for k, v in html5.items()}
     legacy = sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)
     pattern = "&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z0-9]+;|&(?:" + "|".join(legacy) + ")"
-    table = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    table = literal_map(named)
 
     def decode(entity: Column) -> Column:
         hexa = F.regexp_extract(entity, "^&#[xX]([0-9a-fA-F]+)", 1)
