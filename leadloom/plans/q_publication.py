@@ -1 +1,537 @@
-"""Registered queries."""
+"""Priority, publication, state folding and scoping queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leadloom import fixed_values as V
+from leadloom.functions import signals
+from leadloom.operators import assignment, identity, merge, priority, scope
+from leadloom.plans import bindings as B
+from leadloom.plans.q_aggregates import _GROUPS
+from leadloom.plans.q_values import prepared_inquiries
+from leadloom.plans.registry import Tables, query
+
+
+@query("j1_identity", B.sql("""WITH k AS (SELECT *, replace(strip_accents(lower(trim(regexp_replace(
+        nombre, '\\s+', ' ', 'g')))), 'j.', 'j') AS k FROM prep),
+    s AS (SELECT empresa_id, telefono, count(*) AS filas, count(*) FILTER (WHERE k = 'j perez') AS ini,
+        bool_or(k = 'ana perez') AND bool_or(k <> 'ana perez') AS ana, bool_or(k = 'prueba') AS pr,
+        count(DISTINCT k) FILTER (WHERE k LIKE 'jose % perez') AS medios FROM k
+        WHERE telefono IS NOT NULL GROUP BY 1, 2),
+    g AS (SELECT * FROM s WHERE filas > 1 AND ini <= 1 AND NOT ana AND NOT pr AND medios <= 1)
+    SELECT k.fila, 'LC-' || substr(sha256('["' || k.empresa_id || '", "' || CASE WHEN g.filas > 1
+        THEN 'telefono:' || k.telefono ELSE 'consulta:' || k.lead_id END || '"]'), 1, 20)
+        AS lead_consolidado_id FROM k LEFT JOIN g USING (empresa_id, telefono)""", "inquiries",
+    **_GROUPS))
+def j1_identity(t: Tables) -> DataFrame:
+    return identity.resolve_identities(prepared_inquiries(t)).select("fila", "lead_consolidado_id")
+
+
+@query("j3_intake_decision", B.sql("""WITH r AS (SELECT fila AS solicitud_id, empresa_id,
+        c_custkey % 200 AS tel FROM inquiries WHERE fila % 10 = 0),
+    b AS (SELECT DISTINCT empresa_id, lead_consolidado_id, c_custkey % 200 AS tel,
+        c_custkey % 3 <> 0 AS visible FROM leads WHERE c_custkey % 2 = 0),
+    c AS (SELECT r.solicitud_id, count(lead_consolidado_id) AS n, min(lead_consolidado_id) AS lead,
+        bool_and(visible) AS visible FROM r LEFT JOIN b USING (empresa_id, tel) GROUP BY 1)
+    SELECT solicitud_id, CASE WHEN n = 0 THEN 'nueva' WHEN n > 1 OR NOT visible
+        THEN 'revision_requerida' ELSE 'consulta_existente' END AS estado,
+    CASE WHEN n = 1 AND visible THEN lead END AS lead_consolidado_id,
+    CASE WHEN n > 1 THEN 'identidad_ambigua' WHEN n = 1 AND NOT visible
+        THEN 'coincidencia_fuera_de_cartera' END AS motivo FROM c""", "inquiries", "leads"))
+def j3_intake_decision(t: Tables) -> DataFrame:
+    r = B.inquiries(t).where("fila % 10 = 0").select(
+        F.col("fila").alias("solicitud_id"), "empresa_id", (F.col("c_custkey") % 200).alias("tel"))
+    b = B.leads(t).where("c_custkey % 2 = 0").select(
+        "empresa_id", "lead_consolidado_id", (F.col("c_custkey") % 200).alias("tel"),
+        (F.col("c_custkey") % 3 != 0).alias("visible"))
+    c = r.join(b, ["empresa_id", "tel"])
+    return identity.intake_decision(c, r)
+
+
+def _context_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k, cid = F.col("fila"), F.col("conv_id")
+    leads = B.leads(t).select("empresa_id", "lead_consolidado_id")
+    inquiries = B.inquiries(t).select(
+        "empresa_id", "lead_consolidado_id", "lead_id", "canal",
+        F.when(k % 4 != 0, F.concat(F.lit("SKU-"), (k % 3).cast("string"))).alias("modelo_sku"),
+        F.when(k % 211 != 0, F.date_trunc("year", "o_orderdate")).alias("fecha"),
+        (k % 5 != 0).alias("con_hora"),
+        F.when(F.col("c_custkey") % 6 == 0, "Descartado").alias("estado_gestion"))
+    first = inquiries.groupBy("empresa_id", "lead_consolidado_id").agg(
+        F.min("lead_id").alias("lead_id"))
+    chats = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "*", F.concat(F.lit("L-"), (cid % 60).cast("string")).alias("lead_consolidado_id"))
+    chats = chats.join(first, "lead_consolidado_id").select(
+        "empresa_id", "lead_consolidado_id", "lead_id",
+        F.concat(F.lit("CONV-"), cid.cast("string")).alias("conversacion_id"),
+        F.when(cid % 31 != 7, F.expr(
+            "timestamp_ntz '2024-03-01 00:00:00' + make_dt_interval(cast(conv_id % 3 as int), "
+            "cast(conv_id % 7 as int))")).alias("fecha"),
+        (cid % 4 != 0).alias("con_hora"),
+        (cid % 3).alias("menciones"), (cid % 3).alias("skus"),
+        F.when(cid % 3 == 1, F.concat(F.lit("SKU-C"), cid.cast("string"))).alias("sku"),
+        F.when(cid % 5 == 0, "SI").when(cid % 5 == 1, "NO").otherwise("NO_INFORMA")
+        .alias("inicial"),
+        F.when(cid % 4 == 1, "credito").when(cid % 4 == 2, "contado").otherwise("mixto")
+        .alias("forma_pago"),
+        (cid % 7 == 0).alias("cita"))
+    return leads, inquiries, chats
+
+
+_LATEST = """SELECT {k}, {id}, CASE WHEN mal THEN 'fecha_invalida' WHEN n = 1 THEN NULL WHEN sin
+        THEN 'orden_intradia_desconocido' WHEN nf > 1 THEN 'empate_fecha' END AS motivo
+    FROM (SELECT {k}, bool_or(fecha IS NULL) AS mal, count(*) FILTER (WHERE d = md) AS n,
+        bool_or(NOT con_hora) FILTER (WHERE d = md) AS sin, count(*) FILTER (WHERE fecha = mf) AS nf,
+        min({id}) FILTER (WHERE fecha = mf) AS {id}
+        FROM (SELECT *, CAST(fecha AS DATE) AS d, max(CAST(fecha AS DATE)) OVER w AS md,
+            max(fecha) OVER w AS mf FROM {t} WINDOW w AS (PARTITION BY {k})) GROUP BY {k})"""
+_CONTEXT = {
+    "ci": """SELECT empresa_id, lead_consolidado_id, lead_id, canal, CASE WHEN fila % 4 <> 0
+            THEN 'SKU-' || (fila % 3) END AS modelo_sku,
+        CASE WHEN fila % 211 <> 0 THEN date_trunc('year', o_orderdate) END AS fecha,
+        fila % 5 <> 0 AS con_hora, CASE WHEN c_custkey % 6 = 0 THEN 'Descartado' END
+            AS estado_gestion FROM inquiries""",
+    "cc": """SELECT f.empresa_id, f.lead_consolidado_id, f.lead_id, 'CONV-' || conv_id
+            AS conversacion_id,
+        CASE WHEN conv_id % 31 <> 7 THEN TIMESTAMP '2024-03-01 00:00:00'
+            + to_days(CAST(conv_id % 3 AS INTEGER)) + to_hours(CAST(conv_id % 7 AS INTEGER)) END
+            AS fecha, conv_id % 4 <> 0 AS con_hora, conv_id % 3 AS menciones,
+        CASE WHEN conv_id % 3 = 1 THEN 'SKU-C' || conv_id END AS sku,
+        CASE conv_id % 5 WHEN 0 THEN 'SI' WHEN 1 THEN 'NO' ELSE 'NO_INFORMA' END AS inicial,
+        CASE conv_id % 4 WHEN 1 THEN 'credito' WHEN 2 THEN 'contado' ELSE 'mixto' END AS forma_pago,
+        conv_id % 7 = 0 AS cita
+        FROM (SELECT DISTINCT conv_id FROM conversations) JOIN (SELECT empresa_id,
+            lead_consolidado_id, min(lead_id) AS lead_id FROM ci GROUP BY 1, 2) f
+        ON f.lead_consolidado_id = 'L-' || (conv_id % 60)""",
+    "lc": _LATEST.format(k="lead_consolidado_id", id="conversacion_id", t="cc"),
+    "lq": _LATEST.format(k="lead_consolidado_id", id="lead_id", t="ci"),
+    "sh": """SELECT lead_consolidado_id, CASE WHEN count(DISTINCT coalesce(canal, 'DESCONOCIDO')) = 1
+            THEN max(coalesce(canal, 'DESCONOCIDO')) ELSE 'DESCONOCIDO' END AS canal,
+        CASE WHEN count(DISTINCT coalesce(modelo_sku, 'DESCONOCIDO')) = 1
+            THEN max(coalesce(modelo_sku, 'DESCONOCIDO')) ELSE 'DESCONOCIDO' END AS sku,
+        bool_and(coalesce(estado_gestion = 'Descartado', false)) AS todas FROM ci GROUP BY 1""",
+    "ctx": """SELECT l.empresa_id, l.lead_consolidado_id, c.conversacion_id
+            AS conversacion_id_contexto,
+        q.lead_id AS lead_id_contexto,
+        CASE WHEN q.lead_id IS NOT NULL THEN coalesce(q.canal, 'DESCONOCIDO')
+            ELSE coalesce(sh.canal, 'DESCONOCIDO') END AS canal,
+        CASE WHEN c.menciones > 0 THEN CASE WHEN c.sku IS NOT NULL THEN c.sku ELSE 'AMBIGUO' END
+            WHEN q.lead_id IS NOT NULL THEN coalesce(q.modelo_sku, 'DESCONOCIDO')
+            ELSE coalesce(sh.sku, 'DESCONOCIDO') END AS modelo_sku,
+        coalesce(c.inicial, 'NO_INFORMA') AS inicial,
+        CASE WHEN c.forma_pago IN ('credito', 'contado') THEN c.forma_pago ELSE 'no_informa' END
+            AS pago,
+        coalesce(c.cita, false) AS cita, sh.todas,
+        CASE WHEN c.conversacion_id IS NOT NULL THEN 'conversacion_utilizable'
+            WHEN lc.motivo IS NOT NULL THEN 'revision_orden' ELSE 'sin_conversacion_utilizable' END
+            AS estado_contexto
+        FROM leads l LEFT JOIN lc ON lc.lead_consolidado_id = l.lead_consolidado_id
+        LEFT JOIN cc c ON lc.motivo IS NULL AND c.conversacion_id = lc.conversacion_id
+        LEFT JOIN lq ON lq.lead_consolidado_id = l.lead_consolidado_id
+        LEFT JOIN ci q ON q.lead_consolidado_id = l.lead_consolidado_id AND q.lead_id =
+            coalesce(c.lead_id, CASE WHEN lq.motivo IS NULL THEN lq.lead_id END)
+        LEFT JOIN sh ON sh.lead_consolidado_id = l.lead_consolidado_id""",
+}
+
+
+@query("j5_context", B.sql("""SELECT lead_consolidado_id, conversacion_id_contexto, lead_id_contexto,
+    canal, modelo_sku, inicial, pago, cita, todas, estado_contexto FROM ctx""", "inquiries", "leads",
+    **_CONTEXT))
+def j5_context(t: Tables) -> DataFrame:
+    return priority.context_rows(*_context_inputs(t)).select(
+        "lead_consolidado_id", "conversacion_id_contexto", "lead_id_contexto", "canal", "modelo_sku",
+        F.col("manifesto_cuota_inicial").alias("inicial"),
+        F.col("forma_pago_declarada").alias("pago"),
+        (F.col("cita_observada") == "SI").alias("cita"),
+        F.col("todas_consultas_descartadas").alias("todas"), "estado_contexto")
+
+
+@query("j12_ranked_context", B.sql("""WITH p AS (SELECT *, (modelo_sku NOT IN ('DESCONOCIDO',
+        'AMBIGUO', ''))::INT * 10 + (inicial = 'SI')::INT * 30 + (pago <> 'no_informa')::INT * 10
+        + cita::INT * 40 AS puntos, CASE WHEN cita THEN 'caliente' WHEN inicial = 'SI' OR
+        pago <> 'no_informa' THEN 'tibio' ELSE 'sin_informacion_suficiente' END AS temperatura
+        FROM ctx),
+    c AS (SELECT *, CASE WHEN todas THEN 'revision_descartado_crm' WHEN estado_contexto =
+        'revision_orden' THEN 'revision_datos' WHEN temperatura = 'sin_informacion_suficiente'
+        THEN 'primer_contacto_o_ampliar_informacion' ELSE 'seguimiento_comercial' END AS cola FROM p)
+    SELECT lead_consolidado_id, puntos::BIGINT AS puntos, temperatura, cola, row_number() OVER
+        (PARTITION BY empresa_id, cola ORDER BY puntos DESC, lead_consolidado_id) AS posicion
+    FROM c""", "inquiries", "leads", **_CONTEXT))
+def j12_ranked_context(t: Tables) -> DataFrame:
+    done = priority.prioritise(priority.context_rows(*_context_inputs(t)))
+    dated = done.withColumns({"fecha": F.lit(None).cast("date"), "hora": F.lit(None).cast("string")})
+    return priority.queue_positions(dated).select(
+        "lead_consolidado_id", "puntos", "temperatura", "cola", "posicion")
+
+
+@query("j6_initial_signal", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'NO_INFORMA'
+    WHEN o_orderkey % 4 = 1 THEN CASE WHEN o_custkey % 2 = 0 THEN 'NO' ELSE 'SI' END
+    WHEN o_orderkey % 4 = 2 THEN 'SI' ELSE 'NO_INFORMA' END AS inicial FROM orders""")
+def j6_initial_signal(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    value = F.when(k == 1, (F.col("o_custkey") % 2).cast("double"))
+    low = F.when(k == 2, F.col("o_totalprice"))
+    evidence = F.when(k == 0, 0).otherwise(1)
+    return t.orders.select("o_orderkey", signals.initial_signal(value, low, evidence).alias("inicial"))
+
+
+@query("j7_score", B.sql("SELECT lead_consolidado_id, puntos, CAST(score AS DOUBLE) AS score FROM temps",
+                         "temps"))
+def j7_score(t: Tables) -> DataFrame:
+    return B.priorities(t).select(
+        "lead_consolidado_id", "puntos", F.col("score").cast("double").alias("score"))
+
+
+@query("j8_temperature", B.sql("SELECT lead_consolidado_id, temperatura FROM temps", "temps"))
+def j8_temperature(t: Tables) -> DataFrame:
+    return B.priorities(t).select("lead_consolidado_id", "temperatura")
+
+
+@query("j9_queue", B.sql("SELECT lead_consolidado_id, cola FROM priorities", "priorities"))
+def j9_queue(t: Tables) -> DataFrame:
+    return B.priorities(t).select("lead_consolidado_id", "cola")
+
+
+@query("j10_explanation", B.sql(f"""SELECT lead_consolidado_id, concat_ws(' ',
+    CASE WHEN modelo_sku <> 'DESCONOCIDO' THEN '{V.SIGNAL_TEXT["modelo"]}' END,
+    CASE WHEN inicial_positiva THEN '{V.SIGNAL_TEXT["inicial"]}' END,
+    CASE WHEN forma_pago IN ('credito', 'contado') THEN '{V.SIGNAL_TEXT["pago"]}' END,
+    CASE WHEN pidio_cita THEN '{V.SIGNAL_TEXT["cita"]}' END) || '{V.SCALE_TEXT}' AS explicacion
+    FROM signals_frame""", "signals_frame"))
+def j10_explanation(t: Tables) -> DataFrame:
+    return B.signals_frame(t).select("lead_consolidado_id", signals.explanation(
+        "modelo_sku", "inicial_positiva", "forma_pago", "pidio_cita").alias("explicacion"))
+
+
+@query("j11_action", B.sql(f"""SELECT lead_consolidado_id, CASE WHEN cola = 'seguimiento_comercial'
+    AND temperatura = 'caliente' THEN '{V.APPOINTMENT_ACTION}' """ + " ".join(
+    f"WHEN cola = '{q}' THEN '{a}'" for q, a in V.QUEUE_ACTION.items()) + """ END AS accion
+    FROM priorities""", "priorities"))
+def j11_action(t: Tables) -> DataFrame:
+    return B.priorities(t).select(
+        "lead_consolidado_id", signals.action("cola", "temperatura").alias("accion"))
+
+
+def _candidates(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    return B.priorities(t).select(
+        "o_orderkey", F.lit("EMP").alias("empresa_id"), "lead_consolidado_id", "cola", "score",
+        "fecha",
+        F.when(k % 12 != 5, F.concat(F.lit("PV-"), (k % 8).cast("string"))).alias("punto_venta_id"),
+        F.when(k % 3 != 0, F.when(k % 13 == 0, "cerrado").otherwise("abierto")).alias("estado"),
+        (k % 17 == 0).alias("requiere_revision"),
+        F.when(k % 3 == 1, F.expr(
+            "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(o_orderkey % 5 as int))"))
+        .alias("proxima_accion_en"),
+        F.when(k % 23 == 1, (k % 8) * 10 + 1).alias("responsable"))
+
+
+_NOW = "2024-01-03 12:00:00"
+_CANDIDATES = """SELECT o_orderkey, lead_consolidado_id, cola, CASE WHEN o_orderkey % 12 <> 5
+        THEN 'PV' END AS sede, CASE WHEN o_orderkey % 3 <> 0 THEN CASE WHEN o_orderkey % 13 = 0
+        THEN 'cerrado' ELSE 'abierto' END END AS estado, o_orderkey % 17 = 0 AS rev,
+    CASE WHEN o_orderkey % 3 = 1 THEN TIMESTAMP '2024-01-01 00:00:00'
+        + to_days(CAST(o_orderkey % 5 AS INTEGER)) END AS proxima FROM priorities"""
+
+
+@query("j15_eligibility", B.sql(f"""SELECT lead_consolidado_id, CASE WHEN cola LIKE 'revision%'
+        THEN 'revision' WHEN sede IS NULL THEN 'sin_sede_verificable'
+    WHEN estado <> 'abierto' OR (estado IS NOT NULL AND rev) THEN 'estado_no_elegible'
+    WHEN estado IS NOT NULL AND proxima > TIMESTAMP '{_NOW}' THEN 'seguimiento_futuro' END AS motivo
+    FROM cand""", "priorities", cand=_CANDIDATES))
+def j15_eligibility(t: Tables) -> DataFrame:
+    now = F.lit(_NOW).cast("timestamp_ntz")
+    return _candidates(t).select(
+        "lead_consolidado_id", assignment.exclusion_reason(now).alias("motivo"))
+
+
+@query("d27_exclusions", B.sql(f"""SELECT CASE WHEN cola LIKE 'revision%'
+        THEN 'revision' WHEN sede IS NULL THEN 'sin_sede_verificable'
+    WHEN estado <> 'abierto' OR (estado IS NOT NULL AND rev) THEN 'estado_no_elegible'
+    WHEN estado IS NOT NULL AND proxima > TIMESTAMP '{_NOW}' THEN 'seguimiento_futuro' END AS motivo,
+    count(*) AS leads FROM cand GROUP BY 1""", "priorities", cand=_CANDIDATES))
+def d27_exclusions(t: Tables) -> DataFrame:
+    now = F.lit(_NOW).cast("timestamp_ntz")
+    return _candidates(t).groupBy(assignment.exclusion_reason(now).alias("motivo")).agg(
+        F.count(F.lit(1)).alias("leads"))
+
+
+def _members(t: Tables) -> DataFrame:
+    """Staff of the sites, from suppliers: capacity grows with the table's own keys."""
+    s = F.col("s_suppkey")
+    return t.supplier.select(
+        (s * 10 + 1).alias("membresia_id"), F.lit("EMP").alias("empresa_id"),
+        F.concat(F.lit("AS-"), s.cast("string")).alias("asesor_id"),
+        F.concat(F.lit("PV-"), (s % 8).cast("string")).alias("punto_venta_id"),
+        F.when(s % 9 != 4, s % 7).alias("capacidad"), (s % 3).alias("carga"),
+        (s % 5).alias("ultima_posicion"))
+
+
+@query("j14_assignment")
+def j14_assignment(t: Tables) -> DataFrame:
+    now = F.lit(_NOW).cast("timestamp_ntz")
+    candidates = _candidates(t)
+    already = candidates.where("o_orderkey % 41 = 2")
+    assigned, _ = assignment.daily_assignment(candidates, _members(t), already, now)
+    return assigned.select("lead_consolidado_id", "membresia_id", "posicion_inicial")
+
+
+@query("l3_publish", """WITH v AS (SELECT o_custkey AS l, min(o_orderkey) AS p FROM orders
+        WHERE o_orderkey % 2 = 0 GROUP BY 1), n AS (SELECT o_custkey AS l, max(o_orderkey) AS p
+        FROM orders GROUP BY 1)
+    SELECT CAST(coalesce(v.l, n.l) AS VARCHAR) AS lead_consolidado_id,
+        CAST(coalesce(v.p, n.p) AS VARCHAR) AS priorizacion_id,
+        coalesce(v.p <> n.p, false) AS conflicto_lote,
+        CASE WHEN v.p <> n.p THEN CAST(n.p AS VARCHAR) END AS propuesta_lote_id,
+        CASE WHEN v.l IS NULL THEN 'lote' ELSE 'captura_manual' END AS origen
+    FROM v FULL JOIN n ON v.l = n.l""")
+def l3_publish(t: Tables) -> DataFrame:
+    return merge.publish_batch(_published(t), _proposals(t)).select(
+        "lead_consolidado_id", "priorizacion_id", "conflicto_lote", "propuesta_lote_id", "origen")
+
+
+def _published(t: Tables) -> DataFrame:
+    return t.orders.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(
+        F.min("o_orderkey").alias("p")).select(
+        F.lit("E").alias("empresa_id"), F.col("o_custkey").cast("string").alias("lead_consolidado_id"),
+        F.col("p").cast("string").alias("priorizacion_id"),
+        (F.col("o_custkey") % 4 + 1).alias("revision_entrada"),
+        F.lit("captura_manual").alias("origen"), F.lit(False).alias("conflicto_lote"),
+        F.lit(None).cast("string").alias("propuesta_lote_id"),
+        F.lit(None).cast("boolean").alias("revision_antes_conflicto"))
+
+
+def _proposals(t: Tables) -> DataFrame:
+    return t.orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("p")).select(
+        F.lit("E").alias("empresa_id"), F.col("o_custkey").cast("string").alias("lead_consolidado_id"),
+        F.col("p").cast("string").alias("priorizacion_id"))
+
+
+@query("l4_initial_pointer", """SELECT CAST(o_custkey AS VARCHAR) AS lead_consolidado_id,
+    CAST(o_orderkey AS VARCHAR) AS priorizacion_id, CASE WHEN o_orderstatus = 'F' THEN 'lote'
+        ELSE 'captura_manual' END AS origen FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
+        ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) AS rn FROM orders
+    WHERE o_orderstatus <> 'P') WHERE rn = 1""")
+def l4_initial_pointer(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    priorities = t.orders.select(
+        F.lit("E").alias("empresa_id"), F.col("o_custkey").cast("string").alias("lead_consolidado_id"),
+        key.alias("priorizacion_id"), key.alias("ejecucion_id"))
+    runs = t.orders.select(
+        key.alias("ejecucion_id"),
+        F.when(F.col("o_orderstatus") == "F", "clasificacion_importada").otherwise(
+            "prioridad_manual").alias("etapa"),
+        F.when(F.col("o_orderstatus") == "P", "en_curso").otherwise("completada").alias("estado"),
+        F.col("o_orderdate").alias("registrada_en"))
+    return merge.current_from_runs(priorities, runs).select(
+        "lead_consolidado_id", "priorizacion_id", "origen")
+
+
+def _states(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    return t.customer.where(k % 5 != 0).select(
+        F.lit("E").alias("empresa_id"), k.cast("string").alias("lead_consolidado_id"),
+        F.lit("abierto").alias("estado"), (k % 3 + 1).alias("revision_entrada"),
+        F.concat(F.lit("P"), k.cast("string")).alias("priorizacion_vigente_id"),
+        F.lit("captura_manual").alias("priorizacion_origen"),
+        (k % 7 == 0).alias("requiere_revision"))
+
+
+@query("l5_guarded", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 + 1 = o_custkey % 3 + 1
+    THEN 'aceptado' ELSE 'obsoleto' END AS estado FROM orders JOIN customer ON o_custkey = c_custkey
+    WHERE c_custkey % 5 <> 0""")
+def l5_guarded(t: Tables) -> DataFrame:
+    results = t.orders.select(
+        "o_orderkey", F.lit("E").alias("empresa_id"),
+        F.col("o_custkey").cast("string").alias("lead_consolidado_id"),
+        (F.col("o_orderkey") % 4 + 1).alias("revision_entrada"))
+    good, stale = merge.guarded_publication(_states(t), results)
+    return good.select("o_orderkey", F.lit("aceptado").alias("estado")).unionByName(
+        stale.select("o_orderkey", F.lit("obsoleto").alias("estado")))
+
+
+@query("l6_propagate", """WITH s AS (SELECT c_custkey AS l, c_custkey % 3 + 1 AS rev, c_custkey % 7 = 0
+        AS flag FROM customer WHERE c_custkey % 5 <> 0),
+    p AS (SELECT o_custkey AS l, min(o_orderkey) AS p, o_custkey % 4 + 1 AS rev FROM orders
+        WHERE o_orderkey % 2 = 0 GROUP BY 1)
+    SELECT CAST(coalesce(s.l, p.l) AS VARCHAR) AS lead_consolidado_id,
+        CASE WHEN p.l IS NOT NULL AND (s.l IS NULL OR s.rev <= p.rev) THEN p.rev ELSE s.rev END
+            AS revision_entrada,
+        CASE WHEN p.l IS NOT NULL AND (s.l IS NULL OR s.rev <= p.rev) THEN CAST(p.p AS VARCHAR)
+            ELSE 'P' || s.l END AS priorizacion_vigente_id,
+        coalesce(s.flag, false) AS requiere_revision
+    FROM s FULL JOIN p ON s.l = p.l""")
+def l6_propagate(t: Tables) -> DataFrame:
+    return merge.propagate(_states(t), _published(t)).select(
+        "lead_consolidado_id", "revision_entrada", "priorizacion_vigente_id", "requiere_revision")
+
+
+@query("l8_resolve_conflicts", """WITH v AS (SELECT o_custkey AS l, min(o_orderkey) AS p FROM orders
+        WHERE o_orderkey % 2 = 0 GROUP BY 1), n AS (SELECT o_custkey AS l, max(o_orderkey) AS p
+        FROM orders GROUP BY 1),
+    c AS (SELECT coalesce(v.l, n.l) AS l, coalesce(v.p, n.p) AS p, v.p <> n.p AS conf, n.p AS prop,
+        coalesce(v.l % 4 + 1, 1) AS rev FROM v FULL JOIN n ON v.l = n.l)
+    SELECT CAST(l AS VARCHAR) AS lead_consolidado_id, CASE WHEN conf AND l % 3 = 0 THEN
+        CAST(prop AS VARCHAR) ELSE CAST(p AS VARCHAR) END AS priorizacion_id,
+        CASE WHEN conf AND l % 3 <> 2 THEN rev + 1 ELSE rev END AS revision_entrada,
+        coalesce(conf AND l % 3 = 2, false) AS conflicto_lote FROM c""")
+def l8_resolve_conflicts(t: Tables) -> DataFrame:
+    published = merge.publish_batch(_published(t), _proposals(t))
+    k = F.col("lead_consolidado_id").cast("bigint")
+    decisions = published.where("conflicto_lote").select(
+        "empresa_id", "lead_consolidado_id",
+        F.when(k % 3 == 2, "otra").otherwise(F.col("propuesta_lote_id")).alias("propuesta_id"),
+        F.when(k % 3 == 0, "adoptar").otherwise("conservar").alias("accion"),
+        F.lit("revisado").alias("nota"))
+    audit = decisions.where(F.lit(False))
+    pointers, _, _ = merge.resolve_conflicts(published, decisions, audit)
+    return pointers.select(
+        "lead_consolidado_id", "priorizacion_id", "revision_entrada", "conflicto_lote")
+
+
+@query("l9_requests", """WITH r AS (SELECT event_id, user_id, event_type, CAST(value AS INT) % 2 AS b
+        FROM events), f AS (SELECT *, first_value(event_id) OVER w AS fe, first_value(b) OVER w AS fb
+        FROM r WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id))
+    SELECT event_id, CASE WHEN event_id = fe THEN 'efectiva' WHEN b = fb THEN 'repetida'
+        ELSE 'conflicto' END AS resultado FROM f""")
+def l9_requests(t: Tables) -> DataFrame:
+    # half-up like the SQL cast, so both sides see the same body
+    r = t.events.withColumn("cuerpo", (F.rint("value").cast("int") % 2).cast("string"))
+    return merge.idempotent_requests(
+        r, ["user_id", "event_type"], "cuerpo", "event_id"
+    ).select("event_id", F.col("resultado_solicitud").alias("resultado"))
+
+
+@query("l10_fold", B.sql("""SELECT lead_consolidado_id, coalesce(arg_max(resultado, (ts, event_id))
+        FILTER (WHERE resultado IN ('cerrado', 'perdido', 'descartado')), 'abierto') AS estado,
+    count(*) AS gestiones FROM activities GROUP BY 1""", "activities"))
+def l10_fold(t: Tables) -> DataFrame:
+    a = B.activities(t).withColumn("proxima_accion_en", F.when(
+        F.col("resultado") == "seguimiento_programado", F.col("ts")))
+    return merge.fold_activities(a).select("lead_consolidado_id", "estado", "gestiones")
+
+
+@query("l11_complete", B.sql("""SELECT 'L-' || c_custkey AS lead_consolidado_id, CASE WHEN
+    'L-' || c_custkey IN (SELECT lead_consolidado_id FROM activities WHERE CAST(ts AS DATE) =
+        DATE '2024-01-10') THEN 'completada' ELSE 'pendiente' END AS estado FROM customer
+    WHERE c_custkey % 2 = 0""", "activities"))
+def l11_complete(t: Tables) -> DataFrame:
+    day = F.lit("2024-01-10").cast("date")
+    plan = B.leads(t).where("c_custkey % 2 = 0").select(
+        "empresa_id", "lead_consolidado_id", day.alias("fecha_operativa"),
+        F.lit("pendiente").alias("estado"))
+    acts = B.activities(t).withColumn("dia", F.to_date("ts"))
+    return merge.complete_assignments(plan, acts).select("lead_consolidado_id", "estado")
+
+
+@query("l14_jobs", """WITH j AS (SELECT *, o_orderkey % 3 AS e, o_orderkey % 5 AS intentos,
+        o_orderdate < TIMESTAMP '1999-01-01' AS vencido FROM (SELECT *, row_number() OVER (PARTITION
+        BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS rn FROM orders) WHERE rn = 1)
+    SELECT o_orderkey AS trabajo_id, CASE WHEN e = 0 AND vencido AND intentos >= 3 THEN 'fallido'
+        WHEN e = 0 AND vencido THEN 'reintento' WHEN e = 1 AND o_custkey % 4 = 0 THEN 'obsoleto'
+        WHEN e = 0 THEN 'ejecutando' WHEN e = 1 THEN 'completado' ELSE 'pendiente' END AS estado
+    FROM j""")
+def l14_jobs(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    jobs = t.orders.select(
+        k.alias("trabajo_id"), F.lit("E").alias("empresa_id"), F.lit("chat").alias("tipo_entidad"),
+        F.col("o_custkey").alias("entidad_id"), F.col("o_orderpriority").alias("tipo_trabajo"),
+        F.lit(1).alias("revision_entrada"), (k % 5).alias("intentos"),
+        F.lit(3).alias("max_intentos"),
+        F.when(k % 3 == 0, "ejecutando").when(k % 3 == 1, "completado").otherwise("pendiente")
+        .alias("estado"),
+        F.col("o_orderdate").alias("lease_hasta"), F.col("o_orderdate").alias("disponible_en"))
+    revisions = t.customer.select(
+        F.col("c_custkey").alias("entidad_id"),
+        F.when(F.col("c_custkey") % 4 == 0, 2).otherwise(1).alias("revision"))
+    now = F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")
+    return merge.settle_jobs(jobs, now, revisions).select("trabajo_id", "estado")
+
+
+@query("l16_seed", """SELECT CAST(o_custkey AS VARCHAR) AS lead_consolidado_id,
+    CAST(min(o_orderkey) AS VARCHAR) AS priorizacion_vigente_id FROM orders
+    WHERE o_orderkey % 2 = 0 AND o_custkey % 5 = 0 GROUP BY o_custkey""")
+def l16_seed(t: Tables) -> DataFrame:
+    return merge.seed_states(_states(t), _published(t)).select(
+        "lead_consolidado_id", "priorizacion_vigente_id")
+
+
+@query("m1_scoped", B.sql("SELECT lead_consolidado_id FROM leads WHERE empresa_id = 'EMP-11'", "leads"))
+def m1_scoped(t: Tables) -> DataFrame:
+    return scope.scoped(B.leads(t), " EMP-11 ").select("lead_consolidado_id")
+
+
+@query("m2_children", B.sql("""SELECT event_id FROM activities a WHERE a.lead_consolidado_id IN
+    (SELECT lead_consolidado_id FROM leads WHERE empresa_id = 'EMP-11')""", "activities", "leads"))
+def m2_children(t: Tables) -> DataFrame:
+    return scope.scoped_children(
+        B.activities(t), B.leads(t), "lead_consolidado_id", "EMP-11").select("event_id")
+
+
+_MEMBERS = """SELECT s_suppkey AS membresia_id, 'EMP-' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0')
+    AS empresa_id, 'u' || s_suppkey AS usuario, CASE WHEN s_suppkey % 11 = 0 THEN 'lector'
+    WHEN s_suppkey % 4 = 0 THEN 'supervisor' ELSE 'asesor' END AS rol, s_acctbal > 0 AS activa
+    FROM supplier"""
+_VISIBLE = """SELECT m.membresia_id, l.lead_consolidado_id, c_custkey FROM memb m JOIN leads l
+    ON l.empresa_id = m.empresa_id
+    WHERE m.activa AND ((rol = 'supervisor') OR (rol = 'asesor' AND c_custkey % 2 = 0
+        AND membresia_id = c_custkey % 10) OR (rol = 'asesor' AND c_custkey % 2 = 1
+        AND c_custkey % 3 = 0 AND usuario = 'u' || (c_custkey % 7)))"""
+
+
+def _scope_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s, k = F.col("s_suppkey"), F.col("c_custkey")
+    members = t.supplier.select(
+        s.alias("membresia_id"), B.company("s_nationkey").alias("empresa_id"),
+        F.concat(F.lit("u"), s.cast("string")).alias("usuario"),
+        F.when(s % 11 == 0, "lector").when(s % 4 == 0, "supervisor").otherwise("asesor")
+        .alias("rol"), (F.col("s_acctbal") > 0).alias("activa"))
+    states = B.leads(t).select(
+        "empresa_id", "lead_consolidado_id", F.when(k % 2 == 0, k % 10).alias("responsable"),
+        "c_custkey")
+    captures = B.leads(t).where("c_custkey % 3 = 0").select(
+        "empresa_id", "lead_consolidado_id",
+        F.concat(F.lit("u"), (k % 7).cast("string")).alias("autor"))
+    return states, captures, members
+
+
+@query("m3_visible", B.sql("SELECT membresia_id, lead_consolidado_id FROM vis", "leads",
+                           memb=_MEMBERS, vis=_VISIBLE))
+def m3_visible(t: Tables) -> DataFrame:
+    return scope.visible_states(*_scope_inputs(t)).select("membresia_id", "lead_consolidado_id")
+
+
+@query("m4_todays_queue", B.sql("""SELECT membresia_id, lead_consolidado_id, c_custkey AS posicion
+    FROM vis WHERE membresia_id = c_custkey % 10 AND c_custkey % 3 = 0""", "leads", memb=_MEMBERS,
+    vis=_VISIBLE))
+def m4_todays_queue(t: Tables) -> DataFrame:
+    visible = scope.visible_states(*_scope_inputs(t))
+    k = F.col("c_custkey")
+    plan = B.leads(t).select(
+        (k % 10).alias("membresia_id"), "lead_consolidado_id", k.alias("posicion"),
+        F.when(k % 3 == 0, F.lit("2024-01-10")).otherwise("2024-01-09").cast("date")
+        .alias("fecha_operativa"))
+    return scope.todays_queue(plan, visible, "2024-01-10").select(
+        "membresia_id", "lead_consolidado_id", "posicion")
+
+
+@query("m5_membership", B.sql("""SELECT membresia_id, rol FROM memb WHERE activa AND
+    empresa_id = 'EMP-15' AND usuario = 'u0'""", memb=_MEMBERS))
+def m5_membership(t: Tables) -> DataFrame:
+    members = _scope_inputs(t)[2]
+    return scope.active_membership(members, "u0", "EMP-15").select("membresia_id", "rol")
+
+
+@query("m6_discard_visibility", """SELECT 'asesor' AS rol, count(*) AS chats FROM
+        (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 4 <> 0
+    UNION ALL SELECT 'supervisor', count(DISTINCT conv_id) FROM conversations""")
+def m6_discard_visibility(t: Tables) -> DataFrame:
+    chats = t.conversations.select("conv_id").distinct().withColumn(
+        "descartada", F.col("conv_id") % 4 == 0)
+    out = []
+    for role, everything in (("asesor", False), ("supervisor", True)):
+        out.append(scope.usable_chats(chats, everything).agg(
+            F.count(F.lit(1)).alias("chats")).select(F.lit(role).alias("rol"), "chats"))
+    return out[0].unionByName(out[1])
