@@ -16,10 +16,16 @@ from leadloom.operators.ranking import Running, with_running
 
 def score_steps(df: DataFrame, y: str, score: str, group: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score (best first) with its rows, positives and running counts."""
+    return weighted_steps(df.withColumn("_w", F.lit(1)), y, score, "_w", group)
+
+
+def weighted_steps(df: DataFrame, y: str, score: str, weight: str, group: Sequence[str] = ()
+                   ) -> DataFrame:
+    """The same with integer row weights."""
     keys = list(group) or ["_all"]
     base = df if group else df.withColumn("_all", F.lit(0))
     steps = base.groupBy(*keys, F.col(score).alias("score")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("tp"))
+        F.sum(weight).alias("n"), F.sum(F.col(y) * F.col(weight)).alias("tp"))
     steps = steps.withColumn("_neg", -F.col("score"))
     run = with_running(
         steps, keys, ["_neg"], F.floor(F.col("_neg") * 256),
