@@ -547,13 +547,13 @@ def _rebuild() -> Column:
 
 
 # --- what follows from a verified record --------------------------------------------------------
-def evidence_rows(df: DataFrame, payload: str = "extraccion", key: str = "conversacion_id"
-                  ) -> DataFrame:
+def evidence_rows(df: DataFrame, payload: str = "extraccion") -> DataFrame:
     """Every quoted evidence with its path."""
+    key = "conversacion_id"
     flat = F.transform(_signals(F.col(payload)), lambda s: F.struct(
         s["ruta"].alias("ruta"), s["clase"].alias("clase"), s["estado"].alias("estado"),
         s["valor"].alias("valor"), s["ev"].alias("ev")))
-    return df.select(key, F.inline(flat)).select(
+    return df.select(F.col(f"{payload}.{key}").alias(key), F.inline(flat)).select(
         key, "ruta", "clase", "estado", "valor", F.inline("ev"))
 
 

@@ -28,10 +28,9 @@ def read_processed_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     df = (
         spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8")
-        .option("multiLine", True).option("escape", '"').option("emptyValue", "")
-        .option("nullValue", "\x00").csv(path)
+        .option("multiLine", True).option("escape", '"').csv(path)
     )
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns]).na.fill("")
 
 
 def read_chats(spark: SparkSession, path: str) -> DataFrame:
