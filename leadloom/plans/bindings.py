@@ -74,7 +74,7 @@ def leads(t: Tables) -> DataFrame:
 
 def signals_frame(t: Tables) -> DataFrame:
     """One scorable row per order; the customer brings company and payment form."""
-    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    joined = t.spread("orders").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     seg = F.col("c_mktsegment")
     key = F.col("o_orderkey")
     return joined.select(
@@ -110,7 +110,7 @@ def priorities(t: Tables) -> DataFrame:
 def inquiries(t: Tables) -> DataFrame:
     """Orders as received inquiries with dirty names, phones and dates."""
     k = F.col("o_orderkey")
-    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    joined = t.spread("orders").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     number = _lpad(F.col("c_custkey") % 400, 9)
     seg = F.initcap(F.lower("c_mktsegment"))
     day = F.col("o_orderdate")
@@ -176,7 +176,7 @@ MESSAGE_SUFFIX = [
 
 def messages(t: Tables) -> DataFrame:
     """Chat turns as client/advisor messages, with one domain sentence after the whole text."""
-    base = t.conversations.where(F.col("role") != "system")
+    base = t.spread("conversations").where(F.col("role") != "system")
     base = with_positions(
         base, ["conv_id"], [Key("turn")], [Key(F.floor(F.col("turn") / 4096))], out="posicion")
     pick = (F.col("conv_id") * 5 + F.col("turn") * 4) % 9

@@ -8,6 +8,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadloom.sources.readers import spread
+
 
 class Tables:
     """The driver tables of one scale folder, read on first use."""
@@ -19,6 +21,10 @@ class Tables:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table about to go through expensive row-wise expressions."""
+        return spread(self._read(name))
+
     nation = cached_property(lambda self: self._read("nation"))
     customer = cached_property(lambda self: self._read("customer"))
     supplier = cached_property(lambda self: self._read("supplier"))
@@ -26,7 +32,7 @@ class Tables:
     orders = cached_property(lambda self: self._read("orders"))
     lineitem = cached_property(lambda self: self._read("lineitem"))
     events = cached_property(lambda self: self._read("events"))
-    documents = cached_property(lambda self: self._read("documents"))
+    documents = cached_property(lambda self: self.spread("documents"))
     pages = cached_property(lambda self: self._read("pages"))
     labels = cached_property(lambda self: self._read("labels"))
     conversations = cached_property(lambda self: self._read("conversations"))

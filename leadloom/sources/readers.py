@@ -50,13 +50,23 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, multiline: b
 def shape_violations(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Records that are no JSON object of the expected shape (one record per line)."""
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    df = (
-        spark.read.schema(wide).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT).option("allowNonNumericNumbers", False)
-        .json(path)
-    )
-    # the corrupt column may not be read alone, so it is selected beside the first field
-    return df.select(schema.fields[0].name, CORRUPT).where(F.col(CORRUPT).isNotNull())
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+               "allowNonNumericNumbers": "false"}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", wide, options).alias("r"))
+    return parsed.select(f"r.{CORRUPT}").where(F.col(CORRUPT).isNotNull())
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rebalance a file scan that has fewer splits than the cluster has cores.
+
+    Meant for the input of expensive row-wise expressions: a small or single-block file would run
+    them in one task. A large table has plenty of splits and passes through unchanged.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    # a bare scan has no shuffle, so this only lists file splits and runs nothing
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan.repartition(cores) if splits < cores else scan
 
 
 def with_source_rows(df: DataFrame, order: list[str | Column], coarse: list[str | Column],

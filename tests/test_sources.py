@@ -34,7 +34,7 @@ def test_strict_json(spark, tmp_path):
     good.write_text(json.dumps([chat]), encoding="utf-8")
     bad.write_text('[{"conversacion_id": NaN}]', encoding="utf-8")
     assert readers.read_chats(spark, str(good)).first()["mensajes"][0]["texto"] == "hola"
-    with pytest.raises(Exception, match="(?s)bad.json|MALFORMED"):
+    with pytest.raises(Exception, match="bad.json|MALFORMED|Malformed|NaN"):
         readers.read_chats(spark, str(bad)).collect()
     lines = tmp_path / "lines.json"
     lines.write_text('{"emisor": "a"}\n[1, 2\n', encoding="utf-8")
