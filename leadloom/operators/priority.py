@@ -44,11 +44,11 @@ def queue_violations(ranked: DataFrame) -> DataFrame:
     return rising.unionByName(gaps)
 
 
-def fifo_rank(df: DataFrame, date: str, row: str, coarse: Key, group: tuple[str, ...] = ()
-              ) -> DataFrame:
-    """Descending FIFO score: the oldest row gets the largest value."""
+def fifo_rank(df: DataFrame, date: str, row: str, group: tuple[str, ...] = ()) -> DataFrame:
+    """Descending FIFO score: the oldest row gets the largest value. ``row`` is a text id."""
     ranked = with_positions(
-        df, list(group), [Key(date), Key(row)], [coarse], [Key(date)], out="_p")
+        df, list(group), [Key(date), Key(row)], [Key(F.trunc(date, "month"))],
+        [Key(date), Key(F.substring(row, 1, 6))], out="_p")
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     joined = ranked.join(counts, list(group)) if group else attach_single(ranked, counts)
     return joined.withColumn("fifo", F.col("_n") - F.col("_p") + 1).drop("_n", "_p")

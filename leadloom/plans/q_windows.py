@@ -137,8 +137,7 @@ def e10_append(t: Tables) -> DataFrame:
     (ORDER BY fecha, lead_id) + 1 AS fifo FROM history""", "history"))
 def e11_fifo(t: Tables) -> DataFrame:
     h = B.history(t).select("lead_id", "fecha")
-    return priority.fifo_rank(h, "fecha", "lead_id", Key(F.trunc("fecha", "month"))).select(
-        "lead_id", "fifo")
+    return priority.fifo_rank(h, "fecha", "lead_id").select("lead_id", "fifo")
 
 
 _ATTENTION = """SELECT p.*, CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '2024-01-01 00:00:00'
