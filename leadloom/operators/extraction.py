@@ -8,6 +8,8 @@ array of signals, the rules run as transforms over it, and the record is rebuilt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,69 +33,73 @@ def contract_violations(df: DataFrame, payload: str, key: str) -> DataFrame:
     position, speaker or text.
     """
     as_map, as_maps = "map<string,string>", "array<map<string,string>>"
-    root = F.from_json(payload, as_map)
-    bad: list[Column] = [F.when(root.isNull(), F.lit("json_invalido"))]
-
-    def keys(obj: Column, expected: list[str], path: str) -> None:
-        same = F.sort_array(F.map_keys(obj)) == F.array(*[F.lit(k) for k in sorted(expected)])
-        bad.append(F.when(root.isNotNull() & ~F.coalesce(same, F.lit(False)),
-                          F.lit(f"claves:{path}")))
-
-    def evidences(obj: Column, path: str) -> None:
-        items = F.from_json(F.try_element_at(obj, F.lit("evidencias")), as_maps)
-
-        def fine(e: Column) -> Column:
-            return (
-                (F.sort_array(F.map_keys(e)) == F.array(*map(F.lit, ["emisor", "mensaje", "texto"])))
-                & F.try_element_at(e, F.lit("mensaje")).rlike(r"^[1-9]\d*\z")
-                & F.try_element_at(e, F.lit("emisor")).isin("cliente", "asesor")
-                & (F.length(F.try_element_at(e, F.lit("texto"))) > 0)
-            )
-
-        ok = F.forall(items, lambda e: F.coalesce(fine(e), F.lit(False)))
-        bad.append(F.when(~F.coalesce(ok, F.lit(False)) & root.isNotNull(),
-                          F.lit(f"evidencias:{path}")))
-
-    def one_of(value: Column, allowed: list[str], path: str) -> None:
-        bad.append(F.when(root.isNotNull() & ~F.coalesce(value.isin(allowed), F.lit(False)),
-                          F.lit(f"valor:{path}")))
-
-    keys(root, S.PAYLOAD.fieldNames(), "raiz")
-    groups = {"dinero": S.AMOUNT_FIELDS, "credito": S.CREDIT_FIELDS, "cita": S.EVENT_FIELDS,
-              "cotizacion": S.EVENT_FIELDS}
-    for name, fields in groups.items():
-        group = F.from_json(F.try_element_at(root, F.lit(name)), as_map)
-        keys(group, fields, name)
-        for f in fields:
-            obj = F.from_json(F.try_element_at(group, F.lit(f)), as_map)
-            path = f"{name}.{f}"
-            keys(obj, ["expresion_original" if name == "dinero" else "estado", "evidencias"], path)
-            if name != "dinero":
-                one_of(F.try_element_at(obj, F.lit("estado")),
-                       ["si", "no_explicito", "no_mencionado"], path)
-            evidences(obj, path)
-    for name in ("forma_pago", "intencion_declarada", "objecion_principal"):
-        obj = F.from_json(F.try_element_at(root, F.lit(name)), as_map)
-        keys(obj, ["valor", "evidencias"], name)
-        evidences(obj, name)
-        if name == "forma_pago":
-            one_of(F.try_element_at(obj, F.lit("valor")),
-                   ["contado", "credito", "mixto", "desconocida"], name)
-    lists = {"modelos_interes": ["evidencias", "valor"],
-             "cambios_de_declaracion": ["campo", "descripcion", "evidencias"],
-             "inconsistencias": ["campo", "descripcion", "evidencias"]}
-    for name, fields in lists.items():
-        items = F.from_json(F.try_element_at(root, F.lit(name)), as_maps)
-        ok = _all_keys(items, fields)
-        bad.append(F.when(root.isNotNull() & ~F.coalesce(ok, F.lit(False)),
-                          F.lit(f"claves:{name}")))
-    codes = F.array_compact(F.array(*bad))
-    return df.select(key, codes.alias("violaciones")).where(F.size("violaciones") > 0)
-
-
-def _all_keys(items: Column, fields: list[str]) -> Column:
-    expected = F.array(*map(F.lit, sorted(fields)))
-    return F.forall(items, lambda e: F.sort_array(F.map_keys(e)) == expected)
+
+    def field(obj: Column, name: str) -> Column:
+        return F.try_element_at(obj, F.lit(name))
+
+    def flag(broken: Column, code: str) -> Column:
+        return F.when(F.coalesce(broken, F.lit(True)), F.lit(code))
+
+    def same_keys(obj: Column, expected: list[str]) -> Column:
+        return F.sort_array(F.map_keys(obj)) == F.array(*[F.lit(k) for k in sorted(expected)])
+
+    def fine(e: Column) -> Column:
+        return F.coalesce(
+            same_keys(e, ["emisor", "mensaje", "texto"])
+            & field(e, "mensaje").rlike(r"^[1-9]\d*\z")
+            & field(e, "emisor").isin("cliente", "asesor")
+            & (F.length(field(e, "texto")) > 0),
+            F.lit(False))
+
+    def holder(parent: Column, name: str, path: str, expected: list[str], allowed=None) -> Column:
+        def judge(obj: Column) -> Column:
+            items = F.from_json(field(obj, "evidencias"), as_maps)
+            checks = [flag(~same_keys(obj, expected), f"claves:{path}"),
+                      flag(~F.forall(items, fine), f"evidencias:{path}")]
+            if allowed:
+                checks.append(flag(~field(obj, expected[0]).isin(allowed), f"valor:{path}"))
+            return F.array(*checks)
+
+        return let(F.from_json(field(parent, name), as_map), judge)
+
+    def group(root: Column, name: str, fields: list[str]) -> Column:
+        amount = name == "dinero"
+
+        def judge(obj: Column) -> Column:
+            return F.concat(
+                F.array(flag(~same_keys(obj, fields), f"claves:{name}")),
+                *[holder(obj, f, f"{name}.{f}",
+                         ["expresion_original" if amount else "estado", "evidencias"],
+                         None if amount else ["si", "no_explicito", "no_mencionado"])
+                  for f in fields])
+
+        return let(F.from_json(field(root, name), as_map), judge)
+
+    def listed(root: Column, name: str, expected: list[str]) -> Column:
+        return let(F.from_json(field(root, name), as_maps), lambda items: F.array(
+            flag(~F.forall(items, lambda e: same_keys(e, expected)), f"claves:{name}")))
+
+    def judge(root: Column) -> Column:
+        payment = ["contado", "credito", "mixto", "desconocida"]
+        found = F.concat(
+            F.array(flag(~same_keys(root, S.PAYLOAD.fieldNames()), "claves:raiz")),
+            group(root, "dinero", S.AMOUNT_FIELDS),
+            group(root, "credito", S.CREDIT_FIELDS),
+            group(root, "cita", S.EVENT_FIELDS),
+            group(root, "cotizacion", S.EVENT_FIELDS),
+            *[holder(root, n, n, ["valor", "evidencias"], payment if n == "forma_pago" else None)
+              for n in ("forma_pago", "intencion_declarada", "objecion_principal")],
+            listed(root, "modelos_interes", ["evidencias", "valor"]),
+            listed(root, "cambios_de_declaracion", ["campo", "descripcion", "evidencias"]),
+            listed(root, "inconsistencias", ["campo", "descripcion", "evidencias"]),
+        )
+        return F.when(root.isNull(), F.array(F.lit("json_invalido"))).otherwise(
+            F.array_compact(found))
+
+    codes = let(F.from_json(payload, as_map), judge)
+    # rows come out of a generator, so the parsing is not repeated by a pushed-down filter
+    return df.select(F.col(key), F.inline(F.filter(
+        F.array(F.struct(codes.alias("violaciones"))), lambda x: F.size(x["violaciones"]) > 0)))
 
 
 def parse_payload(c: Column | str) -> Column:
@@ -475,39 +481,69 @@ def verify_extractions(df: DataFrame) -> DataFrame:
     Expects ``extraccion`` (``schemas.PAYLOAD``) and ``mensajes``; other columns pass through.
     """
     rest = [c for c in df.columns if c not in ("extraccion", "mensajes")]
-    work = df.withColumn("_m", _messages(F.col("mensajes"))).withColumn(
-        "_s", _signals(F.col("extraccion")))
-    msgs = F.col("_m")
-    work = work.withColumn("_s", F.transform("_s", lambda s: _cleaned(s, msgs)))
-    work = work.withColumn("_s", F.transform("_s", lambda s: let(
-        _credit_decision(s, msgs), _payment)))
-    work = work.withColumn("_a", F.transform(
-        F.filter("_s", lambda s: s["clase"] == "monto"), lambda s: _amount_result(s, msgs)))
-    work = work.withColumn("_s", F.transform("_s", lambda s: _offer(s, msgs)))
-    visit = F.filter("_s", lambda s: (s["ruta"] == "cita.cliente_solicito") & (s["estado"] == "si"))
-    asked = F.coalesce(F.get(visit, F.lit(0))["ev"], F.array().cast(EV))
-    intention = F.when(F.size(asked) > 0, asked).otherwise(_said(msgs, P["intention"]))
-    work = work.withColumn("_intent", intention).withColumn("_s", F.transform(
-        "_s", lambda s: let(
-            _recover_text(s, "intencion_declarada", "frase_explicita_recuperada",
-                          F.col("_intent"), single=False),
-            lambda x: _recover_text(x, "objecion_principal", "objecion_literal_recuperada",
-                                    _said(msgs, P["objection"]), single=True))))
-    work = work.withColumn("_inc", F.concat(
-        F.flatten(F.transform(F.filter("_s", lambda s: s["clase"] != "monto"),
-                              lambda s: s["inc"])),
-        F.flatten(F.transform("_a", lambda a: a["inc"]))))
+    # each stage reads the one before exactly once, so the plan stays linear in the rules
+    work = df.withColumn("_v", F.struct(
+        F.col("extraccion").alias("e"), _messages(F.col("mensajes")).alias("m"),
+        _signals(F.col("extraccion")).alias("s"), F.lit(None).alias("a")))
+    for stage in _stages():
+        work = work.withColumn("_v", let(F.col("_v"), stage))
     return work.select(
-        *rest, "mensajes", _rebuild().alias("extraccion"), F.col("_inc").alias("incidencias"),
-        F.when(F.exists("_inc", lambda i: i["estado"] == "pendiente_revision"),
-               "requiere_revision").otherwise("validada_automaticamente").alias("estado_extraccion"))
+        *rest, "mensajes", F.col("_v.extraccion").alias("extraccion"),
+        F.col("_v.incidencias").alias("incidencias"),
+        F.col("_v.estado_extraccion").alias("estado_extraccion"))
+
 
+def _stages() -> list[Callable[[Column], Column]]:
+    """The rules in order, each from a state (payload, messages, signals, amounts) to the next."""
 
-def _rebuild() -> Column:
+    def state(x: Column, **changed: Column) -> Column:
+        return F.struct(*[changed.get(n, x[n]).alias(n) for n in ("e", "m", "s", "a")])
+
+    def clean(x: Column) -> Column:
+        return state(x, s=F.transform(x["s"], lambda s: _cleaned(s, x["m"])))
+
+    def judge_credit(x: Column) -> Column:
+        return state(x, s=F.transform(x["s"], lambda s: let(
+            _credit_decision(s, x["m"]), _payment)))
+
+    def amounts(x: Column) -> Column:
+        held = F.filter(x["s"], lambda s: s["clase"] == "monto")
+        return F.struct(
+            x["e"].alias("e"), x["m"].alias("m"),
+            F.transform(x["s"], lambda s: _offer(s, x["m"])).alias("s"),
+            F.transform(held, lambda s: _amount_result(s, x["m"])).alias("a"))
+
+    def phrases(x: Column) -> Column:
+        visit = F.filter(
+            x["s"], lambda s: (s["ruta"] == "cita.cliente_solicito") & (s["estado"] == "si"))
+        asked = F.coalesce(F.get(visit, F.lit(0))["ev"], F.array().cast(EV))
+        msgs = x["m"]
+        wanted = let(asked, lambda a: F.when(F.size(a) > 0, a).otherwise(
+            _said(msgs, P["intention"])))
+        return let(wanted, lambda w: state(x, s=F.transform(x["s"], lambda s: let(
+            _recover_text(s, "intencion_declarada", "frase_explicita_recuperada", w, single=False),
+            lambda y: _recover_text(y, "objecion_principal", "objecion_literal_recuperada",
+                                    _said(msgs, P["objection"]), single=True)))))
+
+    def finish(x: Column) -> Column:
+        log = F.concat(
+            F.flatten(F.transform(F.filter(x["s"], lambda s: s["clase"] != "monto"),
+                                  lambda s: s["inc"])),
+            F.flatten(F.transform(x["a"], lambda a: a["inc"])))
+        return let(log, lambda inc: F.struct(
+            _rebuild(x["e"], x["s"], x["a"]).alias("extraccion"), inc.alias("incidencias"),
+            F.when(F.exists(inc, lambda i: i["estado"] == "pendiente_revision"),
+                   "requiere_revision").otherwise("validada_automaticamente")
+            .alias("estado_extraccion")))
+
+    return [clean, judge_credit, amounts, phrases, finish]
+
+
+def _rebuild(e: Column, signals: Column, amounts: Column) -> Column:
     """The nested record out of the signals and amounts."""
 
     def one(path: str) -> Column:
-        return F.get(F.filter("_s", lambda s: s["ruta"] == path), F.lit(0))
+        return F.get(F.filter(signals, lambda s: s["ruta"] == path), F.lit(0))
 
     def state(path: str) -> Column:
         return let(one(path), lambda s: F.struct(
@@ -519,22 +555,22 @@ def _rebuild() -> Column:
 
     def findings(name: str, local: str) -> Column:
         held = F.transform(
-            F.filter("_s", lambda s: s["ruta"].startswith(name)),
+            F.filter(signals, lambda s: s["ruta"].startswith(name)),
             lambda s: F.struct(
                 s["estado"].alias("campo"), s["valor"].alias("descripcion"),
                 s["ev"].alias("evidencias"),
                 F.when(s["valor"].isin(V.FINDING_CHANGE, V.FINDING_CONFLICT), "regla_local")
                 .otherwise("modelo").alias("origen")))
         return F.concat(held.cast(f"array<{FINDING_OUT}>"),
-                        F.flatten(F.transform("_a", lambda a: a[local])))
+                        F.flatten(F.transform(amounts, lambda a: a[local])))
 
     return F.struct(
-        F.col("extraccion.conversacion_id").alias("conversacion_id"),
-        F.transform(F.filter("_s", lambda s: s["ruta"].startswith("modelos_interes")),
+        e["conversacion_id"].alias("conversacion_id"),
+        F.transform(F.filter(signals, lambda s: s["ruta"].startswith("modelos_interes")),
                     lambda s: F.struct(s["valor"].alias("valor"), s["ev"].alias("evidencias")))
         .alias("modelos_interes"),
-        F.struct(*[F.get("_a", F.lit(i))["monto"].alias(f) for i, f in enumerate(S.AMOUNT_FIELDS)])
-        .alias("dinero"),
+        F.struct(*[F.get(amounts, F.lit(i))["monto"].alias(f)
+                   for i, f in enumerate(S.AMOUNT_FIELDS)]).alias("dinero"),
         F.struct(*[state(f"credito.{f}").alias(f) for f in S.CREDIT_FIELDS]).alias("credito"),
         value("forma_pago").alias("forma_pago"),
         value("intencion_declarada").alias("intencion_declarada"),
@@ -543,7 +579,7 @@ def _rebuild() -> Column:
         F.struct(*[state(f"cotizacion.{f}").alias(f) for f in S.EVENT_FIELDS]).alias("cotizacion"),
         findings("cambios_de_declaracion", "cambios").alias("cambios_de_declaracion"),
         findings("inconsistencias", "inconsistencias").alias("inconsistencias"),
-        F.col("extraccion.limitaciones").alias("limitaciones"))
+        e["limitaciones"].alias("limitaciones"))
 
 
 # --- what follows from a verified record --------------------------------------------------------
@@ -603,9 +639,9 @@ def flat_signals(verified: DataFrame) -> DataFrame:
             ev["texto"].alias("cita")))
 
     mentions = F.flatten(F.transform(e["modelos_interes"], lambda m: quotes("modelos_interes", m)))
-    usable = verified.where(
-        (F.col("estado_extraccion") != "requiere_revision") & (F.size(e["inconsistencias"]) == 0))
-    return usable.select(
+    usable = (F.col("estado_extraccion") != "requiere_revision") & (
+        F.size(e["inconsistencias"]) == 0)
+    row = F.struct(
         e["conversacion_id"].alias("conversacion_id"),
         F.filter(F.transform(e["modelos_interes"], lambda m: m["valor"]),
                  lambda v: v.isNotNull()).alias("modelos_interes"),
@@ -614,6 +650,8 @@ def flat_signals(verified: DataFrame) -> DataFrame:
         *[state_flag(v["estado"]).alias(n) for n, v in flags.items()],
         F.concat(*[quotes(n, v) for n, v in {**values, **flags}.items()], mentions)
         .alias("evidencias"))
+    # rows come out of a generator: a filter would be pushed below and verify every chat twice
+    return verified.select(F.inline(F.when(usable, F.array(row))))
 
 
 def flat_violations(results: DataFrame) -> DataFrame:
@@ -686,24 +724,28 @@ def review_rows(verified: DataFrame) -> DataFrame:
 def incident_log(verified: DataFrame, discarded: DataFrame) -> DataFrame:
     """Incidents of four origins, each stamped when its chat was discarded."""
     e = F.col("extraccion")
-    base = [e["conversacion_id"].alias("conversacion_id"), "empresa_id", "lead_id"]
-    own = verified.select(*base, F.inline("incidencias")).select(
-        "conversacion_id", "empresa_id", "lead_id", "tipo", "estado", "campo", "detalle")
-    found = verified.select(*base, F.inline(e["inconsistencias"])).select(
-        "conversacion_id", "empresa_id", "lead_id",
-        F.when(F.col("origen") == "modelo", "inconsistencia_candidata_ia")
-        .otherwise("inconsistencia_detectada_por_regla").alias("tipo"),
-        F.lit("pendiente_revision_semantica").alias("estado"), "campo",
-        F.col("descripcion").alias("detalle"))
-    limits = verified.select(*base, F.explode(e["limitaciones"]).alias("detalle")).select(
-        "conversacion_id", "empresa_id", "lead_id", F.lit("limitacion_ia").alias("tipo"),
-        F.lit("informativo").alias("estado"), F.lit(None).cast("string").alias("campo"), "detalle")
-    unknown = verified.where(F.col("empresa_id").isNull()).select(
-        *base, F.lit("empresa_desconocida").alias("tipo"), F.lit("sin_vinculo").alias("estado"),
-        F.lit(None).cast("string").alias("campo"),
-        F.lit("Conversación conservada; no se asigna a una empresa por inferencia.")
-        .alias("detalle"))
-    out = own.unionByName(found).unionByName(limits).unionByName(unknown)
+
+    def entry(kind: Column | str, state: Column | str, field: Column, detail: Column) -> Column:
+        return F.struct(
+            (F.lit(kind) if isinstance(kind, str) else kind).alias("tipo"),
+            (F.lit(state) if isinstance(state, str) else state).alias("estado"),
+            field.cast("string").alias("campo"), detail.alias("detalle"))
+
+    none = F.lit(None)
+    own = F.transform("incidencias", lambda i: entry(
+        i["tipo"], i["estado"], i["campo"], i["detalle"]))
+    found = F.transform(e["inconsistencias"], lambda i: entry(
+        F.when(i["origen"] == "modelo", "inconsistencia_candidata_ia").otherwise(
+            "inconsistencia_detectada_por_regla"),
+        "pendiente_revision_semantica", i["campo"], i["descripcion"]))
+    limits = F.transform(e["limitaciones"], lambda d: entry("limitacion_ia", "informativo", none, d))
+    unknown = F.filter(
+        F.array(entry("empresa_desconocida", "sin_vinculo", none, F.lit(
+            "Conversación conservada; no se asigna a una empresa por inferencia."))),
+        lambda _: F.col("empresa_id").isNull())
+    out = verified.select(
+        e["conversacion_id"].alias("conversacion_id"), "empresa_id", "lead_id",
+        F.inline(F.concat(own, found, limits, unknown)))
     flagged = discarded.select("conversacion_id").distinct().withColumn(
         "decision_registro", F.lit("descartado_por_instruccion_del_usuario"))
     return out.join(flagged, "conversacion_id", "left")
@@ -711,18 +753,21 @@ def incident_log(verified: DataFrame, discarded: DataFrame) -> DataFrame:
 
 def discard_reasons(verified: DataFrame, source_findings: DataFrame) -> DataFrame:
     """Why chats are unusable: declared inconsistencies, pending incidents, source findings."""
-    key = F.col("extraccion.conversacion_id").alias("conversacion_id")
-    found = verified.select(key, F.inline("extraccion.inconsistencias")).select(
-        "conversacion_id", "origen", F.lit("inconsistencia_en_extraccion").alias("tipo"),
-        "descripcion")
-    pending = verified.select(key, F.inline("incidencias")).where(
-        F.col("estado") == "pendiente_revision").select(
-        "conversacion_id", F.lit("validador_extraccion").alias("origen"), "tipo",
-        F.col("detalle").alias("descripcion"))
+    def reason(origin: Column, kind: Column, text: Column) -> Column:
+        return F.struct(origin.alias("origen"), kind.alias("tipo"), text.alias("descripcion"))
+
+    found = F.transform("extraccion.inconsistencias", lambda h: reason(
+        h["origen"], F.lit("inconsistencia_en_extraccion"), h["descripcion"]))
+    pending = F.transform(
+        F.filter("incidencias", lambda i: i["estado"] == "pendiente_revision"),
+        lambda i: reason(F.lit("validador_extraccion"), i["tipo"], i["detalle"]))
+    own = verified.select(
+        F.col("extraccion.conversacion_id").alias("conversacion_id"),
+        F.inline(F.concat(found, pending)))
     source = source_findings.select(
         "conversacion_id", F.lit("regla_local_sobre_fuente").alias("origen"), "tipo",
         "descripcion")
-    return found.unionByName(pending).unionByName(source)
+    return own.unionByName(source)
 
 
 def pending_amounts(verified: DataFrame) -> DataFrame:

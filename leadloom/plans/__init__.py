@@ -8,6 +8,7 @@ from leadloom.plans import (  # noqa: F401
     q_joins,
     q_publication,
     q_values,
+    q_verification,
     q_windows,
 )
 from leadloom.plans.registry import REGISTRY  # noqa: F401
