@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import alnum_key, ascii_fold, col, model_key
+from leadloom.operators.checks import left_join_sparse
 
 GRAM = 8
 
@@ -78,7 +79,7 @@ def match_table(catalogue: DataFrame) -> DataFrame:
 def match_models(df: DataFrame, text: str, catalogue: DataFrame) -> DataFrame:
     """Add ``modelo_sku, modelo_normalizado, modelo_estado, candidatos`` for a free text."""
     keyed = df.withColumn("clave", model_key(text))
-    joined = keyed.join(match_table(catalogue), "clave", "left")
+    joined = left_join_sparse(keyed, match_table(catalogue), ["clave"])
     return joined.withColumns({
         "modelo_estado": F.when(F.col("clave").isNull(), "faltante").otherwise(
             F.coalesce("modelo_estado", F.lit("sin_coincidencia"))),
@@ -105,11 +106,9 @@ def availability_state(
     listed = availability.select(
         F.col("sku").alias("modelo_sku"), "punto_venta_id"
     ).dropna().distinct().withColumn("_a", F.lit(True))
-    joined = (
-        inquiries.join(known, "modelo_sku", "left")
-        .join(pairs, ["empresa_id", "punto_venta_id"], "left")
-        .join(listed, ["modelo_sku", "punto_venta_id"], "left")
-    )
+    joined = left_join_sparse(inquiries, known, ["modelo_sku"])
+    joined = left_join_sparse(joined, pairs, ["empresa_id", "punto_venta_id"])
+    joined = left_join_sparse(joined, listed, ["modelo_sku", "punto_venta_id"])
     return joined.withColumn(
         "disponibilidad",
         F.when(F.col("modelo_sku").isNull(), "no_evaluable_modelo_pendiente")

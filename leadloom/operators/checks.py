@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadloom.functions.text import col
 from leadloom.operators.ranking import null_safe_key
@@ -76,6 +77,22 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     return joined.withColumn(indicator, F.coalesce(F.col(indicator), F.lit(False)))
 
 
+def left_join_sparse(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys that are often null.
+
+    Rows without a key match nothing, yet would all meet in one task; a salt derived from the row
+    spreads them. Rows with a key keep salt 0 and meet their match as usual.
+    """
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    plain = [f.name for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
+    salt = F.when(missing, F.pmod(F.xxhash64(*plain), F.lit(4096)) + 1).otherwise(0)
+    salted = right.withColumn("_salt", F.lit(0).cast("bigint"))
+    return left.withColumn("_salt", salt.cast("bigint")).join(
+        salted, [*keys, "_salt"], "left").drop("_salt")
+
+
 def missing_parents(child: DataFrame, parent: DataFrame, on: dict[str, str]) -> DataFrame:
     """Child rows whose non-null composite reference has no parent."""
     complete = F.lit(True)

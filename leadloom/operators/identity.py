@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import ids, names
 from leadloom.functions.text import clean, fold_key
+from leadloom.operators.checks import left_join_sparse
 from leadloom.operators.ranking import Key, group_codes, null_safe_key, with_positions
 
 OWNER_PHONE = ["empresa_id", "telefono"]
@@ -172,7 +173,7 @@ def resolve_identities(inquiries: DataFrame) -> DataFrame:
     eligible = F.col("telefono").isNotNull() & F.col("empresa_id").isNotNull()
     groups = compatible_groups(inquiries.where(eligible), OWNER_PHONE, "nombre").where(
         "compatibles").select(*OWNER_PHONE, F.lit(True).alias("_same"))
-    joined = inquiries.join(groups, OWNER_PHONE, "left")
+    joined = left_join_sparse(inquiries, groups, OWNER_PHONE)
     same = F.coalesce(F.col("_same"), F.lit(False))
     return joined.withColumns({
         "lead_consolidado_id": F.when(
@@ -372,8 +373,9 @@ def link_chats(chats: DataFrame, kept: DataFrame) -> DataFrame:
 
     ref = kept.select(
         "lead_id", F.col("empresa_id").alias("_e"), F.col("lead_consolidado_id").alias("_l"))
-    joined = chats.withColumnRenamed("lead_id", "lead_id_recibido").join(
-        ref.withColumnRenamed("lead_id", "lead_id_recibido"), "lead_id_recibido", "left")
+    joined = left_join_sparse(
+        chats.withColumnRenamed("lead_id", "lead_id_recibido"),
+        ref.withColumnRenamed("lead_id", "lead_id_recibido"), ["lead_id_recibido"])
     ok = F.col("_l").isNotNull()
     return joined.withColumns({
         "lead_id_vinculado": F.when(ok, F.col("lead_id_recibido")),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
+from leadloom.operators.checks import left_join_sparse
 from leadloom.operators.ranking import Key, with_positions
 
 COLUMNS = ["tipo", "tabla", "fila", "id_origen", "campo", "valor_original", "valor_resultante",
@@ -230,7 +231,7 @@ def with_owner(events: DataFrame, owners: DataFrame, external: DataFrame
     reference = F.coalesce(*[
         F.nullif(F.col(c), F.lit("")) for c in
         ("conversacion_id", "lead_consolidado_id", "lead_id", "id_origen") if c in events.columns])
-    joined = inside.withColumn("referencia", reference).join(single, "referencia", "left")
+    joined = left_join_sparse(inside.withColumn("referencia", reference), single, ["referencia"])
     own = F.col("empresa_id") if "empresa_id" in events.columns else F.lit(None).cast("string")
     kept = joined.withColumn("empresa_inferida", F.coalesce(own, "_owner")).drop(
         "_row", "_ids", "_owner")

@@ -146,12 +146,13 @@ def category_drift(history: DataFrame, current: DataFrame, fields: Sequence[str]
         F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("historico", "actual")])
 
 
-def feature_frame(history: DataFrame) -> DataFrame:
+def feature_frame(history: DataFrame, keep: Sequence[str] = ("lead_id", "empresa_id", "fecha")
+                  ) -> DataFrame:
     """The five approved categorical features; anything later than the decision stays out."""
     unknown = F.lit("DESCONOCIDO")
     base = ["canal", "modelo_sku", "manifesto_cuota_inicial", "forma_pago_declarada"]
     return history.select(
-        "lead_id", "empresa_id", "fecha",
+        *keep,
         *[F.coalesce(F.col(c).cast("string"), unknown).alias(c) for c in base],
         F.when(F.col("pidio_cita") == "SI", "SI").otherwise("NO_OBSERVADA").alias(
             "cita_observada"))

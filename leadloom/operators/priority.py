@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
 from leadloom.functions import signals
+from leadloom.operators.checks import left_join_sparse
 from leadloom.operators.ranking import Key, attach_single, provable_latest, with_positions
 
 LEAD = ["empresa_id", "lead_consolidado_id"]
@@ -84,9 +85,9 @@ def context_rows(leads: DataFrame, inquiries: DataFrame, chats: DataFrame) -> Da
     picked = inquiries.select(
         *LEAD, F.col("lead_id").alias("lead_id_contexto"), F.col("canal").alias("_q_canal"),
         F.col("modelo_sku").alias("_q_sku"))
+    # most leads have no chat, so the chat lookup must not gather the nulls in one task
     base = (
-        leads.join(last_chat, LEAD, "left")
-        .join(chosen, "conversacion_id", "left")
+        left_join_sparse(leads.join(last_chat, LEAD, "left"), chosen, ["conversacion_id"])
         .join(last_inquiry, LEAD, "left")
         .join(shared, LEAD, "left")
         .join(chat_counts, LEAD, "left")

@@ -15,7 +15,7 @@ def data(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     kept, _ = metrics.observed_outcomes(B.history(t))
     # give the label some signal so that selection has something to find
-    rows = metrics.feature_frame(kept).join(kept.select("lead_id", "y"), "lead_id")
+    rows = metrics.feature_frame(kept, ("lead_id", "fecha", "y")).dropDuplicates(["lead_id"])
     rows = rows.withColumn("y", F.when(
         (F.col("cita_observada") == "SI") & (F.col("canal") == "WhatsApp"), 1).otherwise(F.col("y")))
     return rows.where(F.col("fecha") < "1998-01-01").cache()

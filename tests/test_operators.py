@@ -373,3 +373,25 @@ def test_quota_fold():
     assert len(kept) == 9
     flags, _ = admit([i * minute for i in range(300)], [])
     assert sum(flags) == 240 and isinstance(pd.Series(flags), pd.Series)
+
+
+def test_sparse_left_join(spark):
+    left = spark.createDataFrame(
+        [(i, None if i % 3 else i % 5, "x") for i in range(60)], "id int, k int, v string")
+    right = spark.createDataFrame([(0, "a"), (3, "b")], "k int, w string")
+    got = checks.left_join_sparse(left, right, ["k"])
+    want = left.join(right, "k", "left")
+    assert checks.fingerprint(got).first() == checks.fingerprint(want.select(got.columns)).first()
+
+
+def test_null_and_hot_keys_are_spread(spark):
+    """A third of the rows under one key, or without a key, must not meet in one bucket."""
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id").cast("string")))
+        .alias("g"), (F.col("id") % 7).alias("s"), F.sha2(F.col("id").cast("string"), 256).alias("id"))
+    order = [Key("s", desc=True), Key("id")]
+    ranked = ranking.with_positions(df, ["g"], order, order[:1], [Key(F.substring("id", 1, 2))])
+    assert ranked.where("g = 'hot'").agg(F.max("posicion")).first()[0] == 10000
+    # what one window task may see is the rows of one bucket, not the group
+    bucket = df.where("g = 'hot'").groupBy("s", F.substring("id", 1, 2)).count()
+    assert bucket.agg(F.max("count")).first()[0] < 40
