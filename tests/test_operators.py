@@ -395,3 +395,82 @@ def test_null_and_hot_keys_are_spread(spark):
     # what one window task may see is the rows of one bucket, not the group
     bucket = df.where("g = 'hot'").groupBy("s", F.substring("id", 1, 2)).count()
     assert bucket.agg(F.max("count")).first()[0] < 40
+
+
+REQUEST = ("solicitud_id string, empresa_id string, actor string, nombre_limpio string, "
+           "telefono_valido string, correo_valido string, sede_id string, modelo_sku string, "
+           "cuota_inicial double, forma_pago string, cliente_pidio_cita boolean, "
+           "registrada_en timestamp, lead_existente string")
+STATE = "empresa_id string, lead_consolidado_id string, revision_entrada long"
+
+
+def test_intake_plan_is_repeatable(spark):
+    from leadloom.operators import capture
+
+    at = datetime(2026, 1, 2, 9)
+    rows = [("r1", "E", "u", "Ana Ruiz", "+573001112233", None, "S", "K1", 5.0, "contado", False, at, None),
+            ("r2", "E", "u", "Ana Ruiz", "+573001112233", None, "S", None, None, None, True, at, "L7"),
+            ("r3", "E", "u", "Ana Ruiz", "+573001112233", None, "S", None, None, None, False,
+             at + timedelta(hours=1), "L7")]
+    requests = spark.createDataFrame(rows, REQUEST)
+    states = spark.createDataFrame([("E", "L7", 4)], STATE)
+    plan = capture.plan_intake(requests, states)
+    assert plan["leads"].count() == 1 and plan["consultas"].count() == 3
+    pointers = {r["lead_consolidado_id"]: r for r in plan["prioridades_publicadas"].collect()}
+    assert pointers["L7"]["revision_entrada"] == 6
+    new = next(k for k in pointers if k.startswith("WEB-"))
+    assert pointers[new]["revision_entrada"] == 1
+    scores = {r["priorizacion_id"]: (float(r["score_prioridad"]), r["explicacion"])
+              for r in plan["priorizaciones"].collect()}
+    assert scores[pointers[new]["priorizacion_id"]][0] == 55.56
+    assert scores[pointers["L7"]["priorizacion_id"]] == (0.0, "Sin señales declaradas suficientes.")
+    again = capture.plan_intake(requests, states)
+    for name in ("leads", "consultas", "priorizaciones", "prioridades_publicadas"):
+        assert checks.fingerprint(plan[name]).first() == checks.fingerprint(again[name]).first()
+
+
+def test_review_resolution(spark):
+    from leadloom.operators import capture
+
+    reviews = spark.createDataFrame(
+        [(f"R{i}", "E", "pendiente", None) for i in range(1, 6)],
+        "revision_id string, empresa_id string, estado string, resolucion string")
+    schema = "revision_id string, accion string, nota string, lead_id string, actor string"
+    decisions = spark.createDataFrame(
+        [("R1", "vincular", "", "L7", "s"), ("R2", "rechazar", "duplicado", "", "s"),
+         ("R3", "crear_distinto", "otra persona", None, "s"), ("R4", "vincular", "", "L8", "s"),
+         ("R5", "rechazar", " ", "", "s"), ("R9", "rechazar", "x", "", "s")], schema)
+    states = spark.createDataFrame([("E", "L7", 4), ("F", "L8", 1)], STATE)
+    out = capture.resolve_reviews(reviews, decisions, states)
+    assert {r["revision_id"]: r["lead_existente"] for r in out["aceptadas"].collect()} == {
+        "R1": "L7", "R3": None}
+    assert {r["revision_id"]: r["motivo"] for r in out["rechazadas"].collect()} == {
+        "R4": "lead_ajeno", "R5": "falta_motivo", "R9": "revision_inexistente"}
+    after = out["revisiones"]
+    assert {r["revision_id"]: r["estado"] for r in after.collect()} == {
+        "R1": "resuelta", "R2": "rechazada", "R3": "resuelta", "R4": "pendiente", "R5": "pendiente"}
+    repeat = capture.resolve_reviews(after, decisions.where("revision_id = 'R1'"), states)
+    assert repeat["aceptadas"].count() == 0 and repeat["rechazadas"].count() == 0
+    other = spark.createDataFrame([("R1", "rechazar", "no", "", "s")], schema)
+    refused = capture.resolve_reviews(after, other, states)["rechazadas"].first()
+    assert refused["motivo"] == "decision_distinta"
+
+
+def test_single_chat_publication(spark):
+    from leadloom.operators import capture
+
+    results = spark.createDataFrame(
+        [("t1", "E", "L7", "C1", "CONV-1", 4, ["AKT NKD 125"], None, 2e6, 1, "credito", True),
+         ("t2", "E", "L9", "C2", "CONV-2", 1, ["otra"], 0.0, None, 1, None, None)],
+        "trabajo_id string, empresa_id string, lead_consolidado_id string, lead_id_origen string, "
+        "conversacion_id string, revision_entrada long, modelos_interes array<string>, "
+        "cuota_inicial double, inicial_minimo double, inicial_evidencias int, forma_pago string, "
+        "cliente_pidio_cita boolean")
+    catalogue = spark.createDataFrame([("K1", "AKT", "NKD 125")],
+                                      "sku string, marca string, linea string")
+    states = spark.createDataFrame([("E", "L7", 4), ("E", "L9", 2)], STATE)
+    out = capture.publish_extractions(results, catalogue, states)
+    row = out["priorizaciones"].first()
+    assert out["priorizaciones"].count() == 1 and float(row["score_prioridad"]) == 100.0
+    assert out["intereses_modelo"].first()["modelo_sku"] == "K1"
+    assert [r["trabajo_id"] for r in out["obsoletas"].collect()] == ["t2"]
