@@ -9,7 +9,9 @@ array of signals, the rules run as transforms over it, and the record is rebuilt
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -482,17 +484,25 @@ def verify_extractions(df: DataFrame) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in ("extraccion", "mensajes")]
     # each stage reads the one before exactly once, so the plan stays linear in the rules
-    work = df.withColumn("_v", F.struct(
-        F.col("extraccion").alias("e"), _messages(F.col("mensajes")).alias("m"),
-        _signals(F.col("extraccion")).alias("s"), F.lit(None).alias("a")))
-    for stage in _stages():
-        work = work.withColumn("_v", let(F.col("_v"), stage))
+    first, *stages = _rule_columns(id(SparkContext._active_spark_context))
+    work = df.withColumn("_v", first)
+    for stage in stages:
+        work = work.withColumn("_v", stage)
     return work.select(
         *rest, "mensajes", F.col("_v.extraccion").alias("extraccion"),
         F.col("_v.incidencias").alias("incidencias"),
         F.col("_v.estado_extraccion").alias("estado_extraccion"))
 
 
+@lru_cache(maxsize=4)
+def _rule_columns(context: int) -> tuple[Column, ...]:
+    """The rule expressions, assembled once per Spark context: they name columns, not data."""
+    start = F.struct(
+        F.col("extraccion").alias("e"), _messages(F.col("mensajes")).alias("m"),
+        _signals(F.col("extraccion")).alias("s"), F.lit(None).alias("a"))
+    return (start, *[let(F.col("_v"), stage) for stage in _stages()])
+
+
 def _stages() -> list[Callable[[Column], Column]]:
     """The rules in order, each from a state (payload, messages, signals, amounts) to the next."""
 

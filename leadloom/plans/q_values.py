@@ -37,9 +37,6 @@ def b2_key(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(text.fold_key("text")).alias("clave"))
 
 
-_ASCII = ("regexp_replace(strip_accents(lower(nfkd)), '[^\\x00-\\x7F]', '', 'g')")
-
-
 @query("b3_ascii", """SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)),
     '[^\\x00-\\x7F]', '', 'g')) AS ascii FROM documents""")
 def b3_ascii(t: Tables) -> DataFrame:
@@ -507,9 +504,6 @@ def b29_number_text(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", money.localized_number(number, unit).alias("valor"))
 
 
-_MONEY_ROWS = """SELECT p_partkey, p_size, p_partkey % 8 AS k FROM part"""
-
-
 @query("b30_money", """WITH s AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS v, p_partkey % 8 AS k
         FROM part)
     SELECT p_partkey,
