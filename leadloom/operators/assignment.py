@@ -32,6 +32,20 @@ def attention_order(now: Column) -> list[Key]:
     ]
 
 
+def attention_levels(order: list[Key]) -> tuple[list[Key], list[Key]]:
+    """Bucket prefixes of ``attention_order``: by due hour, and the many leads without a due date
+    by score and month; then by the order keys themselves and the start of the id."""
+    due, score, date, lead = (Key(k.expr, k.desc, k.nulls_last) for k in order)
+    when = due.expr if not isinstance(due.expr, str) else F.col(due.expr)
+    free = when.isNull()
+    coarse = [
+        Key(F.date_trunc("hour", when), nulls_last=True),
+        Key(F.when(free, F.col(score.expr)), desc=True, nulls_last=True),
+        Key(F.when(free, F.trunc(date.expr, "month")), nulls_last=True),
+    ]
+    return coarse, [due, score, date, Key(F.substring(lead.expr, 1, 6))]
+
+
 def daily_assignment(candidates: DataFrame, members: DataFrame, already: DataFrame, now: Column
                      ) -> tuple[DataFrame, DataFrame]:
     """Assign leads to advisors of their site within the remaining capacity of the day.
@@ -56,9 +70,7 @@ def daily_assignment(candidates: DataFrame, members: DataFrame, already: DataFra
     # a flat order key survives the joins below
     ready = judged.where(F.col("motivo").isNull()).withColumn("_due", order[0].expr)
     order = [Key("_due", nulls_last=True), *order[1:]]
-    coarse = [Key(F.to_date("_due"), nulls_last=True), Key("_due", nulls_last=True), order[1],
-              Key(F.trunc("fecha", "month"), nulls_last=True)]
-    fine = [order[2], Key(F.substring("lead_consolidado_id", 1, 6))]
+    coarse, fine = attention_levels(order)
 
     places = members.groupBy("empresa_id", "punto_venta_id", "asesor_id").agg(
         F.greatest(F.max(F.coalesce("capacidad", F.lit(0))) - F.max("carga"), F.lit(0))

@@ -235,7 +235,7 @@ def informed_values(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -
     ]))).where(F.col("valor").isNotNull()).distinct()
     return with_positions(
         long, [*keys, "campo"], [Key("valor")], [Key(F.substring("valor", 1, 4))],
-        out="orden",
+        [Key(F.substring("valor", 1, 10))], out="orden",
     )
 
 

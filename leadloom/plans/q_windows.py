@@ -149,7 +149,7 @@ _ATTENTION = """SELECT p.*, CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '2024-01
         ASC NULLS LAST, score DESC, fecha ASC NULLS LAST, lead_consolidado_id) AS orden FROM att""",
     "priorities", att=_ATTENTION))
 def e12_overdue_first(t: Tables) -> DataFrame:
-    from leadloom.operators.assignment import attention_order
+    from leadloom.operators.assignment import attention_levels, attention_order
 
     now = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
     due = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, "
@@ -158,9 +158,7 @@ def e12_overdue_first(t: Tables) -> DataFrame:
         "proxima_accion_en", F.when(F.col("o_orderkey") % 5 == 0, due))
     order = attention_order(now)
     return ranking.with_positions(
-        att, ["empresa_id"], order,
-        [order[0], order[1], Key(F.trunc("fecha", "month"), nulls_last=True)], [order[2]],
-        out="orden",
+        att, ["empresa_id"], order, *attention_levels(order), out="orden"
     ).select("lead_consolidado_id", "orden")
 
 
