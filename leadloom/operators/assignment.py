@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,3 +213,7 @@ def transfer_owners(requests: DataFrame, states: DataFrame, members: DataFrame,
         "posicion_inicial": F.coalesce("_pos", "posicion_inicial"),
     }).drop("_to", "_pos")
     return decisions, after
+
+
+# worker functions travel with their code, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,9 +6,11 @@ admissions); the rows of a key inside one micro-batch are bounded by the source'
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -222,3 +224,7 @@ def chat_sessions(messages: DataFrame, gap: str = "30 minutes", delay: str = "1
         .select("conversacion_id", F.col("s.start").alias("inicio"), F.col("s.end").alias("fin"),
                 "mensajes")
     )
+
+
+# worker functions travel with their code, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
