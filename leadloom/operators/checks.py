@@ -11,19 +11,11 @@ from pyspark.sql import types as T
 from leadloom.functions.text import col
 from leadloom.operators.ranking import null_safe_key
 
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
 
 class ContractBroken(ValueError):
     """A contract check found offending rows."""
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the optimizer's size estimate is under ``limit``."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return F.broadcast(df) if size <= limit else df
-
-
 def expect(df: DataFrame, rule: str, bad: Column, key: Column | str, detail: Column | None = None
            ) -> DataFrame:
     """Rows for which ``bad`` holds, as ``(regla, clave, detalle)``."""
