@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontamination, mixing, quality, tokens
+from leadloom.llm import decontamination, lattice_lm, mixing, quality, tokens
 from leadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def winnowing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_viterbi_counts")
 def viterbi_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op9_lattice_likelihood")
+def lattice_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, folder, "documents"))
