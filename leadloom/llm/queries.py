@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontamination, lattice_lm, mixing, quality, simhash, tokens
+from leadloom.llm import decontamination, language, lattice_lm, mixing, quality, simhash, tokens
 from leadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def lattice_likelihood(spark: SparkSession, folder: str) -> DataFrame:
 def pigeonring(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.components(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op2_ppm_language")
+def ppm_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
