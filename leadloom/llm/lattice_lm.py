@@ -59,8 +59,8 @@ class Lattice:
     def sizes(self) -> np.ndarray:
         return np.array([len(p) for p in self.pieces])
 
-    def _arcs(self, words: list[str]):
-        """Begin and stop of each word; start, end, weight and word of each arc; its uses."""
+    def _arcs(self, words: list[str], models: slice = slice(None)):
+        """Begin and stop of each word; start, end, weights and word of each arc; its uses."""
         lengths = np.array([len(w) + 2 for w in words])
         begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         text = "".join(f"{MARK}{w}\n" for w in words)
@@ -71,11 +71,11 @@ class Lattice:
         covered[start[end - start == 1]] = True
         covered[begin + lengths - 1] = True
         unknown = np.flatnonzero(~covered)
-        base, models = len(self.pieces), self.weights.shape[1]
+        base, weights = len(self.pieces), self.weights[:, models]
         bytes_ = [[base + b for b in text[i].encode("utf-8", "surrogatepass")] for i in unknown]
-        spell = np.array([self.weights[b].sum(axis=0) for b in bytes_]).reshape(-1, models)
+        spell = np.array([weights[b].sum(axis=0) for b in bytes_]).reshape(-1, weights.shape[1])
         start, end = np.concatenate([start, unknown]), np.concatenate([end, unknown + 1])
-        weight = np.concatenate([self.weights[piece], spell])
+        weight = np.concatenate([weights[piece], spell])
         word = np.repeat(np.arange(len(words)), lengths)[start]
         return begin, begin + lengths - 1, start, end, weight, word, (piece, bytes_)
 
@@ -99,21 +99,18 @@ class Lattice:
         self._sweep(ahead, start, end, weight, end - begin[word])
         return ahead[stop]
 
-    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of every piece and byte, if a model sees a word ``counts`` times."""
-        uses = np.zeros(self.weights.shape)
+    def expected(self, words: list[str], model: int) -> np.ndarray:
+        """Expected uses of every piece and byte in one segmentation of each word by a model."""
+        uses = np.zeros(len(self.weights))
         if not words:
             return uses
-        begin, stop, start, end, weight, word, (piece, bytes_) = self._arcs(words)
-        ahead, back = (np.full((stop[-1] + 1, uses.shape[1]), -np.inf) for _ in range(2))
+        begin, stop, start, end, weight, word, (piece, bytes_) = self._arcs(words, slice(model, model + 1))
+        ahead, back = (np.full((stop[-1] + 1, 1), -np.inf) for _ in range(2))
         ahead[begin], back[stop] = 0.0, 0.0
         self._sweep(ahead, start, end, weight, end - begin[word])
         self._sweep(back, end, start, weight, begin[word] - start)
-        share = np.exp(ahead[start] + weight + back[end] - ahead[stop][word]) * counts[word]
-        for model in range(uses.shape[1]):
-            uses[: len(self.pieces), model] = np.bincount(
-                piece, share[: len(piece), model], minlength=len(self.pieces)
-            )
+        share = np.exp(ahead[start] + weight + back[end] - ahead[stop][word])[:, 0]
+        uses[: len(self.pieces)] = np.bincount(piece, share[: len(piece)], minlength=len(self.pieces))
         for part, at in zip(share[len(piece):], bytes_, strict=True):
             for b in at:
                 uses[b] += part
@@ -184,8 +181,9 @@ def learn(words: DataFrame, models: int, path: str = PIECE_FILE, rounds: int = R
             lattice = Lattice(*shared.value)
             total = np.zeros(lattice.weights.shape)
             for batch in batches:
-                counts = np.column_stack([batch.column(k + 1).to_numpy() > 0 for k in range(models)])
-                total += lattice.expected(batch.column(0).to_pylist(), counts.astype(float))
+                spelled_ = np.array(batch.column(0).to_pylist(), dtype=object)
+                for k in range(models):
+                    total[:, k] += lattice.expected(list(spelled_[batch.column(k + 1).to_numpy() > 0]), k)
             used, model = np.nonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used), pa.array(model), pa.array(total[used, model])], names=["i", "k", "uses"]
