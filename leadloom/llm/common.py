@@ -44,7 +44,3 @@ def uniform(*keys: Column) -> Column:
     """A number in [0, 1) that depends on the keys alone, so that reruns agree."""
     return F.xxhash64(*keys).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
 
-
-def bytes_of(df: DataFrame) -> int:
-    """The optimiser's size of a written table, which is the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

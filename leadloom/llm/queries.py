@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontamination, language, lattice_lm, mixing, quality, simhash, tokens, toxicity
+from leadloom.llm import decontamination, language, lattice_lm, mixing, quality, simhash, tokens, toxicity, wrapper
 from leadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def ppm_language(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_crf_toxicity")
 def crf_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op1_wrapper_text")
+def wrapper_text(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper.extract(table(spark, folder, "pages"))
