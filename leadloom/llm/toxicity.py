@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,7 +151,7 @@ class Emissions(dict):
         return value
 
 
-def copy_groups(docs: list[list[str]]) -> list[int]:
+def copy_groups(docs: list[np.ndarray]) -> np.ndarray:
     """A group for every document; near copies, which share a least hash of their shingles, are one."""
     group = list(range(len(docs)))
 
@@ -162,40 +161,38 @@ def copy_groups(docs: list[list[str]]) -> list[int]:
             i = group[i]
         return i
 
+    odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
     first: dict[tuple[int, int], int] = {}
-    for i, words in enumerate(docs):
-        shingles = {" ".join(words[k : k + 3]).encode() for k in range(max(1, len(words) - 2))}
+    for i, ids in enumerate(docs):
+        own = ids.astype(np.uint64) + np.uint64(1)
+        while len(own) < 3:
+            own = np.append(own, np.uint64(0))
+        mixed = (own[:-2] * odd[0]) ^ ((own[1:-1] * odd[1]) << np.uint64(1)) ^ (own[2:] * odd[2])
         for seed in range(3):
-            least = min(xxhash.xxh64_intdigest(x, seed) for x in shingles)
+            least = int(((mixed ^ (mixed >> np.uint64(29 + seed))) * odd[seed]).min())
             group[root(i)] = root(first.setdefault((seed, least), i))
-    return [root(i) for i in range(len(docs))]
+    return np.array([root(i) for i in range(len(docs))])
 
 
-def marking_features(seen: list[set[str]], toxic: list[bool], groups: list[int]) -> set[str]:
-    """Features that tell toxic documents apart, counted once for a group of near copies.
+def marking_features(docs: list[np.ndarray], toxic: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
+    """Which features tell toxic documents apart, counted once for a group of near copies.
 
     A feature must occur ``ODDS`` times as often in toxic groups as in others, in three at least,
     with a log-likelihood ratio of at least ``SURE``, so that chance and copies mark nothing.
     """
-    held: tuple[Counter, Counter] = (Counter(), Counter())
-    totals = [0, 0]
+    groups = copy_groups(docs)
+    held, totals = np.zeros((2, size + 1)), [0, 0]
     for label in (0, 1):
-        for members in {g: i for i, g in enumerate(groups) if toxic[i] == bool(label)}.values():
-            held[label].update(seen[members])
+        for i in {groups[i]: i for i in np.flatnonzero(toxic == label)}.values():
+            held[label, np.unique(table[np.unique(docs[i])])] += 1
             totals[label] += 1
-    n0, n1 = totals
-    taken = set()
-    for f, k1 in held[1].items():
-        k0 = held[0][f]
-        if k1 < 3 or k1 / n1 < ODDS * (k0 + 0.5) / (n0 + 1):
-            continue
-        both = (k0 + k1) / (n0 + n1)
-        ratio = 2 * sum(
-            k * np.log(k / (n * p)) for k, n, p in ((k1, n1, both), (k0, n0, both), (n1 - k1, n1, 1 - both), (n0 - k0, n0, 1 - both)) if k
-        )
-        if ratio >= SURE:
-            taken.add(f)
-    return taken
+    (k0, k1), (n0, n1) = held, totals
+    both = (k0 + k1) / (n0 + n1)
+    ratio = np.zeros(size + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for k, n, p in ((k1, n1, both), (k0, n0, both), (n1 - k1, n1, 1 - both), (n0 - k0, n0, 1 - both)):
+            ratio += np.where(k > 0, 2 * k * np.log(k / (n * p)), 0.0)
+    return (k1 >= 3) & (k1 / n1 >= ODDS * (k0 + 0.5) / (n0 + 1)) & (ratio >= SURE) & (np.arange(size + 1) < size)
 
 
 def fit(texts: list[str], labels: list[int]) -> Tagger:
@@ -209,21 +206,18 @@ def fit(texts: list[str], labels: list[int]) -> Tagger:
         tagger = Tagger()
         tagger.document[0] = EDGE if len(y) and y[0] else -EDGE
         return tagger
-    found = [TOKEN.findall(t) for t in texts]
-    words = sorted({w.lower() for f in found for w in f})
-    place = {w: i for i, w in enumerate(words)}
-    own = [features(w) for w in words]
-    used = Counter(f for fs in own for f in fs)
-    seen = [{f for w in {w.lower() for w in doc} for f in own[place[w]]} for doc in found]
-    marks = marking_features(seen, [label == 1 for label in y], copy_groups(found))
-    names = {f: i for i, f in enumerate(used)}
-    size, most = len(names), 2 + len(BEGINNINGS)
-    table = np.full((len(words), most), size)
-    for i, fs in enumerate(own):
-        table[i, : len(fs)] = [names[f] for f in fs]
-    marked = np.array([any(f in marks for f in fs) for fs in own])
-
-    docs = [np.array([place[w.lower()] for w in f], dtype=np.int64) for f in found]
+    place: dict[str, int] = {}
+    docs = [
+        np.array([place.setdefault(w.lower(), len(place)) for w in TOKEN.findall(t)], dtype=np.int64) for t in texts
+    ]
+    names: dict[str, int] = {}
+    rows = [[names.setdefault(f, len(names)) for f in features(w)] for w in place]
+    words, size, most = len(place), len(names), 2 + len(BEGINNINGS)
+    table = np.array([r + [size] * (most - len(r)) for r in rows], dtype=np.int64).reshape(words, most)
+    del place, rows
+    marks = marking_features(docs, y, table, size)
+    marked = marks[table].any(axis=1)
+
     order = np.random.default_rng(7).permutation(len(docs))
     weights, bias = np.zeros(size + 1), -3.0
     first, move = np.zeros(2), np.zeros((2, 2))
@@ -245,7 +239,7 @@ def fit(texts: list[str], labels: list[int]) -> Tagger:
             tagged[at] = tags
             tagged = tagged.reshape(filled.shape)
             gap = ((tagged - chance) * filled).ravel()[at]
-            by_word = np.bincount(ids, gap, minlength=len(words))
+            by_word = np.bincount(ids, gap, minlength=words)
             slope = np.bincount(table.ravel(), np.repeat(by_word, most), minlength=size + 1)
             slope = slope / len(part) - DECAY * weights
             slope[size] = 0.0
@@ -307,12 +301,14 @@ def tag_documents(docs: DataFrame, tagger: Tagger) -> DataFrame:
     score of a text without evidence. One pass, no shuffle; columns of these names are replaced.
     """
     made = ("score", "predicted", "spans")
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (tagger.weights, tagger.bias, tagger.first, tagger.move, tagger.document)
+    )
     kept = [c for c in docs.columns if c not in made]
     rows = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_body"))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = Tagger(*shared.value)
         known = own.remembered()
         span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
