@@ -81,9 +81,6 @@ class Model:
             escape.append(leave)
         return cls(languages, grams, cost, contexts, escape)
 
-    def ready(self) -> Scorer:
-        return Scorer(self)
-
 
 class Scorer:
     """Looks up code lengths: the runs seen are found in two steps through dense tables."""
@@ -196,13 +193,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     are null or have no letter, and all texts when nothing was learned, are undetermined with
     score 0. One pass, no shuffle; columns named lang_pred or score are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (model.languages, model.grams, model.cost, model.contexts, model.escape)
+    )
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(*kept, F.when(has_letter, F.col("text")).alias("_body"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value.ready() if shared.value.languages else None
+        own = Model(*shared.value)
+        scorer = Scorer(own) if own.languages else None
         for batch in batches:
             texts = [_text_bytes(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             names: list[str] = [UNDETERMINED] * len(texts)
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 chance = 1.0 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
                 for i, b, c in zip(at, best, chance, strict=True):
                     if texts[i]:
-                        names[i], scores[i] = shared.value.languages[b], c
+                        names[i], scores[i] = own.languages[b], c
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)],
                 names=[*batch.schema.names[:-1], "lang_pred", "score"],

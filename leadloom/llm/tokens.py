@@ -94,13 +94,14 @@ def count_tokens(docs: DataFrame, path: str = PIECE_FILE, text: str = "text") ->
     gives an empty result. Columns of ``docs`` named like a result column are dropped.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Vocabulary.read(path))  # bounded by the vocabulary file
+    vocabulary = Vocabulary.read(path)
+    shared = spark.sparkContext.broadcast((vocabulary.pieces, vocabulary.scores))  # bounded by the file
     made = [part.split()[0] for part in COUNTED.split(", ")]
     others = [c for c in docs.columns if c != text and c not in made]
     narrow = docs.select(*others, F.col(text).alias("_text"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Counter(shared.value)
+        counter = Counter(Vocabulary(*shared.value))
         for batch in batches:
             rows = [counter(t) for t in batch.pop("_text")]
             yield batch.assign(**dict(zip(made, zip(*rows, strict=True), strict=True))) if rows else batch.assign(

@@ -50,11 +50,5 @@ class Vocabulary:
         found.make_automaton()
         return found
 
-    def __getstate__(self):
-        return {"pieces": self.pieces, "scores": self.scores}  # the automaton is built where it is used
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
