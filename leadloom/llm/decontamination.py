@@ -27,7 +27,7 @@ def words_of(text: Column) -> Column:
 def _mins(words: Column, gram: int, span: int) -> Column:
     """Least gram hash, from ``_grams``, of every window of ``span`` words, by window start."""
     grams, held = F.col("_grams"), span - gram + 1
-    starts = F.sequence(F.lit(0), F.size(words) - span)
+    starts = F.when(grams.isNotNull(), F.sequence(F.lit(0), F.greatest(F.size(words) - span, F.lit(0))))
     if held == 1:
         return F.transform(starts, lambda j: F.get(grams, j))
     return F.transform(starts, lambda j: F.least(*[F.get(grams, j + k) for k in range(held)]))
@@ -40,16 +40,19 @@ def _fingerprints(df: DataFrame, keep: list[str], gram: int, span: int) -> DataF
     gram + 1`` of them; those windows lie inside ``near``.
     """
     words, held = F.col("_words"), span - gram + 1
-    long_enough = df.where(F.size(words) >= span)
-    grams = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, gram)]))
-    mins = long_enough.select(*keep, "_words", grams.alias("_grams")).select(
+    # Shorter rows have no grams, no windows and no marks; a filter would split their text twice.
+    grams = F.when(
+        F.size(words) >= span,
+        F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, gram)])),
+    )
+    mins = df.select(*keep, "_words", grams.alias("_grams")).select(
         *keep, "_words", _mins(words, gram, span).alias("_mins")
     )
     m = F.col("_mins")
     fresh = lambda j: (
         (j == 0) | (F.get(m, j) != F.get(m, j - 1)) | F.get(m, j).eqNullSafe(F.get(m, j - held))
     )
-    starts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), fresh)
+    starts = F.filter(F.when(m.isNotNull(), F.sequence(F.lit(0), F.size(m) - 1)), fresh)
     marks = F.transform(
         starts,
         lambda j: F.struct(
