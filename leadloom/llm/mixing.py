@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import WORD, uniform, written
@@ -124,7 +124,7 @@ def _fold(units: Column, kind: str) -> Column:
     return F.aggregate(units, start, step)
 
 
-def mix(
+def _dealt(
     docs: DataFrame,
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     share: float = 1.5,
@@ -133,8 +133,7 @@ def mix(
 ) -> DataFrame:
     """Whole copies per document so that each source's words come near its target.
 
-    Returns one row per input row: doc_id, source, size, source_size, target, copies, taken. Every
-    document of a source expects target / source_size copies; the whole part is given, the
+    One row per input row, with ``_k`` to tell rows alike apart. Every document of a source expects target / source_size copies; the whole part is given, the
     fractional parts are rounded by the pivotal method with the word mass of a source held fixed.
     Units are dealt by a hash of their id to nodes of about ``fan_in`` units, each node leaves one
     open unit, and the open units of ``fan_in`` nodes meet in the next level; large documents come
@@ -195,5 +194,26 @@ def mix(
         settled.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
         .withColumn("copies", each.cast("bigint"))
         .select("doc_id", "source", "size", "source_size", "target", "copies",
-                (F.col("copies") * F.col("size")).alias("taken"))
+                (F.col("copies") * F.col("size")).alias("taken"), "_k")
     )
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken."""
+    return _dealt(docs, **options).drop("_k")
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that have copies, with size, source_size, target, copies and taken.
+
+    Copies stay a number beside the row. Columns of ``docs`` with these names are replaced.
+    """
+    made = ["size", "source_size", "target", "copies", "taken"]
+    same = F.xxhash64("doc_id", "source", "size")
+    dealt = _dealt(docs, **options).where("copies > 0").select(same.alias("_unit"), "_k", F.struct(*made).alias("_m"))
+    kept = [c for c in docs.columns if c not in made]
+    rows = docs.select("doc_id", "source", "text", word_count(F.col("text")).alias("size"), F.struct(*kept).alias("_row"))
+    rows = rows.select(same.alias("_unit"), F.xxhash64("text").alias("_text"), "_row")
+    place = F.row_number().over(Window.partitionBy("_unit").orderBy("_text"))
+    numbered = rows.withColumn("_k", place.cast("bigint"))
+    return numbered.join(dealt, ["_unit", "_k"]).select("_row.*", "_m.*")

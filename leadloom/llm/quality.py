@@ -151,7 +151,11 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     whole = docs.select(
         F.col("source").alias("_source"), F.col("text").alias("_text"), F.struct(*columns).alias("_row")
     )
-    judged = judge(with_measures(whole, "_text"), verdicts.withColumnRenamed("source", "_source"), "_source")
+    # A one-element array keeps the filter above the measures; else Spark would move the filter into
+    # the scan with all their expressions written out in it.
+    failed = F.explode(F.array("base_failed")).alias("base_failed")
+    measured = with_measures(whole, "_text").select("_source", "_row", failed)
+    judged = judge(measured, verdicts.withColumnRenamed("source", "_source"), "_source")
     return judged.where("kept").select("_row.*")
 
 
