@@ -11,8 +11,8 @@ from leadloom.llm.common import ascii_lower, written
 
 #: What parts words here: every ASCII character but digits and letters (A-Z are lower-cased first).
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word before A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower-cased.
+GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Consecutive words of an item that must occur in a document.
 SPAN = 10
 #: Words in a hashed gram. With a gram kept for every SPAN - GRAM + 1 grams, each shared span of
@@ -178,7 +178,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     keyed = _keyed(docs.select("doc_id", "text"))
     found = hits(keyed, benchmark, ["_rid"])
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
+    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), GAP_ANY_CASE), ""))
     left = keyed.select("doc_id", "_rid", n_words.cast("bigint").alias("n_words"))
     none = F.array().cast("array<string>")
     return left.join(found, "_rid", "left").select(
