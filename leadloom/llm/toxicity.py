@@ -24,7 +24,7 @@ CHAIN = 32
 BEGINNINGS = (3, 4, 5, 6)
 #: How much more often a feature must occur in toxic documents to mark a token.
 ODDS = 10.0
-SURE = 20.0
+SURE = 15.0
 EPOCHS, BATCHES, RATE, DECAY = 6, 16, 0.5, 1e-5
 #: Words remembered per Python worker.
 REMEMBERED = 300_000

@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -237,37 +236,45 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """headers, block of every record below ``path``; a file is read by one task, whole."""
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch["content"]:
-                found = list(parse(bytes(content)))
-                yield pd.DataFrame({"headers": [h for h, _ in found], "block": [b for _, b in found]})
+            for content in batch.column(0).to_pylist():
+                found = list(parse(content or b""))
+                columns = [pa.array([list(h.items()) for h, _ in found], pairs), pa.array([b for _, b in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["headers", "block"])
 
+    pairs = pa.map_(pa.string(), pa.string())
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInPandas(records, "headers map<string,string>, block binary")
+    return files.select("content").mapInArrow(records, "headers map<string,string>, block binary")
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """The response records below ``path``, as :func:`derive` takes them."""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for pairs, block in zip(batch["headers"], batch["block"], strict=True):
-                headers = dict(pairs)
-                head, _, body = bytes(block).partition(b"\r\n\r\n")
+            for own, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                headers = dict(own)
+                head, _, body = block.partition(b"\r\n\r\n")
                 first, *lines = head.decode("iso-8859-1").split("\r\n")
-                http = dict(p for line in lines if len(p := tuple(x.strip() for x in line.split(":", 1))) == 2)
+                http = [p for line in lines if len(p := tuple(x.strip() for x in line.split(":", 1))) == 2]
                 status = first.split(" ")[1] if first.count(" ") else ""
                 rows.append(
                     (
-                        headers.get("WARC-Record-ID"), headers.get("WARC-Target-URI"), headers.get("WARC-Date"), headers,
-                        int(status) if status.isdigit() else None, http, body,
+                        headers.get("WARC-Record-ID"), headers.get("WARC-Target-URI"), headers.get("WARC-Date"), own,
+                        int(status) if status.isdigit() else None, list(dict(http).items()), body,
                     )
                 )
-            yield pd.DataFrame(rows, columns=RESPONSE.fieldNames()).astype({"status": "Int32"})
+            columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=RESPONSE.fieldNames()
+            )
 
-    return read_records(spark, path).where(F.col("headers")["WARC-Type"] == "response").mapInPandas(split, RESPONSE)
+    pairs = pa.map_(pa.string(), pa.string())
+    kinds = [pa.string(), pa.string(), pa.string(), pairs, pa.int32(), pairs, pa.binary()]
+    responses = read_records(spark, path).where(F.col("headers")["WARC-Type"] == "response")
+    return responses.mapInArrow(split, RESPONSE)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

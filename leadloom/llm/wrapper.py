@@ -46,13 +46,14 @@ def tree_matching(a: Shape, b: Shape) -> int:
         return 0
     if _is_text(a):
         return 1
-    return 1 + sum(w for *_, w in _best_pairs(a[1], b[1]))
+    return 1 + sum(w for *_, w in _best_pairs(a[1], b[1], True))
 
 
-def _best_pairs(left: list[Shape], right: list[Shape]) -> list[tuple[int, int, int]]:
-    """Pairs of children, in order, with the greatest total matching."""
-    if [x[0] for x in left] == [y[0] for y in right]:
-        return [(i, i, 1) for i in range(len(left))]
+def _best_pairs(left: list[Shape], right: list[Shape], weigh: bool = False) -> list[tuple[int, int, int]]:
+    """Pairs of children, in order, with the greatest total matching, and their matching."""
+    labels = [x[0] for x in left]
+    if labels == [y[0] for y in right] and len(set(labels)) == len(labels):  # no other pairs are possible
+        return [(i, i, tree_matching(x, y) if weigh else 1) for i, (x, y) in enumerate(zip(left, right, strict=True))]
     weights = [[tree_matching(x, y) for y in right] for x in left]
     best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     for i in range(len(left) - 1, -1, -1):
@@ -157,7 +158,7 @@ def main_text(html: str | None, wrapper: Shape | None = None) -> str:
     rank = max((t.article for t in good if not t.blank), default=0)
     blocks: list[list[Text]] = []
     for t in good:
-        if t.article < rank or t.place in template:
+        if t.article < rank:
             continue
         if blocks and blocks[-1][-1].block == t.block:
             blocks[-1].append(t)
@@ -165,6 +166,8 @@ def main_text(html: str | None, wrapper: Shape | None = None) -> str:
             blocks.append([t])
     out = []
     for block in blocks:
+        if all(t.blank or t.place in template for t in block):
+            continue  # constant words inside a varying block belong to it
         text = block_text([t.value for t in block])
         linked = sum(len(t.value) for t in block if t.link)
         if text and (rank or 3 * linked < 2 * len(text)):
