@@ -145,14 +145,21 @@ def resolve_mentions(mentions: DataFrame, text: str, catalogue: DataFrame) -> Da
 def names_in_text(texts: DataFrame, row_id: str, text: str, catalogue: DataFrame) -> DataFrame:
     """Distinct (row_id, sku) where the folded catalogue name occurs inside the folded text.
 
-    The first characters of each name are looked up among the character grams of the text, so
+    The rarest gram of each name is looked up among the character grams of the text, so
     the containment test only runs on rows that already share a gram: an equality join that
     Catalyst broadcasts when the catalogue is small and shuffles when it is not.
     """
     names = catalogue.select(
         "sku", ascii_fold(F.concat_ws(" ", "marca", "linea")).alias("_name")
     ).where(F.length("_name") > 0)
-    names = names.withColumn("_gram", F.substring("_name", 1, GRAM))
+    # the gram of a name that fewest names share: the brand in front is common to many
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("_name") - (GRAM - 1), F.lit(1))),
+        lambda i: F.substring(F.col("_name"), i, F.lit(GRAM)))
+    every = names.select("sku", "_name", F.explode(F.array_distinct(cuts)).alias("_gram"))
+    shared = every.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    names = every.join(shared, "_gram").groupBy("sku", "_name").agg(
+        F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
     # at most GRAM different lengths, whatever the size of the catalogue
     lengths = sorted(
         r[0] for r in names.select(F.length("_gram").alias("n")).distinct().collect())

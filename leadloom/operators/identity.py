@@ -324,6 +324,32 @@ def remap(df: DataFrame, mapping: DataFrame, column: str = "lead_consolidado_id"
     return df.join(m, column, "left").withColumn(column, F.coalesce("_d", column)).drop("_d")
 
 
+def people_by_phone(people: DataFrame, phone: str = "telefono") -> DataFrame:
+    """(empresa_id, phone, personas, primera): how many people share a phone, and the first.
+
+    Decisions need no more than that, so requests meet one row per phone however many people
+    there are. ``visible``, if present, is whether all of them are.
+    """
+    seen = [F.bool_and("visible").alias("visible")] if "visible" in people.columns else []
+    return people.where(F.col(phone).isNotNull()).groupBy("empresa_id", phone).agg(
+        F.countDistinct("lead_consolidado_id").alias("personas"),
+        F.min("lead_consolidado_id").alias("primera"), *seen)
+
+
+def intake_by_phone(requests: DataFrame, people: DataFrame, phone: str = "telefono") -> DataFrame:
+    """New, existing or review per request, from the people who share its company and phone."""
+    joined = requests.select("solicitud_id", "empresa_id", phone).join(
+        people_by_phone(people, phone), ["empresa_id", phone], "left")
+    n, seen = F.coalesce("personas", F.lit(0)), F.coalesce("visible", F.lit(True))
+    return joined.select(
+        "solicitud_id",
+        F.when(n == 0, "nueva").when((n > 1) | ~seen, "revision_requerida")
+        .otherwise("consulta_existente").alias("estado"),
+        F.when((n == 1) & seen, F.col("primera")).alias("lead_consolidado_id"),
+        F.when(n > 1, "identidad_ambigua").when((n == 1) & ~seen, "coincidencia_fuera_de_cartera")
+        .alias("motivo"))
+
+
 def intake_decision(candidates: DataFrame, requests: DataFrame) -> DataFrame:
     """New, existing or review per request.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -141,8 +142,9 @@ def bootstrap_interval(df: DataFrame, row: str, y: str, a: str, b: str, repetiti
     Each row gets a Poisson(1) weight per repetition from a hash of its id, so the draws are the
     same on every attempt of a task and no resample is ever materialised.
     """
-    cdf = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317,
-           0.99940581518, 0.99991675886]
+    # the law of Poisson(1) as far as a draw of 53 bits can reach
+    mass = [math.exp(-1) / math.factorial(k) for k in range(19)]
+    cdf = [sum(mass[: k + 1]) for k in range(18)]
     u = (F.xxhash64(F.lit(seed), F.col(row), F.col("rep")).bitwiseAND(F.lit((1 << 53) - 1))
          / F.lit(float(1 << 53)))
     weight = reduce(lambda acc, c: acc + F.when(u >= c, 1).otherwise(0), cdf, F.lit(0))

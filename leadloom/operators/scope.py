@@ -32,18 +32,19 @@ def active_membership(memberships: DataFrame, user: str, company: str) -> DataFr
     return scoped(memberships, company).where((F.col("usuario") == user) & F.col("activa"))
 
 
-def visible_states(states: DataFrame, captures: DataFrame, members: DataFrame) -> DataFrame:
-    """Portfolio of every member: supervisors see the company, advisors their own leads or the
-    unassigned ones they captured; inactive members and other roles see nothing.
+def grants(states: DataFrame, captures: DataFrame, members: DataFrame) -> DataFrame:
+    """What members may see: (membresia_id, empresa_id, lead_consolidado_id, todo).
 
-    ``members``: (membresia_id, empresa_id, usuario, rol, activa). Returns states with
-    ``membresia_id``, so one plan serves any number of members.
+    Supervisors see the company: one row with ``todo``, whatever the number of leads. Advisors see
+    their own leads or the unassigned ones they captured: one row per lead. Inactive members and
+    other roles see nothing. ``members``: (membresia_id, empresa_id, usuario, rol, activa).
     """
     m = members.where(F.col("activa") & F.col("rol").isin("asesor", "supervisor")).select(
         "membresia_id", "empresa_id", "usuario", "rol")
-    boss = m.where(F.col("rol") == "supervisor").select("membresia_id", "empresa_id")
+    boss = m.where(F.col("rol") == "supervisor").select(
+        "membresia_id", "empresa_id", F.lit(None).cast("string").alias("lead_consolidado_id"),
+        F.lit(True).alias("todo"))
     advisor = m.where(F.col("rol") == "asesor").select("membresia_id", "empresa_id", "usuario")
-    everything = states.join(boss, "empresa_id")
     own = states.join(
         advisor.select(F.col("membresia_id"), F.col("membresia_id").alias("responsable"),
                        "empresa_id"), ["empresa_id", "responsable"])
@@ -54,17 +55,35 @@ def visible_states(states: DataFrame, captures: DataFrame, members: DataFrame) -
         .join(captured, ["empresa_id", "lead_consolidado_id"])
         .join(advisor, ["empresa_id", "usuario"])
     )
+    one = ["membresia_id", "empresa_id", "lead_consolidado_id", F.lit(False).alias("todo")]
+    return boss.unionByName(own.select(*one)).unionByName(free.select(*one))
+
+
+def visible_states(states: DataFrame, captures: DataFrame, member: DataFrame) -> DataFrame:
+    """The portfolio of one member, or of a few: the states their grants lead to."""
+    held = grants(states, captures, member)
+    everything = states.join(
+        held.where("todo").select("membresia_id", "empresa_id"), "empresa_id")
+    single = states.join(
+        held.where("NOT todo").select("membresia_id", "empresa_id", "lead_consolidado_id"),
+        ["empresa_id", "lead_consolidado_id"])
     columns = ["membresia_id", *states.columns]
-    return everything.select(*columns).unionByName(own.select(*columns)).unionByName(
-        free.select(*columns))
+    return everything.select(*columns).unionByName(single.select(*columns))
 
 
-def todays_queue(assignments: DataFrame, visible: DataFrame, day: str) -> DataFrame:
-    """A member's assignments of the day, limited to the leads still in their portfolio."""
+def todays_queue(assignments: DataFrame, held: DataFrame, day: str) -> DataFrame:
+    """A member's assignments of the day, limited to the leads still in their portfolio.
+
+    ``held``: the grants. An assignment is checked against the member's grant of the company or of
+    the lead, so no portfolio is spelled out.
+    """
     today = assignments.where(F.col("fecha_operativa") == F.lit(day).cast("date"))
-    return today.join(
-        visible.select("membresia_id", "lead_consolidado_id"),
-        ["membresia_id", "lead_consolidado_id"], "left_semi")
+    company = held.where("todo").select("membresia_id", "empresa_id")
+    single = held.where("NOT todo").select("membresia_id", "empresa_id", "lead_consolidado_id")
+    keys = ["membresia_id", "empresa_id"]
+    return today.join(company, keys, "left_semi").unionByName(
+        today.join(company, keys, "left_anti").join(
+            single, [*keys, "lead_consolidado_id"], "left_semi"))
 
 
 def filter_states(states: DataFrame, estado: str = "", temperatura: str = "", sede: str = "",

@@ -107,18 +107,17 @@ def c5_all_pairs(t: Tables) -> DataFrame:
 
 
 @query("c6_names_in_text", B.sql("""WITH n AS (SELECT sku, lower(marca || ' ' || linea) AS nombre
-        FROM catalogue WHERE CAST(substr(sku, 5) AS BIGINT) % 2 = 0),
+        FROM catalogue),
     m AS (SELECT doc_id, lower(strip_accents(texto)) AS texto FROM docs)
     SELECT DISTINCT doc_id, sku FROM m JOIN n ON contains(texto, nombre)""", "catalogue",
-    docs="""SELECT doc_id, text || ' quiero la ' || p_brand || ' ' || p_name || ' ' || p_size
+    docs="""SELECT doc_id, text || coalesce(' quiero la ' || p_brand || ' ' || p_name || ' ' || p_size, '')
         AS texto FROM documents LEFT JOIN part ON p_partkey = doc_id"""))
 def c6_names_in_text(t: Tables) -> DataFrame:
     wish = F.concat_ws(" ", "text", F.lit("quiero la"), "p_brand", "p_name",
                        F.col("p_size").cast("string"))
     docs = t.documents.join(t.part, F.col("p_partkey") == F.col("doc_id"), "left").select(
-        "doc_id", F.when(F.col("p_brand").isNotNull(), wish).alias("texto"))
-    cat = B.catalogue(t).where(F.substring("sku", 5, 20).cast("bigint") % 2 == 0)
-    return catalog.names_in_text(docs, "doc_id", "texto", cat)
+        "doc_id", F.when(F.col("p_brand").isNotNull(), wish).otherwise(F.col("text")).alias("texto"))
+    return catalog.names_in_text(docs, "doc_id", "texto", B.catalogue(t))
 
 
 _LINKS = """SELECT o_orderkey AS fila, 'L-' || o_custkey AS lead_consolidado_id,
@@ -245,19 +244,18 @@ def c16_side_by_side(t: Tables) -> DataFrame:
         "lead", "score_actual", "score_nuevo")
 
 
-@query("c17_person_candidates", B.sql("""WITH r AS (SELECT fila AS solicitud_id, empresa_id,
-        'T' || (c_custkey % 400) AS tel FROM inquiries WHERE fila % 10 = 0),
-    b AS (SELECT DISTINCT empresa_id, lead_consolidado_id, 'T' || (c_custkey % 400) AS tel
-        FROM inquiries WHERE fila % 10 <> 0)
-    SELECT DISTINCT solicitud_id, lead_consolidado_id FROM r JOIN b USING (empresa_id, tel)""",
+@query("c17_person_candidates", B.sql("""WITH b AS (SELECT empresa_id, 'T' || (c_custkey % 400) AS tel,
+        count(DISTINCT lead_consolidado_id) AS personas, min(lead_consolidado_id) AS primera
+        FROM inquiries GROUP BY 1, 2)
+    SELECT fila AS solicitud_id, personas, primera FROM inquiries i
+        JOIN b ON b.empresa_id = i.empresa_id AND tel = 'T' || (c_custkey % 400)""",
     "inquiries"))
 def c17_person_candidates(t: Tables) -> DataFrame:
     tel = F.concat(F.lit("T"), (F.col("c_custkey") % 400).cast("string")).alias("tel")
     i = B.inquiries(t)
-    r = i.where("fila % 10 = 0").select(F.col("fila").alias("solicitud_id"), "empresa_id", tel)
-    b = i.where("fila % 10 <> 0").select("empresa_id", "lead_consolidado_id", tel).distinct()
-    return r.join(b, ["empresa_id", "tel"]).select(
-        "solicitud_id", "lead_consolidado_id").distinct()
+    r = i.select(F.col("fila").alias("solicitud_id"), "empresa_id", tel)
+    people = identity.people_by_phone(i.select("empresa_id", "lead_consolidado_id", tel), "tel")
+    return r.join(people, ["empresa_id", "tel"]).select("solicitud_id", "personas", "primera")
 
 
 _STORED = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 20 = 0 THEN 'X'
@@ -388,11 +386,12 @@ def g5_immutable(t: Tables) -> DataFrame:
     ).select("o_orderkey", F.array_join("columnas", ",").alias("columnas"))
 
 
-@query("g6_new_categories", """SELECT DISTINCT p_brand AS valor FROM part WHERE p_partkey % 3 = 0
-    EXCEPT SELECT DISTINCT p_brand FROM part WHERE p_partkey % 40 = 1""")
+@query("g6_new_categories", """SELECT DISTINCT p_brand || '/' || p_size AS valor FROM part
+    EXCEPT SELECT DISTINCT p_brand || '/' || p_size FROM part WHERE p_partkey % 40 = 1""")
 def g6_new_categories(t: Tables) -> DataFrame:
-    now = t.part.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("valor")).distinct()
-    seen = t.part.where("p_partkey % 40 = 1").select(F.col("p_brand").alias("valor")).distinct()
+    value = F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("valor")
+    now = t.part.select(value).distinct()
+    seen = t.part.where("p_partkey % 40 = 1").select(value).distinct()  # the catalogue known so far
     return now.join(seen, "valor", "left_anti")
 
 

@@ -30,9 +30,9 @@ def j1_identity(t: Tables) -> DataFrame:
 
 
 @query("j3_intake_decision", B.sql("""WITH r AS (SELECT fila AS solicitud_id, empresa_id,
-        c_custkey % 200 AS tel FROM inquiries WHERE fila % 10 = 0),
-    b AS (SELECT DISTINCT empresa_id, lead_consolidado_id, c_custkey % 200 AS tel,
-        c_custkey % 3 <> 0 AS visible FROM leads WHERE c_custkey % 2 = 0),
+        c_custkey // 3 AS tel FROM inquiries),
+    b AS (SELECT DISTINCT empresa_id, lead_consolidado_id, c_custkey // 3 + c_custkey % 2 AS tel,
+        c_custkey % 3 <> 0 AS visible FROM leads),
     c AS (SELECT r.solicitud_id, count(lead_consolidado_id) AS n, min(lead_consolidado_id) AS lead,
         bool_and(visible) AS visible FROM r LEFT JOIN b USING (empresa_id, tel) GROUP BY 1)
     SELECT solicitud_id, CASE WHEN n = 0 THEN 'nueva' WHEN n > 1 OR NOT visible
@@ -41,13 +41,12 @@ def j1_identity(t: Tables) -> DataFrame:
     CASE WHEN n > 1 THEN 'identidad_ambigua' WHEN n = 1 AND NOT visible
         THEN 'coincidencia_fuera_de_cartera' END AS motivo FROM c""", "inquiries", "leads"))
 def j3_intake_decision(t: Tables) -> DataFrame:
-    r = B.inquiries(t).where("fila % 10 = 0").select(
-        F.col("fila").alias("solicitud_id"), "empresa_id", (F.col("c_custkey") % 200).alias("tel"))
-    b = B.leads(t).where("c_custkey % 2 = 0").select(
-        "empresa_id", "lead_consolidado_id", (F.col("c_custkey") % 200).alias("tel"),
-        (F.col("c_custkey") % 3 != 0).alias("visible"))
-    c = r.join(b, ["empresa_id", "tel"])
-    return identity.intake_decision(c, r)
+    k = F.col("c_custkey")
+    third = F.floor(k / 3)
+    r = B.inquiries(t).select(F.col("fila").alias("solicitud_id"), "empresa_id", third.alias("tel"))
+    b = B.leads(t).select(
+        "empresa_id", "lead_consolidado_id", (third + k % 2).alias("tel"), (k % 3 != 0).alias("visible"))
+    return identity.intake_by_phone(r, b, "tel")
 
 
 def _context_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -415,11 +414,11 @@ def l10_fold(t: Tables) -> DataFrame:
 
 @query("l11_complete", B.sql("""SELECT 'L-' || c_custkey AS lead_consolidado_id, CASE WHEN
     'L-' || c_custkey IN (SELECT lead_consolidado_id FROM activities WHERE CAST(ts AS DATE) =
-        DATE '2024-01-10') THEN 'completada' ELSE 'pendiente' END AS estado FROM customer
-    WHERE c_custkey % 2 = 0""", "activities"))
+        DATE '2024-01-10') THEN 'completada' ELSE 'pendiente' END AS estado FROM customer""",
+    "activities"))
 def l11_complete(t: Tables) -> DataFrame:
     day = F.lit("2024-01-10").cast("date")
-    plan = B.leads(t).where("c_custkey % 2 = 0").select(
+    plan = B.leads(t).select(
         "empresa_id", "lead_consolidado_id", day.alias("fecha_operativa"),
         F.lit("pendiente").alias("estado"))
     acts = B.activities(t).withColumn("dia", F.to_date("ts"))
@@ -497,23 +496,35 @@ def _scope_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return states, captures, members
 
 
-@query("m3_visible", B.sql("SELECT membresia_id, lead_consolidado_id FROM vis", "leads",
+@query("m3_visible", B.sql("""SELECT membresia_id, empresa_id, NULL AS lead_consolidado_id, true AS todo
+    FROM memb WHERE activa AND rol = 'supervisor' UNION ALL
+    SELECT v.membresia_id, m.empresa_id, lead_consolidado_id, false FROM vis v
+        JOIN memb m USING (membresia_id) WHERE rol = 'asesor'""", "leads",
                            memb=_MEMBERS, vis=_VISIBLE))
 def m3_visible(t: Tables) -> DataFrame:
-    return scope.visible_states(*_scope_inputs(t)).select("membresia_id", "lead_consolidado_id")
+    return scope.grants(*_scope_inputs(t))
+
+
+@query("m3_of_member", B.sql("""SELECT lead_consolidado_id FROM vis WHERE membresia_id =
+    (SELECT min(membresia_id) FROM memb WHERE activa AND rol = 'supervisor')""", "leads",
+                             memb=_MEMBERS, vis=_VISIBLE))
+def m3_of_member(t: Tables) -> DataFrame:
+    states, captures, members = _scope_inputs(t)
+    first = members.where("activa AND rol = 'supervisor'").agg(F.min("membresia_id").alias("m"))
+    member = members.join(F.broadcast(first), F.col("membresia_id") == F.col("m")).drop("m")
+    return scope.visible_states(states, captures, member).select("lead_consolidado_id")
 
 
 @query("m4_todays_queue", B.sql("""SELECT membresia_id, lead_consolidado_id, c_custkey AS posicion
     FROM vis WHERE membresia_id = c_custkey % 10 AND c_custkey % 3 = 0""", "leads", memb=_MEMBERS,
     vis=_VISIBLE))
 def m4_todays_queue(t: Tables) -> DataFrame:
-    visible = scope.visible_states(*_scope_inputs(t))
     k = F.col("c_custkey")
     plan = B.leads(t).select(
-        (k % 10).alias("membresia_id"), "lead_consolidado_id", k.alias("posicion"),
+        (k % 10).alias("membresia_id"), "empresa_id", "lead_consolidado_id", k.alias("posicion"),
         F.when(k % 3 == 0, F.lit("2024-01-10")).otherwise("2024-01-09").cast("date")
         .alias("fecha_operativa"))
-    return scope.todays_queue(plan, visible, "2024-01-10").select(
+    return scope.todays_queue(plan, scope.grants(*_scope_inputs(t)), "2024-01-10").select(
         "membresia_id", "lead_consolidado_id", "posicion")
 
 

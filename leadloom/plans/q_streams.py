@@ -16,8 +16,7 @@ from leadloom.streaming import timers
 
 def event_stream(t: Tables) -> DataFrame:
     """The event table, a file or a folder of files, as a stream (hence the one-letter glob)."""
-    # the rate limit also bounds what one key can bring into a stateful task
-    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 64).parquet(
+    stream = t.spark.readStream.schema(t.events.schema).parquet(
         f"{t.folder}/events.parque[t]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -57,6 +56,11 @@ def st2_repeats(t: Tables) -> DataFrame:
         F.col("actor").alias("user_id"), F.col("operacion").alias("event_type"))
 
 
+# a stream that has read everything has settled what is older than its watermark
+_PASSED = "epoch_ms(CAST(ts AS TIMESTAMP)) < (SELECT epoch_ms(max(CAST(ts AS TIMESTAMP))) - {ms} FROM events)"
+_HOUR_AGO = "(SELECT epoch_ms(max(CAST(ts AS TIMESTAMP))) - 3600000 FROM events)"
+
+
 @query("st3_quota")
 def st3_quota(t: Tables) -> DataFrame:
     attempts = event_stream(t).select(
@@ -64,52 +68,74 @@ def st3_quota(t: Tables) -> DataFrame:
     return finished(t, timers.rolling_quota(attempts))
 
 
-@query("st4_deadlines")
+@query("st4_deadlines", f"""WITH e AS (SELECT user_id, event_type = 'signup' AS inicio,
+        CAST(ts AS TIMESTAMP) AS ts FROM events WHERE {_PASSED.format(ms=3600000)}),
+    s AS (SELECT user_id, min(ts) FILTER (WHERE inicio) AS desde, min(ts) FILTER (WHERE NOT inicio)
+        AS primero FROM e GROUP BY 1),
+    c AS (SELECT s.user_id, desde, primero, min(ts) FILTER (WHERE NOT inicio AND ts >= desde) AS contacto
+        FROM s JOIN e USING (user_id) WHERE desde IS NOT NULL GROUP BY ALL)
+    SELECT CAST(user_id AS VARCHAR) AS lead_consolidado_id, CASE WHEN primero < desde
+        THEN 'no_medible' WHEN contacto <= desde + INTERVAL 24 HOURS THEN 'cumple' ELSE 'vencido' END
+        AS estado FROM c WHERE primero < desde OR contacto <= desde + INTERVAL 24 HOURS
+        OR epoch_ms(desde + INTERVAL 24 HOURS) < {_HOUR_AGO}""")
 def st4_deadlines(t: Tables) -> DataFrame:
-    events = event_stream(t).where(F.col("event_type").isin("signup", "click")).select(
+    events = event_stream(t).select(
         F.col("user_id").cast("string").alias("lead_consolidado_id"),
         F.when(F.col("event_type") == "signup", "inicio").otherwise("contacto").alias("tipo"), "ts")
-    return finished(t, timers.first_contact_deadline(events))
+    return finished(t, timers.first_contact_deadline(events, keep_days=3650))
 
 
-@query("st5_latest_revision", """SELECT event_id AS resultado_id, CASE WHEN r >= coalesce(max(r) OVER
-    (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+@query("st5_latest_revision", f"""SELECT event_id AS resultado_id, CASE WHEN r >= coalesce(max(r) OVER
+    (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
     THEN 'vigente' ELSE 'obsoleto' END AS estado FROM (SELECT *, (event_id * 7) % 11 AS r
-    FROM events)""")
+    FROM events WHERE {_PASSED.format(ms=3600000)})""")
 def st5_latest_revision(t: Tables) -> DataFrame:
     results = event_stream(t).select(
-        F.col("user_id").cast("string").alias("lead_consolidado_id"),
+        F.col("user_id").cast("string").alias("lead_consolidado_id"), "ts",
         F.col("event_id").alias("resultado_id"), ((F.col("event_id") * 7) % 11).alias("revision"))
-    return finished(t, timers.latest_revision(results)).select("resultado_id", "estado")
-
-
-@query("st6_leases")
+    return finished(t, timers.latest_revision(results, keep_days=3650)).select("resultado_id", "estado")
+
+
+@query("st6_leases", f"""WITH e AS (SELECT user_id, event_type = 'click' AS fin, CAST(ts AS TIMESTAMP) AS ts,
+        event_id FROM events WHERE {_PASSED.format(ms=60000)}),
+    n AS (SELECT *, lead(ts) OVER w AS sigue, lead(fin) OVER w AS sigue_fin,
+        count(*) FILTER (WHERE NOT fin) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS intentos
+        FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    r AS (SELECT user_id, CASE WHEN sigue < ts + INTERVAL 1 HOUR THEN
+            CASE WHEN sigue_fin THEN 'completado' END
+        WHEN sigue IS NOT NULL OR epoch_ms(ts + INTERVAL 1 HOUR) <
+            (SELECT epoch_ms(max(CAST(ts AS TIMESTAMP))) - 60000 FROM events)
+        THEN CASE WHEN intentos >= 3 THEN 'fallido' ELSE 'reintento' END END AS estado
+        FROM n WHERE NOT fin)
+    SELECT CAST(user_id AS VARCHAR) AS trabajo_id, estado FROM r WHERE estado IS NOT NULL""")
 def st6_leases(t: Tables) -> DataFrame:
     events = event_stream(t).select(
         F.col("user_id").cast("string").alias("trabajo_id"),
         F.when(F.col("event_type") == "click", "completado").otherwise("reclamo").alias("tipo"),
-        "ts", F.lit(3600).alias("lease_segundos"))
-    return finished(t, timers.lease_expiry(events))
+        "ts", F.lit(3600).alias("lease_segundos"), F.col("event_id").alias("orden"))
+    return finished(t, timers.lease_expiry(events, keep_days=3650))
 
 
-@query("st7_daily_activity", B.sql("""SELECT empresa_id, strftime(date_trunc('day', ts - INTERVAL 5
+@query("st7_daily_activity", B.sql(f"""SELECT empresa_id, strftime(date_trunc('day', ts - INTERVAL 5
         HOURS), '%Y-%m-%d') AS dia, count(*) FILTER (WHERE resultado = 'sin_respuesta') AS intentos,
-    count(*) FILTER (WHERE resultado = 'contactado') AS contactos FROM activities GROUP BY 1, 2""",
+    count(*) FILTER (WHERE resultado = 'contactado') AS contactos FROM activities GROUP BY 1, 2
+    HAVING epoch_ms(date_trunc('day', max(ts) - INTERVAL 5 HOURS) + INTERVAL 29 HOURS) <= {_HOUR_AGO}""",
     "activities"))
 def st7_daily_activity(t: Tables) -> DataFrame:
-    out = finished(t, timers.daily_activity(activity_stream(t)), "complete")
+    out = finished(t, timers.daily_activity(activity_stream(t)))
     return out.select("empresa_id", F.date_format("inicio", "yyyy-MM-dd").alias("dia"), "intentos",
                       "contactos")
 
 
-@query("st8_sessions", """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOURS
+@query("st8_sessions", f"""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOURS
         THEN 0 ELSE 1 END AS nueva FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT *, sum(nueva) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
     SELECT CAST(user_id AS VARCHAR) AS conversacion_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S')
-        AS inicio, count(*) AS mensajes FROM s GROUP BY user_id, n""")
+        AS inicio, count(*) AS mensajes FROM s GROUP BY user_id, n
+    HAVING epoch_ms(max(CAST(ts AS TIMESTAMP)) + INTERVAL 6 HOURS) <= {_HOUR_AGO}""")
 def st8_sessions(t: Tables) -> DataFrame:
     messages = event_stream(t).select(F.col("user_id").cast("string").alias("conversacion_id"), "ts")
-    out = finished(t, timers.chat_sessions(messages, gap="6 hours"), "complete")
+    out = finished(t, timers.chat_sessions(messages, gap="6 hours"))
     return out.select(
         "conversacion_id", F.date_format("inicio", "yyyy-MM-dd HH:mm:ss").alias("inicio"), "mensajes")
 

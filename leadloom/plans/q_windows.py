@@ -198,12 +198,12 @@ def e15_bounded_list(t: Tables) -> DataFrame:
 
 
 @query("f1_sort", """SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders
-    WHERE o_totalprice > 450000 ORDER BY o_orderpriority, o_totalprice DESC NULLS LAST, o_orderkey
+    ORDER BY o_orderpriority, o_totalprice DESC NULLS LAST, o_orderkey
     """)
 def f1_sort(t: Tables) -> DataFrame:
     keys = [Key("o_orderpriority"), Key("o_totalprice", desc=True, nulls_last=True),
             Key("o_orderkey")]
-    return t.orders.where("o_totalprice > 450000").select(
+    return t.orders.select(
         "o_orderkey", "o_orderpriority", "o_totalprice").orderBy(*[k.sort() for k in keys])
 
 

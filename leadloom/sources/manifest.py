@@ -21,11 +21,25 @@ def manifest(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _relative(folder: str):
+    """Path below the folder, whatever the file system's prefix."""
+    root = folder.rstrip("/").split("://", 1)[-1].split(":", 1)[-1]
+    return F.expr(f"substring_index(path, {_quoted(root + '/')}, -1)")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """SHA-256 of every file under a folder, computed where the files are read."""
+    """SHA-256 of every file under a folder, named by its path below it.
+
+    A file is read whole by one task, so this is for deliveries of files up to 2 GB; large tables
+    are compared with :func:`manifest`.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("nombre"), "path",
+        _relative(folder).alias("nombre"), "path",
         F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
@@ -41,10 +55,10 @@ def verify_files(spark: SparkSession, folder: str, expected: DataFrame) -> DataF
 
 
 def missing_inputs(spark: SparkSession, folder: str, required: list[str]) -> DataFrame:
-    """Required file names that the folder does not hold."""
+    """Required files, by their path below the folder, that it does not hold."""
     names = spark.createDataFrame([(n,) for n in required], "nombre string")
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    present = listed.select(F.element_at(F.split("path", "/"), -1).alias("nombre"))
+    present = listed.select(_relative(folder).alias("nombre"))
     return names.join(present, "nombre", "left_anti")
 
 

@@ -11,31 +11,35 @@ from leadloom import schemas as S
 CORRUPT = "_corrupt_record"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with every column as text, so ids and phones keep their zeros and signs."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
+    """CSV with every column as text, so ids and phones keep their zeros and signs.
+
+    ``multiline`` allows line breaks inside quoted fields; such a file is read by one task.
+    """
     return (
         spark.read.schema(schema)
-        .option("header", True).option("encoding", "UTF-8").option("multiLine", True)
+        .option("header", True).option("encoding", "UTF-8").option("multiLine", multiline)
         .option("escape", '"').option("nullValue", "").option("enforceSchema", False)
         .csv(path)
     )
 
 
-def read_processed_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_processed_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """CSV with the header's columns as text; a byte-order mark on the first name is dropped.
 
     An empty field stays an empty string: turning it into unknown is a decision of the caller.
+    ``multiline`` as in :func:`read_csv`.
     """
     df = (
         spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8")
-        .option("multiLine", True).option("escape", '"').csv(path)
+        .option("multiLine", multiline).option("escape", '"').csv(path)
     )
     return df.toDF(*[c.lstrip("\ufeff") for c in df.columns]).na.fill("")
 
 
-def read_chats(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of chats with nested messages."""
-    return read_json(spark, path, S.CHATS)
+def read_chats(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Chats with nested messages: a JSON array, or one chat per line, which can be split."""
+    return read_json(spark, path, S.CHATS, multiline=not lines)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True
@@ -57,18 +61,6 @@ def shape_violations(spark: SparkSession, path: str, schema: T.StructType) -> Da
     return parsed.select(f"r.{CORRUPT}").where(F.col(CORRUPT).isNotNull())
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Rebalance a file scan that has fewer splits than the cluster has cores.
-
-    Meant for the input of expensive row-wise expressions: a small or single-block file would run
-    them in one task. A large table has plenty of splits and passes through unchanged.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    # a bare scan has no shuffle, so this only lists file splits and runs nothing
-    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
-    return scan.repartition(cores) if splits < cores else scan
-
-
 def with_source_rows(df: DataFrame, order: list[str | Column], coarse: list[str | Column],
                      out: str = "source_row") -> DataFrame:
     """Number the rows once, in a stable order, to serve as provenance from then on."""

@@ -1,11 +1,12 @@
 """Snapshots, duplicate suppression, quotas, deadlines, revisions, leases and daily counts.
 
-State per key is small and bounded (a revision, a lease, the instants of at most one day's
-admissions); the rows of a key inside one micro-batch are bounded by the source's rate limit.
+State per key is small and bounded: a revision, a lease, the instants of at most one day's
+admissions, and the events that the watermark has not passed yet. It goes when it has aged.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Callable, Iterator
 
@@ -23,35 +24,100 @@ HOUR = 3600 * 1000
 
 
 def on_new_snapshot(
-    spark: SparkSession, folder: str, schema: T.StructType, ledger: str, checkpoint: str,
-    handler: Callable[[DataFrame, str], None], max_files: int = 100,
+    spark: SparkSession, manifests: str, schema: T.StructType, results: str, checkpoint: str,
+    handler: Callable[[DataFrame, str], DataFrame],
 ):
-    """Run ``handler(snapshot, fingerprint)`` once per new file content.
+    """Run ``handler(snapshot, fingerprint)`` for each new snapshot and keep its result.
 
-    The ledger (a Parquet folder) remembers the fingerprints that were handled, so a repeated or
-    replayed batch does nothing.
+    A snapshot is a folder of JSON lines, complete once a manifest file ``{"carpeta": path}``
+    names it; the stream watches the manifests, and the batch reads the whole folder, however
+    many files it has. The result goes to ``results/huella=<fingerprint>``, which is also the
+    ledger: known content is not handled again, and a run that broke off writes the same place
+    anew, so each content leaves exactly one result.
     """
-    incoming = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(folder)
+    incoming = spark.readStream.schema("carpeta string").json(manifests)
 
-    def run(batch: DataFrame, _: int) -> None:
-        mark = fingerprint(batch).first()
-        digest = f"{mark['filas']}:{mark['huella_a']}:{mark['huella_b']}"
-        one = spark.createDataFrame([(digest,)], "huella string")
+    def known(digest: str) -> bool:
         try:
-            seen = spark.read.schema("huella string").parquet(ledger)
-            known = len(seen.where(F.col("huella") == digest).take(1)) > 0
-        except Exception as error:  # the ledger does not exist before the first snapshot
+            done = spark.read.schema("huella string").json(f"{results}/listas")
+            return len(done.where(F.col("huella") == digest).take(1)) > 0
+        except Exception as error:  # nothing has been handled yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            known = False
-        if mark["filas"] and not known:
-            handler(batch, digest)
-            one.write.mode("append").parquet(ledger)
+            return False
+
+    def run(batch: DataFrame, _: int) -> None:
+        for row in batch.select("carpeta").distinct().orderBy("carpeta").toLocalIterator():
+            snapshot = spark.read.schema(schema).json(row["carpeta"])
+            mark = fingerprint(snapshot).first()
+            digest = f"{mark['filas']}-{mark['huella_a']}-{mark['huella_b']}"
+            if mark["filas"] and not known(digest):
+                handler(snapshot, digest).write.mode("overwrite").parquet(f"{results}/huella={digest}")
+                one = spark.createDataFrame([(digest,)], "huella string")
+                one.write.mode("append").json(f"{results}/listas")
 
     return incoming.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 
+def in_event_order(
+    events: DataFrame, key: str, kind: Column, number: Column, out: str, delay: str, step: Callable,
+) -> DataFrame:
+    """Fold the events of each key in event time, whatever batches they arrive in.
+
+    Events wait in the state until the watermark has passed them; those of one key and ``delay``
+    are held together. ``step(memo, micros, kind, number)`` returns the new memo, the rows to emit
+    and the instant (microseconds, or None) at which to call it again with kind None if no event
+    comes before; a memo of None ends the state of the key. Results cover all events older than the
+    watermark.
+    """
+    kinds = T.StructType.fromDDL(out)
+    name, names = kinds.fieldNames()[0], kinds.fieldNames()[1:]
+
+    def fold(value, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, memo, due = [], "", None
+        if state.exists:
+            text, memo, due = state.get
+            waiting = [tuple(x) for x in json.loads(text)]
+        if not state.hasTimedOut:
+            for frame in frames:
+                at = frame["ts"].astype("datetime64[us]").astype("int64")
+                waiting += zip(at.tolist(), frame["_kind"].tolist(), map(int, frame["_number"]), strict=True)
+        now = state.getCurrentWatermarkMs() * 1000
+        waiting.sort(key=lambda x: (x[0], x[2]))
+        rows: list[tuple] = []
+
+        def call(at: int, what: str | None, n: int) -> None:
+            nonlocal memo, due
+            memo, made, due = step(memo or "", at, what, n)
+            rows.extend(made)
+
+        done = 0
+        for at, what, n in waiting:
+            if at >= now:
+                break
+            while due is not None and due < at:
+                call(due, None, 0)
+            call(at, what, n)
+            done += 1
+        while due is not None and due < now:
+            call(due, None, 0)
+        waiting = waiting[done:]
+        if not waiting and memo is None:
+            state.remove()
+        else:
+            state.update((json.dumps(waiting), memo or "", due))
+            later = [x for x in (waiting[0][0] if waiting else None, due) if x is not None]
+            if later:
+                state.setTimeoutTimestamp(max(min(later) // 1000, now // 1000, 1))
+        yield pd.DataFrame({name: [value[0]] * len(rows), **{c: [r[i] for r in rows] for i, c in enumerate(names)}})
+
+    narrow = events.withWatermark("ts", delay).select(
+        key, "ts", kind.alias("_kind"), number.cast("bigint").alias("_number"))
+    return narrow.groupBy(key).applyInPandasWithState(
+        fold, kinds, "espera string, memo string, vence long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def suppress_repeats(requests: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """First request per tenant, actor, operation and key inside the watermark."""
     return requests.withWatermark(ts, delay).dropDuplicatesWithinWatermark(
@@ -73,118 +139,108 @@ def admit(instants: list[int], admitted: list[int], per_day: int = V.QUOTA_PER_D
 
 
 def rolling_quota(attempts: DataFrame, per_day: int = V.QUOTA_PER_DAY,
-                  per_minute: int = V.QUOTA_PER_MINUTE) -> DataFrame:
-    """Admission of (modelo, intento_id, ts) attempts; only admitted ones use up quota."""
-
-    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "intento_id"])
-        micros = (rows["ts"].astype("int64") // 1000).tolist() if str(
-            rows["ts"].dtype).endswith("ns]") else rows["ts"].astype("datetime64[us]").astype(
-            "int64").tolist()
-        flags, held = admit(micros, held, per_day, per_minute)
-        state.update((held,))
-        yield pd.DataFrame({
-            "modelo": key[0], "intento_id": rows["intento_id"].to_numpy(), "admitido": flags})
-
-    return attempts.groupBy("modelo").applyInPandasWithState(
-        fold, "modelo string, intento_id long, admitido boolean", "admitidos array<long>",
-        "append", GroupStateTimeout.NoTimeout)
-
-
-def first_contact_deadline(events: DataFrame, delay: str = "1 hour", hours: int = 24) -> DataFrame:
-    """Met, overdue and corrected first contacts.
-
-    ``events``: lead_consolidado_id, tipo ('inicio' or 'contacto'), ts. An overdue event is emitted
-    by an event-time timer at start + 24 h; a contact inside the limit that arrives later corrects
-    it.
+                  per_minute: int = V.QUOTA_PER_MINUTE, delay: str = "1 hour") -> DataFrame:
+    """Admission of (modelo, intento_id, ts) attempts in event order; only admitted ones use quota.
+
+    The state of a model is at most one day's admissions and goes when they have aged.
     """
-    limit = hours * HOUR
+    day = 24 * HOUR * 1000
 
-    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, contact, told = state.get if state.exists else (None, None, "")
-        out = []
-        if state.hasTimedOut:
-            if start is not None and contact is None and not told:
-                out.append("vencido")
-                told = "vencido"
-        else:
-            for frame in frames:
-                for kind, at in zip(frame["tipo"], frame["ts"], strict=True):
-                    ms = int(at.timestamp() * 1000)
-                    if kind == "inicio":
-                        start = ms if start is None else min(start, ms)
-                    else:
-                        contact = ms if contact is None else min(contact, ms)
-            if start is not None and contact is not None and contact >= start:
-                state_now = "cumple" if contact <= start + limit else "vencido"
-                if state_now != told:
-                    out.append("cumple_corregido" if told == "vencido" else state_now)
-                    told = state_now
-        state.update((start, contact, told))
-        if start is not None and contact is None and not told:
-            state.setTimeoutTimestamp(max(start + limit, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"lead_consolidado_id": [key[0]] * len(out), "estado": out}, dtype=str)
-
-    return events.withWatermark("ts", delay).groupBy("lead_consolidado_id").applyInPandasWithState(
-        fold, "lead_consolidado_id string, estado string",
-        "inicio long, contacto long, dicho string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def latest_revision(results: DataFrame) -> DataFrame:
-    """Tag results as current or obsolete by the highest revision seen per lead.
-
-    ``results``: lead_consolidado_id, resultado_id, revision.
+    def step(memo: str, at: int, kind: str | None, number: int):
+        held = [a for a in json.loads(memo or "[]") if a > at - day]
+        if kind is None:
+            return (json.dumps(held) if held else None), [], (held[-1] + day if held else None)
+        (ok,), held = admit([at], held, per_day, per_minute)
+        return json.dumps(held), [(number, ok)], (held[-1] + day if held else None)
+
+    return in_event_order(attempts, "modelo", F.lit("intento"), F.col("intento_id"),
+                          "modelo string, intento_id long, admitido boolean", delay, step)
+
+
+def first_contact_deadline(events: DataFrame, delay: str = "1 hour", hours: int = 24,
+                           keep_days: int = 90) -> DataFrame:
+    """Met and overdue first contacts, and those that cannot be measured.
+
+    ``events``: lead_consolidado_id, tipo ('inicio' or 'contacto'), ts. The first start counts.
+    A contact before it makes the lead ``no_medible``; one until start + 24 h is ``cumple``; else
+    the lead is ``vencido`` when that instant has passed. One result per lead; its state is kept
+    for ``keep_days`` so that later events change nothing, then removed.
     """
+    limit, kept = hours * HOUR * 1000, keep_days * 24 * HOUR * 1000
+
+    def step(memo: str, at: int, kind: str | None, number: int):
+        tag, _, since = memo.partition(":")
+        if tag == "listo":
+            return (None if kind is None else memo), [], (None if kind is None else int(since) + kept)
+        done = (f"listo:{at}", at + kept)
+        if kind is None:  # the limit has passed, or a contact never got a start
+            if tag == "antes":
+                return None, [], None
+            return done[0], [("vencido",)], done[1]
+        if kind == "inicio":
+            if tag == "antes":
+                return done[0], [("no_medible",)], done[1]
+            return (memo, [], int(since) + limit) if tag else (f"inicio:{at}", [], at + limit)
+        if tag == "inicio":
+            return done[0], [("cumple",)], done[1]
+        return (memo or f"antes:{at}"), [], int(since or at) + kept
+
+    return in_event_order(events, "lead_consolidado_id", F.col("tipo"), (F.col("tipo") != "inicio").cast("int"),
+                          "lead_consolidado_id string, estado string", delay, step)
+
+
+def latest_revision(results: DataFrame, delay: str = "1 hour", keep_days: int = 90) -> DataFrame:
+    """Tag results as current or obsolete by the highest revision before them in event time.
+
+    ``results``: lead_consolidado_id, resultado_id, revision, ts. The revision of a lead is kept
+    for ``keep_days`` after its last result.
+    """
+    kept = keep_days * 24 * HOUR * 1000
 
-    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("resultado_id")
-        flags = []
-        for revision in rows["revision"]:
-            flags.append("vigente" if revision >= top else "obsoleto")
-            top = max(top, int(revision))
-        state.update((top,))
-        yield pd.DataFrame({
-            "lead_consolidado_id": key[0], "resultado_id": rows["resultado_id"].to_numpy(),
-            "estado": flags})
+    def step(memo: str, at: int, kind: str | None, number: int):
+        if kind is None:
+            return None, [], None
+        top = int(memo or 0)
+        state = "vigente" if int(kind) >= top else "obsoleto"
+        return str(max(top, int(kind))), [(number, state)], at + kept
 
-    return results.groupBy("lead_consolidado_id").applyInPandasWithState(
-        fold, "lead_consolidado_id string, resultado_id long, estado string", "revision long",
-        "append", GroupStateTimeout.NoTimeout)
+    return in_event_order(
+        results, "lead_consolidado_id", F.col("revision").cast("string"), F.col("resultado_id"),
+        "lead_consolidado_id string, resultado_id long, estado string", delay, step)
 
 
-def lease_expiry(events: DataFrame, delay: str = "1 minute", max_attempts: int = 3) -> DataFrame:
-    """Retry or failure of jobs whose lease runs out before they finish.
+def lease_expiry(events: DataFrame, delay: str = "1 minute", max_attempts: int = 3,
+                 keep_days: int = 90) -> DataFrame:
+    """What became of every lease: finished, to be tried again, or failed.
 
-    ``events``: trabajo_id, tipo ('reclamo' or 'completado'), ts, lease_segundos.
+    ``events``: trabajo_id, tipo ('reclamo' or 'completado'), ts, lease_segundos. At every event a
+    lease that has run out is settled first: ``reintento``, or ``fallido`` from the
+    ``max_attempts``-th claim on. A claim while a lease runs renews it without an outcome. A job's
+    state goes ``keep_days`` after its last event.
     """
+    kept = keep_days * 24 * HOUR * 1000
 
-    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, until, open_ = state.get if state.exists else (0, 0, False)
+    def step(memo: str, at: int, kind: str | None, number: int):
+        attempts, until, last = map(int, (memo or "0:0:0").split(":"))
         out = []
-        if state.hasTimedOut:
-            if open_:
-                out.append("fallido" if attempts >= max_attempts else "reintento")
-                open_ = False
-        else:
-            rows = pd.concat(list(frames)).sort_values("ts")
-            for row in rows.itertuples(index=False):
-                ms = int(row.ts.timestamp() * 1000)
-                if row.tipo == "reclamo":
-                    attempts, open_ = attempts + 1, True
-                    until = ms + int(row.lease_segundos) * 1000
-                elif open_ and ms < until:
-                    open_ = False
-                    out.append("completado")
-        state.update((attempts, until, open_))
-        if open_:
-            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"trabajo_id": [key[0]] * len(out), "estado": out}, dtype=str)
-
-    return events.withWatermark("ts", delay).groupBy("trabajo_id").applyInPandasWithState(
-        fold, "trabajo_id string, estado string", "intentos int, hasta long, abierto boolean",
-        "append", GroupStateTimeout.EventTimeTimeout)
+        if until and (until <= at if kind else until < at + 1):
+            out.append(("fallido" if attempts >= max_attempts else "reintento",))
+            until = 0
+        elif kind is None:
+            return None, [], None
+        if kind == "completado" and until:
+            out.append(("completado",))
+            until = 0
+        elif kind is not None and kind != "completado":
+            attempts, until = attempts + 1, at + int(kind) * 1_000_000
+        last = at if kind else last
+        return f"{attempts}:{until}:{last}", out, until or last + kept
+
+    lease = F.when(F.col("tipo") == "completado", "completado").otherwise(
+        F.col("lease_segundos").cast("string"))
+    order = F.col("orden") if "orden" in events.columns else F.lit(0)
+    return in_event_order(events, "trabajo_id", lease, order,
+                          "trabajo_id string, estado string", delay, step)
 
 
 def business_day(ts: Column | str) -> Column:

@@ -74,6 +74,12 @@ def test_manifest_of_files(spark, tmp_path):
     assert bad == {"b.csv": "falta"}
     missing = manifest.missing_inputs(spark, str(tmp_path), ["a.csv", "c.csv"])
     assert [r["nombre"] for r in missing.collect()] == ["c.csv"]
+    for place, text in (("one", "1\n"), ("two", "2\n")):
+        (tmp_path / "deep" / place).mkdir(parents=True)
+        (tmp_path / "deep" / place / "x.csv").write_text(text)
+    both = manifest.file_hashes(spark, str(tmp_path / "deep"))
+    assert {r["nombre"] for r in both.collect()} == {"one/x.csv", "two/x.csv"}
+    assert manifest.verify_files(spark, str(tmp_path / "deep"), both).count() == 0
 
 
 def test_source_rows_are_stable(spark):

@@ -48,19 +48,26 @@ def test_repeats(spark, tmp_path):
     assert sorted(r["n"] for r in out) == [1, 2, 4]
 
 
+def one_and_many(spark, tmp_path, name, rows, schema, transform, end):
+    """The same rows in one file, one by one and in disorder inside the watermark; ``end`` rows
+    only move the watermark past them. All must give the same result."""
+    shuffled = [r for pair in zip(rows[1::2], rows[::2]) for r in pair] + rows[len(rows) // 2 * 2:]
+    found = []
+    for tag, batches in (("one", [rows]), ("many", [[r] for r in rows]), ("swapped", [[r] for r in shuffled])):
+        out = drain(spark, tmp_path, f"{name}_{tag}", [*batches, *[[e] for e in end]], schema, transform)
+        found.append(sorted(tuple(r.values()) for r in out))
+    assert found[0] == found[1] == found[2]
+    return found[0]
+
+
 def test_quota(spark, tmp_path):
     schema = "modelo string, intento_id long, ts timestamp"
-    seconds = [i * 2 for i in range(12)] + [60, 61, 62] + list(range(70, 90))
-    rows = [{"modelo": m, "intento_id": i, "ts": at(seconds=s)}
-            for m in ("a", "b") for i, s in enumerate(seconds)]
-    out = drain(spark, tmp_path, "quota",
-                [[r for r in rows if r["intento_id"] < 10], [r for r in rows if r["intento_id"] >= 10]],
-                schema, timers.rolling_quota)
+    seconds = [i * 2 for i in range(12)] + [60, 61, 62] + list(range(70, 74))
+    rows = [{"modelo": "a", "intento_id": i, "ts": at(seconds=s)} for i, s in enumerate(seconds)]
+    end = [{"modelo": "z", "intento_id": 0, "ts": at(days=d)} for d in (3, 4)]
+    out = one_and_many(spark, tmp_path, "quota", rows, schema, timers.rolling_quota, end)
     want, _ = admit([s * 1_000_000 for s in seconds], [])
-    for model in "ab":
-        got = [r["admitido"] for r in sorted(out, key=lambda r: r["intento_id"])
-               if r["modelo"] == model]
-        assert got == want
+    assert [(i, ok) for m, i, ok in out if m == "a"] == list(enumerate(want))
 
 
 def test_deadline(spark, tmp_path):
@@ -69,30 +76,28 @@ def test_deadline(spark, tmp_path):
     def row(lead, kind, **kw):
         return {"lead_consolidado_id": lead, "tipo": kind, "ts": at(**kw)}
 
-    batches = [
-        [row("met", "inicio"), row("late", "inicio"), row("fixed", "inicio"),
-         row("met", "contacto", hours=24)],
-        [row("clock", "inicio", hours=30)], [row("clock", "contacto", hours=31)],
-        [row("fixed", "contacto", hours=29, minutes=59), row("late", "contacto", hours=30)],
+    rows = [
+        row("met", "inicio"), row("late", "inicio", minutes=1), row("before", "contacto", minutes=2),
+        row("before", "inicio", minutes=3), row("before", "contacto", minutes=4),
+        row("exact", "inicio", minutes=5), row("met", "contacto", hours=24), row("exact", "contacto", hours=24, minutes=5),
+        row("late", "contacto", hours=24, minutes=6), row("met", "contacto", hours=24, minutes=7),
     ]
-    out = drain(spark, tmp_path, "deadline", batches, schema,
-                lambda s: timers.first_contact_deadline(s, delay="2 hours"))
-    states = {}
-    for r in out:
-        states.setdefault(r["lead_consolidado_id"], []).append(r["estado"])
-    assert states["met"] == ["cumple"] and states["late"] == ["vencido"]
-    assert states["clock"] == ["cumple"] and states["fixed"] == ["vencido"]
+    end = [row("clock", "inicio", days=3), row("clock", "contacto", days=3, hours=30)]
+    out = one_and_many(spark, tmp_path, "deadline", rows, schema,
+                       lambda s: timers.first_contact_deadline(s, delay="2 hours"), end)
+    assert out == [("before", "no_medible"), ("clock", "vencido"), ("exact", "cumple"), ("late", "vencido"),
+                   ("met", "cumple")]
 
 
 def test_revisions(spark, tmp_path):
-    schema = "lead_consolidado_id string, resultado_id long, revision long"
+    schema = "lead_consolidado_id string, resultado_id long, revision long, ts timestamp"
 
-    def row(i, rev):
-        return {"lead_consolidado_id": "L", "resultado_id": i, "revision": rev}
+    def row(i, rev, lead="L"):
+        return {"lead_consolidado_id": lead, "resultado_id": i, "revision": rev, "ts": at(minutes=i)}
 
-    out = drain(spark, tmp_path, "revisions", [[row(1, 1), row(2, 3)], [row(3, 2)], [row(4, 3)]],
-                schema, timers.latest_revision)
-    assert {r["resultado_id"]: r["estado"] for r in out} == {
+    out = one_and_many(spark, tmp_path, "revisions", [row(1, 1), row(2, 3), row(3, 2), row(4, 3)], schema,
+                       timers.latest_revision, [row(500, 1, "z"), row(700, 1, "z")])
+    assert {i: state for lead, i, state in out if lead == "L"} == {
         1: "vigente", 2: "vigente", 3: "obsoleto", 4: "vigente"}
 
 
@@ -102,15 +107,33 @@ def test_leases(spark, tmp_path):
     def row(job, kind, **kw):
         return {"trabajo_id": job, "tipo": kind, "ts": at(**kw), "lease_segundos": 60}
 
-    batches = [[row("done", "reclamo"), row("lost", "reclamo"), row("done", "completado", seconds=30)],
-               [row("other", "reclamo", minutes=10)], [row("other", "completado", minutes=10,
-                                                          seconds=5)],
-               [row("lost", "completado", minutes=11)]]
-    out = drain(spark, tmp_path, "leases", batches, schema, timers.lease_expiry)
-    states = {}
-    for r in out:
-        states.setdefault(r["trabajo_id"], []).append(r["estado"])
-    assert states == {"done": ["completado"], "lost": ["reintento"], "other": ["completado"]}
+    rows = [row("done", "reclamo"), row("lost", "reclamo", seconds=1), row("done", "completado", seconds=30),
+            row("lost", "reclamo", minutes=10), row("lost", "reclamo", minutes=20), row("late", "reclamo", minutes=21),
+            row("late", "completado", minutes=23)]
+    end = [row("z", "completado", hours=3), row("z", "completado", hours=5)]
+    out = one_and_many(spark, tmp_path, "leases", rows, schema,
+                       lambda s: timers.lease_expiry(s, delay="1 hour"), end)
+    assert sorted(out) == [("done", "completado"), ("late", "reintento"), ("lost", "fallido"),
+                           ("lost", "reintento"), ("lost", "reintento")]
+
+
+def test_state_goes_when_it_has_aged():
+    """Every step ends its state once nothing more can follow from it."""
+    seen = []
+    keep = timers.in_event_order
+    try:
+        timers.in_event_order = lambda *args: seen.append(args[-1])
+        timers.rolling_quota(None), timers.first_contact_deadline(None)
+        timers.latest_revision(None)
+    finally:
+        timers.in_event_order = keep
+    for step in seen:
+        memo, _, due = step("", 10, "1", 1)
+        for _ in range(3):
+            if memo is None:
+                break
+            memo, _, due = step(memo, due, None, 0)
+        assert memo is None
 
 
 def test_daily_counts(spark, tmp_path):
@@ -139,26 +162,37 @@ def test_sessions(spark, tmp_path):
 
 
 def test_snapshot_is_handled_once(spark, tmp_path):
-    folder, ledger = tmp_path / "in", tmp_path / "ledger"
-    folder.mkdir()
+    results = tmp_path / "results"
+    (tmp_path / "manifests").mkdir()
     schema = T.StructType([T.StructField("k", T.LongType())])
     seen = []
 
+    def handler(df, mark):
+        seen.append(df.count())
+        return df.agg(F.sum("k").alias("s"))
+
     def run(checkpoint):
-        timers.on_new_snapshot(
-            spark, str(folder), schema, str(ledger), str(tmp_path / checkpoint),
-            lambda df, mark: seen.append((df.agg(F.sum("k")).first()[0], mark))
-        ).awaitTermination(60)
+        timers.on_new_snapshot(spark, str(tmp_path / "manifests"), schema, str(results),
+                               str(tmp_path / checkpoint), handler).awaitTermination(60)
+
+    def deliver(name, files):
+        folder = tmp_path / name
+        folder.mkdir()
+        for i, text in enumerate(files):
+            (folder / f"{i}.json").write_text(text)
+        (tmp_path / "manifests" / f"{name}.json").write_text(json.dumps({"carpeta": str(folder)}) + "\n")
 
-    (folder / "a.json").write_text('{"k": 1}\n{"k": 2}\n')
+    deliver("a", [f'{{"k": {i}}}\n' for i in range(120)])
     run("one")
     run("two")  # a fresh checkpoint replays the same content
-    assert [s for s, _ in seen] == [3]
-    (folder / "b.json").write_text('{"k": 5}\n')
+    assert seen == [120]
+    deliver("b", ['{"k": 5}\n'])
+    deliver("c", ['{"k": 5}\n'])  # the same content elsewhere
     run("two")
-    assert [s for s, _ in seen] == [3, 5]
+    assert seen == [120, 1]
+    assert sorted(r["s"] for r in spark.read.option("recursiveFileLookup", "true").parquet(
+        *[str(p) for p in results.glob("huella=*")]).collect()) == [5, sum(range(120))]
 
 
-@pytest.mark.parametrize("bad", ["", "nope"])
-def test_empty_quota(bad):
+def test_empty_quota():
     assert admit([], []) == ([], [])
