@@ -1,4 +1,4 @@
-"""Evidence verification over every exchange of the chats (one client and one advisor turn)."""
+"""Evidence verification over whole chats."""
 
 from __future__ import annotations
 
@@ -14,26 +14,21 @@ from leadloom.plans.registry import Tables, query
 
 
 def exchanges(t: Tables) -> DataFrame:
-    """Consecutive pairs of messages as small nested chats with a declared extraction.
+    """Whole chats, nested as they arrive, with a declared extraction.
 
-    The declared facts quote the client text rightly, by the wrong speaker, at a missing position,
-    as an unsupported denial, or with a stray leading symbol.
+    The declared facts quote the first client message rightly, by the wrong speaker, at a missing
+    position, as an unsupported denial, or with a stray leading symbol.
     """
-    part = F.floor((F.col("posicion") - 1) / 2).cast("bigint")
-    slot = (F.col("posicion") - 1) % 2
-    message = F.struct("emisor", "texto")
-    chats = B.messages(t).groupBy("conversacion_id", "conv_id", part.alias("parte")).agg(
-        F.max(F.when(slot == 0, message)).alias("_a"), F.max(F.when(slot == 1, message)).alias("_b"))
-    chats = chats.withColumn("mensajes", F.array_compact(F.array("_a", "_b")))
+    chats = B.messages(t).groupBy("conversacion_id", "conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("posicion", "emisor", "texto"))).alias("_m"))
+    chats = chats.withColumn("mensajes", F.transform("_m", lambda m: F.struct(m["emisor"], m["texto"])))
     client = F.filter(
         F.transform("mensajes", lambda m, i: F.struct(
             (i + 1).alias("i"), m["emisor"].alias("e"), m["texto"].alias("t"))),
-        lambda m: m["e"] == "cliente")[0]
-    chats = chats.withColumn("_c", F.when(
-        F.exists("mensajes", lambda m: m["emisor"] == "cliente"), client))
-    return chats.withColumn("k", (F.col("conv_id") + F.col("parte")) % 6).select(
-        F.concat_ws("/", "conversacion_id", F.col("parte").cast("string")).alias("id"), "k",
-        "mensajes", _declared().alias("extraccion"))
+        lambda m: m["e"] == "cliente")
+    chats = chats.withColumn("_c", F.get(client, F.lit(0)))
+    return chats.withColumn("k", F.col("conv_id") % 6).select(
+        F.col("conversacion_id").alias("id"), "k", "mensajes", _declared().alias("extraccion"))
 
 
 def _declared() -> Column:
@@ -48,7 +43,7 @@ def _declared() -> Column:
     evidence = (
         F.when(c.isNull() | (k == 5), none)
         .when(k == 1, quoted(c["i"], "asesor", start))
-        .when(k == 2, quoted(F.lit(9), "cliente", start))
+        .when(k == 2, quoted(F.lit(1_000_000), "cliente", start))
         .when(k == 4, quoted(c["i"], "cliente", F.concat(F.lit("¿"), start)))
         .otherwise(quoted(c["i"], "cliente", start)))
     state = F.when(k == 5, "no_mencionado").when(k == 3, "no_explicito").otherwise("si")
@@ -68,7 +63,7 @@ def _declared() -> Column:
             (none if ev is None else ev).alias("evidencias"))
 
     return F.struct(
-        F.concat_ws("/", "conversacion_id", F.col("parte").cast("string")).alias("conversacion_id"),
+        F.col("conversacion_id"),
         F.array().cast(S.PAYLOAD["modelos_interes"].dataType).alias("modelos_interes"),
         F.struct(*[
             F.struct(F.lit(None).cast("string").alias("expresion_original"),
@@ -90,25 +85,32 @@ def verified(t: Tables) -> DataFrame:
     return X.verify_extractions(exchanges(t))
 
 
-# one row per exchange with its client turn and the facts the rules look at
-_PAIRS = f"""SELECT conversacion_id || '/' || ((posicion - 1) // 2) AS id,
-    any_value((conv_id + (posicion - 1) // 2) % 6) AS k,
-    max(texto) FILTER (WHERE emisor = 'cliente') AS c,
-    max(s) FILTER (WHERE emisor = 'cliente') AS cs,
-    bool_or(emisor = 'asesor' AND regexp_matches(s, '{V.CHAT_PATTERNS["concrete_offer"]}')) AS oferta
-    FROM folded GROUP BY 1"""
+# one row per chat with its first client message and the facts the rules look at
+_PAIRS = f"""SELECT conversacion_id AS id, any_value(conv_id % 6) AS k,
+    arg_min(texto, posicion) FILTER (WHERE emisor = 'cliente') AS c,
+    arg_min(s, posicion) FILTER (WHERE emisor = 'cliente') AS cs,
+    coalesce(bool_or(emisor = 'asesor' AND regexp_matches(s, '{V.CHAT_PATTERNS["concrete_offer"]}')), false)
+        AS oferta FROM folded GROUP BY 1"""
 _FACTS = r"""SELECT *, substr(c, 1, 15) AS q,
     regexp_replace('¿' || substr(c, 1, 15), '^[^\p{L}\p{N}_]+', '') AS bare,
     regexp_matches(lower(strip_accents(substr(c, 1, 15))),
         '\bno\b|\bnunca\b|\bjamas\b|rechaz|niego') AS niega,
     c IS NOT NULL AND contains(cs, 'contado') AS paga,
-    CASE WHEN contains(cs, 'tengo') AND contains(cs, 'inicial') AND NOT regexp_matches(cs, '-\s*\d')
-        AND NOT regexp_matches(cs, '[0-9].*[0-9]') THEN
-        CASE WHEN contains(cs, 'tengo 2 millones') THEN 2000000.0
-            WHEN contains(cs, 'tengo 3 millones') THEN 3000000.0 END END AS monto FROM pairs"""
+    CASE WHEN corregido THEN ultimo_monto WHEN len(montos) = 1 THEN montos[1] END AS monto
+    FROM pairs LEFT JOIN amounts USING (id)"""
+# every amount a client names; a later one counts if it corrects, else they contradict each other
+_AMOUNTS = f"""SELECT *, muchos AND regexp_matches(ultimo, '{V.CHAT_PATTERNS["correction"]}') AS corregido,
+    muchos AND NOT regexp_matches(ultimo, '{V.CHAT_PATTERNS["correction"]}') AS conflicto FROM (
+    SELECT conversacion_id AS id, list(m ORDER BY posicion) AS montos, arg_max(s, posicion) AS ultimo,
+        arg_max(m, posicion) AS ultimo_monto, count(DISTINCT m) > 1 AS muchos
+    FROM (SELECT *, CASE WHEN contains(s, 'tengo') AND contains(s, 'inicial')
+            AND NOT regexp_matches(s, '-\\s*\\d') AND NOT regexp_matches(s, '[0-9].*[0-9]') THEN
+            CASE WHEN contains(s, 'tengo 2 millones') THEN 2000000.0
+                WHEN contains(s, 'tengo 3 millones') THEN 3000000.0 END END AS m
+        FROM folded WHERE emisor = 'cliente') WHERE m IS NOT NULL GROUP BY 1)"""
 _STATES = """SELECT *, CASE WHEN c IS NULL THEN 'no_mencionado' WHEN k IN (0, 4) THEN 'si'
     WHEN k = 3 AND niega THEN 'no_explicito' ELSE 'no_mencionado' END AS cita FROM facts"""
-_CTES = {"folded": _FOLDED, "pairs": _PAIRS, "facts": _FACTS, "states": _STATES}
+_CTES = {"folded": _FOLDED, "pairs": _PAIRS, "amounts": _AMOUNTS, "facts": _FACTS, "states": _STATES}
 
 
 @query("h5_verified_states", B.sql("""SELECT id, cita,
@@ -116,7 +118,7 @@ _CTES = {"folded": _FOLDED, "pairs": _PAIRS, "facts": _FACTS, "states": _STATES}
     CASE WHEN k % 2 = 0 AND paga THEN 'contado' ELSE 'desconocida' END AS forma_pago,
     CASE WHEN oferta THEN 'si' ELSE 'no_mencionado' END AS oferta,
     CASE WHEN (c IS NOT NULL AND k IN (1, 2)) OR (c IS NULL AND (k IN (0, 1, 2, 4)
-        OR k % 2 = 0)) THEN 'requiere_revision' ELSE 'validada_automaticamente' END AS estado
+        OR k % 2 = 0)) OR conflicto THEN 'requiere_revision' ELSE 'validada_automaticamente' END AS estado
     FROM states""", "messages", **_CTES))
 def h5_verified_states(t: Tables) -> DataFrame:
     e = F.col("extraccion")
@@ -137,7 +139,8 @@ def h5_verified_states(t: Tables) -> DataFrame:
         WHEN c IS NOT NULL AND k = 4 THEN 'formato_cita_reparado'
         WHEN c IS NOT NULL AND k = 3 AND NOT niega THEN 'negativa_no_sustentada'
         WHEN c IS NULL AND k <> 5 THEN 'estado_sin_evidencia' END,
-    CASE WHEN monto IS NOT NULL THEN 'importe_explicito_recuperado' END) AS tipos FROM states""",
+    CASE WHEN corregido THEN 'cambio_importe_explicito' WHEN conflicto THEN 'importes_contradictorios'
+        WHEN monto IS NOT NULL THEN 'importe_explicito_recuperado' END) AS tipos FROM states""",
     "messages", **_CTES))
 def h4_incidents(t: Tables) -> DataFrame:
     return verified(t).select(
@@ -178,7 +181,7 @@ def b32_invalid_evidence(t: Tables) -> DataFrame:
     CASE WHEN k % 2 = 0 AND paga THEN 'contado' END AS forma_pago,
     CASE WHEN oferta THEN true END AS asesor_ofrecio_credito FROM states
     WHERE NOT ((c IS NOT NULL AND k IN (1, 2)) OR (c IS NULL AND (k IN (0, 1, 2, 4)
-        OR k % 2 = 0)))""", "messages", **_CTES))
+        OR k % 2 = 0)) OR coalesce(conflicto, false))""", "messages", **_CTES))
 def h21_flat_signals(t: Tables) -> DataFrame:
     return X.flat_signals(verified(t)).select(
         "conversacion_id", "cliente_pidio_cita", "cuota_inicial", "forma_pago",
@@ -201,7 +204,7 @@ def h1_contract(t: Tables) -> DataFrame:
 
 
 @query("h25_amount_audit", B.sql("""SELECT id AS conversacion_id, monto AS obtenido FROM states
-    WHERE c IS NOT NULL AND monto IS NOT NULL""", "messages", **_CTES))
+    WHERE c IS NOT NULL AND monto IS NOT NULL AND NOT muchos""", "messages", **_CTES))
 def h25_amount_audit(t: Tables) -> DataFrame:
     audit = X.amount_audit(verified(t))
     return audit.where(F.col("cumple") & F.col("obtenido").isNotNull()).select(
@@ -216,7 +219,7 @@ def h25_amount_audit(t: Tables) -> DataFrame:
             CASE WHEN c IS NOT NULL AND k IN (1, 2) THEN 'e,s' WHEN c IS NOT NULL AND k = 4 THEN 'r'
                 WHEN c IS NOT NULL AND k = 3 AND NOT niega THEN 'n' WHEN c IS NULL AND k <> 5
                 THEN 's' END,
-            CASE WHEN monto IS NOT NULL THEN 'm' END, 'empresa'), ',')) AS tipo FROM states)
+            CASE WHEN monto IS NOT NULL OR conflicto THEN 'm' END, 'empresa'), ',')) AS tipo FROM states)
     GROUP BY 1""", "messages", **_CTES))
 def h28_incident_log(t: Tables) -> DataFrame:
     unlinked = verified(t).withColumns({
