@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 
-from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,12 +165,6 @@ def resolve_pair(registered: str, contacted: str) -> Column:
     ``criterio`` already carries the motive. Evidence wins, then a joint flip that restores the
     sequence, then a single consistent combination of the ambiguous fields.
     """
-    return _pair_column(id(SparkContext._active_spark_context), registered, contacted)
-
-
-@lru_cache(maxsize=32)
-def _pair_column(context: int, registered: str, contacted: str) -> Column:
-    """Assembled once per Spark context: the expression names columns, not data."""
     no, yes = F.lit(False), F.lit(True)
     written = F.struct(
         _read(registered).alias("r"), _read(contacted).alias("c"),

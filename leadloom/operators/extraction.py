@@ -9,9 +9,7 @@ array of signals, the rules run as transforms over it, and the record is rebuilt
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -484,7 +482,7 @@ def verify_extractions(df: DataFrame) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in ("extraccion", "mensajes")]
     # each stage reads the one before exactly once, so the plan stays linear in the rules
-    first, *stages = _rule_columns(id(SparkContext._active_spark_context))
+    first, *stages = _rule_columns()
     work = df.withColumn("_v", first)
     for stage in stages:
         work = work.withColumn("_v", stage)
@@ -494,9 +492,8 @@ def verify_extractions(df: DataFrame) -> DataFrame:
         F.col("_v.estado_extraccion").alias("estado_extraccion"))
 
 
-@lru_cache(maxsize=4)
-def _rule_columns(context: int) -> tuple[Column, ...]:
-    """The rule expressions, assembled once per Spark context: they name columns, not data."""
+def _rule_columns() -> tuple[Column, ...]:
+    """The rule expressions; they name columns, not data."""
     start = F.struct(
         F.col("extraccion").alias("e"), _messages(F.col("mensajes")).alias("m"),
         _signals(F.col("extraccion")).alias("s"), F.lit(None).alias("a"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
 from leadloom.operators.checks import left_join_sparse
-from leadloom.operators.ranking import Key, with_positions
+from leadloom.operators.ranking import Key, numbered
 
 COLUMNS = ["tipo", "tabla", "fila", "id_origen", "campo", "valor_original", "valor_resultante",
            "accion", "motivo"]
@@ -199,11 +199,8 @@ def numbered_log(frames: Sequence[DataFrame]) -> DataFrame:
     log = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     order = [Key(c) for c in ("tabla", "tipo", "fila", "id_origen", "campo", "valor_original",
                               "valor_resultante")]
-    coarse = [*order[:2], Key(F.floor(F.col("fila") / 4096))]
-    fine = [order[2], Key(F.substring("id_origen", 1, 8))]
-    numbered = with_positions(log, [], order, coarse, fine, out="_n")
     text = F.col("_n").cast("string")
-    return numbered.withColumn("incidencia_id", F.concat(
+    return numbered(log, order, out="_n").withColumn("incidencia_id", F.concat(
         F.lit("INC-"), F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text))
     ).drop("_n")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import col
+from leadloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -87,6 +88,26 @@ def with_positions(
     )
 
 
+def numbered(df: DataFrame, order: Sequence[Key], out: str = "posicion") -> DataFrame:
+    """Exact 1-based position over a whole table, without a task that sees all of it.
+
+    Rows are dealt by ranges of the full order and counted per range; a row's position is its place
+    in its range after the rows of the ranges before. The dealt rows are kept in the shared folder,
+    because the counts and the positions must see the same ranges.
+    """
+    keys = [k.sort() for k in order]
+    dealt = cut_lineage(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .withColumn("_range", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before = F.coalesce(
+        F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_range", before.alias("_before"))
+    return dealt.join(F.broadcast(offsets), "_range").withColumn(
+        out, F.col("_before") + F.col("_place") + 1).drop("_range", "_place", "_before")
+
+
 def attach_single(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row (an equality join on a constant)."""
     return (

@@ -36,19 +36,18 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names, or one of our own in local mode only."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        configured = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder all executors share.")
         configured = tempfile.mkdtemp(prefix="leadloom-checkpoint-")
+        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written copy."""
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)

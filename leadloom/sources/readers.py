@@ -61,13 +61,11 @@ def shape_violations(spark: SparkSession, path: str, schema: T.StructType) -> Da
     return parsed.select(f"r.{CORRUPT}").where(F.col(CORRUPT).isNotNull())
 
 
-def with_source_rows(df: DataFrame, order: list[str | Column], coarse: list[str | Column],
-                     out: str = "source_row") -> DataFrame:
+def with_source_rows(df: DataFrame, order: list[str | Column], out: str = "source_row") -> DataFrame:
     """Number the rows once, in a stable order, to serve as provenance from then on."""
-    from leadloom.operators.ranking import Key, with_positions
+    from leadloom.operators.ranking import Key, numbered
 
-    return with_positions(
-        df, [], [Key(c) for c in order], [Key(c) for c in coarse], out=out)
+    return numbered(df, [Key(c) for c in order], out=out)
 
 
 def read_table(spark: SparkSession, name: str, columns: list[str]) -> DataFrame:

@@ -84,7 +84,6 @@ def test_manifest_of_files(spark, tmp_path):
 
 def test_source_rows_are_stable(spark):
     df = spark.createDataFrame([(f"L{i:03d}",) for i in range(40)], "lead_id string")
-    out = readers.with_source_rows(
-        df.repartition(7), ["lead_id"], [F.substring("lead_id", 1, 2)])
+    out = readers.with_source_rows(df.repartition(7), ["lead_id"])
     assert {(r["lead_id"], r["source_row"]) for r in out.collect()} == {
         (f"L{i:03d}", i + 1) for i in range(40)}
