@@ -7,6 +7,7 @@ from leadloom.plans import (  # noqa: F401
     q_incidents,
     q_joins,
     q_publication,
+    q_sources,
     q_streams,
     q_values,
     q_verification,
