@@ -217,7 +217,7 @@ def consolidate(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("empresa_id", "lead_consolidado_id").agg(
         best_name(name).alias("nombre_presentacion"),
         F.bool_and(F.col("telefono_estado") == "valido").alias("telefono_utilizable"),
-        (F.countDistinct("email") > 1).alias("varios_correos"),
+        F.coalesce(F.min("email") != F.max("email"), F.lit(False)).alias("varios_correos"),
         F.countDistinct("canal").alias("canales"),
         F.countDistinct("telefono").alias("telefonos"),
         F.count_if(~F.coalesce(known_model, F.lit(False))).alias("consultas_con_modelo_pendiente"),
@@ -280,14 +280,14 @@ def reconcile_identities(
 
     phones = base_inquiries.where(F.col("telefono").isNotNull()).groupBy(
         "empresa_id", "telefono").agg(
-        F.countDistinct("lead_consolidado_id").alias("_people"),
+        (F.min("lead_consolidado_id") == F.max("lead_consolidado_id")).alias("_single"),
         F.min("lead_consolidado_id").alias("_found"))
     by_phone = (
         linked.where(F.col("_dest").isNull() & F.col("telefono").isNotNull())
         .drop("_dest", "_owner")
         .join(phones, ["empresa_id", "telefono"])
         .join(stored_names.select(F.col("_dest").alias("_found"), "_dest_name"), "_found", "left")
-        .withColumn("_ok", (F.col("_people") == 1) & names.names_compatible(
+        .withColumn("_ok", F.col("_single") & names.names_compatible(
             "nombre_presentacion", "_dest_name"))
     )
     found = by_phone.where("_ok").select("lead_consolidado_id", F.col("_found").alias("_dest"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
 from leadloom.functions import signals
-from leadloom.operators.checks import left_join_sparse
 from leadloom.operators.ranking import Key, attach_single, provable_latest, with_positions
 
 LEAD = ["empresa_id", "lead_consolidado_id"]
@@ -71,7 +70,7 @@ def context_rows(leads: DataFrame, inquiries: DataFrame, chats: DataFrame) -> Da
 
     def common(c: str):
         v = F.coalesce(c, unknown)
-        return F.when(F.countDistinct(v) == 1, F.max(v)).otherwise(unknown)
+        return F.when(F.min(v) == F.max(v), F.max(v)).otherwise(unknown)
 
     shared = inquiries.groupBy(*LEAD).agg(
         common("canal").alias("_canal"), common("modelo_sku").alias("_sku"),
@@ -79,15 +78,19 @@ def context_rows(leads: DataFrame, inquiries: DataFrame, chats: DataFrame) -> Da
         .alias("todas_consultas_descartadas"))
     chat_counts = chats.groupBy(*LEAD).agg(
         F.count(F.lit(1)).alias("numero_conversaciones_utilizables"))
+    # looked up by lead, so that every join here has the same partitioning
     chosen = chats.select(
-        "conversacion_id", F.col("lead_id").alias("_chat_lead"), "menciones", "skus",
-        F.col("sku").alias("_chat_sku"), "inicial", F.col("forma_pago").alias("_pago"), "cita")
+        *LEAD, F.col("conversacion_id").alias("_c"), F.col("lead_id").alias("_chat_lead"),
+        "menciones", "skus", F.col("sku").alias("_chat_sku"), "inicial",
+        F.col("forma_pago").alias("_pago"), "cita",
+    ).join(last_chat.select(*LEAD, "conversacion_id"), LEAD).where(
+        F.col("_c") == F.col("conversacion_id")).drop("_c", "conversacion_id")
     picked = inquiries.select(
         *LEAD, F.col("lead_id").alias("lead_id_contexto"), F.col("canal").alias("_q_canal"),
         F.col("modelo_sku").alias("_q_sku"))
-    # most leads have no chat, so the chat lookup must not gather the nulls in one task
     base = (
-        left_join_sparse(leads.join(last_chat, LEAD, "left"), chosen, ["conversacion_id"])
+        leads.join(last_chat, LEAD, "left")
+        .join(chosen, LEAD, "left")
         .join(last_inquiry, LEAD, "left")
         .join(shared, LEAD, "left")
         .join(chat_counts, LEAD, "left")
