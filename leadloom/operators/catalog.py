@@ -87,13 +87,17 @@ def match_models(df: DataFrame, text: str, catalogue: DataFrame) -> DataFrame:
     }).drop("clave")
 
 
-def match_candidates(df: DataFrame, text: str, catalogue: DataFrame, row_id: str) -> DataFrame:
-    """The candidate list of every ambiguous or matched text, one row per candidate."""
-    keyed = df.select(row_id, model_key(text).alias("clave"))
+def candidates_by_key(df: DataFrame, text: str, catalogue: DataFrame) -> DataFrame:
+    """(clave, sku, nombre): the candidates of every key that the texts ask for, listed once.
+
+    A text that names only a brand asks for every model of it, so the lists are kept per distinct
+    key; a row reaches its list by its key and carries the count (:func:`match_models`).
+    """
+    asked = df.select(model_key(text).alias("clave")).distinct()
     keys = reference_keys(catalogue)
     exact_keys = keys.groupBy("clave").agg(F.bool_or("exacta").alias("_any"))
     chosen = keys.join(exact_keys, "clave").where(F.col("exacta") | ~F.col("_any"))
-    return keyed.join(chosen, "clave").select(row_id, "sku", "nombre")
+    return asked.join(chosen, "clave").select("clave", "sku", "nombre")
 
 
 def availability_state(

@@ -117,6 +117,10 @@ def attach_single(df: DataFrame, one_row: DataFrame) -> DataFrame:
     )
 
 
+#: Chunks whose summaries meet in one task of the carrying step.
+CARRIED = 1024
+
+
 @dataclass(frozen=True)
 class Running:
     """A running value: ``last`` / ``sum`` / ``max`` over earlier rows, or ``next`` after."""
@@ -132,11 +136,14 @@ def with_running(
     order: Sequence[str],
     chunk: Column,
     values: dict[str, Running],
+    levels: int = 2,
 ) -> DataFrame:
     """Running values per group, computed per chunk and carried from chunk to chunk.
 
-    ``chunk`` is a monotone function of the first order column, so a long group is cut into many
-    tasks; only one summary row per chunk crosses between them. Group columns must not be null.
+    ``chunk`` is a monotone number of the first order column, so a long group is cut into many
+    tasks; only one summary row per chunk crosses between them. The summaries are carried in the
+    same way, ``CARRIED`` at a time, so that no task meets all chunks of a long group. Group columns
+    must not be null.
     """
     work = df.withColumn("_c", chunk)
     for name, spec in values.items():
@@ -176,7 +183,15 @@ def with_running(
         carries.append(carry.alias(f"_k_{name}"))
         locals_[f"_w_{name}"] = local
 
-    carried = work.groupBy(*keys).agg(*summaries).select(*keys, *carries)
+    summary = work.groupBy(*keys).agg(*summaries)
+    if levels > 1:
+        outer = {f"_k_{n}": Running(v.kind, F.col(f"_s_{n}")) for n, v in values.items()}
+        carried = with_running(
+            summary.withColumnRenamed("_c", "_at"), group, ["_at"], F.floor(F.col("_at") / CARRIED),
+            outer, levels - 1,
+        ).select(*group, F.col("_at").alias("_c"), *outer)
+    else:
+        carried = summary.select(*keys, *carries)
     return (
         work.withColumns(locals_)
         .join(carried, keys)

@@ -440,11 +440,11 @@ def b23_catalog_match(t: Tables) -> DataFrame:
         "fila", "modelo_sku", "modelo_estado", "candidatos")
 
 
-@query("b23_candidates", B.sql("""SELECT fila, c.sku, c.nombre FROM keyed k
+@query("b23_candidates", B.sql("""SELECT DISTINCT c.clave, c.sku, c.nombre FROM keyed k
     JOIN cands c ON k.clave = c.clave WHERE c.exacta OR NOT EXISTS
         (SELECT 1 FROM cands e WHERE e.clave = c.clave AND e.exacta)""", **_WANTED_CTES))
 def b23_candidates(t: Tables) -> DataFrame:
-    return catalog.match_candidates(wanted_models(t), "texto", B.catalogue(t), "fila")
+    return catalog.candidates_by_key(wanted_models(t), "texto", B.catalogue(t))
 
 
 @query("b24_names_compatible", B.sql(f"""WITH k AS (SELECT fila, {_fold('nombre_cliente')} AS a
