@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
+from leadloom.operators.checks import reconcile
 from leadloom.operators.ranking import Key, latest_per_key
 
 LEAD = ["empresa_id", "lead_consolidado_id"]
@@ -239,3 +241,23 @@ def load_is_done(runs: DataFrame, run_id: str) -> bool:
     """Whether this exact load already completed (then only reconciliation is due)."""
     done = runs.where((F.col("ejecucion_id") == run_id) & (F.col("estado") == "completada"))
     return len(done.take(1)) > 0
+
+
+def load_once(
+    runs: DataFrame, run_id: str, expected: dict[str, DataFrame], keys: dict[str, Sequence[str]],
+    load: Callable[[], None], stored: Callable[[str], DataFrame],
+) -> DataFrame:
+    """Load unless this exact load completed before; in both cases hold the stored tables against
+    the expected ones.
+
+    Returns one row per absent or differing row: tabla, clave, estado, columnas.
+    """
+    if not load_is_done(runs, run_id):
+        load()
+    reports = []
+    for name, frame in expected.items():
+        found = reconcile(frame, stored(name), keys[name])
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys[name]])
+        reports.append(found.select(
+            F.lit(name).alias("tabla"), key.alias("clave"), *[c for c in found.columns if c not in keys[name]]))
+    return reduce(DataFrame.unionByName, reports)

@@ -243,6 +243,18 @@ def registry_row(spark: SparkSession, name: str, path: str, digest: str, candida
     return base.select(ids.row_id("nombre", "hash_artefacto").alias("modelo_ml_id"), "*")
 
 
+def store_model(model: PipelineModel, name: str, path: str, candidate: Candidate, spark: SparkSession
+                ) -> DataFrame:
+    """Write the fitted model and return its registry entry, with a digest of what was written."""
+    from leadloom.sources.manifest import file_hashes
+
+    model.write().overwrite().save(path)
+    parts = file_hashes(spark, path).agg(
+        F.sort_array(F.collect_list("sha256")).alias("h"))  # the few files of one model
+    digest = parts.select(F.sha2(F.array_join("h", ""), 256)).first()[0]
+    return registry_row(spark, name, path, digest, candidate)
+
+
 def unseen_categories(train: DataFrame, current: DataFrame, columns: Sequence[str], row: str
                       ) -> DataFrame:
     """Rows whose category never occurred in training."""

@@ -77,3 +77,20 @@ def test_selection_and_intervals(spark, data):
 def test_registry(spark):
     row = model.registry_row(spark, "m", "models/m", "00", model.Candidate("comercial", "arbol", 2))
     assert row.first()["apto_produccion"] is False and len(row.first()["modelo_ml_id"]) == 64
+
+
+def test_a_stored_model_scores_as_before(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from leadloom.plans.q_streams import training_rows
+    from leadloom.plans.registry import Tables
+
+    rows = training_rows(Tables(spark, "/root/testdata/sf0.001"))
+    candidate = model.Candidate("comercial", "logistica", 1.0)
+    fitted = model.fit(rows, candidate)
+    path = str(tmp_path / "m")
+    entry = model.store_model(fitted, "m", path, candidate, spark).first()
+    assert entry["ruta_artefacto"] == path and len(entry["hash_artefacto"]) == 64
+    before = {r["lead_id"]: r["score"] for r in model.score(fitted, rows).collect()}
+    after = {r["lead_id"]: r["score"] for r in model.score(PipelineModel.load(path), rows).collect()}
+    assert before == after

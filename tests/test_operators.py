@@ -474,3 +474,20 @@ def test_single_chat_publication(spark):
     assert out["priorizaciones"].count() == 1 and float(row["score_prioridad"]) == 100.0
     assert out["intereses_modelo"].first()["modelo_sku"] == "K1"
     assert [r["trabajo_id"] for r in out["obsoletas"].collect()] == ["t2"]
+
+
+def test_a_load_happens_once_and_is_checked_every_time(spark):
+    from leadloom.operators import merge
+
+    expected = {"t": spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")}
+    stored = {"t": spark.createDataFrame([(1, "a")], "k long, v string")}
+    calls = []
+
+    def load():
+        calls.append(1)
+        stored["t"] = expected["t"]
+
+    runs = spark.createDataFrame([("r0", "completada"), ("r1", "fallida")], "ejecucion_id string, estado string")
+    done = merge.load_once(runs, "r0", expected, {"t": ["k"]}, load, stored.get)
+    assert [(r["tabla"], r["clave"], r["estado"]) for r in done.collect()] == [("t", "2", "ausente")] and not calls
+    assert merge.load_once(runs, "r1", expected, {"t": ["k"]}, load, stored.get).count() == 0 and calls == [1]
