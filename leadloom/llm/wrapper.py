@@ -23,6 +23,10 @@ FAN_IN = 64
 GATHERED = 2_000
 #: Pages in which a text must stand alike, and nowhere otherwise, to be template.
 MIN_PAGES = 5
+#: Neighbours that repeat as a row of up to so many labels are folded.
+PERIOD = 4
+#: Sibling lists whose lengths multiply to more are paired in one pass, each with the next of its label.
+PAIRS = 40_000
 #: Wrappers up to this size in bytes are sent to every task; beyond it pages and wrappers are shuffled by host.
 BROADCAST_BYTES = 32 << 20
 
@@ -54,6 +58,8 @@ def _best_pairs(left: list[Shape], right: list[Shape], weigh: bool = False) -> l
     labels = [x[0] for x in left]
     if labels == [y[0] for y in right] and len(set(labels)) == len(labels):  # no other pairs are possible
         return [(i, i, tree_matching(x, y) if weigh else 1) for i, (x, y) in enumerate(zip(left, right, strict=True))]
+    if len(left) * len(right) > PAIRS:
+        return _next_pairs(left, right, weigh)
     weights = [[tree_matching(x, y) for y in right] for x in left]
     best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     for i in range(len(left) - 1, -1, -1):
@@ -72,6 +78,22 @@ def _best_pairs(left: list[Shape], right: list[Shape], weigh: bool = False) -> l
     return pairs
 
 
+def _next_pairs(left: list[Shape], right: list[Shape], weigh: bool) -> list[tuple[int, int, int]]:
+    places: dict[str, list[int]] = {}
+    for j in range(len(right) - 1, -1, -1):
+        places.setdefault(right[j][0], []).append(j)
+    pairs, after = [], 0
+    for i, x in enumerate(left):
+        open_ = places.get(x[0], [])
+        while open_ and open_[-1] < after:
+            open_.pop()
+        if open_:
+            j = open_.pop()
+            pairs.append((i, j, tree_matching(x, right[j]) if weigh else 1))
+            after = j + 1
+    return pairs
+
+
 def merge(a: Shape, b: Shape, same_page: bool = False) -> Shape:
     """One shape that both fit: paired nodes are one, the others stand in order."""
     if _is_text(a):
@@ -87,17 +109,20 @@ def merge(a: Shape, b: Shape, same_page: bool = False) -> Shape:
 
 
 def shape_of(node: Element | Text) -> Shape:
-    """Shape of a page's tree in which neighbours of one label are folded into one."""
+    """Shape of a page's tree in which neighbours of one label, or repeated rows of up to ``PERIOD``
+    labels, are folded into one."""
     if isinstance(node, Text):
         value = xxhash.xxh64_intdigest(block_text([node.value]).encode("utf-8", "surrogatepass")) >> 1
         return ["", value, value, 1, [node.place]]
     children: list[Shape] = []
     for child in node.children:
-        shape = shape_of(child)
-        if children and children[-1][0] == shape[0]:
-            children[-1] = merge(children[-1], shape, same_page=True)
-        else:
-            children.append(shape)
+        children.append(shape_of(child))
+        for n in range(1, PERIOD + 1):
+            if len(children) >= 2 * n and all(children[-k][0] == children[-k - n][0] for k in range(1, n + 1)):
+                last = children[-n:]
+                del children[-n:]
+                children[-n:] = [merge(x, y, same_page=True) for x, y in zip(children[-n:], last, strict=True)]
+                break
     return [node.label, children]
 
 

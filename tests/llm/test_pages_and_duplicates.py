@@ -92,6 +92,16 @@ def test_page_edges(spark):
     assert wrapper.extract(pages(spark, [(1, "http://u/", long)])).first()["n_chars"] == 20_000 * 11 - 2
 
 
+def test_long_lists_of_siblings_stay_cheap():
+    rng = random.Random(8)
+    regular = "".join(f"<h2>h {i}</h2><p>p {i}</p>" for i in range(20_000))
+    assert wrapper.size(wrapper.shape_of(wrapper.read(f"<article>{regular}</article>")[0])) == 6
+    odd = ["".join(f"<{t}>x</{t}>" for t in rng.choices(["p", "pre", "ul", "h2", "h3", "dl"], k=4_000)) for _ in range(2)]
+    a, b = (wrapper.shape_of(wrapper.read(o)[0]) for o in odd)
+    both = wrapper.merge(a, b)
+    assert max(wrapper.size(a), wrapper.size(b)) <= wrapper.size(both) <= wrapper.size(a) + wrapper.size(b)
+
+
 def test_many_shapes_fold_in_steps(spark, monkeypatch):
     rng = random.Random(4)
     rows = []
