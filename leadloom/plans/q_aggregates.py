@@ -20,12 +20,28 @@ _PREP = """SELECT fila, lead_id, empresa_id, CASE WHEN telefono_estado = 'valido
 _GROUPS = {**PHONES, "prep": _PREP}
 
 
-@query("a12_manifest", """SELECT 'customer' AS tabla, count(*) AS filas FROM customer
-    UNION ALL SELECT 'orders', count(*) FROM orders""")
+def _digest_sql(table: str, columns: list[str]) -> str:
+    """Rows and the two sums of row digest slices, as exact integers."""
+    key = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in sorted(columns))
+    part = "CAST(sum(CAST(CAST('0x' || substr(h, {at}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)"
+    return (f"SELECT count(*) AS filas, {part.format(at=1)} AS huella_a, {part.format(at=16)} AS huella_b "
+            f"FROM (SELECT sha256(concat_ws(chr(31), 'k', {key})) AS h FROM {table})")
+
+
+_DIGESTS = {
+    "orders": _digest_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                     "o_orderdate", "o_orderpriority"]),
+    "customer": _digest_sql("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+}
+
+
+@query("a12_manifest", " UNION ALL ".join(
+    f"SELECT '{name}' AS tabla, filas, sha256(huella_a || '|' || huella_b) AS huella FROM ({sql})"
+    for name, sql in _DIGESTS.items()))
 def a12_manifest(t: Tables) -> DataFrame:
     from leadloom.sources.manifest import manifest
 
-    return manifest({"customer": t.customer, "orders": t.orders}).select("tabla", "filas")
+    return manifest({"customer": t.customer, "orders": t.orders})
 
 
 @query("d1_profile", """SELECT o_custkey, count(*) AS filas, count(DISTINCT st) AS distintas,
@@ -358,7 +374,7 @@ def d23_usage(t: Tables) -> DataFrame:
         F.col("event_type").alias("modelo"), "peticiones", "entrada", "salida", "total")
 
 
-@query("d24_fingerprint")
+@query("d24_fingerprint", " UNION ALL ".join(_DIGESTS.values()))
 def d24_fingerprint(t: Tables) -> DataFrame:
     return checks.fingerprint(t.orders).unionByName(checks.fingerprint(t.customer))
 

@@ -176,7 +176,13 @@ def h26_model_audit(t: Tables) -> DataFrame:
     return checks.key_differences(expected, extracted, ["conversacion_id", "sku"])
 
 
-@query("h30_fingerprint")
+_SLICE = "CAST(sum(CAST(CAST('0x' || substr(h, {at}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)"
+
+
+@query("h30_fingerprint", B.sql(f"""SELECT conversacion_id, sha256('modelo|2.0|2.5|' || conversacion_id || '|' ||
+        count(*) || '|' || {_SLICE.format(at=1)} || '|' || {_SLICE.format(at=16)}) AS huella
+    FROM (SELECT conversacion_id, sha256(CAST(to_json({{'posicion': posicion, 'emisor': emisor, 'texto': texto}})
+        AS VARCHAR)) AS h FROM messages) GROUP BY 1""", "messages"))
 def h30_fingerprint(t: Tables) -> DataFrame:
     return chat.chat_fingerprint(B.messages(t), "modelo|2.0|2.5")
 
