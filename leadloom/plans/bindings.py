@@ -161,6 +161,37 @@ def inquiries(t: Tables) -> DataFrame:
     )
 
 
+FIRST_NAMES = ["José", "J.", "Ana", "María José", "A.", "jose", "Ana  Lucía"]
+LAST_NAMES = ["Pérez", "Gómez Pérez", "Pérez Ruiz", "P.", "perez", "Ruiz"]
+
+
+def mixed_name(number: Column) -> Column:
+    """One of many names, alike in parts."""
+    first = F.element_at(F.array(*[F.lit(x) for x in FIRST_NAMES]), (number % 7 + 1).cast("int"))
+    last = F.element_at(F.array(*[F.lit(x) for x in LAST_NAMES]), (F.floor(number / 7) % 6 + 1).cast("int"))
+    return F.concat_ws(" ", first, last)
+
+
+def mixed_name_sql(number: str) -> str:
+    """The folded words of the same name, without dots."""
+    name = f"{FIRST_NAMES}[{number} % 7 + 1] || ' ' || {LAST_NAMES}[({number} // 7) % 6 + 1]"
+    return ("list_transform(string_split(regexp_replace(lower(strip_accents(" + name + ")), ' +', ' ', 'g'), ' '), "
+            "lambda x: trim(x, '.'))")
+
+
+def names_agree_sql(a: str, b: str) -> str:
+    """The comparison rule over two lists of words, the shorter first."""
+    full = "len(list_filter({}, lambda x: length(x) < 2)) = 0"
+    shorter = (f"(len({a}) < len({b}) OR (len({a}) = len({b}) AND length(array_to_string({a}, '')) <= "
+               f"length(array_to_string({b}, ''))))")
+    s, m = f"(CASE WHEN {shorter} THEN {a} ELSE {b} END)", f"(CASE WHEN {shorter} THEN {b} ELSE {a} END)"
+    pattern = f"' ' || array_to_string({s}[2:], ' (.* )?') || ' '"
+    ordered = (f"{full.format(m)} AND {full.format(s + '[2:]')} AND ({s}[1] = {m}[1] OR (length({s}[1]) = 1 AND "
+               f"starts_with({m}[1], {s}[1]))) AND regexp_matches(' ' || array_to_string({m}[2:], ' ') || ' ', {pattern})")
+    return (f"(len({a}) >= 2 AND len({b}) >= 2 AND CASE WHEN {a} = {b} THEN {full.format(a)} "
+            f"ELSE {ordered} END)")
+
+
 MESSAGE_SUFFIX = [
     "Tengo 2 millones de inicial",
     "Con esa inicial la cuota le queda en 300 mil a 36 meses",

@@ -85,24 +85,20 @@ def c4_availability(t: Tables) -> DataFrame:
     ).select(*_LINE_KEYS, "disponibilidad")
 
 
-_NAMES_SQL = """SELECT empresa_id, c_custkey % 7 AS grupo, fila,
-    replace(strip_accents(lower(trim(regexp_replace(nombre_cliente, '\\s+', ' ', 'g')))), 'j.', 'j')
-        AS k FROM inquiries"""
-
-
-@query("c5_all_pairs", B.sql("""WITH g AS (SELECT empresa_id, grupo, k, count(*) AS n FROM nk
-        GROUP BY ALL),
-    -- 'j perez' agrees with 'jose perez' and 'jose X perez', once; 'ana perez' with none of them;
-    -- two different middle names disagree
-    s AS (SELECT empresa_id, grupo, sum(n) AS filas,
-        coalesce(sum(n) FILTER (WHERE k = 'j perez'), 0) AS ini,
-        bool_or(k = 'ana perez') AND bool_or(k <> 'ana perez') AS ana,
-        count(*) FILTER (WHERE k LIKE 'jose % perez') AS medios FROM g GROUP BY ALL)
-    SELECT empresa_id, grupo, CAST(filas AS BIGINT) AS filas,
-        ini <= 1 AND NOT ana AND medios <= 1 AS compatibles FROM s WHERE filas > 1""",
-    "inquiries", nk=_NAMES_SQL))
+@query("c5_all_pairs", B.sql(f"""WITH nk AS (SELECT empresa_id, c_custkey // 2 AS grupo,
+        {B.mixed_name_sql('(c_custkey // 2 * 11 + fila % 3 * 7)')} AS k FROM inquiries),
+    g AS (SELECT empresa_id, grupo, k, count(*) AS n FROM nk GROUP BY ALL),
+    -- every pair of different names, and a repeated name with itself
+    p AS (SELECT a.empresa_id, a.grupo, bool_and({B.names_agree_sql('a.k', 'b.k')}) AS todos
+        FROM g a JOIN g b ON a.empresa_id = b.empresa_id AND a.grupo = b.grupo
+            AND (a.k < b.k OR (a.k = b.k AND a.n > 1)) GROUP BY 1, 2),
+    f AS (SELECT empresa_id, grupo, CAST(sum(n) AS BIGINT) AS filas FROM g GROUP BY 1, 2)
+    SELECT empresa_id, grupo, filas, coalesce(todos, true) AS compatibles FROM f
+        LEFT JOIN p USING (empresa_id, grupo) WHERE filas > 1""", "inquiries"))
 def c5_all_pairs(t: Tables) -> DataFrame:
-    base = B.inquiries(t).withColumn("grupo", F.col("c_custkey") % 7)
+    pair = F.floor(F.col("c_custkey") / 2)
+    base = B.inquiries(t).withColumn("grupo", pair).withColumn(
+        "nombre_cliente", B.mixed_name(pair * 11 + F.col("fila") % 3 * 7))
     return identity.compatible_groups(base, ["empresa_id", "grupo"], "nombre_cliente")
 
 

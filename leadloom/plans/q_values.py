@@ -447,16 +447,13 @@ def b23_candidates(t: Tables) -> DataFrame:
     return catalog.candidates_by_key(wanted_models(t), "texto", B.catalogue(t))
 
 
-@query("b24_names_compatible", B.sql(f"""WITH k AS (SELECT fila, {_fold('nombre_cliente')} AS a
-        FROM inquiries), p AS (SELECT fila, list_transform(string_split(a, ' '),
-        lambda x: trim(x, '.')) AS s FROM k)
-    SELECT fila, CASE WHEN len(s) = 2 AND s = ['jose', 'perez'] THEN true
-        WHEN len(s) = 2 AND s = ['j', 'perez'] THEN true
-        WHEN len(s) = 3 AND s[1] = 'jose' AND s[3] = 'perez' THEN true ELSE false END AS compatible
-    FROM p""", "inquiries"))
+@query("b24_names_compatible", B.sql(f"""WITH w AS (SELECT fila, {B.mixed_name_sql('fila')} AS a,
+        {B.mixed_name_sql('(fila * 5 + 3)')} AS b FROM inquiries)
+    SELECT fila, {B.names_agree_sql('a', 'b')} AS compatible FROM w""", "inquiries"))
 def b24_names_compatible(t: Tables) -> DataFrame:
-    return B.inquiries(t).select(
-        "fila", names.names_compatible("nombre_cliente", F.lit("José Pérez")).alias("compatible"))
+    k = F.col("fila")
+    return B.inquiries(t).select("fila", names.names_compatible(
+        B.mixed_name(k), B.mixed_name(k * 5 + 3)).alias("compatible"))
 
 
 @query("b25_full_name", B.sql(f"""SELECT fila, len(string_split({_fold('nombre_cliente')}, ' ')) >= 2
