@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import remainder, written
 from leadloom.llm.vocabulary import MARK, PIECE_FILE, Vocabulary
 
-#: The most frequent words, which are looked up in the tasks; all others meet in a join.
+#: At most so many of the most frequent words are looked up in the tasks; all others meet in a join.
 FREQUENT = 50_000
 #: Distinct words gathered in a task before they are handed on.
 GATHERED = 300_000
@@ -287,7 +287,15 @@ def score_documents(
         "word", "c", (F.col("c") > 0).cast("double").alias("known"),
         F.log10((F.col("c") + ADDED) / below).alias("base"), *scores,
     )
-    top = scored.orderBy(F.col("c").desc(), "word").limit(frequent).collect()  # at most ``frequent`` rows
+    # an eighth of a doubling per step, so a few hundred rows; whole steps are taken from the top
+    step = F.floor(F.log2(F.col("c") + 1) * 8)
+    least, held = None, 0
+    for r in sorted(scored.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        held += r["count"]
+        if held > frequent:
+            break
+        least = r["s"]
+    top = scored.where(step >= least).collect() if least is not None else []  # at most ``frequent`` rows
     table = np.array([[r[c] for c in sums] for r in top], dtype=float).reshape(len(top), len(sums))
     shared = spark.sparkContext.broadcast(({r["word"].encode(): i for i, r in enumerate(top)}, table))
 
