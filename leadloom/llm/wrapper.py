@@ -7,6 +7,7 @@ import math
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -25,8 +26,8 @@ GATHERED = 2_000
 MIN_PAGES = 5
 #: Neighbours that repeat as a row of up to so many labels are folded.
 PERIOD = 4
-#: Sibling lists whose lengths multiply to more are paired in one pass, each with the next of its label.
-PAIRS = 40_000
+#: Sibling lists whose lengths multiply to more are paired a row of the table at a time.
+SMALL = 400
 #: Wrappers up to this size in bytes are sent to every task; beyond it pages and wrappers are shuffled by host.
 BROADCAST_BYTES = 32 << 20
 
@@ -58,8 +59,8 @@ def _best_pairs(left: list[Shape], right: list[Shape], weigh: bool = False) -> l
     labels = [x[0] for x in left]
     if labels == [y[0] for y in right] and len(set(labels)) == len(labels):  # no other pairs are possible
         return [(i, i, tree_matching(x, y) if weigh else 1) for i, (x, y) in enumerate(zip(left, right, strict=True))]
-    if len(left) * len(right) > PAIRS:
-        return _next_pairs(left, right, weigh)
+    if len(left) * len(right) > SMALL:
+        return _long_pairs(left, right)
     weights = [[tree_matching(x, y) for y in right] for x in left]
     best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     for i in range(len(left) - 1, -1, -1):
@@ -78,19 +79,65 @@ def _best_pairs(left: list[Shape], right: list[Shape], weigh: bool = False) -> l
     return pairs
 
 
-def _next_pairs(left: list[Shape], right: list[Shape], weigh: bool) -> list[tuple[int, int, int]]:
-    places: dict[str, list[int]] = {}
-    for j in range(len(right) - 1, -1, -1):
-        places.setdefault(right[j][0], []).append(j)
-    pairs, after = [], 0
-    for i, x in enumerate(left):
-        open_ = places.get(x[0], [])
-        while open_ and open_[-1] < after:
-            open_.pop()
-        if open_:
-            j = open_.pop()
-            pairs.append((i, j, tree_matching(x, right[j]) if weigh else 1))
-            after = j + 1
+def _structure(shape: Shape) -> tuple:
+    return () if _is_text(shape) else (shape[0], *map(_structure, shape[1]))
+
+
+def _long_pairs(left: list[Shape], right: list[Shape]) -> list[tuple[int, int, int]]:
+    """The pairs that the whole table gives, for long lists.
+
+    Children that begin both lists alike are paired at once. Children of one structure share their
+    weights, and only every so many rows of the table are kept; those between are made again on
+    the way back, so memory grows with the root of one length times the other.
+    """
+    rows, columns = list(map(_structure, left)), list(map(_structure, right))
+    start = 0
+    while start < min(len(rows), len(columns)) and rows[start] == columns[start]:
+        start += 1
+    pairs = [(i, i, size(left[i])) for i in range(start)]
+    n, m = len(left) - start, len(right) - start
+    if not n or not m:
+        return pairs
+    kinds: dict[tuple, int] = {}
+    column = np.array([kinds.setdefault(c, len(kinds)) for c in columns[start:]])
+    first = {k: right[start + int(np.argmax(column == at))] for k, at in kinds.items()}
+    known: dict[tuple, np.ndarray] = {}
+
+    def weights(i: int) -> np.ndarray:
+        """Of the i-th child with every kind of child on the right."""
+        kind = rows[start + i]
+        if kind not in known:
+            known[kind] = np.array([tree_matching(left[start + i], y) for y in first.values()], dtype=np.int64)
+        return known[kind]
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
+        w = weights(i)[column]
+        row = below.copy()
+        row[:m] = np.maximum(row[:m], np.where(w > 0, below[1:] + w, 0))
+        return np.maximum.accumulate(row[::-1])[::-1]
+
+    step = math.isqrt(n) + 1
+    kept, row = {n: np.zeros(m + 1, dtype=np.int64)}, np.zeros(m + 1, dtype=np.int64)
+    for i in range(n - 1, -1, -1):
+        row = above(i, row)
+        if i % step == 0:
+            kept[i] = row
+    best: dict[int, np.ndarray] = {}
+    i = j = 0
+    while i < n and j < m:
+        if i + 1 not in best or i not in best:
+            end = min(n, i - i % step + step)
+            best = {end: kept[end]}
+            for at in range(end - 1, i - 1, -1):
+                best[at] = above(at, best[at + 1])
+        w = int(weights(i)[column[j]])
+        if w and best[i][j] == best[i + 1][j + 1] + w:
+            pairs.append((start + i, start + j, w))
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i + 1][j]:
+            i += 1
+        else:
+            j += 1
     return pairs
 
 
