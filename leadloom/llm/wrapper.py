@@ -22,8 +22,14 @@ from leadloom.llm.dom import Element, Text, block_text, read
 FAN_IN = 64
 #: Shapes gathered in a task before they are handed on.
 GATHERED = 2_000
-#: Pages in which a text must stand alike, and nowhere otherwise, to be template.
+#: Pages of different content in which a text must stand alike, and nowhere otherwise, to be template;
+#: on a host with fewer it must stand so in all of them, and in two at least.
 MIN_PAGES = 5
+#: The share of a host's pages of different content in which it must stand.
+MIN_SHARE = 0.5
+#: A page whose template would be longer than so many times its other text is a copy with a varying
+#: remark, and keeps all its text; on a host of fewer than ``MIN_PAGES`` contents, longer than once.
+MOST_TEMPLATE = 3
 #: Neighbours that repeat as a row of up to so many labels are folded.
 PERIOD = 4
 #: Sibling lists whose lengths multiply to more are paired a row of the table at a time.
@@ -31,9 +37,10 @@ SMALL = 400
 #: Wrappers up to this size in bytes are sent to every task; beyond it pages and wrappers are shuffled by host.
 BROADCAST_BYTES = 32 << 20
 
-# A shape is [label, children] for an element and ["", low, high, pages, places] for a text: the
-# least and greatest hash of its texts, the pages that have it, and, only while a page is read,
-# the places of its text nodes.
+# A shape is [label, children] for an element and ["", spots, places] for a text. A spot is the least
+# and greatest hash of the texts that stand there and the pages that have it, or 0 once they differ;
+# siblings folded in a page have a spot each, in their order. Places are those of the page's text
+# nodes, one per spot, and only kept while a page is read. The root also has its number of pages.
 Shape = list
 
 
@@ -141,18 +148,30 @@ def _long_pairs(left: list[Shape], right: list[Shape]) -> list[tuple[int, int, i
     return pairs
 
 
+def _same_spot(x: list | int, y: list | int) -> list | int:
+    return [x[0], x[0], x[2] + y[2]] if x and y and x[0] == x[1] == y[0] == y[1] else 0
+
+
 def merge(a: Shape, b: Shape, same_page: bool = False) -> Shape:
-    """One shape that both fit: paired nodes are one, the others stand in order."""
+    """One shape that both fit: paired nodes are one, the others stand in order.
+
+    Texts of two pages meet spot by spot; those of one page stand behind each other in ``a``.
+    """
     if _is_text(a):
-        pages = max(a[3], b[3]) if same_page else a[3] + b[3]
-        return ["", min(a[1], b[1]), max(a[2], b[2]), pages, a[4] + b[4]]
+        if same_page:
+            a[1].extend(b[1])
+            a[2].extend(b[2])
+            return a
+        both = min(len(a[1]), len(b[1]))
+        spots = [_same_spot(x, y) for x, y in zip(a[1], b[1])]
+        return ["", spots + a[1][both:] + b[1][both:], []]
     children, i, j = [], 0, 0
     for x, y, _ in [*_best_pairs(a[1], b[1]), (len(a[1]), len(b[1]), 0)]:
         children += a[1][i:x] + b[1][j:y]
         if x < len(a[1]):
             children.append(merge(a[1][x], b[1][y], same_page))
         i, j = x + 1, y + 1
-    return [a[0], children]
+    return [a[0], children, *([a[2] + b[2]] if len(a) > 2 else [])]
 
 
 def shape_of(node: Element | Text) -> Shape:
@@ -160,7 +179,7 @@ def shape_of(node: Element | Text) -> Shape:
     labels, are folded into one."""
     if isinstance(node, Text):
         value = xxhash.xxh64_intdigest(block_text([node.value]).encode("utf-8", "surrogatepass")) >> 1
-        return ["", value, value, 1, [node.place]]
+        return ["", [[value, value, 1]], [node.place]]
     children: list[Shape] = []
     for child in node.children:
         children.append(shape_of(child))
@@ -170,12 +189,12 @@ def shape_of(node: Element | Text) -> Shape:
                 del children[-n:]
                 children[-n:] = [merge(x, y, same_page=True) for x, y in zip(children[-n:], last, strict=True)]
                 break
-    return [node.label, children]
+    return [node.label, children, *([1] if node.parent is None else [])]
 
 
 def _bare(shape: Shape) -> Shape:
     """Without the places, to be handed on."""
-    return [*shape[:4], []] if _is_text(shape) else [shape[0], [_bare(c) for c in shape[1]]]
+    return ["", shape[1], []] if _is_text(shape) else [shape[0], [_bare(c) for c in shape[1]], *shape[2:]]
 
 
 def fold(shapes: list[Shape]) -> Shape:
@@ -189,33 +208,46 @@ def _labels(shape: Shape):
     return "" if _is_text(shape) else [shape[0], [_labels(c) for c in shape[1]]]
 
 
-def _constant(shape: Shape) -> bool:
-    return shape[1] == shape[2] and shape[3] >= MIN_PAGES
+def _needed(pages: int) -> int:
+    """Pages of different content, of so many, in which a text must stand alike."""
+    return max(2, pages) if pages < MIN_PAGES else max(MIN_PAGES, math.ceil(MIN_SHARE * pages))
 
 
-def _varies(shape: Shape) -> bool:
-    return not _constant(shape) if _is_text(shape) else any(map(_varies, shape[1]))
+def _constant(spot: list | int, needed: int) -> bool:
+    return bool(spot) and spot[0] == spot[1] and spot[2] >= needed
 
 
 def template_places(page: Shape, wrapper: Shape) -> set[int]:
     """Places of the page's texts that the wrapper holds constant."""
-    if not _varies(wrapper):
-        return set()  # only copies of one page: nothing can be told apart
+    needed = _needed(wrapper[2])
     found: set[int] = set()
 
     def walk(own: Shape, held: Shape) -> None:
         if _is_text(own):
-            if _constant(held) and own[1] == own[2] == held[1]:
-                found.update(own[4])
+            for mine, spot, place in zip(own[1], held[1], own[2]):
+                if _constant(spot, needed) and mine[0] == spot[0]:
+                    found.add(place)
             return
         for i, j, _ in _best_pairs(own[1], held[1]):
             walk(own[1][i], held[1][j])
 
-    if page[0] == wrapper[0]:
+    if page[0] == wrapper[0] and wrapper[2] > 1:
         walk(page, wrapper)
     return found
 
 
+def _article(texts: list[Text]) -> list[Text]:
+    """What the marks of boilerplate and article leave."""
+    good = [t for t in texts if not t.boiler]
+    rank = max((t.article for t in good if not t.blank), default=0)
+    return [t for t in good if t.article >= rank]
+
+
+def _content(texts: list[Text]) -> int:
+    """Hash of the article's text; copies of one article are one page for the wrapper."""
+    return xxhash.xxh64_intdigest(block_text([t.value + " " for t in _article(texts)]).encode("utf-8", "surrogatepass")) >> 1
+
+
 def main_text(html: str | None, wrapper: Shape | None = None) -> str:
     """The text of the page's varying slots that belong to the article, blocks parted by two \\n.
 
@@ -226,12 +258,14 @@ def main_text(html: str | None, wrapper: Shape | None = None) -> str:
     """
     root, texts = read(html)
     template = template_places(shape_of(root), wrapper) if wrapper else set()
-    good = [t for t in texts if not t.boiler]
+    good = _article(texts)
     rank = max((t.article for t in good if not t.blank), default=0)
+    held = sum(len(t.value) for t in good if t.place in template)
+    rest = sum(len(t.value) for t in good if not t.blank) - held
+    if wrapper and held > rest * (MOST_TEMPLATE if wrapper[2] >= MIN_PAGES else 1):
+        template = set()
     blocks: list[list[Text]] = []
     for t in good:
-        if t.article < rank:
-            continue
         if blocks and blocks[-1][-1].block == t.block:
             blocks[-1].append(t)
         else:
@@ -255,27 +289,41 @@ def host_of(url: Column) -> Column:
 def induce(pages: DataFrame) -> DataFrame:
     """host, wrapper: one tree per host, folded from the shapes of all its pages.
 
-    Pages of one shape are summed up in the tasks. The shapes of a host are then folded in a tree
+    Pages of one content count once, by the least of their shapes. Pages of one shape are summed
+    up in the tasks. The shapes of a host are then folded in a tree
     of at most about ``FAN_IN`` shapes at a time, so the pages of a large host spread over tasks;
     folding takes shapes in the order of their text.
     """
 
+    def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, contents, shapes = [], [], []
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                root, texts = read(html)
+                hosts.append(host)
+                contents.append(_content(texts))
+                shapes.append(json.dumps(_bare(shape_of(root))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(shapes, pa.string())],
+                names=["host", "content", "shape"],
+            )
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], Shape] = {}
 
         def handed() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in seen], pa.string()), pa.array([json.dumps(_bare(s)) for s in seen.values()], pa.string())],
+                [pa.array([h for h, _ in seen], pa.string()), pa.array([json.dumps(s) for s in seen.values()], pa.string())],
                 names=["host", "shape"],
             )
             seen.clear()
             return out
 
         for batch in batches:
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shape = shape_of(read(html)[0])
+            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shape = json.loads(text)
                 key = (host, json.dumps(_labels(shape)))
-                seen[key] = _bare(merge(seen[key], shape)) if key in seen else _bare(shape)
+                seen[key] = merge(seen[key], shape) if key in seen else shape
                 if len(seen) >= GATHERED:
                     yield handed()
         if seen:
@@ -285,7 +333,9 @@ def induce(pages: DataFrame) -> DataFrame:
         shapes = [json.loads(s) for s in sorted(rows["shape"])]
         return pd.DataFrame({"host": rows["host"].iloc[:1], "shape": [json.dumps(fold(shapes))]})
 
-    level = written(pages.select("host", "html").mapInArrow(gather, "host string, shape string"), "shapes")
+    each = pages.select("host", "html").mapInArrow(shaped, "host string, content bigint, shape string")
+    each = each.groupBy("host", "content").agg(F.min("shape").alias("shape")).select("host", "shape")
+    level = written(each.mapInArrow(gather, "host string, shape string"), "shapes")
     while True:
         counts = written(level.groupBy("host").agg(F.count(F.lit(1)).alias("_n")), "shape-counts")
         most = counts.agg(F.max("_n")).first()[0] or 0

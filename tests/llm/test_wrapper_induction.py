@@ -4,7 +4,7 @@ from leadloom.llm import wrapper
 
 
 def _text():
-    return ["", 1, 1, 1, []]
+    return ["", [[1, 1, 1]], []]
 
 
 def test_long_lists_are_matched_as_by_the_recursion(monkeypatch):
@@ -30,3 +30,38 @@ def test_a_late_label_hides_no_pairs():
     right = [*[["p", []] if i % 2 else ["q", []] for i in range(2_000)], ["late", []]]
     assert len(wrapper._best_pairs(left, right)) == 20
     assert wrapper.tree_matching(["x", left], ["x", right]) == 21
+
+
+def _texts(pages):
+    """Texts of a host's pages by a wrapper of all, each content once."""
+    shapes = {}
+    for html in pages:
+        root, texts = wrapper.read(html)
+        shapes.setdefault(wrapper._content(texts), wrapper._bare(wrapper.shape_of(root)))
+    whole = wrapper.fold(list(shapes.values()))
+    return [wrapper.main_text(html, whole) for html in pages]
+
+
+def test_copies_that_alone_have_an_element_keep_it():
+    pages = [f"<div><span>Site</span></div><p>Article {i} with words of its own</p>" for i in range(40)]
+    copies = [f"<div><span>Site</span></div><h2>Heading</h2><p>One article</p><div class=ad>{i}</div>" for i in range(8)]
+    got = _texts(pages + copies)
+    assert got[:40] == [f"Article {i} with words of its own" for i in range(40)]
+    assert set(got[40:]) == {"Heading\n\nOne article"}
+
+
+def test_copies_with_a_varying_remark_keep_their_article():
+    article = "<h1>Heading</h1><p>" + "word " * 80 + "</p>"
+    for remark in ("<footer>{}</footer>", "<div id=x>seen {} times</div>"):
+        for got in _texts([f"<div>{article}</div>{remark.format(i)}" for i in range(9)]):
+            assert got.startswith("Heading\n\nword word")
+
+
+def test_small_hosts_have_a_template():
+    got = _texts([f"<div><span>Site</span></div><p>Article {i} with words of its own</p>" for i in range(3)])
+    assert got == [f"Article {i} with words of its own" for i in range(3)]
+
+
+def test_constants_of_repeated_siblings_are_template():
+    pages = [f"<div><b>Home</b><b>About</b></div><div id=c><p>First words of {i}</p><p>More words of {i}</p></div>" for i in range(9)]
+    assert _texts(pages) == [f"First words of {i}\n\nMore words of {i}" for i in range(9)]
