@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup; all but these two are dropped with their content.
-RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary "
@@ -26,7 +26,7 @@ ENDS = {
 #: Open elements beyond which an end tag or an implied end does not look.
 BARRIERS = frozenset("table ul ol dl article section div body html main aside nav header footer form".split())
 BOILER_TAGS = frozenset(
-    "nav footer aside form button select dialog menu script style noscript template iframe svg math textarea title "
+    "nav footer aside form button select dialog menu script style noscript template iframe svg textarea title "
     "head object canvas audio video datalist".split()
 )
 #: Words of class, id and role that mark what is not the article.
@@ -39,6 +39,10 @@ BOILER_WORDS = frozenset(
     "complementary contentinfo alert alertdialog".split()
 )
 HEADERS = frozenset(("header", "banner"))
+#: Elements that their class, id and role do not mark.
+PLAIN = frozenset(("html", "body", "main", "article"))
+#: An element marked by its words alone that holds so much of the text that no element marks is not marked.
+MOST = 0.9
 ARTICLES = frozenset(("article", "main"))
 #: Nesting beyond which elements are put beside each other.
 DEEPEST = 150
@@ -62,6 +66,7 @@ class Element:
     article: int
     block: int
     link: bool
+    worded: Element | None = None  #: the nearest element, itself included, that words alone mark
     children: list = field(default_factory=list)
 
 
@@ -102,6 +107,7 @@ def read(html: str | None) -> tuple[Element, list[Text]]:
     if not html:
         return root, texts
     here, blocks, articles, at, size = root, 0, 0, 0, len(html)
+    worded: list[tuple[Text, Element]] = []
 
     def say(value: str) -> None:
         blank = value.isspace()
@@ -110,6 +116,8 @@ def read(html: str | None) -> tuple[Element, list[Text]]:
             len(texts), here.block, here.boiler, here.article, here.link, blank,
         )
         texts.append(node)
+        if here.worded is not None and not node.boiler:
+            worded.append((node, here.worded))
         if not blank:
             here.children.append(node)
 
@@ -164,9 +172,11 @@ def read(html: str | None) -> tuple[Element, list[Text]]:
                 here = leave(here)
         attributes = found.group(3) or ""
         mark, words = _marks(attributes)
+        if name in ("svg", "math") and attributes.rstrip().endswith("/"):
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else size
+            at = end.end() if end else at if name == "svg" else size
             continue
         if name in VOID:
             if name == "br":
@@ -175,9 +185,8 @@ def read(html: str | None) -> tuple[Element, list[Text]]:
                 blocks += 1
                 here.block = blocks
             continue
-        boiler = here.boiler or name in BOILER_TAGS or bool(words & BOILER_WORDS)
-        if not here.article and (name in HEADERS or words & HEADERS or "header" in words):
-            boiler = True
+        boiler = here.boiler or name in BOILER_TAGS or not here.article and name in HEADERS
+        marked = name not in PLAIN and (words & BOILER_WORDS or not here.article and words & HEADERS)
         article = here.article
         if name in ARTICLES or "main" in words and "role" in attributes:
             rank = 2 if name == "article" else 1
@@ -187,15 +196,32 @@ def read(html: str | None) -> tuple[Element, list[Text]]:
         parent = here if here.depth < DEEPEST else here.parent
         element = Element(
             name, f"{name}#{mark}" if mark else name, parent, parent.depth + 1, boiler, article,
-            blocks if name in BLOCKS else here.block, here.link or name == "a",
+            blocks if name in BLOCKS else here.block, here.link or name == "a", here.worded,
         )
+        if marked:
+            element.worded = element
         parent.children.append(element)
         here = element
-        if attributes.endswith("/") and name in ("svg", "math"):
-            here = leave(here)
+    _mark(texts, worded)
     return root, texts
 
 
+def _mark(texts: list[Text], worded: list[tuple[Text, Element]]) -> None:
+    """Mark the texts inside elements that words mark, unless such an element holds most of the page."""
+    held: dict[int, int] = {}
+    for text, inner in worded:
+        element = None if text.blank else inner
+        while element is not None:
+            held[id(element)] = held.get(id(element), 0) + len(text.value)
+            element = element.parent and element.parent.worded
+    least = MOST * sum(len(t.value) for t in texts if not t.boiler and not t.blank)
+    for text, inner in worded:
+        element = inner
+        while element is not None and held.get(id(element), 0) >= least > 0:
+            element = element.parent and element.parent.worded
+        text.boiler = element is not None
+
+
 def block_text(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 

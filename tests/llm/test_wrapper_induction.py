@@ -65,3 +65,22 @@ def test_small_hosts_have_a_template():
 def test_constants_of_repeated_siblings_are_template():
     pages = [f"<div><b>Home</b><b>About</b></div><div id=c><p>First words of {i}</p><p>More words of {i}</p></div>" for i in range(9)]
     assert _texts(pages) == [f"First words of {i}\n\nMore words of {i}" for i in range(9)]
+
+
+def test_icons_and_formulas_drop_nothing_else():
+    assert wrapper.main_text("<p>one</p><svg class=i /><p>two</p><svg><text>x</text></svg><p>three</p>") == "one\n\ntwo\n\nthree"
+    assert wrapper.main_text("<p>one <math/>and <math><mi>x</mi><mo>=</mo><mn>2</mn></math> two</p><svg><p>rest</p>") == "one and x=2 two\n\nrest"
+
+
+def test_words_of_a_class_do_not_drop_the_article():
+    article = "<p>" + "word " * 60 + "</p>"
+    side = "<div class=sidebar>Side</div>"
+    for page in (
+        f"<html class=menu-open><body class='has-sidebar header-fixed'>{article}{side}</body></html>",
+        f"<body><article class='post comments-open'>{article}{side}</article></body>",
+        f"<body><main id=search class=widget>{article}{side}</main></body>",
+        f"<body><div class='layout has-sidebar'><div class=no-ads>{article}</div>{side}</div><footer>f</footer></body>",
+    ):
+        assert wrapper.main_text(page) == ("word " * 60).strip()
+    comments = "<div id=comments><p>" + "reply " * 90 + "</p></div>"
+    assert wrapper.main_text(f"<div>{article}</div>{comments}") == ("word " * 60).strip()
