@@ -16,10 +16,12 @@ from leadloom.llm.common import remainder
 
 #: Longest context in bytes.
 ORDER = 3
-#: Bytes of training text read per language, in expectation.
+#: Bytes of training text read per language, about.
 TRAINING_BYTES = 8_000_000
-#: Languages learned, those with most training text.
-MOST_LANGUAGES = 64
+#: Bytes of training text read for all languages together; with more than eight each gets an equal part.
+TOTAL_BYTES = 64_000_000
+#: Steps in which a language's sample is filled.
+STEPS = 256
 UNDETERMINED = "und"
 
 
@@ -152,25 +154,39 @@ def _text_bytes(text: str | None) -> bytes:
 def learn(docs: DataFrame, trains: Column, label: str = "lang", training_bytes: int = TRAINING_BYTES) -> Model:
     """Context trees from the training rows.
 
-    A language with more than ``training_bytes`` of text is read by a hash sample of its documents,
-    whole, so that the model has a fixed size however large the table is. Runs are counted in the
-    tasks and summed by language and run; the sums of the sample reach the driver.
+    Every language is learned. One with more text than its part of the bytes is read in hash order
+    of its documents until the part is full, at least one document and none beyond the part, so
+    that the sample has a fixed size however large the table is. Runs are counted in the tasks and
+    summed by language and run; the sums of the sample reach the driver.
     """
-    rows = docs.where(trains & F.col(label).isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy(label).agg(F.sum(F.octet_length("text")).alias("n"))
-    known = sizes.where("n > 0").orderBy(F.col("n").desc(), label).limit(MOST_LANGUAGES).collect()
+    rows = docs.where(trains & F.col(label).isNotNull() & (F.octet_length("text") > 0))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 40)) / float(1 << 40)
+    rows = rows.select(F.col(label).alias("lang"), "text", draw.alias("_draw"), F.octet_length("text").cast("bigint").alias("_n"))
+    known = rows.groupBy("lang").agg(F.sum("_n").alias("n"), F.min("_draw").alias("first")).collect()
     if not known:
         return Model.fit({})
-    share = F.create_map(*[F.lit(x) for r in known for x in (r[0], min(1.0, training_bytes / r["n"]))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(draw < share[F.col(label)]).select(F.col(label).alias("lang"), "text")
+    part = max(1, min(training_bytes, TOTAL_BYTES // len(known)))
+    # twice the expected share, so that the part is filled
+    reach = [(r["lang"], max(r["first"], min(1.0, 2 * part / r["n"])), r["n"] <= part) for r in known]
+    spark, kind = docs.sparkSession, docs.schema[label].dataType.simpleString()
+    reach = spark.createDataFrame(reach, f"lang {kind}, _reach double, _all boolean")
+    step = F.when(F.col("_all") | (F.col("_reach") <= 0), 0).otherwise(F.floor(F.col("_draw") / F.col("_reach") * STEPS))
+    near = rows.join(F.broadcast(reach), "lang").where("_draw <= _reach").withColumn("_step", step.cast("bigint"))
+    last: dict = {}
+    full: dict = {}
+    for r in near.groupBy("lang", "_step").agg(F.sum(F.least("_n", F.lit(part))).alias("n")).orderBy("lang", "_step").collect():
+        if full.get(r["lang"], 0) < part:
+            last[r["lang"]] = r["_step"]
+            full[r["lang"]] = full.get(r["lang"], 0) + r["n"]
+    ends = spark.createDataFrame(list(last.items()), f"lang {kind}, _last bigint")
+    sample = near.join(F.broadcast(ends), "lang").where("_step <= _last").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = b"\n" * ORDER
         for batch in batches:
             texts: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = np.frombuffer(lead + _text_bytes(text), dtype=np.uint8)
+                data = np.frombuffer(lead + _text_bytes(text)[:part], dtype=np.uint8)
                 texts.setdefault(lang, []).append(_grams(data, ORDER + 1))
             for lang, runs in texts.items():
                 keys, n = np.unique(np.concatenate(runs), return_counts=True)
@@ -180,9 +196,12 @@ def learn(docs: DataFrame, trains: Column, label: str = "lang", training_bytes:
 
     counted = sample.mapInArrow(count, "lang string, run bigint, n bigint")
     table = counted.groupBy("lang", "run").agg(F.sum("n").alias("n")).toArrow()
-    lang = np.array(table["lang"].to_pylist(), dtype=object)
-    run, n = table["run"].to_numpy(), table["n"].to_numpy()
-    return Model.fit({name: (run[lang == name], n[lang == name].astype(float)) for name in set(lang)})
+    codes = table["lang"].combine_chunks().dictionary_encode()
+    lang, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+    order = np.argsort(lang, kind="stable")
+    run, n = table["run"].to_numpy()[order], table["n"].to_numpy()[order].astype(float)
+    ends = np.searchsorted(lang[order], np.arange(len(names) + 1))
+    return Model.fit({name: (run[a:b], n[a:b]) for name, a, b in zip(names, ends, ends[1:], strict=False)})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
