@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontamination, language, lattice_lm, mixing, quality, simhash, tokens, toxicity, warc, wrapper
+from leadloom.llm import decontamination, language, lattice_lm, mixing, quality, simhash, tokens, toxicity, vector_codes, warc, wrapper
 from leadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def wrapper_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_warc_derivatives")
 def warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derive(warc.responses_of(table(spark, folder, "pages"))).drop("block")
+
+
+@query("op11_hilbert_codes")
+def hilbert_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings"))
