@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import decontamination, language, lattice_lm, merge_codec, mixing, quality, simhash, tokens, toxicity, vector_codes, warc, wrapper
+from leadloom.llm import chat_repair, decontamination, language, lattice_lm, merge_codec, mixing, quality, simhash, tokens, toxicity, vector_codes, warc, wrapper
 from leadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def hilbert_codes(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_stream_bpe")
 def stream_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return merge_codec.digests(merge_codec.transcode(table(spark, folder, "documents")))
+
+
+@query("op12_converging_repair")
+def converging_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_repair.report(table(spark, folder, "conversations"))
