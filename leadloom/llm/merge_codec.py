@@ -1,10 +1,10 @@
 """Byte-pair encoding as a streaming transducer with bounded lookahead, and incremental decoding.
 
-A word is read symbol by symbol. For every position the last token of the encoding of what was read
-so far is known: it is the one token ending there that agrees with the last token before it. Two
-neighbouring tokens agree if no merge across their border would have come before the merges that
-made them. How far back a further symbol can still move a border is bounded by the list of merges
-alone (``lookahead``), so tokens that end before that reach are emitted and forgotten.
+Tokens are an encoding if and only if each stands alone and all neighbours agree: no merge across
+their border would have come before the merges that made them. So a window of a word is encoded by
+looking for the one way through it in which they do. How far back a further symbol can still move a
+border is bounded by the list of merges alone (``lookahead``); tokens that end before that reach are
+emitted and forgotten.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import re
 import sys
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 WORD_FILE = "/opt/tokenizers/word_bpe_49k.json"
 #: The last symbol of a word is another symbol than the same byte inside it.
 LAST = 0x10000
-#: Words and runs without space that are remembered per task; beyond it the memory starts anew.
+#: The words of a text, as the file names them.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words that are remembered per task; beyond it the memory starts anew.
 REMEMBERED = 300_000
 LONGEST_REMEMBERED = 48
 #: Texts are cut at a space after about so many characters, and so many documents leave a task at once.
 PIECE, AT_ONCE = 1 << 16, 512
-#: Characters that ``str.split`` splits at although they are no white space in the file's pattern.
-CONTROLS = re.compile(r"[\x1c-\x1f]").search
 
 
 def byte_symbols() -> list[str]:
@@ -58,6 +59,9 @@ class Merges:
             self.rank[a + b] = rank
             self.parts[a + b] = (a, b)
         self.longest = max(map(len, self.rank), default=1)
+        #: Every beginning of a token, and whether it is a token itself.
+        self.heads = {token[:i]: False for token in self.rank for i in range(1, len(token))}
+        self.heads.update(dict.fromkeys(self.rank, True))
         self.lookahead = self._lookahead(pairs, symbols) + self.longest
         self.known: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
@@ -122,63 +126,81 @@ class Merges:
 
 
 class Transducer:
-    """Encodes one word from pieces of any size; keeps no more than about twice the lookahead."""
+    """Encodes a word from pieces of any size; holds about twice the lookahead at most.
+
+    Tokens that end a lookahead or more before the end of what was read are stable: they are emitted
+    and forgotten, but for the last, with which the next one must agree.
+    """
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.text = ""
-        #: For every position of ``text``, the last token of the encoding up to there.
-        self.tokens = [""]
-        #: Whether something before ``text`` was emitted; its last token, which the next must agree with.
-        self.before = ""
+        self.step = max(merges.lookahead, 64)
+        self.text, self.before = "", ""
 
     def feed(self, symbols: str) -> list[str]:
         """Take more symbols; the tokens that nothing behind them can change any more."""
         out: list[str] = []
-        step = max(self.merges.lookahead, 64)
-        for at in range(0, len(symbols), step):
-            self._read(symbols[at : at + step])
-            if len(self.text) >= self.merges.lookahead + step:
-                out += self._emit(len(self.text) - self.merges.lookahead)
+        for at in range(0, len(symbols), self.step):
+            self.text += symbols[at : at + self.step]
+            if len(self.text) >= self.merges.lookahead + self.step:
+                out += self._stable()
         return out
 
     def finish(self) -> list[str]:
         """The rest; the transducer is then ready for another word."""
-        out = self._emit(len(self.text))
-        self.text, self.tokens, self.before = "", [""], ""
+        out = self._tokens()
+        self.text, self.before = "", ""
         return out
 
-    def _read(self, symbols: str) -> None:
-        merges, rank, tokens = self.merges, self.merges.rank, self.tokens
-        start = len(self.text)
-        self.text = text = self.text + symbols
-        for end in range(start + 1, len(text) + 1):
-            for begin in range(max(0, end - merges.longest), end):
-                token = text[begin:end]
-                if token not in rank:
-                    continue
-                previous = tokens[begin] if begin else self.before
-                if begin and not previous:
+    def _stable(self) -> list[str]:
+        stable, end = [], 0
+        for token in self._tokens():
+            if end + len(token) > len(self.text) - self.merges.lookahead:
+                break
+            end += len(token)
+            stable.append(token)
+        if stable:
+            self.text, self.before = self.text[end:], stable[-1]
+        return stable
+
+    def _tokens(self) -> list[str]:
+        """The tokens of ``text``: the only way through it in which all neighbours agree.
+
+        The longest token is tried first. A place that was reached and led nowhere is not tried
+        again, since only one way leads to it.
+        """
+        text, merges, size = self.text, self.merges, len(self.text)
+        heads, known, whole = merges.heads.get, merges.known.get, merges.whole.get
+        way: list[str] = []
+        choices: list[list[str]] = []
+        dead: set[int] = set()
+        at, previous, found = 0, self.before, None
+        while at < size:
+            if found is None:  # a place met for the first time
+                found = []
+                for end in range(at + 1, size + 1):
+                    if (is_token := heads(token := text[at:end])) is None:
+                        break
+                    if is_token:
+                        found.append(token)
+            while found:
+                token = found.pop()
+                if at + len(token) in dead:
                     continue
-                if (merges.agree(previous, token) if previous else True) and merges.stands(token):
-                    tokens.append(token)
+                if previous:
+                    agreed = known((previous, token))
+                    if not (merges.agree(previous, token) if agreed is None else agreed):
+                        continue
+                if whole(token) or merges.stands(token):
+                    choices.append(found)
+                    way.append(token)
+                    at, previous, found = at + len(token), token, None
                     break
             else:
-                tokens.append("")  # only within the reach of what was emitted
-
-    def _emit(self, limit: int) -> list[str]:
-        out: list[str] = []
-        at = len(self.text)
-        while at:
-            token = self.tokens[at]
-            if at <= limit:
-                out.append(token)
-            at -= len(token)
-        out.reverse()
-        done = sum(map(len, out))
-        if out:
-            self.text, self.tokens, self.before = self.text[done:], ["", *self.tokens[done + 1 :]], out[-1]
-        return out
+                dead.add(at)
+                at -= len(way.pop())
+                previous, found = way[-1] if way else self.before, choices.pop()
+        return way
 
 
 class Memory(dict):
@@ -231,49 +253,51 @@ class Codec:
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in found["added_tokens"]):
             raise ValueError("a special token of another kind")
         inside = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
-        self.at_special = re.compile(f"({inside})").split if inside else lambda text: [text]
+        self.at_special = re.compile(f"({inside})").split if inside else (lambda text: [text])
+        firsts = {t[0] for t in self.special}
+        self.mark = firsts.pop() if len(firsts) == 1 else ""  # runs without it hold no special token
+        if split["pattern"]["Regex"] != PATTERN:
+            raise ValueError("a tokenizer file with other words")
         self.words_of = regex.compile(split["pattern"]["Regex"]).findall
-        self.runs_of = regex.compile(r"\S+").findall
+        #: The same for text in lower-case ASCII.
+        self.plain_words_of = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
         self.transducer = Transducer(self.merges)
-        self.words, self.runs = Memory(self._word), Memory(self._run)
+        self.words = Memory(self._word)
 
     @classmethod
     def read(cls, path: str = WORD_FILE) -> Codec:
         return cls(Path(path).read_text(encoding="utf-8"))
 
-    def symbols(self, word: str, last: bool = True) -> str:
+    def symbols(self, word: str) -> str:
         """The bytes of a word as symbols, the last one marked."""
-        found = "".join(map(self.bytes.__getitem__, word.encode("utf-8", "replace")))
-        return found[:-1] + chr(ord(found[-1]) + LAST) if last and found else found
+        found = word if word.isalnum() and word.isascii() else "".join(map(self.bytes.__getitem__, word.encode("utf-8", "replace")))
+        return found[:-1] + chr(ord(found[-1]) + LAST)
 
     def _word(self, word: str) -> bytes:
-        tokens = self.transducer.feed(self.symbols(word)) + self.transducer.finish()
-        return np.array([self.ids[t] for t in tokens], dtype="<i4").tobytes()
-
-    def _run(self, run: str) -> bytes:
-        """Tokens of what stands between two spaces."""
-        out = []
-        for part in self.at_special(run):
-            if part in self.special:
-                out.append(np.array([self.special[part]], dtype="<i4").tobytes())
-            elif part:
-                # a capital sigma is lowered without regard to its place
-                lowered = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out.extend(map(self.words.__getitem__, self.words_of(lowered)))
-        return b"".join(out)
+        if word in self.special:  # the words of a text hold no whole special token
+            return pack("<i", self.special[word])
+        tokens = self.transducer.feed(self.symbols(word))
+        tokens += self.transducer.finish()
+        return pack(f"<{len(tokens)}i", *map(self.ids.__getitem__, tokens))
+
+    def _words(self, text: str) -> list[str]:
+        """Words of a text without special tokens; a capital sigma is lowered without regard to its place."""
+        if text.isascii():
+            return self.plain_words_of(text.lower())
+        return self.words_of(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def pieces(self, text: str) -> Iterator[np.ndarray]:
-        """Token numbers, piece by piece of the text."""
+        """Token numbers, piece by piece of the text; pieces end before a space, which composes with nothing."""
         at = 0
         while at < len(text):
             end = at + PIECE
-            if end < len(text):
-                while end < len(text) and text[end] not in " \n\t":
-                    end += 1
-            part = text[at:end]
-            runs = self.runs_of(part) if CONTROLS(part) else part.split()
-            yield np.frombuffer(b"".join(map(self.runs.__getitem__, runs)), dtype="<i4")
-            at = end
+            while end < len(text) and text[end] not in " \n\t":
+                end += 1
+            piece, at = text[at:end], end
+            parts = self.at_special(piece) if self.mark in piece else [piece]
+            for i, part in enumerate(parts):
+                words = [part] if i % 2 else self._words(part)
+                yield np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<i4")
 
     def encode(self, text: str | None) -> np.ndarray:
         found = list(self.pieces(text or ""))

@@ -66,12 +66,20 @@ def test_the_transducer_keeps_little(codec, library):
         size = rng.randint(1, 900)
         out += machine.feed(symbols[at : at + size])
         at += size
-        assert len(machine.text) <= 2 * max(64, codec.merges.lookahead) + 900
+        assert len(machine.text) < codec.merges.lookahead + machine.step
     assert len(out) > 0
     out += machine.finish()
     assert [codec.ids[t] for t in out] == library.encode(text, add_special_tokens=False).ids
 
 
+def test_forgotten_words_change_nothing(codec, library, monkeypatch):
+    monkeypatch.setattr(merge_codec, "REMEMBERED", 50)
+    other = merge_codec.Codec.read()
+    rng = random.Random(3)
+    for _ in range(40):
+        _agrees(other, library, " ".join("".join(rng.choice("thean's1é") for _ in range(rng.randint(1, 30))) for _ in range(30)))
+
+
 def test_small_lists_against_plain_merging():
     """Merge lists made to let one symbol change borders far to the left."""
     rng = random.Random(4)
@@ -91,6 +99,7 @@ def test_small_lists_against_plain_merging():
                 size = rng.randint(1, 100)
                 out += machine.feed(text[at : at + size])
                 at += size
+                assert len(machine.text) < merges.lookahead + machine.step
             assert out + machine.finish() == _plain_merges(pairs, text)
 
 
