@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import sys
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -10,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
-from leadloom.operators.ranking import Key, with_positions
+from leadloom.operators.ranking import Key, Running, null_safe_key, with_positions, with_running
+from leadloom.session import cut_lineage
 
 SITE = ["empresa_id", "punto_venta_id"]
 
@@ -152,62 +155,223 @@ def pending_by_reason(pending: DataFrame) -> DataFrame:
     return pending.groupBy("empresa_id", "motivo").agg(F.count(F.lit(1)).alias("leads"))
 
 
-def transfer_owners(requests: DataFrame, states: DataFrame, members: DataFrame,
-                    assignments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Decide a batch of portfolio transfers.
+#: Requests between two summary rows of a running value.
+LEDGER_CHUNK = 4096
 
-    ``requests``: solicitud_id, empresa_id, lead_consolidado_id, destino. ``states``: lead columns,
-    responsable, punto_venta_id. ``members``: membresia_id, empresa_id, rol, activa, asesor_id,
-    punto_venta_id, capacidad. ``assignments`` (today): lead columns, membresia_id, estado,
-    posicion_inicial. Returns (decisions, assignments after). An open assignment moves only within
-    the target's free places, counted at the start of the batch in request order; a completed one
-    keeps its advisor and still takes a place.
-    """
+
+def _asked(requests: DataFrame, states: DataFrame, members: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Requests with all that no other request can change, one row per request."""
     lead = ["empresa_id", "lead_consolidado_id"]
     target = members.select(
         F.col("membresia_id").alias("destino"), F.col("empresa_id").alias("_m_emp"), "rol",
-        "activa", "asesor_id", F.col("punto_venta_id").alias("_m_site"), "capacidad")
-    load = assignments.join(
-        members.select("membresia_id", "asesor_id"), "membresia_id"
-    ).groupBy("asesor_id").agg(F.count(F.lit(1)).alias("carga"))
-    top = assignments.groupBy(F.col("membresia_id").alias("destino")).agg(
-        F.max("posicion_inicial").alias("_top"))
+        "activa", F.col("asesor_id").alias("_to"), F.col("punto_venta_id").alias("_m_site"))
+    holder = members.select(
+        F.col("membresia_id").alias("_a_member"), F.col("asesor_id").alias("_a_asesor"))
     today = assignments.select(*lead, F.col("estado").alias("_a_estado"),
-                               F.col("membresia_id").alias("_a_member"))
+                               F.col("membresia_id").alias("_a_member")).join(holder, "_a_member", "left")
     j = (
-        requests.join(states.select(*lead, "responsable", "punto_venta_id"), lead, "left")
-        .join(target, "destino", "left").join(today, lead, "left")
-        .join(load, "asesor_id", "left").join(top, "destino", "left")
-    )
-    valid_member = (
-        (F.col("_m_emp") == F.col("empresa_id")) & (F.col("rol") == "asesor") & F.col("activa"))
-    moves = (
-        F.col("_a_member").isNotNull() & (F.col("_a_estado") != "completada")
-        & (F.col("_a_member") != F.col("destino")))
-    reason = (
-        F.when(~F.coalesce(valid_member, F.lit(False)), "responsable_invalido")
-        .when(F.col("responsable") == F.col("destino"), "sin_cambio")
-        .when(F.col("asesor_id").isNull(), "sin_asesor_operativo")
+        requests.select("solicitud_id", *lead, "destino")
+        .join(states.select(*lead, "responsable", "punto_venta_id"), lead, "left")
+        .join(target, "destino", "left").join(today, lead, "left"))
+    valid_member = (F.col("_m_emp") == F.col("empresa_id")) & (F.col("rol") == "asesor") & F.col("activa")
+    late = (  # reasons that stand behind "sin_cambio"
+        F.when(F.col("_to").isNull(), "sin_asesor_operativo")
         .when(F.coalesce("punto_venta_id", F.lit("")) == "", "sin_sede_verificable")
-        .when(~F.coalesce(F.col("_m_site") == F.col("punto_venta_id"), F.lit(False)),
-              "sede_distinta"))
-    j = j.withColumns({"_why": reason, "_moves": F.coalesce(moves, F.lit(False))})
-    movers = with_positions(
-        j.where(F.col("_why").isNull() & F.col("_moves")), ["asesor_id"], [Key("solicitud_id")],
-        [Key(F.floor(F.col("solicitud_id") / 1024))], out="_n")
-    movers = movers.withColumn("_why", F.when(
-        F.col("_n") + F.coalesce("carga", F.lit(0)) > F.coalesce("capacidad", F.lit(0)),
-        "sin_cupo"))
-    rest = j.where(F.col("_why").isNotNull() | ~F.col("_moves")).withColumn(
-        "_n", F.lit(None).cast("bigint"))
-    decided = movers.unionByName(rest)
-    decisions = decided.select(
-        "solicitud_id", *lead, "destino", F.col("responsable").alias("anterior"),
-        F.coalesce("_why", F.lit("transferido")).alias("decision"),
-        F.when(F.col("_why").isNull() & F.col("_moves"),
-               F.coalesce("_top", F.lit(0)) + F.col("_n")).alias("posicion_inicial"))
-    moved = decisions.where(F.col("posicion_inicial").isNotNull()).select(
-        *lead, F.col("destino").alias("_to"), F.col("posicion_inicial").alias("_pos"))
+        .when(~F.coalesce(F.col("_m_site") == F.col("punto_venta_id"), F.lit(False)), "sede_distinta"))
+    return j.withColumns({
+        "_invalid": ~F.coalesce(valid_member, F.lit(False)), "_late": late,
+        "_open": F.col("_a_member").isNotNull() & (F.coalesce("_a_estado", F.lit("")) != "completada"),
+        "_lead": null_safe_key(lead),
+    }).drop("rol", "activa", "_m_emp", "_m_site", "_a_estado", "punto_venta_id")
+
+
+def _judged(asked: DataFrame) -> DataFrame:
+    """Owner and holder of each request's lead as the requests granted before left them, and what follows."""
+    chunk = F.floor(F.col("solicitud_id") / LEDGER_CHUNK)
+    given = F.when(F.col("_granted"), F.struct(F.col("destino").alias("m"), F.col("_to").alias("a")))
+    x = with_running(asked, ["_lead"], ["solicitud_id"], chunk, {"_before": Running("last", given)}, 1)
+    owner = F.coalesce("_before.m", "responsable")
+    x = x.withColumns({
+        "_owner": owner, "_holder": F.coalesce("_before.m", "_a_member"),
+        "_from": F.when(F.col("_before").isNotNull(), F.col("_before.a")).otherwise(F.col("_a_asesor"))})
+    why = (F.when(F.col("_invalid"), "responsable_invalido")
+           .when(F.col("_owner") == F.col("destino"), "sin_cambio").otherwise(F.col("_late")))
+    moves = why.isNull() & F.col("_open") & (F.col("_holder") != F.col("destino"))
+    return x.withColumns({"_why": why, "_moves": F.coalesce(moves, F.lit(False))}).drop("_before")
+
+
+def _ledger(judged: DataFrame, room: DataFrame) -> DataFrame:
+    """solicitud_id, _fits: whether a move finds a free place, given the departures that were granted.
+
+    Per advisor, arrivals that find no place are turned away. With I arrivals and O departures so far,
+    ``load + I - O - capacity`` (but never more than I) is the least number that must have been turned
+    away by then, and the running maximum of that is the number that was. So an arrival is turned
+    away exactly where the maximum rises: no step by step count is needed.
+    """
+    arrivals = judged.where("_moves").select("empresa_id", F.col("_to").alias("asesor_id"), "solicitud_id", F.lit(1).alias("_in"))
+    departures = judged.where(F.col("_moves") & F.col("_granted") & F.col("_from").isNotNull()).select(
+        "empresa_id", F.col("_from").alias("asesor_id"), "solicitud_id", F.lit(0).alias("_in"))
+    advisor = ["empresa_id", "asesor_id"]
+    chunk = F.floor(F.col("solicitud_id") / LEDGER_CHUNK)
+    events = arrivals.unionByName(departures).withColumn("_after", 1 - F.col("_in"))
+    order = ["solicitud_id", "_after"]  # a request arrives before it leaves the former advisor
+    counted = with_running(events, advisor, order, chunk, {
+        "_i": Running("sum", F.col("_in"), True), "_o": Running("sum", 1 - F.col("_in"), True)}, 1)
+    arrived = counted.where("_in = 1").join(room, advisor)
+    over = F.least(F.col("_load") + F.col("_i") - F.col("_o") - F.col("_places"), F.col("_i"))
+    arrived = arrived.withColumn("_over", F.greatest(over, F.lit(0)))
+    turned = with_running(arrived, advisor, order, chunk, {
+        "_now": Running("max", F.col("_over"), True), "_past": Running("max", F.col("_over"))}, 1)
+    return turned.select("solicitud_id", (F.col("_now") == F.coalesce("_past", F.lit(0))).alias("_fits"))
+
+
+#: Companies with more requests than this are settled in rounds, spread over many tasks.
+IN_ORDER = 50_000
+_OUTCOME = "solicitud_id bigint, _owner bigint, _holder bigint, _why string, _moves boolean, _granted boolean"
+
+
+def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One company after the other: its free places first, then its requests in order."""
+    company, load, places, holds, owns = None, {}, {}, {}, {}
+    for frame in frames:
+        out = []
+        for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False):
+            if row.empresa != company:
+                company, load, places, holds, owns = row.empresa, {}, {}, {}, {}
+            if row.solicitud_id is None:
+                load[row.to_], places[row.to_] = row.load, row.places
+                continue
+            lead = row.lead
+            owner = owns.get(lead, row.responsable)
+            holder, leaves = holds.get(lead, (row.member, row.asesor))
+            why = "responsable_invalido" if row.invalid else "sin_cambio" if owner == row.destino else row.late
+            moves = why is None and row.open and holder != row.destino
+            granted = why is None and (not moves or load.get(row.to_, 0) < places.get(row.to_, 0))
+            if granted:
+                owns[lead], holds[lead] = row.destino, (row.destino, row.to_)
+                if moves:
+                    load[row.to_] = load.get(row.to_, 0) + 1
+                    if leaves is not None:
+                        load[leaves] = load.get(leaves, 0) - 1
+            out.append((row.solicitud_id, owner, holder, why, moves, granted))
+        yield pd.DataFrame(out, columns=["solicitud_id", "_owner", "_holder", "_why", "_moves", "_granted"]).astype(
+            {"solicitud_id": "int64", "_owner": "Int64", "_holder": "Int64", "_moves": bool, "_granted": bool})
+
+
+def _in_order(asked: DataFrame, room: DataFrame) -> DataFrame:
+    """Outcomes of companies with a bounded number of requests, each passed through in order."""
+    nothing = {c: F.lit(None).cast(t) for c, t in (
+        ("lead", "string"), ("destino", "bigint"), ("invalid", "boolean"), ("late", "string"), ("open", "boolean"),
+        ("responsable", "bigint"), ("member", "bigint"), ("asesor", "string"), ("solicitud_id", "bigint"))}
+    rows = asked.select(
+        F.col("empresa_id").alias("empresa"), "solicitud_id", F.col("_lead").alias("lead"), "destino", F.col("_to").alias("to_"),
+        F.col("_invalid").alias("invalid"), F.col("_late").alias("late"), F.col("_open").alias("open"), "responsable",
+        F.col("_a_member").alias("member"), F.col("_a_asesor").alias("asesor"), F.lit(None).cast("bigint").alias("load"),
+        F.lit(None).cast("bigint").alias("places"))
+    free = room.select(F.col("empresa_id").alias("empresa"), F.col("asesor_id").alias("to_"), F.col("_load").alias("load"),
+                       F.col("_places").cast("bigint").alias("places")).withColumns(nothing)
+    free = free.join(rows.select("empresa").distinct(), "empresa", "left_semi")
+    # a key of its own: a union of inputs that are dealt by company already is not dealt again
+    dealt = free.unionByName(rows).repartition(F.xxhash64("empresa", F.lit(1))).sortWithinPartitions("empresa", F.col("solicitud_id").asc_nulls_first())
+    return asked.join(dealt.mapInPandas(_walk, _OUTCOME), "solicitud_id")
+
+
+def _in_rounds(asked: DataFrame, room: DataFrame) -> DataFrame:
+    """Rounds of guesses until none changes.
+
+    Each request's outcome depends on earlier requests alone, so there is one set of outcomes that
+    agrees with itself: what a round leaves unchanged is what a pass in order would find. Every round
+    settles each advisor's whole sequence, so the number of rounds is that of moves that free a place
+    for one another in a chain, not of requests.
+    """
+    guess = cut_lineage(asked.withColumn("_granted", ~F.col("_invalid") & F.col("_late").isNull()))
+    while True:
+        judged = cut_lineage(_judged(guess))
+        fits = _ledger(judged, room)
+        now = F.col("_why").isNull() & (~F.col("_moves") | F.coalesce("_fits", F.lit(False)))
+        after = cut_lineage(judged.join(fits, "solicitud_id", "left").withColumns({"_granted": now, "_guess": F.col("_granted")}))
+        if after.where("_granted <> _guess").isEmpty():
+            return after.drop("_guess", "_fits", "_from")
+        guess = after.drop("_guess", "_fits", "_why", "_moves", "_owner", "_holder", "_from")
+
+
+def _decided(requests: DataFrame, states: DataFrame, members: DataFrame, assignments: DataFrame, in_order: int) -> DataFrame:
+    own = members.where("asesor_id is not null").select("membresia_id", "empresa_id", "asesor_id", "capacidad")
+    load = assignments.select("membresia_id").join(own, "membresia_id").groupBy("empresa_id", "asesor_id").agg(
+        F.count(F.lit(1)).alias("_load"))
+    places = own.groupBy("empresa_id", "asesor_id").agg(F.max(F.coalesce("capacidad", F.lit(0))).alias("_places"))
+    room = cut_lineage(places.join(load, ["empresa_id", "asesor_id"], "left").select(
+        "empresa_id", "asesor_id", "_places", F.coalesce("_load", F.lit(0)).alias("_load")))
+    asked = cut_lineage(_asked(requests, states, members, assignments))
+    large = cut_lineage(asked.groupBy("empresa_id").count().where(F.col("count") > in_order).select("empresa_id"))
+    decided = _in_order(asked.join(large, "empresa_id", "left_anti"), room)
+    if not large.isEmpty():
+        rounds = _in_rounds(asked.join(large, "empresa_id", "left_semi"), room)
+        decided = decided.unionByName(rounds.select(decided.columns))
+    return cut_lineage(decided)
+
+
+def _positions(decided: DataFrame, assignments: DataFrame) -> DataFrame:
+    """solicitud_id, posicion_inicial of granted moves: one more than the greatest place still held.
+
+    A member's arrivals and departures pass through one task in order. What is held are the places of
+    the day, as many as the member's capacity allows (and those given before), not the requests.
+    """
+    lead = ["empresa_id", "lead_consolidado_id"]
+    moves = decided.where("_moves and _granted")
+    rows = (
+        assignments.select(F.col("membresia_id").alias("_m"), F.lit(None).cast("bigint").alias("solicitud_id"), null_safe_key(lead).alias("_lead"),
+                           F.lit(0).alias("_kind"), F.col("posicion_inicial").cast("bigint").alias("_at"))
+        .unionByName(moves.select(F.col("destino").alias("_m"), "solicitud_id", "_lead", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_at")))
+        .unionByName(moves.select(F.col("_holder").alias("_m"), "solicitud_id", "_lead", F.lit(2).alias("_kind"), F.lit(None).cast("bigint").alias("_at"))))
+    dealt = rows.repartition(F.xxhash64("_m", F.lit(1))).sortWithinPartitions("_m", F.col("solicitud_id").asc_nulls_first(), "_kind")
+    return dealt.select("_m", "solicitud_id", "_lead", "_kind", "_at").mapInPandas(_give_places, "solicitud_id bigint, posicion_inicial bigint")
+
+
+def _give_places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    member, held, top = None, {}, []
+    for frame in frames:
+        out = []
+        for m, request, lead, kind, at in frame.itertuples(index=False, name=None):
+            if m != member:
+                member, held, top = m, {}, []
+            if kind == 2:
+                held.pop(lead, None)
+                continue
+            if kind == 1:
+                while top and held.get(top[0][1]) != -top[0][0]:
+                    heapq.heappop(top)  # given up meanwhile
+                at = 1 - top[0][0] if top else 1
+                out.append((request, at))
+            elif pd.isna(at):
+                continue
+            held[lead] = at
+            heapq.heappush(top, (-at, lead))
+        yield pd.DataFrame(out, columns=["solicitud_id", "posicion_inicial"]).astype("int64")
+
+
+def transfer_owners(requests: DataFrame, states: DataFrame, members: DataFrame, assignments: DataFrame,
+                    in_order: int = IN_ORDER) -> tuple[DataFrame, DataFrame]:
+    """Decide a batch of portfolio transfers, each as if those before it had been carried out.
+
+    ``requests``: solicitud_id (a unique number, the order), empresa_id, lead_consolidado_id, destino.
+    ``states``: lead columns, responsable, punto_venta_id. ``members``: membresia_id, empresa_id, rol,
+    activa, asesor_id, punto_venta_id, capacidad. ``assignments`` (today): lead columns, membresia_id,
+    estado, posicion_inicial. Returns (decisions, assignments after). An open assignment moves only
+    into a free place of the target, and its former place is free for the requests behind it; a
+    completed one keeps its advisor and still takes a place. ``anterior`` is the owner when the request
+    was met. Companies with up to ``in_order`` requests are passed through in order, a company per task;
+    the others are settled in rounds that spread every advisor over many tasks.
+    """
+    lead = ["empresa_id", "lead_consolidado_id"]
+    decided = _decided(requests, states, members, assignments, in_order)
+    placed = decided.join(_positions(decided, assignments), "solicitud_id", "left")
+    reason = F.when(F.col("_why").isNotNull(), F.col("_why")).when(~F.col("_granted"), "sin_cupo").otherwise("transferido")
+    decisions = cut_lineage(placed.select(
+        "solicitud_id", *lead, "destino", F.col("_owner").alias("anterior"), reason.alias("decision"), "posicion_inicial"))
+    last = F.max(F.struct("solicitud_id", F.col("destino").alias("_to"), F.col("posicion_inicial").alias("_pos")))
+    moved = decisions.where("posicion_inicial is not null").groupBy(*lead).agg(last.alias("_last")).select(
+        *lead, "_last._to", "_last._pos")
     after = assignments.join(moved, lead, "left").withColumns({
         "membresia_id": F.coalesce("_to", "membresia_id"),
         "posicion_inicial": F.coalesce("_pos", "posicion_inicial"),

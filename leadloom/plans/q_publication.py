@@ -276,6 +276,77 @@ def j14_assignment(t: Tables) -> DataFrame:
     assigned, _ = assignment.daily_assignment(candidates, _members(t), already, now)
     return assigned.select("lead_consolidado_id", "membresia_id", "posicion_inicial")
 
+_DESK = """member AS (SELECT s_suppkey AS m, s_suppkey // 5 AS e, s_suppkey % 23 <> 5 AND s_suppkey % 13 <> 6 AS valid,
+        s_suppkey - CASE WHEN s_suppkey % 5 = 3 AND s_suppkey // 5 % 4 = 1 THEN 1 ELSE 0 END AS k,
+        s_suppkey % 17 = 3 AS loose, CASE WHEN s_suppkey % 5 = 4 AND s_suppkey // 5 % 3 = 0 THEN 'T' ELSE 'S' END AS sede
+        FROM supplier),
+    adviser AS (SELECT *, CASE WHEN NOT loose THEN 'AS-' || k END AS a,
+        CASE WHEN k % 19 = 8 THEN 0 ELSE 6 + k % 7 END AS cap FROM member),
+    lead AS (SELECT c_custkey AS c, c_custkey // 75 AS e, 'L' || c_custkey AS l,
+        CASE WHEN c_custkey % 4 <> 0 THEN 5 * (c_custkey // 75) + c_custkey % 5 END AS owner,
+        CASE WHEN c_custkey % 29 = 7 THEN NULL WHEN c_custkey % 31 = 9 THEN 'T' ELSE 'S' END AS sede,
+        CASE WHEN c_custkey % 3 <> 0 THEN 5 * (c_custkey // 75) + c_custkey % 5 END AS holder,
+        (c_custkey % 75) // 5 + 1 AS place, c_custkey % 11 = 0 AS done FROM customer)"""
+
+
+@query("j16_transfers", f"""WITH RECURSIVE {_DESK},
+    req AS (SELECT o_orderkey AS id, l.e, l.l, row_number() OVER (PARTITION BY l.e ORDER BY o_orderkey) AS n, d.a AS too,
+        5 * l.e + (o_orderkey * 7 + o_custkey) % 5 + CASE WHEN o_orderkey % 97 = 1 THEN 5 ELSE 0 END AS dest, d.cap,
+        coalesce(d.e = l.e AND d.valid, false) AS valid, l.holder IS NOT NULL AND NOT l.done AS open,
+        CASE WHEN d.a IS NULL THEN 'sin_asesor_operativo' WHEN l.sede IS NULL THEN 'sin_sede_verificable'
+            WHEN d.sede <> l.sede THEN 'sede_distinta' END AS late
+        FROM orders JOIN lead l ON l.c = o_custkey LEFT JOIN adviser d
+        ON d.m = 5 * l.e + (o_orderkey * 7 + o_custkey) % 5 + CASE WHEN o_orderkey % 97 = 1 THEN 5 ELSE 0 END),
+    own0 AS (SELECT e, map_from_entries(list((l, owner))) AS own FROM lead GROUP BY e),
+    held0 AS (SELECT l.e, map_from_entries(list((l.l, {{'m': l.holder, 'a': d.a, 'p': l.place}}))) AS held
+        FROM lead l JOIN adviser d ON d.m = l.holder GROUP BY l.e),
+    run AS (SELECT o.e, CAST(0 AS BIGINT) AS n, own, held, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS l,
+            CAST(NULL AS BIGINT) AS dest, CAST(NULL AS BIGINT) AS anterior, CAST(NULL AS VARCHAR) AS decision,
+            CAST(NULL AS BIGINT) AS pos FROM own0 o JOIN held0 h ON h.e = o.e
+        UNION ALL
+        SELECT e, n, CASE WHEN decision = 'transferido' THEN map_concat(own, MAP([l], [dest])) ELSE own END,
+            CASE WHEN pos IS NOT NULL THEN map_concat(held, MAP([l], [{{'m': dest, 'a': too, 'p': pos}}])) ELSE held END,
+            id, l, dest, anterior, decision, pos
+        FROM (SELECT *, CASE WHEN moves AND decision = 'transferido' THEN 1 + coalesce(list_max(list_transform(
+                list_filter(map_values(held), lambda x: x.m = dest), lambda x: x.p)), 0) END AS pos
+            FROM (SELECT *, CASE WHEN why IS NOT NULL THEN why WHEN moves AND len(list_filter(
+                    map_values(held), lambda x: x.a = too)) >= cap THEN 'sin_cupo' ELSE 'transferido' END AS decision
+                FROM (SELECT *, why IS NULL AND open AND map_extract(held, l)[1].m <> dest AS moves
+                    FROM (SELECT *, CASE WHEN NOT valid THEN 'responsable_invalido' WHEN anterior = dest THEN 'sin_cambio'
+                            ELSE late END AS why
+                        FROM (SELECT r.e, r.n, run.own, run.held, r.id, r.l, r.dest, r.too, r.cap, r.valid, r.open, r.late,
+                                map_extract(run.own, r.l)[1] AS anterior
+                            FROM run JOIN req r ON r.e = run.e AND r.n = run.n + 1))))))
+    SELECT id AS solicitud_id, l AS lead_consolidado_id, anterior, decision, pos AS posicion_inicial
+    FROM run WHERE id IS NOT NULL""")
+def j16_transfers(t: Tables) -> DataFrame:
+    """Orders as transfer requests, customers as leads, suppliers as the staff of companies of five."""
+    s, c, o = F.col("s_suppkey"), F.col("c_custkey"), F.col("o_orderkey")
+    desk = F.floor(s / 5)
+    number = s - F.when((s % 5 == 3) & (desk % 4 == 1), 1).otherwise(0)
+    members = t.supplier.select(
+        s.cast("bigint").alias("membresia_id"), F.concat(F.lit("E"), desk).alias("empresa_id"),
+        F.when(s % 23 == 5, "supervisor").otherwise("asesor").alias("rol"), (s % 13 != 6).alias("activa"),
+        F.when(s % 17 != 3, F.concat(F.lit("AS-"), number)).alias("asesor_id"),
+        F.when((s % 5 == 4) & (desk % 3 == 0), "T").otherwise("S").alias("punto_venta_id"),
+        F.when(number % 19 != 8, 6 + number % 7).alias("capacidad"))
+    company = F.floor(c / 75)
+    own = (5 * company + c % 5).cast("bigint")
+    lead = [F.concat(F.lit("E"), company).alias("empresa_id"), F.concat(F.lit("L"), c).alias("lead_consolidado_id")]
+    states = t.customer.select(
+        *lead, F.when(c % 4 != 0, own).alias("responsable"),
+        F.when(c % 29 == 7, None).when(c % 31 == 9, "T").otherwise("S").alias("punto_venta_id"))
+    plan = t.customer.where(c % 3 != 0).select(
+        *lead, own.alias("membresia_id"), F.when(c % 11 == 0, "completada").otherwise("pendiente").alias("estado"),
+        (F.floor(c % 75 / 5) + 1).cast("bigint").alias("posicion_inicial"))
+    company = F.floor(F.col("o_custkey") / 75)
+    to = 5 * company + (o * 7 + F.col("o_custkey")) % 5 + F.when(o % 97 == 1, 5).otherwise(0)
+    requests = t.orders.join(t.customer.select(c.alias("o_custkey")), "o_custkey").select(
+        o.cast("bigint").alias("solicitud_id"), F.concat(F.lit("E"), company).alias("empresa_id"),
+        F.concat(F.lit("L"), "o_custkey").alias("lead_consolidado_id"), to.cast("bigint").alias("destino"))
+    decisions, _ = assignment.transfer_owners(requests, states, members, plan)
+    return decisions.select("solicitud_id", "lead_consolidado_id", "anterior", "decision", "posicion_inicial")
+
 
 @query("l3_publish", """WITH v AS (SELECT o_custkey AS l, min(o_orderkey) AS p FROM orders
         WHERE o_orderkey % 2 = 0 GROUP BY 1), n AS (SELECT o_custkey AS l, max(o_orderkey) AS p

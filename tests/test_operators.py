@@ -231,6 +231,72 @@ def test_transfer(spark):
     assert rows["L1"] == (2, 3) and rows["L2"] == (1, 2) and rows["L3"] == (1, 3)
 
 
+def _transfers_in_order(requests, states, members, plan):
+    """The rules of one transfer, request after request."""
+    owner = {(e, x): (r, site) for e, x, r, site in states}
+    member = {m[0]: m for m in members}
+    today = {(e, x): [m, st, pos] for e, x, m, st, pos in plan}
+    out = {}
+    for rid, e, x, to in sorted(requests):
+        who = member.get(to)
+        before, site = owner.get((e, x), (None, None))
+        pos = None
+        if who is None or who[1] != e or who[2] != "asesor" or not who[3]:
+            why = "responsable_invalido"
+        elif before == to:
+            why = "sin_cambio"
+        elif who[4] is None:
+            why = "sin_asesor_operativo"
+        elif not site:
+            why = "sin_sede_verificable"
+        elif who[5] != site:
+            why = "sede_distinta"
+        else:
+            why, now = "transferido", today.get((e, x))
+            if now is not None and now[1] != "completada" and now[0] != to:
+                load = sum(member[m][4] == who[4] for m, _, _ in today.values())
+                if load >= (who[6] or 0):
+                    why = "sin_cupo"
+                else:
+                    pos = 1 + max((p for m, _, p in today.values() if m == to), default=0)
+                    now[0], now[2] = to, pos
+            if why == "transferido":
+                owner[e, x] = (to, site)
+        out[rid] = (before, why, pos)
+    return out, {k: (m, p) for k, (m, _, p) in today.items()}
+
+
+@pytest.mark.parametrize("n,leads,in_order", [(10_000, 900, 50_000), (400, 260, 150)])
+def test_transfers_see_freed_places(spark, n, leads, in_order):
+    rng = random.Random(12)
+    members = [(m, f"E{m % 2}", "asesor" if m % 9 else "supervisor", m != 7, None if m == 8 else f"A{m - 2 * (m in (5, 12))}",
+                "S" if m % 10 else "T", None if m == 6 else (6 + m % 5) * leads // 260) for m in range(1, 25)]
+    members = [(*m[:6], next(x[6] for x in members if x[4] == m[4])) for m in members]
+    states, plan, held = [], [], {}
+    for x in range(leads):
+        e = f"E{x % 2}"
+        own = [m[0] for m in members if m[1] == e]
+        states.append((e, f"L{x}", rng.choice([None, *own]), rng.choice(["S"] * 9 + ["", None, "T"])))
+        if x % 3:
+            m = rng.choice(own)
+            held[m] = held.get(m, 0) + rng.randint(1, 2)
+            plan.append((e, f"L{x}", m, rng.choice(["pendiente"] * 6 + ["completada"]), held[m]))
+    requests = [(i, f"E{x % 2}", f"L{x}", rng.randint(1, 26)) for i in range(n) for x in [rng.randrange(leads + 2)]]
+    requests = [r if r[3] % 2 == int(r[1][1]) or rng.random() < 0.1 else (*r[:3], r[3] - 1 or 2) for r in requests]
+    rng.shuffle(requests)
+    frame = spark.createDataFrame
+    decisions, after = assignment.transfer_owners(
+        frame(requests, "solicitud_id long, empresa_id string, lead_consolidado_id string, destino long"),
+        frame(states, "empresa_id string, lead_consolidado_id string, responsable long, punto_venta_id string"),
+        frame(members, "membresia_id long, empresa_id string, rol string, activa boolean, asesor_id string, punto_venta_id string, capacidad long"),
+        frame(plan, "empresa_id string, lead_consolidado_id string, membresia_id long, estado string, posicion_inicial long"), in_order)
+    expected, held = _transfers_in_order(requests, states, members, plan)
+    got = {r["solicitud_id"]: (r["anterior"], r["decision"], r["posicion_inicial"]) for r in decisions.collect()}
+    assert got == expected
+    assert {(r["empresa_id"], r["lead_consolidado_id"]): (r["membresia_id"], r["posicion_inicial"]) for r in after.collect()} == held
+    assert {"sin_cupo", "transferido", "sin_cambio"} <= {v[1] for v in expected.values()}
+
+
 def test_conflict_cycle_keeps_the_review_flag(spark):
     pointers = spark.createDataFrame(
         [("E", "L", "P1", 2, "captura_manual", False, None, None)],
