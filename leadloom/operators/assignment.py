@@ -118,33 +118,40 @@ def daily_assignment(candidates: DataFrame, members: DataFrame, already: DataFra
 
 
 def _fill_site(leads: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    """Greedy filling of one site; both frames are bounded by its staff capacity."""
+    """Greedy filling of one site; both frames are bounded by its staff capacity.
+
+    Members wait in a heap by room and number. An entry is good while it shows its advisor's room;
+    members of one advisor share it, so each change enters all of them anew.
+    """
     out = []
     if len(leads):
-        members = members.sort_values("membresia_id")
-        load = dict(zip(members.asesor_id, members.carga, strict=True))
-        last = dict(zip(members.membresia_id, members.ultima_posicion, strict=True))
+        staff = [tuple(m) for m in members[["membresia_id", "asesor_id", "capacidad", "carga", "ultima_posicion"]].itertuples(index=False)]
+        room, last, advisor, mates = {}, {}, {}, {}
+        for m, a, capacity, load, position in sorted(staff):
+            advisor[m], last[m] = a, position
+            mates.setdefault(a, []).append(m)
+            room[a] = (0 if pd.isna(capacity) else capacity) - load
+        waiting = [(-room[a], m) for m, a in advisor.items()]
+        heapq.heapify(waiting)
         ordered = leads.sort_values(
             ["_due", "score", "fecha", "lead_consolidado_id"],
             ascending=[True, False, True, True], na_position="last")
-        staff = list(members.itertuples(index=False))
         for lead in ordered.itertuples(index=False):
-            best = None
-            for m in staff:
-                room = (0 if pd.isna(m.capacidad) else m.capacidad) - load[m.asesor_id]
-                if room <= 0:
-                    continue
-                if not pd.isna(lead.responsable) and lead.responsable != m.membresia_id:
-                    continue
-                if best is None or room > best[0]:
-                    best = (room, m)
-            row = [lead.empresa_id, lead.punto_venta_id, lead.lead_consolidado_id, None, None]
+            if pd.isna(lead.responsable):
+                while waiting and -waiting[0][0] != room[advisor[waiting[0][1]]]:
+                    heapq.heappop(waiting)
+                best = waiting[0][1] if waiting and waiting[0][0] < 0 else None
+            else:
+                best = lead.responsable if room.get(advisor.get(lead.responsable), 0) > 0 else None
+            position = None
             if best is not None:
-                m = best[1]
-                load[m.asesor_id] += 1
-                last[m.membresia_id] += 1
-                row[3:] = [m.membresia_id, last[m.membresia_id]]
-            out.append(row)
+                best = int(best)
+                room[advisor[best]] -= 1
+                for m in mates[advisor[best]]:
+                    heapq.heappush(waiting, (-room[advisor[best]], m))
+                last[best] += 1
+                position = last[best]
+            out.append([lead.empresa_id, lead.punto_venta_id, lead.lead_consolidado_id, best, position])
     frame = pd.DataFrame(out, columns=[
         "empresa_id", "punto_venta_id", "lead_consolidado_id", "membresia_id",
         "posicion_inicial"])

@@ -214,21 +214,24 @@ def j11_action(t: Tables) -> DataFrame:
 
 
 def _candidates(t: Tables) -> DataFrame:
+    """Leads of companies of 3 000 orders, dealt over the four sites of their company."""
     k = F.col("o_orderkey")
+    company = F.floor(k / 3000)
+    owner = (20 * company + k % 4 + 4 * (k % 5)) * 10 + 1
     return B.priorities(t).select(
-        "o_orderkey", F.lit("EMP").alias("empresa_id"), "lead_consolidado_id", "cola", "score",
+        "o_orderkey", F.concat(F.lit("E"), company).alias("empresa_id"), "lead_consolidado_id", "cola", "score",
         "fecha",
-        F.when(k % 12 != 5, F.concat(F.lit("PV-"), (k % 8).cast("string"))).alias("punto_venta_id"),
+        F.when(k % 12 != 5, F.concat(F.lit("PV-"), (k % 4).cast("string"))).alias("punto_venta_id"),
         F.when(k % 3 != 0, F.when(k % 13 == 0, "cerrado").otherwise("abierto")).alias("estado"),
         (k % 17 == 0).alias("requiere_revision"),
         F.when(k % 3 == 1, F.expr(
             "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(o_orderkey % 5 as int))"))
         .alias("proxima_accion_en"),
-        F.when(k % 23 == 1, (k % 8) * 10 + 1).alias("responsable"))
+        F.when(k % 23 == 1, owner.cast("bigint")).alias("responsable"))
 
 
 _NOW = "2024-01-03 12:00:00"
-_CANDIDATES = """SELECT o_orderkey, lead_consolidado_id, cola, CASE WHEN o_orderkey % 12 <> 5
+_CANDIDATES = """SELECT o_orderkey, lead_consolidado_id, cola, score, fecha, CASE WHEN o_orderkey % 12 <> 5
         THEN 'PV' END AS sede, CASE WHEN o_orderkey % 3 <> 0 THEN CASE WHEN o_orderkey % 13 = 0
         THEN 'cerrado' ELSE 'abierto' END END AS estado, o_orderkey % 17 = 0 AS rev,
     CASE WHEN o_orderkey % 3 = 1 THEN TIMESTAMP '2024-01-01 00:00:00'
@@ -258,17 +261,47 @@ def d27_exclusions(t: Tables) -> DataFrame:
 
 
 def _members(t: Tables) -> DataFrame:
-    """Staff of the sites, from suppliers: capacity grows with the table's own keys."""
+    """Suppliers as the staff of companies of twenty, five to a site; some share an advisor's places."""
     s = F.col("s_suppkey")
+    number = s - F.when(s % 20 == 13, 4).otherwise(0)
     return t.supplier.select(
-        (s * 10 + 1).alias("membresia_id"), F.lit("EMP").alias("empresa_id"),
-        F.concat(F.lit("AS-"), s.cast("string")).alias("asesor_id"),
-        F.concat(F.lit("PV-"), (s % 8).cast("string")).alias("punto_venta_id"),
-        F.when(s % 9 != 4, s % 7).alias("capacidad"), (s % 3).alias("carga"),
+        (s * 10 + 1).cast("bigint").alias("membresia_id"), F.concat(F.lit("E"), F.floor(s / 20)).alias("empresa_id"),
+        F.concat(F.lit("AS-"), number.cast("string")).alias("asesor_id"),
+        F.concat(F.lit("PV-"), (s % 4).cast("string")).alias("punto_venta_id"),
+        F.when(number % 9 != 4, 12 + number % 7).alias("capacidad"), (number % 3).alias("carga"),
         (s % 5).alias("ultima_posicion"))
 
 
-@query("j14_assignment")
+_STAFF = """SELECT s_suppkey * 10 + 1 AS m, s_suppkey // 20 AS e, s_suppkey % 4 AS pv,
+    s_suppkey - CASE WHEN s_suppkey % 20 = 13 THEN 4 ELSE 0 END AS a, s_suppkey % 5 AS pos FROM supplier"""
+_DAY = f"""SELECT o_orderkey // 3000 AS e, o_orderkey % 4 AS pv, lead_consolidado_id AS l,
+        CASE WHEN o_orderkey % 23 = 1
+            THEN (20 * (o_orderkey // 3000) + o_orderkey % 4 + 4 * (o_orderkey % 5)) * 10 + 1 END AS owner,
+        row_number() OVER (PARTITION BY o_orderkey // 3000, o_orderkey % 4
+            ORDER BY CASE WHEN proxima <= TIMESTAMP '{_NOW}' THEN proxima END NULLS LAST, score DESC NULLS LAST,
+            fecha NULLS LAST, lead_consolidado_id) AS n
+    FROM cand WHERE o_orderkey % 41 <> 2 AND cola NOT LIKE 'revision%' AND sede IS NOT NULL AND (estado IS NULL
+        OR (estado = 'abierto' AND NOT rev AND (proxima IS NULL OR proxima <= TIMESTAMP '{_NOW}')))"""
+
+
+@query("j14_assignment", B.sql("""SELECT l AS lead_consolidado_id, who.m AS membresia_id,
+        map_extract(last, who.m)[1] AS posicion_inicial FROM run WHERE who IS NOT NULL""", "priorities",
+    cand=_CANDIDATES, member=_STAFF, day=_DAY,
+    site="""SELECT e, pv, list({'m': m, 'a': a, 'cap': CASE WHEN a % 9 = 4 THEN 0 ELSE 12 + a % 7 END}) AS staff,
+        map_from_entries(list(DISTINCT (a, a % 3))) AS load, map_from_entries(list((m, pos))) AS last
+        FROM member GROUP BY e, pv""",
+    run="""SELECT e, pv, CAST(0 AS BIGINT) AS n, staff, load, last, CAST(NULL AS VARCHAR) AS l,
+            CAST(NULL AS STRUCT(r BIGINT, m BIGINT, a BIGINT)) AS who FROM site
+        UNION ALL
+        SELECT e, pv, n, staff, CASE WHEN who IS NULL THEN load
+                ELSE map_concat(load, MAP([who.a], [map_extract(load, who.a)[1] + 1])) END,
+            CASE WHEN who IS NULL THEN last
+                ELSE map_concat(last, MAP([who.m], [map_extract(last, who.m)[1] + 1])) END, l, who
+        FROM (SELECT d.e, d.pv, d.n, run.staff, run.load, run.last, d.l, list_sort(list_transform(list_filter(run.staff,
+                lambda x: x.cap > map_extract(run.load, x.a)[1] AND (d.owner IS NULL OR d.owner = x.m)),
+                lambda x: {'r': map_extract(run.load, x.a)[1] - x.cap, 'm': x.m, 'a': x.a}))[1] AS who
+            FROM run JOIN day d ON d.e = run.e AND d.pv = run.pv AND d.n = run.n + 1)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1))
 def j14_assignment(t: Tables) -> DataFrame:
     now = F.lit(_NOW).cast("timestamp_ntz")
     candidates = _candidates(t)
@@ -276,6 +309,7 @@ def j14_assignment(t: Tables) -> DataFrame:
     assigned, _ = assignment.daily_assignment(candidates, _members(t), already, now)
     return assigned.select("lead_consolidado_id", "membresia_id", "posicion_inicial")
 
+
 _DESK = """member AS (SELECT s_suppkey AS m, s_suppkey // 5 AS e, s_suppkey % 23 <> 5 AND s_suppkey % 13 <> 6 AS valid,
         s_suppkey - CASE WHEN s_suppkey % 5 = 3 AND s_suppkey // 5 % 4 = 1 THEN 1 ELSE 0 END AS k,
         s_suppkey % 17 = 3 AS loose, CASE WHEN s_suppkey % 5 = 4 AND s_suppkey // 5 % 3 = 0 THEN 'T' ELSE 'S' END AS sede
