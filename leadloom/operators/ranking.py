@@ -55,7 +55,8 @@ def with_positions(
         names.append([f"_l{depth}_{i}" for i in range(len(level))])
         work = work.withColumns(dict(zip(names[-1], [col(k.expr) for k in level], strict=True)))
     outer_cols, inner_cols = names
-    work = work.withColumn("_b", null_safe_key([*group, *outer_cols, *inner_cols]))
+    # counts and positions must see the same rows, and whatever made them is run once
+    work = cut_lineage(work.withColumn("_b", null_safe_key([*group, *outer_cols, *inner_cols])))
 
     counts = work.groupBy("_b", *group, *outer_cols, *inner_cols).agg(
         F.count(F.lit(1)).alias("_n")
