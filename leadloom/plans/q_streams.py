@@ -33,18 +33,20 @@ def activity_stream(t: Tables) -> DataFrame:
 def finished(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over everything available and read back what it wrote.
 
-    Results and progress go to the shared checkpoint folder, in a place of their own per run.
+    Results and progress go to the shared checkpoint folder, in a place of their own per run. Each
+    batch has a folder of its own, so one that is repeated after a failure replaces what it wrote.
     """
     base = f"{checkpoint_dir(t.spark)}/streams/{uuid.uuid4().hex}"
     out = f"{base}/out"
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        part = 0 if mode == "complete" else number
+        batch.write.mode("overwrite").parquet(f"{out}/lote={part}")
 
     run = stream.writeStream.outputMode(mode).foreachBatch(write).option(
         "checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(out)
+    return t.spark.read.schema(stream.schema).parquet(out).select(stream.columns)
 
 
 @query("st2_repeats", "SELECT DISTINCT user_id, event_type FROM events")
