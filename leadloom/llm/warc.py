@@ -104,16 +104,63 @@ def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFr
     return pages.select(page.alias("page_id"), "url", "html").mapInArrow(build, out)
 
 
-def _decoded(payload: bytes, headers: dict[str, str]) -> str:
-    """Text of a payload: charset of the header, else UTF-8; what doesn't decode is marked."""
-    lowered = {k.lower(): v for k, v in headers.items()}
-    found = _CHARSET.search(lowered.get("content-type") or "")
-    body = payload
-    if (lowered.get("content-encoding") or "").lower() in ("gzip", "x-gzip") and payload[:2] == b"\x1f\x8b":
+def _gunzipped(data: bytes) -> bytes:
+    """The contents of all members; what follows the last one, or is cut off, is left out."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data) + member.flush())
+        data = member.unused_data
+    return b"".join(out)
+
+
+def _inflated(data: bytes) -> bytes:
+    """With or without the zlib header; both are sent under this name."""
+    try:
+        return zlib.decompress(data)
+    except zlib.error:
+        return zlib.decompressobj(-15).decompress(data)
+
+
+def _unchunked(data: bytes) -> bytes:
+    """The chunks put together; data that is not in chunks (already put together) stays as it is."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        size = data[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            return data
+        if not (n := int(size, 16)):
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return b"".join(out) if out else data
+
+
+def body_of(payload: bytes, headers: dict[str, str]) -> tuple[bytes, list[str]]:
+    """The body without transfer and content encodings, and the encodings that could not be undone."""
+    lowered = {k.lower(): (v or "").lower() for k, v in headers.items()}
+    if "chunked" in lowered.get("transfer-encoding", ""):
+        payload = _unchunked(payload)
+    names = [n.strip() for n in lowered.get("content-encoding", "").split(",") if n.strip() not in ("", "identity")]
+    while names:
+        undo = {"gzip": _gunzipped, "x-gzip": _gunzipped, "deflate": _inflated}.get(names[-1])
+        if undo is None:
+            break
+        if undo is _gunzipped and payload[:2] != b"\x1f\x8b":
+            names.pop()  # already undone by whoever stored it
+            continue
         try:
-            body = zlib.decompressobj(31).decompress(payload)
+            payload = undo(payload)
         except zlib.error:
-            body = payload
+            break
+        names.pop()
+    return payload, names
+
+
+def _decoded(body: bytes, headers: dict[str, str]) -> str:
+    """Text of a body: charset of the header, else UTF-8; what doesn't decode is marked."""
+    lowered = {k.lower(): v for k, v in headers.items()}
+    found = _CHARSET.search(lowered.get("content-type") or "")
     try:
         return body.decode(found[1] if found else "utf-8", "replace")
     except LookupError:
@@ -137,7 +184,8 @@ def derivatives(
     http: dict[str, str], payload: bytes,
 ) -> list[tuple]:
     """The metadata and the conversion record of a response; both refer to it."""
-    html = _decoded(payload, http)
+    body, undecoded = body_of(payload, http)
+    html = "" if undecoded else _decoded(body, http)
     source = warc.get("WARC-Payload-Digest") or digest(payload)
     title = _TITLE.search(html)
     facts = {
@@ -150,6 +198,8 @@ def derivatives(
         "title": block_text([unescape(title[1])]) if title else None,
         "links": [{"element": e.lower(), "url": unescape(a or b or c)} for e, a, b, c in _LINK.findall(html)],
     }
+    if undecoded:  # the text of such a body is empty, not noise
+        facts["undecoded"] = undecoded
     out = []
     for kind, content, block in (
         ("metadata", "application/json", json.dumps(facts, ensure_ascii=False, sort_keys=True)),

@@ -253,3 +253,23 @@ def test_pigeonring_keys_reach_every_pair_within_budget():
     close = np.bitwise_count(base ^ other) <= 4
     starts = np.stack([simhash._in_budget(base ^ other, np.full(len(base), s)) for s in range(5)])
     assert (starts.any(axis=0) == close).all()
+
+
+def test_bodies_lose_their_encodings():
+    import gzip
+    import json
+    import zlib
+
+    page = b"<p>First half</p><p>Second half</p>"
+    members = gzip.compress(page[:17]) + gzip.compress(page[17:])
+    chunks = b"".join(b"%x;x=1\r\n%s\r\n" % (len(c), c) for c in (members[:9], members[9:])) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    for payload, headers in (
+        (page, {}), (members, {"Content-Encoding": "gzip"}), (chunks, {"content-encoding": "GZIP", "Transfer-Encoding": "chunked"}),
+        (zlib.compress(page), {"Content-Encoding": "deflate"}), (raw.compress(page) + raw.flush(), {"Content-Encoding": "deflate"}),
+        (page, {"Content-Encoding": "gzip", "Transfer-Encoding": "chunked"}), (gzip.compress(zlib.compress(page)), {"Content-Encoding": "deflate, gzip"}),
+    ):
+        assert warc.body_of(payload, headers) == (page, []), headers
+    for payload, left in ((b"\x0b\x02\x80", ["br"]), (b"\x1f\x8bbroken", ["gzip"])):
+        rows = warc.derivatives("<urn:x>", "http://a.example/", None, {}, 200, {"Content-Encoding": left[0]}, payload)
+        assert json.loads(rows[0][-1])["undecoded"] == left and rows[1][-1] == ""
