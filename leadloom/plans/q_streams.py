@@ -163,10 +163,43 @@ def k6_tree_paths(t: Tables) -> DataFrame:
     return model.tree_paths(fitted, rows, COMMERCIAL, "lead_id")
 
 
-@query("k14_bootstrap")
+_REPS = 200
+_WEIGHED = """SELECT rep, {c} AS s, sum(w) AS n, sum(w * y) AS tp,
+    coalesce(sum(sum(w)) OVER before, 0) AS n_antes, coalesce(sum(sum(w * y)) OVER before, 0) AS tp_antes,
+    sum(sum(w)) OVER (PARTITION BY rep) AS total, sum(sum(w * y)) OVER (PARTITION BY rep) AS positivos
+    FROM drawn GROUP BY rep, {c}
+    WINDOW before AS (PARTITION BY rep ORDER BY {c} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+_BOTH = """SELECT rep, round(sum(tp / nullif(positivos, 0) * (tp_antes + tp) / (n_antes + n)), 6) AS ap,
+    round(sum(tp * greatest(0, least(n, greatest(1, ceil(total * 0.2)) - n_antes)) / n)
+        / max(greatest(1, ceil(total * 0.2))), 6) AS top FROM {s} GROUP BY rep"""
+
+
+@query("k14_bootstrap", B.sql(
+    """SELECT medida, round(q[1], 6) AS limite_inferior_95, round(q[2], 6) AS mediana,
+        round(q[3], 6) AS limite_superior_95
+    FROM (SELECT medida, quantile_cont(d, [0.025, 0.5, 0.975]) AS q FROM (
+        SELECT 'AP' AS medida, a.ap - b.ap AS d FROM of_a a JOIN of_b b ON a.rep = b.rep
+        UNION ALL SELECT 'precision_top20', a.top - b.top FROM of_a a JOIN of_b b ON a.rep = b.rep)
+        WHERE d IS NOT NULL GROUP BY medida)""", "scored_labels",
+    cells="""SELECT y, score AS a, (doc_id % 10) / 10.0 AS b, count(*) AS n FROM scored_labels GROUP BY 1, 2, 3""",
+    law=f"""SELECT n, list(c ORDER BY k) AS cdf FROM (SELECT n, k,
+            sum(exp(-n + k * ln(n) - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS c
+        FROM (SELECT DISTINCT n FROM cells) JOIN range({model.LONGEST_DRAW}) t(k) ON true) GROUP BY n""",
+    hashed=f"""SELECT y, a, b, n, rep, md5(concat_ws('|', 42, CAST(round(a * 1e9) AS BIGINT),
+            CAST(round(b * 1e9) AS BIGINT), CAST(y AS BIGINT), rep)) AS h
+        FROM cells JOIN range(1, {_REPS + 1}) t(rep) ON true""",
+    numbers="""SELECT *, CAST('0x' || substr(h, 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u,
+        CAST('0x' || substr(h, 14, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS v FROM hashed""",
+    drawn=f"""SELECT * FROM (SELECT y, a, b, rep, CASE WHEN m.n <= {model.EXACT_DRAWS}
+            THEN len(list_filter(cdf, lambda c: c <= u))
+            ELSE greatest(0, floor(m.n + z * sqrt(m.n) + (z * z - 1) / 6 + 0.5)) END AS w
+        FROM (SELECT *, sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v) AS z FROM numbers) m JOIN law ON law.n = m.n)
+        WHERE w > 0""",
+    steps_a=_WEIGHED.format(c="a"), steps_b=_WEIGHED.format(c="b"),
+    of_a=_BOTH.format(s="steps_a"), of_b=_BOTH.format(s="steps_b")))
 def k14_bootstrap(t: Tables) -> DataFrame:
     scored = B.scored_labels(t).withColumn("b", (F.col("doc_id") % 10) / F.lit(10.0))
-    return model.bootstrap_interval(scored, "doc_id", "y", "score", "b", repetitions=200)
+    return model.bootstrap_interval(scored, "y", "score", "b", repetitions=_REPS)
 
 
 @query("k17_contributions")

@@ -69,11 +69,21 @@ def test_selection_and_intervals(spark, data):
     fitted = model.fit(data, candidates[1])
     scored = model.score(fitted, data).withColumn("fijo", F.lit(0.0))
     interval = {r["medida"]: r for r in model.bootstrap_interval(
-        scored, "lead_id", "y", "score", "fijo", repetitions=40).collect()}
+        scored, "y", "score", "fijo", repetitions=40).collect()}
     ap = interval["AP"]
     assert 0 < ap["limite_inferior_95"] <= ap["mediana"] <= ap["limite_superior_95"]
 
 
+def test_draws_follow_the_law(spark):
+    """Mean and variance of Poisson(n), and the share of zeros, over many cells."""
+    for n in (1, 3, 64, 65, 4_000):
+        draws = spark.range(4_000).select(model.poisson_draw(F.lit(n), F.concat(F.lit(f"{n}|"), F.col("id"))).alias("w"))
+        got = draws.agg(F.avg("w").alias("m"), F.var_samp("w").alias("v"), F.min("w").alias("low"), F.avg((F.col("w") == 0).cast("int")).alias("none")).first()
+        assert abs(got["m"] - n) < 5 * (n / 4_000) ** 0.5 and abs(got["v"] / n - 1) < 0.15 and got["low"] >= 0
+        if n == 1:
+            assert abs(got["none"] - 0.3679) < 0.04
+
+
 def test_registry(spark):
     row = model.registry_row(spark, "m", "models/m", "00", model.Candidate("comercial", "arbol", 2))
     assert row.first()["apto_produccion"] is False and len(row.first()["modelo_ml_id"]) == 64
