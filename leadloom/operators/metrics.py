@@ -81,17 +81,23 @@ def curve_points(steps: DataFrame, group: Sequence[str] = ()) -> DataFrame:
         F.round(hits / F.nullif("positivos", F.lit(0)), 6).alias("recall"))
 
 
-def brier(df: DataFrame, y: str, score: str, group: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*group).agg(
-        F.round(F.avg((F.col(score) - F.col(y)) * (F.col(score) - F.col(y))), 6).alias("brier"))
+def brier(df: DataFrame, y: str, score: str, group: Sequence[str] = (), weight: str | None = None
+          ) -> DataFrame:
+    w = F.lit(1) if weight is None else F.col(weight)
+    gap = F.col(score) - F.col(y)
+    return df.groupBy(*group).agg(F.round(F.sum(w * gap * gap) / F.sum(w), 6).alias("brier"))
 
 
-def confusion(df: DataFrame, y: str, score: str, cut: float = 0.5, group: Sequence[str] = ()
-              ) -> DataFrame:
+def confusion(df: DataFrame, y: str, score: str, cut: float = 0.5, group: Sequence[str] = (),
+              weight: str | None = None) -> DataFrame:
     flag, pos = F.col(score) >= cut, F.col(y) == 1
-    return df.groupBy(*group).agg(
-        F.count_if(flag & pos).alias("vp"), F.count_if(flag & ~pos).alias("fp"),
-        F.count_if(~flag & pos).alias("fn"), F.count_if(~flag & ~pos).alias("vn"))
+    w = F.lit(1) if weight is None else F.col(weight)
+
+    def rows(where: Column) -> Column:
+        return F.sum(F.when(where, w).otherwise(0)).cast("bigint")
+
+    parts = {"vp": flag & pos, "fp": flag & ~pos, "fn": ~flag & pos, "vn": ~flag & ~pos}
+    return df.groupBy(*group).agg(*[F.coalesce(rows(c), F.lit(0)).alias(n) for n, c in parts.items()])
 
 
 def balanced_weights(df: DataFrame, y: str, group: Sequence[str] = ()) -> DataFrame:

@@ -22,6 +22,7 @@ PROFILES = {
     "comercial": ["canal", "modelo_sku", "manifesto_cuota_inicial", "forma_pago_declarada",
                   "cita_observada"],
 }
+LEAF_ROWS = 40
 FORBIDDEN = {"numero_contactos", "desenlace", "empresa_id", "horas_al_primer_contacto"}
 
 
@@ -80,7 +81,7 @@ def fit(train: DataFrame, candidate: Candidate) -> PipelineModel:
             standardization=False, maxIter=2000, tol=1e-9, **weight)
     else:
         estimator = DecisionTreeClassifier(
-            labelCol="y", maxDepth=int(candidate.value), minInstancesPerNode=40, seed=42,
+            labelCol="y", maxDepth=int(candidate.value), minInstancesPerNode=LEAF_ROWS, seed=42,
             leafCol="hoja", **weight)
     return Pipeline(stages=[*encoder(columns), estimator]).fit(rows)
 
@@ -108,31 +109,99 @@ def evaluate(scored: DataFrame, probability: bool = True) -> DataFrame:
     return out
 
 
-def select_candidates(rounds: DataFrame, candidates: Sequence[Candidate]
-                      ) -> tuple[DataFrame, DataFrame]:
-    """(metrics per candidate and round, best candidate per weighting).
+def _fitted_classifier(candidate: Candidate, encoded: DataFrame, per_class: dict[int, int]):
+    """Train one candidate on encoded cells (features, y, n), each standing for ``n`` rows.
 
-    ``rounds``: features, y, ronda, uso. The loop runs over the grid (a fixed handful), every
-    fit and every metric over the data runs on Spark.
+    Forty rows a leaf become their share of the whole weight, which balancing leaves as it is; half
+    a row less, so that rounding never turns forty into too few.
     """
-    names = sorted(r["ronda"] for r in rounds.select("ronda").distinct().collect())
-    tables = []
-    for name in names:
-        here = rounds.where(F.col("ronda") == name)
-        train, check = (here.where(F.col("uso") == u) for u in ("entrenamiento", "validacion"))
-        for order, candidate in enumerate(candidates):
-            model = fit(train, candidate)
-            tables.append(evaluate(score(model, check)).select(
-                F.lit(candidate.name).alias("candidato"), F.lit(candidate.weights).alias("regimen"),
-                F.lit(order).alias("orden"), F.lit(name).alias("ronda"), "*"))
-    per_round = reduce(DataFrame.unionByName, tables)
+    total = sum(per_class.values())
+    share = F.lit(1.0)
+    if candidate.weights == "balanced":
+        share = F.coalesce(*[
+            F.when(F.col("y") == y, round(total / (len(per_class) * n), 6)) for y, n in per_class.items()])
+    rows = encoded.withColumn("w", F.col("n") * share)
+    if candidate.kind == "logistica":
+        estimator = LogisticRegression(
+            labelCol="y", weightCol="w", regParam=1.0 / (candidate.value * total), elasticNetParam=0.0,
+            standardization=False, maxIter=2000, tol=1e-9)
+    else:
+        estimator = DecisionTreeClassifier(
+            labelCol="y", weightCol="w", maxDepth=int(candidate.value), seed=42,
+            minWeightFractionPerNode=min(0.499, (LEAF_ROWS - 0.5) / total))
+    return estimator.fit(rows)
+
+
+def score_grid(rounds: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
+    """Validation cells scored by every candidate: candidato, regimen, orden, ronda, y, n, score.
+
+    ``rounds``: features, y, ronda, uso. The history is read once and counted into cells of equal
+    features, label and use; their number depends on the categories, not on the rows. Encoders are
+    fitted once per round and profile, and their cells stay in memory for all candidates. The loops
+    run over the grid and the rounds (a fixed handful). A round without training rows is an error,
+    one without validation rows gives none.
+    """
+    profiles = list(dict.fromkeys(c.profile for c in candidates))
+    columns = list(dict.fromkeys(c for p in profiles for c in PROFILES[p]))
+    if FORBIDDEN & set(columns):
+        raise ValueError("leakage column among the features")
+    cells = cut_lineage(rounds.groupBy("ronda", "uso", *columns, F.col("y").cast("int").alias("y")).agg(
+        F.count(F.lit(1)).alias("n")))
+    classes: dict[str, dict[int, int]] = {
+        r["ronda"]: {} for r in cells.select("ronda").distinct().collect()}
+    training = cells.where("uso = 'entrenamiento'")
+    for r in training.groupBy("ronda", "y").agg(F.sum("n").alias("n")).collect():
+        classes[r["ronda"]][r["y"]] = r["n"]
+    scored = []
+    for name, per_class in sorted(classes.items()):
+        if not per_class:
+            raise ValueError(f"round {name} has no training rows")
+        for profile in profiles:
+            here = cells.where(F.col("ronda") == name).groupBy("uso", *PROFILES[profile], "y").agg(
+                F.sum("n").alias("n"))
+            train, check = (here.where(F.col("uso") == u) for u in ("entrenamiento", "validacion"))
+            encoding = Pipeline(stages=encoder(PROFILES[profile])).fit(train)
+            encoded = encoding.transform(train).select("features", "y", "n").persist()
+            unseen = encoding.transform(check).select("features", "y", "n")
+            for order, candidate in enumerate(candidates):
+                if candidate.profile == profile:
+                    fitted = _fitted_classifier(candidate, encoded, per_class)
+                    scored.append(fitted.transform(unseen).select(
+                        F.lit(candidate.name).alias("candidato"), F.lit(candidate.weights).alias("regimen"),
+                        F.lit(order).alias("orden"), F.lit(name).alias("ronda"), "y", "n",
+                        vector_to_array("probability")[1].alias("score")))
+            encoded.unpersist()
+    return reduce(DataFrame.unionByName, scored)
+
+
+RUN = ["candidato", "regimen", "orden", "ronda"]
+
+
+def grid_metrics(scored: DataFrame) -> DataFrame:
+    """One row of metrics per candidate and round, all in one job over the scored cells."""
+    cells = cut_lineage(scored.groupBy(*RUN, "y", "score").agg(F.sum("n").alias("n")))
+    steps = cut_lineage(metrics.weighted_steps(cells, "y", "score", "n", RUN))
+    parts = [
+        metrics.average_precision(steps, RUN), metrics.roc_auc(steps, RUN), metrics.top_fraction(steps, group=RUN),
+        metrics.brier(cells, "y", "score", RUN, "n"), metrics.confusion(cells, "y", "score", group=RUN, weight="n")]
+    return reduce(lambda a, b: a.join(b, RUN), parts)
+
+
+def choose(per_round: DataFrame) -> DataFrame:
+    """The candidate with the best mean average precision per weighting; ties go to the simplest."""
     means = per_round.groupBy("candidato", "regimen", "orden").agg(
         F.round(F.avg("ap"), 6).alias("ap_media"), F.min("ap").alias("ap_minima"),
         F.round(F.avg("precision_top"), 6).alias("precision_media"))
-    best = means.groupBy("regimen").agg(F.max_by(
+    return means.groupBy("regimen").agg(F.max_by(
         F.struct("candidato", "ap_media", "ap_minima", "precision_media"),
         F.struct("ap_media", -F.col("orden"))).alias("_b")).select("regimen", "_b.*")
-    return per_round, best
+
+
+def select_candidates(rounds: DataFrame, candidates: Sequence[Candidate]
+                      ) -> tuple[DataFrame, DataFrame]:
+    """(metrics per candidate and round, best candidate per weighting)."""
+    per_round = cut_lineage(grid_metrics(score_grid(rounds, candidates)))
+    return per_round, choose(per_round)
 
 
 #: Cells of up to so many rows are drawn by the exact law, larger ones by its expansion.

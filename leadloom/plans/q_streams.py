@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.functions import signals
 from leadloom.operators import metrics, model
 from leadloom.plans import bindings as B
 from leadloom.plans.registry import Tables, query
@@ -163,6 +166,74 @@ def k6_tree_paths(t: Tables) -> DataFrame:
     return model.tree_paths(fitted, rows, COMMERCIAL, "lead_id")
 
 
+def _training_models(rows: DataFrame) -> DataFrame:
+    """The rows from before the last models of the catalogue came."""
+    number = F.substring_index("modelo_sku", "-", -1).try_cast("int")
+    return rows.where((F.coalesce(number, F.lit(0)) < 16) & (F.col("forma_pago_declarada") != "contado"))
+
+
+@query("k4_active", B.sql("""SELECT lead_id, 1 + CAST(modelo_sku IS NULL OR CAST(split_part(modelo_sku, '-', 2) AS INT)
+        < 16 AS INT) + 1 + CAST(forma_pago_declarada <> 'contado' AS INT) + 1 AS activas
+    FROM history WHERE desenlace IN ('Cerrado', 'Perdido')""", "history"))
+def k4_active(t: Tables) -> DataFrame:
+    rows = training_rows(t)
+    cells = _training_models(rows).groupBy(*COMMERCIAL).agg(F.count(F.lit(1)).alias("n"))
+    encoding = Pipeline(stages=model.encoder(COMMERCIAL)).fit(cells)
+    ones = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
+    return encoding.transform(rows).select("lead_id", ones.cast("int").alias("activas"))
+
+
+GRID_ROUNDS = [("abril", "1997-01-01", "1998-04-01", "1998-05-01"), ("mayo", "1997-01-01", "1998-05-01", "1998-06-01"),
+               ("junio", "1997-01-01", "1998-06-01", "1998-07-01")]
+_FIXED = [("reglas", "sin_pesos"), ("cita", "sin_pesos"), ("cuota", "balanced"), ("constante", "balanced")]
+
+
+@query("k8_choice", B.sql("""SELECT regimen, candidato, ap_media, ap_minima, precision_media FROM (
+        SELECT candidato, regimen, orden, round(avg(ap), 6) AS ap_media, min(ap) AS ap_minima,
+            round(avg(precision_top), 6) AS precision_media FROM stored GROUP BY 1, 2, 3)
+    QUALIFY row_number() OVER (PARTITION BY regimen ORDER BY ap_media DESC NULLS LAST, orden) = 1""", "history",
+    seen="""SELECT fecha, CAST(desenlace = 'Cerrado' AS BIGINT) AS y, ((modelo_sku IS NOT NULL)::INT * 10
+            + coalesce(manifesto_cuota_inicial = 'SI', false)::INT * 30 + (forma_pago_declarada IN ('credito',
+            'contado'))::INT * 10 + (pidio_cita = 'SI')::INT * 40) / 90.0::DOUBLE AS reglas,
+            (pidio_cita = 'SI')::INT::DOUBLE AS cita, 0.0::DOUBLE AS constante,
+            coalesce(manifesto_cuota_inicial = 'SI', false)::INT::DOUBLE AS cuota
+        FROM history WHERE desenlace IN ('Cerrado', 'Perdido')""",
+    checked=" UNION ALL ".join(f"""SELECT '{n}' AS ronda, * FROM seen WHERE fecha >= DATE '{c}' AND fecha < DATE '{e}'"""
+                               for n, _, c, e in GRID_ROUNDS),
+    scored=" UNION ALL ".join(f"""SELECT '{c}' AS candidato, '{w}' AS regimen, {i} AS orden, ronda, y, {c} AS score
+        FROM checked""" for i, (c, w) in enumerate(_FIXED)),
+    steps="""SELECT *, sum(n) OVER w - n AS n_antes, sum(tp) OVER w - tp AS tp_antes, sum(n) OVER p AS total,
+            sum(tp) OVER p AS positivos FROM (SELECT candidato, regimen, orden, ronda, score, count(*) AS n,
+            sum(y) AS tp FROM scored GROUP BY ALL)
+        WINDOW w AS (PARTITION BY orden, ronda ORDER BY score DESC), p AS (PARTITION BY orden, ronda)""",
+    stored="""SELECT candidato, regimen, orden, ronda,
+            round(sum(tp / nullif(positivos, 0) * (tp_antes + tp) / (n_antes + n)), 6) AS ap,
+            round(sum(tp * greatest(0, least(n, k - n_antes)) / n) / max(k), 6) AS precision_top
+        FROM (SELECT *, greatest(1, ceil(total * 0.2::DOUBLE)) AS k FROM steps) GROUP BY 1, 2, 3, 4"""))
+def k8_choice(t: Tables) -> DataFrame:
+    """The choice among fixed scores: the same cells, metrics and ranking as for fitted candidates."""
+    kept, _ = metrics.observed_outcomes(B.history(t))
+    initial, visit = (F.coalesce(F.col(c) == "SI", F.lit(False)) for c in ("manifesto_cuota_inicial", "pidio_cita"))
+    score = {
+        "reglas": signals.points("modelo_sku", initial, "forma_pago_declarada", visit) / 90.0,
+        "cita": visit.cast("double"), "cuota": initial.cast("double"), "constante": F.lit(0.0)}
+    runs = F.array(*[
+        F.struct(F.lit(c).alias("candidato"), F.lit(w).alias("regimen"), F.lit(i).alias("orden"), score[c].alias("score"))
+        for i, (c, w) in enumerate(_FIXED)])
+    checked = metrics.month_rounds(kept, "fecha", GRID_ROUNDS).where("uso = 'validacion'")
+    scored = checked.select("ronda", "y", F.lit(1).alias("n"), F.inline(runs))
+    return model.choose(model.grid_metrics(scored))
+
+
+@query("k8_grid")
+def k8_grid(t: Tables) -> DataFrame:
+    """Metrics of the twenty candidates over the rounds; every fit runs on counted cells."""
+    kept, _ = metrics.observed_outcomes(B.history(t))
+    rows = metrics.feature_frame(kept, ("fecha", "y"))
+    per_round, _ = model.select_candidates(metrics.month_rounds(rows, "fecha", GRID_ROUNDS[1:]), model.grid())
+    return per_round
+
+
 _REPS = 200
 _WEIGHED = """SELECT rep, {c} AS s, sum(w) AS n, sum(w * y) AS tp,
     coalesce(sum(sum(w)) OVER before, 0) AS n_antes, coalesce(sum(sum(w * y)) OVER before, 0) AS tp_antes,

@@ -74,6 +74,30 @@ def test_selection_and_intervals(spark, data):
     assert 0 < ap["limite_inferior_95"] <= ap["mediana"] <= ap["limite_superior_95"]
 
 
+def test_cells_choose_as_rows_do(spark, data):
+    """Fitted on counted cells, a candidate scores and ranks as one fitted on the rows."""
+    cut = [("r1", "1992-01-01", "1996-01-01", "1997-01-01"), ("r2", "1992-01-01", "1996-06-01", "1997-06-01")]
+    rounds = metrics.month_rounds(data, "fecha", cut)
+    candidates = [model.Candidate("ingreso", "logistica", 0.1), model.Candidate("comercial", "logistica", 1.0, "balanced"),
+                  model.Candidate("comercial", "arbol", 3)]
+    per_round, _ = model.select_candidates(rounds, candidates)
+    got = {(r["orden"], r["ronda"]): r for r in per_round.collect()}
+    assert len(got) == 6
+    for order, candidate in enumerate(candidates):
+        for name in ("r1", "r2"):
+            here = rounds.where(F.col("ronda") == name)
+            fitted = model.fit(here.where("uso = 'entrenamiento'"), candidate)
+            plain = model.evaluate(model.score(fitted, here.where("uso = 'validacion'"))).first()
+            for column in ("ap", "auc", "k", "precision_top", "brier", "vp", "fp", "fn", "vn"):
+                assert got[order, name][column] == pytest.approx(plain[column], abs=2e-4), (candidate.name, column)
+
+
+def test_a_round_without_training_rows_is_an_error(spark, data):
+    empty = metrics.month_rounds(data, "fecha", [("r1", "1980-01-01", "1981-01-01", "1997-01-01")])
+    with pytest.raises(ValueError, match="r1"):
+        model.score_grid(empty, [model.Candidate("ingreso", "logistica", 1.0)])
+
+
 def test_draws_follow_the_law(spark):
     """Mean and variance of Poisson(n), and the share of zeros, over many cells."""
     for n in (1, 3, 64, 65, 4_000):
