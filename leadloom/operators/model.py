@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
@@ -12,6 +13,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from leadloom.operators import metrics
 from leadloom.operators.ranking import attach_single
@@ -23,6 +25,8 @@ PROFILES = {
                   "cita_observada"],
 }
 LEAF_ROWS = 40
+TASK_CELLS = 20_000
+FITS_AT_ONCE = 4
 FORBIDDEN = {"numero_contactos", "desenlace", "empresa_id", "horas_al_primer_contacto"}
 
 
@@ -141,6 +145,7 @@ def score_grid(rounds: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
     run over the grid and the rounds (a fixed handful). A round without training rows is an error,
     one without validation rows gives none.
     """
+    spark = rounds.sparkSession
     profiles = list(dict.fromkeys(c.profile for c in candidates))
     columns = list(dict.fromkeys(c for p in profiles for c in PROFILES[p]))
     if FORBIDDEN & set(columns):
@@ -150,6 +155,7 @@ def score_grid(rounds: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
     classes: dict[str, dict[int, int]] = {
         r["ronda"]: {} for r in cells.select("ronda").distinct().collect()}
     training = cells.where("uso = 'entrenamiento'")
+    parts = 1 + cells.count() // TASK_CELLS  # an iteration over few cells is one small task
     for r in training.groupBy("ronda", "y").agg(F.sum("n").alias("n")).collect():
         classes[r["ronda"]][r["y"]] = r["n"]
     scored = []
@@ -161,16 +167,19 @@ def score_grid(rounds: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
                 F.sum("n").alias("n"))
             train, check = (here.where(F.col("uso") == u) for u in ("entrenamiento", "validacion"))
             encoding = Pipeline(stages=encoder(PROFILES[profile])).fit(train)
-            encoded = encoding.transform(train).select("features", "y", "n").persist()
+            encoded = encoding.transform(train).select("features", "y", "n").coalesce(parts).persist()
             unseen = encoding.transform(check).select("features", "y", "n")
-            for order, candidate in enumerate(candidates):
-                if candidate.profile == profile:
-                    fitted = _fitted_classifier(candidate, encoded, per_class)
-                    scored.append(fitted.transform(unseen).select(
-                        F.lit(candidate.name).alias("candidato"), F.lit(candidate.weights).alias("regimen"),
-                        F.lit(order).alias("orden"), F.lit(name).alias("ronda"), "y", "n",
-                        vector_to_array("probability")[1].alias("score")))
+            mine = [(order, c) for order, c in enumerate(candidates) if c.profile == profile]
+            fits = [inheritable_thread_target(spark)(partial(_fitted_classifier, c, encoded, per_class)) for _, c in mine]
+            with ThreadPool(FITS_AT_ONCE) as pool:
+                fitted = pool.map(lambda task: task(), fits)
             encoded.unpersist()
+            scored += [
+                one.transform(unseen).select(
+                    F.lit(c.name).alias("candidato"), F.lit(c.weights).alias("regimen"),
+                    F.lit(order).alias("orden"), F.lit(name).alias("ronda"), "y", "n",
+                    vector_to_array("probability")[1].alias("score"))
+                for (order, c), one in zip(mine, fitted, strict=True)]
     return reduce(DataFrame.unionByName, scored)
 
 

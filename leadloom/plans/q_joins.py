@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.operators import catalog, checks, identity, scope
+from leadloom.operators import catalog, checks, identity, keyed_table, scope
 from leadloom.operators.merge import upsert
 from leadloom.plans import bindings as B
 from leadloom.plans.registry import Tables, query
+from leadloom.session import checkpoint_dir
 
 
 @query("c1_many_to_one", B.sql("""SELECT i.fila, i.lead_consolidado_id, l.segmento,
@@ -427,18 +431,39 @@ def g8_masters(t: Tables) -> DataFrame:
     return sites.select("punto_venta_id", "empresas", F.col("empresa_id").alias("empresa"))
 
 
-@query("a14_upsert", """SELECT coalesce(n.k, s.k) AS k, CASE WHEN s.k IS NOT NULL
+_MERGED = """SELECT coalesce(n.k, s.k) AS k, CASE WHEN s.k IS NOT NULL
         THEN s.empresa ELSE n.empresa END AS empresa,
     CASE WHEN n.k IS NOT NULL AND (s.k IS NULL OR s.empresa = n.empresa) THEN n.v ELSE s.v END AS v
     FROM (SELECT o_orderkey AS k, o_custkey % 5 AS empresa, o_totalprice AS v FROM orders
         WHERE o_orderkey % 3 <> 0) s
     FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN 9 ELSE o_custkey % 5 END
-        AS empresa, o_totalprice * 2 AS v FROM orders WHERE o_orderkey % 4 <> 0) n ON n.k = s.k""")
-def a14_upsert(t: Tables) -> DataFrame:
+        AS empresa, o_totalprice * 2 AS v FROM orders WHERE o_orderkey % 4 <> 0) n ON n.k = s.k"""
+
+
+def _merge_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     k, owner = F.col("o_orderkey"), F.col("o_custkey") % 5
     stored = t.orders.where(k % 3 != 0).select(
         k.alias("k"), owner.alias("empresa"), F.col("o_totalprice").alias("v"))
     new = t.orders.where(k % 4 != 0).select(
         k.alias("k"), F.when(k % 10 == 0, 9).otherwise(owner).alias("empresa"),
         (F.col("o_totalprice") * 2).alias("v"))
-    return upsert(stored, new, ["k"], owner="empresa")
+    return stored, new
+
+
+@query("a14_upsert", _MERGED)
+def a14_upsert(t: Tables) -> DataFrame:
+    return upsert(*_merge_sides(t), ["k"], owner="empresa")
+
+
+@query("a14_buckets", _MERGED)
+def a14_buckets(t: Tables) -> DataFrame:
+    """The same merge on a stored table, in two batches, the second of them sent twice."""
+    stored, new = _merge_sides(t)
+    path = f"{checkpoint_dir(t.spark)}/a14-{uuid.uuid4().hex}"
+    keyed_table.create(stored, path, ["k"])
+    change = partial(upsert, keys=["k"], owner="empresa")
+    early = F.col("k") < 1000
+    keyed_table.merge(path, new.where(early), "l1", ["k"], change)
+    for _ in range(2):
+        keyed_table.merge(path, new.where(~early), "l2", ["k"], change)
+    return keyed_table.read(t.spark, path)

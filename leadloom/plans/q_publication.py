@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
 from leadloom.functions import signals
-from leadloom.operators import assignment, identity, merge, priority, scope
+from leadloom.operators import assignment, capture, identity, keyed_table, merge, priority, scope
 from leadloom.plans import bindings as B
 from leadloom.plans.q_aggregates import _GROUPS
 from leadloom.plans.q_values import prepared_inquiries
 from leadloom.plans.registry import Tables, query
+from leadloom.session import checkpoint_dir
 
 
 @query("j1_identity", B.sql("""WITH k AS (SELECT *, replace(strip_accents(lower(trim(regexp_replace(
@@ -382,7 +385,7 @@ def j16_transfers(t: Tables) -> DataFrame:
     return decisions.select("solicitud_id", "lead_consolidado_id", "anterior", "decision", "posicion_inicial")
 
 
-@query("l3_publish", """WITH v AS (SELECT o_custkey AS l, min(o_orderkey) AS p FROM orders
+_PUBLISHED = """WITH v AS (SELECT o_custkey AS l, min(o_orderkey) AS p FROM orders
         WHERE o_orderkey % 2 = 0 GROUP BY 1), n AS (SELECT o_custkey AS l, max(o_orderkey) AS p
         FROM orders GROUP BY 1)
     SELECT CAST(coalesce(v.l, n.l) AS VARCHAR) AS lead_consolidado_id,
@@ -390,7 +393,10 @@ def j16_transfers(t: Tables) -> DataFrame:
         coalesce(v.p <> n.p, false) AS conflicto_lote,
         CASE WHEN v.p <> n.p THEN CAST(n.p AS VARCHAR) END AS propuesta_lote_id,
         CASE WHEN v.l IS NULL THEN 'lote' ELSE 'captura_manual' END AS origen
-    FROM v FULL JOIN n ON v.l = n.l""")
+    FROM v FULL JOIN n ON v.l = n.l"""
+
+
+@query("l3_publish", _PUBLISHED)
 def l3_publish(t: Tables) -> DataFrame:
     return merge.publish_batch(_published(t), _proposals(t)).select(
         "lead_consolidado_id", "priorizacion_id", "conflicto_lote", "propuesta_lote_id", "origen")
@@ -413,6 +419,17 @@ def _proposals(t: Tables) -> DataFrame:
         F.col("p").cast("string").alias("priorizacion_id"))
 
 
+@query("l3_buckets", _PUBLISHED)
+def l3_buckets(t: Tables) -> DataFrame:
+    """The same publication on a stored table of pointers, sent twice."""
+    path = f"{checkpoint_dir(t.spark)}/l3-{uuid.uuid4().hex}"
+    keyed_table.create(_published(t), path, merge.LEAD)
+    for _ in range(2):
+        keyed_table.merge(path, _proposals(t), "l1", merge.LEAD, merge.publish_batch)
+    return keyed_table.read(t.spark, path).select(
+        "lead_consolidado_id", "priorizacion_id", "conflicto_lote", "propuesta_lote_id", "origen")
+
+
 @query("l4_initial_pointer", """SELECT CAST(o_custkey AS VARCHAR) AS lead_consolidado_id,
     CAST(o_orderkey AS VARCHAR) AS priorizacion_id, CASE WHEN o_orderstatus = 'F' THEN 'lote'
         ELSE 'captura_manual' END AS origen FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
