@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
 from leadloom.functions import ids, signals
+from leadloom.operators.changes import ChangeSet, plan_changes
 from leadloom.operators.merge import LEAD, audit_events
 
 ACTIONS = ["vincular", "rechazar", "crear_distinto"]
@@ -95,6 +96,66 @@ def plan_intake(requests: DataFrame, states: DataFrame, origin: str = "captura_m
     }
 
 
+KEYS = {
+    "leads": LEAD, "consultas": ["lead_id_origen"], "capturas": ["captura_id"], "ejecuciones": ["ejecucion_id"],
+    "priorizaciones": ["priorizacion_id"], "prioridades_publicadas": LEAD, "revisiones": ["revision_id"],
+    "extracciones_ia": ["extraccion_id"], "intereses_modelo": ["interes_id"],
+}
+
+
+def _lead_unit() -> Column:
+    return ids.row_id(*LEAD)
+
+
+def intake_changes(requests: DataFrame, states: DataFrame, stored: dict[str, DataFrame],
+                   origin: str = "captura_manual") -> ChangeSet:
+    """The change log of accepted captures, a lead's rows being one unit.
+
+    Requests whose capture is stored already add nothing, so a batch that comes again is empty.
+    """
+    if "capturas" in stored:
+        requests = requests.withColumn("captura_id", _web_id("captura", "solicitud_id")).join(
+            stored["capturas"].select("captura_id"), "captura_id", "left_anti").drop("captura_id")
+    plan = plan_intake(requests, states, origin)
+    plan.pop("auditoria")
+    unit = {n: _lead_unit() for n in plan}
+    # a run belongs to the lead of its capture
+    of_run = plan["capturas"].select(F.col("captura_id").alias("huella_entrada"), _lead_unit().alias("_unidad"))
+    plan["ejecuciones"] = plan["ejecuciones"].join(of_run, "huella_entrada")
+    return plan_changes(plan, stored, KEYS, {**unit, "ejecuciones": F.col("_unidad")}, helpers=("_unidad",))
+
+
+def review_changes(reviews: DataFrame, decisions: DataFrame, states: DataFrame) -> tuple[ChangeSet, DataFrame]:
+    """(change log of the decided reviews, the decisions that could not be applied with the reason)."""
+    out = resolve_reviews(reviews, decisions, states)
+    decided = out["revisiones"].join(decisions.select("revision_id").distinct(), "revision_id", "left_semi").select(
+        *reviews.columns)
+    log = plan_changes({"revisiones": decided}, {"revisiones": reviews}, KEYS, {"revisiones": F.col("revision_id")})
+    return log, out["rechazadas"]
+
+
+def publication_changes(results: DataFrame, catalogue: DataFrame, states: DataFrame, stored: dict[str, DataFrame]
+                        ) -> tuple[ChangeSet, DataFrame]:
+    """(change log of the finished extractions of present revisions, the obsolete results).
+
+    A lead's rows are one unit. Of several results for a lead all are kept, and the pointer goes to
+    the one with the greatest job id.
+    """
+    plan = publish_extractions(results, catalogue, states)
+    stale = plan.pop("obsoletas")
+    others = [c for c in plan["prioridades_publicadas"].columns if c not in LEAD]
+    plan["prioridades_publicadas"] = plan["prioridades_publicadas"].groupBy(*LEAD).agg(
+        F.max_by(F.struct(*others), "priorizacion_id").alias("_p")).select(*LEAD, "_p.*")
+    of_lead = plan["priorizaciones"].select(F.col("priorizacion_id").alias("_x"), _lead_unit().alias("_unidad"))
+    unit = {}
+    for name, key in (("ejecuciones", "ejecucion_id"), ("extracciones_ia", "extraccion_id"),
+                      ("intereses_modelo", "extraccion_id")):
+        plan[name] = plan[name].join(of_lead, F.col(key) == F.col("_x")).drop("_x")
+        unit[name] = F.col("_unidad")
+    unit.update({n: _lead_unit() for n in ("priorizaciones", "prioridades_publicadas")})
+    return plan_changes(plan, stored, KEYS, unit, helpers=("_unidad",)), stale
+
+
 def resolve_reviews(reviews: DataFrame, decisions: DataFrame, states: DataFrame
                     ) -> dict[str, DataFrame]:
     """Decide pending captures: link to a lead, reject, or create a distinct person.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
 from leadloom.functions import signals
-from leadloom.operators import assignment, capture, identity, keyed_table, merge, priority, scope
+from leadloom.operators import assignment, capture, changes, identity, keyed_table, merge, priority, scope
 from leadloom.plans import bindings as B
 from leadloom.plans.q_aggregates import _GROUPS
 from leadloom.plans.q_values import prepared_inquiries
@@ -547,6 +547,133 @@ def l11_complete(t: Tables) -> DataFrame:
     return merge.complete_assignments(plan, acts).select("lead_consolidado_id", "estado")
 
 
+def _sha(kind: str, key: str) -> str:
+    return f"""'WEB-' || substr(sha256('["{kind}", "' || {key} || '"]'), 1, 32)"""
+
+
+def _pointers(t: Tables, late: bool) -> DataFrame:
+    """The published pointers when a batch is planned, and later, when some leads have moved on."""
+    k = F.col("c_custkey")
+    moved = (k % 11 == 0) if late else F.lit(False)
+    return t.customer.where(k % 6 != 0).select(
+        F.concat(F.lit("E"), k % 5).alias("empresa_id"), F.concat(F.lit("L"), k).alias("lead_consolidado_id"),
+        F.concat(F.when(moved, "Q").otherwise("P"), k).alias("priorizacion_id"),
+        (k % 4 + 1 + moved.cast("int")).cast("bigint").alias("revision_entrada"),
+        F.lit("captura_manual").alias("origen"), F.lit(False).alias("conflicto_lote"),
+        F.lit(None).cast("string").alias("propuesta_lote_id"),
+        F.lit(None).cast("boolean").alias("revision_antes_conflicto"))
+
+
+@query("l13_intake", f"""WITH r AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderdate AS ts,
+        o_custkey % 3 <> 0 AS known, CASE WHEN o_orderkey % 2 = 0 THEN 10 ELSE 0 END
+        + CASE WHEN o_orderkey % 3 = 0 THEN 30 ELSE 0 END + CASE WHEN o_orderkey % 5 < 2 THEN 10 ELSE 0 END
+        + CASE WHEN o_orderkey % 7 = 0 THEN 40 ELSE 0 END AS points
+        FROM orders WHERE o_orderkey % 4 <> 3 AND o_custkey IN (SELECT c_custkey FROM customer)),
+    b AS (SELECT CASE WHEN known THEN 'L' || c ELSE {_sha('lead', 'id')} END AS l, any_value(c) AS c, bool_and(known)
+            AS known, count(*) AS n, arg_max(id, (ts, CAST(id AS VARCHAR))) AS last,
+            arg_max(points, (ts, CAST(id AS VARCHAR))) AS points FROM r GROUP BY 1),
+    taken AS (SELECT *, {_sha('prioridad', 'last')} AS p FROM b WHERE NOT known OR c % 11 <> 0)
+    SELECT l AS lead_consolidado_id, p AS priorizacion_id, CASE WHEN known THEN c % 4 + 1 + n ELSE n END
+        AS revision_entrada, round(points * 100 / 90.0::DOUBLE, 2) AS score FROM taken
+    UNION ALL SELECT 'L' || c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'Q' ELSE 'P' END || c_custkey,
+        c_custkey % 4 + 1 + CAST(c_custkey % 11 = 0 AS INT), NULL FROM customer
+    WHERE c_custkey % 6 <> 0 AND 'L' || c_custkey NOT IN (SELECT l FROM taken)""")
+def l13_intake(t: Tables) -> DataFrame:
+    """Orders as captures: planned, applied when some leads have moved on, and applied once more."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    requests = t.orders.join(t.customer, c == F.col("c_custkey")).where(k % 4 != 3).select(
+        k.cast("string").alias("solicitud_id"), F.concat(F.lit("E"), c % 5).alias("empresa_id"),
+        F.lit("u").alias("actor"), F.col("c_name").alias("nombre_limpio"),
+        F.lit("+573001112233").alias("telefono_valido"), F.lit(None).cast("string").alias("correo_valido"),
+        F.lit("S").alias("sede_id"), F.when(k % 2 == 0, F.concat(F.lit("K"), k % 7)).alias("modelo_sku"),
+        F.when(k % 3 == 0, 5.0).when(k % 3 == 1, 0.0).alias("cuota_inicial"),
+        F.when(k % 5 == 0, "credito").when(k % 5 == 1, "contado").alias("forma_pago"),
+        (k % 7 == 0).alias("cliente_pidio_cita"), F.col("o_orderdate").alias("registrada_en"),
+        F.when(c % 3 != 0, F.concat(F.lit("L"), c)).alias("lead_existente"))
+    seen = _pointers(t, late=False)
+    batch = capture.intake_changes(requests, seen, {"prioridades_publicadas": seen})
+    first, _ = changes.apply_changes(batch, {"prioridades_publicadas": _pointers(t, late=True)})
+    again, _ = changes.apply_changes(batch, first)
+    scores = again["priorizaciones"].select("priorizacion_id", F.col("score_prioridad").cast("double").alias("score"))
+    return again["prioridades_publicadas"].join(scores, "priorizacion_id", "left").select(
+        "lead_consolidado_id", "priorizacion_id", "revision_entrada", "score")
+
+
+@query("l12_reviews", """WITH d AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'vincular'
+            WHEN 1 THEN 'rechazar' WHEN 2 THEN 'crear_distinto' ELSE 'otra' END AS accion, o_orderkey % 5 <> 0 AS noted,
+        o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0 OR o_orderkey % 13 = 5 AS led, o_orderkey % 7 = 0 AS settled,
+        o_custkey % 6 <> 0 AS known, o_orderkey % 17 = 4 AS first FROM orders),
+    j AS (SELECT *, CASE WHEN accion = 'otra' THEN 'decision_invalida'
+        WHEN accion = 'vincular' AND NOT led THEN 'falta_lead' WHEN accion <> 'vincular' AND led THEN 'lead_no_admitido'
+        WHEN accion <> 'vincular' AND NOT noted THEN 'falta_motivo' WHEN settled THEN 'decision_distinta'
+        WHEN accion = 'vincular' AND NOT known THEN 'lead_ajeno' END AS motivo FROM d)
+    SELECT CAST(k AS VARCHAR) AS revision_id, motivo, CASE WHEN first AND NOT settled THEN 'en_espera'
+        WHEN settled THEN 'resuelta' WHEN motivo IS NOT NULL THEN 'pendiente'
+        WHEN accion = 'rechazar' THEN 'rechazada' ELSE 'resuelta' END AS estado FROM j""")
+def l12_reviews(t: Tables) -> DataFrame:
+    """Orders as reviews with a decision each: some are invalid, some find the review changed meanwhile."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    key, company = k.cast("string").alias("revision_id"), F.concat(F.lit("E"), c % 5).alias("empresa_id")
+    settled = k % 7 == 0
+    reviews = t.orders.select(
+        key, company, F.when(settled, "resuelta").otherwise("pendiente").alias("estado"),
+        F.when(settled, "antes").alias("resolucion"))
+    led = ((k % 4 == 0) & (k % 3 != 0)) | (k % 13 == 5)
+    decisions = t.orders.select(
+        key, F.element_at(F.array(*map(F.lit, [*capture.ACTIONS, "otra"])), (k % 4 + 1).cast("int")).alias("accion"),
+        F.when(k % 5 != 0, "visto").otherwise(" ").alias("nota"),
+        F.when(led, F.concat(F.lit("L"), c)).alias("lead_id"), F.lit("s").alias("actor"))
+    batch, refused = capture.review_changes(reviews, decisions, _pointers(t, late=False))
+    meanwhile = reviews.withColumn("estado", F.when(
+        (F.col("revision_id").cast("bigint") % 17 == 4) & (F.col("estado") == "pendiente"), "en_espera")
+        .otherwise(F.col("estado")))
+    first, _ = changes.apply_changes(batch, {"revisiones": meanwhile})
+    again, _ = changes.apply_changes(batch, first)
+    return again["revisiones"].join(refused, "revision_id", "left").select("revision_id", "estado", "motivo")
+
+
+@query("l15_publication", """WITH r AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 3 <> 1 THEN 10 ELSE 0 END
+        + CASE WHEN o_orderkey % 9 <> 0 AND (o_orderkey % 4 = 0 OR o_orderkey % 8 = 2) THEN 30 ELSE 0 END
+        + CASE WHEN o_orderkey % 7 = 0 THEN 10 ELSE 0 END + CASE WHEN o_orderkey % 10 = 3 THEN 40 ELSE 0 END AS points
+        FROM orders WHERE o_custkey % 6 <> 0 AND o_orderkey % 5 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer)),
+    b AS (SELECT c, arg_max(k, CAST(k AS VARCHAR)) AS k, arg_max(points, CAST(k AS VARCHAR)) AS points
+        FROM r WHERE c % 11 <> 0 GROUP BY c)
+    SELECT 'L' || c AS lead_consolidado_id, 'IA-' || k AS priorizacion_id, 'gemini' AS origen, c % 4 + 1
+        AS revision_entrada, round(points * 100 / 90.0::DOUBLE, 2) AS score, CASE WHEN k % 3 = 0 THEN 1 ELSE 2 END
+        AS menciones, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS sin_identificar FROM b
+    UNION ALL SELECT 'L' || c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'Q' ELSE 'P' END || c_custkey, 'captura_manual',
+        c_custkey % 4 + 1 + CAST(c_custkey % 11 = 0 AS INT), NULL, NULL, NULL FROM customer
+    WHERE c_custkey % 6 <> 0 AND c_custkey NOT IN (SELECT c FROM b)""")
+def l15_publication(t: Tables) -> DataFrame:
+    """Orders as finished chat extractions: some for an old revision, some whose lead moves on meanwhile."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = F.concat_ws(" ", "p_brand", F.lit("M"), "p_partkey")
+    catalogue = t.part.select(
+        F.concat(F.lit("S"), "p_partkey").alias("sku"), F.col("p_brand").alias("marca"),
+        F.concat(F.lit("M "), "p_partkey").alias("linea"))
+    rows = t.orders.join(t.customer, c == F.col("c_custkey")).join(t.part, F.col("p_partkey") == k % 50 + 1)
+    results = rows.select(
+        k.cast("string").alias("trabajo_id"), F.concat(F.lit("E"), c % 5).alias("empresa_id"),
+        F.concat(F.lit("L"), c).alias("lead_consolidado_id"), F.concat(F.lit("C"), k).alias("lead_id_origen"),
+        F.concat(F.lit("CONV-"), k).alias("conversacion_id"),
+        (c % 4 + 1 + (k % 5 == 0).cast("int")).cast("bigint").alias("revision_entrada"),
+        F.when(k % 3 == 0, F.array(name)).when(k % 3 == 1, F.array(name, F.lit("otra")))
+        .otherwise(F.array(F.upper(name), name)).alias("modelos_interes"),
+        F.when(k % 4 == 0, 5.0).when(k % 4 == 1, 0.0).alias("cuota_inicial"),
+        F.when(k % 8 == 2, 3.0).alias("inicial_minimo"), F.when(k % 9 != 0, 1).otherwise(0).alias("inicial_evidencias"),
+        F.when(k % 7 == 0, "credito").alias("forma_pago"), (k % 10 == 3).alias("cliente_pidio_cita"))
+    seen = _pointers(t, late=False)
+    batch, _ = capture.publication_changes(results, catalogue, seen, {"prioridades_publicadas": seen})
+    first, _ = changes.apply_changes(batch, {"prioridades_publicadas": _pointers(t, late=True)})
+    again, _ = changes.apply_changes(batch, first)
+    scores = again["priorizaciones"].select("priorizacion_id", F.col("score_prioridad").cast("double").alias("score"))
+    named = again["intereses_modelo"].groupBy(F.col("extraccion_id").alias("priorizacion_id")).agg(
+        F.count(F.lit(1)).alias("menciones"), F.count_if(F.col("modelo_sku").isNull()).alias("sin_identificar"))
+    return again["prioridades_publicadas"].join(scores, "priorizacion_id", "left").join(
+        named, "priorizacion_id", "left").select(
+        "lead_consolidado_id", "priorizacion_id", "origen", "revision_entrada", "score", "menciones", "sin_identificar")
+
+
 @query("l14_jobs", """WITH j AS (SELECT *, o_orderkey % 3 AS e, o_orderkey % 5 AS intentos,
         o_orderdate < TIMESTAMP '1999-01-01' AS vencido FROM (SELECT *, row_number() OVER (PARTITION
         BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS rn FROM orders) WHERE rn = 1)
