@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,82 @@ from leadloom.operators.checks import fingerprint
 HOUR = 3600 * 1000
 
 
+def _marks(spark: SparkSession, path: str) -> DataFrame:
+    """The written marks below ``path``, none when nothing has been written yet."""
+    try:
+        return spark.read.schema("huella string").json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "huella string")
+
+
+def _mark(spark: SparkSession, path: str, digest: str, mode: str) -> None:
+    spark.createDataFrame([(digest,)], "huella string").coalesce(1).write.mode(mode).json(path)
+
+
+def _digest(df: DataFrame) -> str | None:
+    mark = fingerprint(df).first()
+    return f"{mark['filas']}-{mark['huella_a']}-{mark['huella_b']}" if mark["filas"] else None
+
+
+def _handle_once(
+    spark: SparkSession, folder: str, schema: T.StructType, results: str, handler: Callable[[DataFrame, str], DataFrame],
+    still: Callable[[], bool] = lambda: True,
+) -> str:
+    """Handle the content of a folder unless its result is kept already: vacia, conocida, cambiada or publicada.
+
+    When the folder is not ``still`` the same after the run, the result is not entered.
+    """
+    snapshot = spark.read.schema(schema).json(folder)
+    digest = _digest(snapshot)
+    if digest is None:
+        return "vacia"
+    if len(_marks(spark, f"{results}/listas").where(F.col("huella") == digest).take(1)):
+        return "conocida"
+    handler(snapshot, digest).write.mode("overwrite").parquet(f"{results}/huella={digest}")
+    if not still():
+        return "cambiada"
+    _mark(spark, f"{results}/listas", digest, "append")
+    return "publicada"
+
+
+def observe(spark: SparkSession, folder: str) -> str | None:
+    """A fingerprint of names, sizes and times of the files of a folder; none without files. No file is read."""
+    files = spark.read.format("binaryFile").load(folder)
+    return _digest(files.select("path", "length", F.col("modificationTime").cast("string").alias("en")))
+
+
+def observed_run(
+    spark: SparkSession, folder: str, schema: T.StructType, results: str, handler: Callable[[DataFrame, str], DataFrame],
+    number: int,
+) -> str:
+    """Observation ``number`` of a folder without manifest: its content is handled when two observations
+    in a row agree, so a folder that is still being written waits (``pendiente``).
+
+    The observation is written under its number, so a repeated one replaces itself.
+    """
+    now = observe(spark, folder)
+    if now is None:
+        return "vacia"
+    _mark(spark, f"{results}/observaciones/numero={number}", now, "overwrite")
+    before = _marks(spark, f"{results}/observaciones/numero={number - 1}").first()
+    if before is None or before["huella"] != now:
+        return "pendiente"
+    return _handle_once(spark, folder, schema, results, handler, lambda: observe(spark, folder) == now)
+
+
+def watch_folder(
+    spark: SparkSession, folder: str, schema: T.StructType, results: str, checkpoint: str,
+    handler: Callable[[DataFrame, str], DataFrame], interval: str = "60 seconds",
+):
+    """Observe a folder at every interval and handle each content that has settled, once."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(
+        lambda _, number: observed_run(spark, folder, schema, results, handler, number) and None
+    ).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
 def on_new_snapshot(
     spark: SparkSession, manifests: str, schema: T.StructType, results: str, checkpoint: str,
     handler: Callable[[DataFrame, str], DataFrame],
@@ -37,24 +114,9 @@ def on_new_snapshot(
     """
     incoming = spark.readStream.schema("carpeta string").json(manifests)
 
-    def known(digest: str) -> bool:
-        try:
-            done = spark.read.schema("huella string").json(f"{results}/listas")
-            return len(done.where(F.col("huella") == digest).take(1)) > 0
-        except Exception as error:  # nothing has been handled yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return False
-
     def run(batch: DataFrame, _: int) -> None:
         for row in batch.select("carpeta").distinct().orderBy("carpeta").toLocalIterator():
-            snapshot = spark.read.schema(schema).json(row["carpeta"])
-            mark = fingerprint(snapshot).first()
-            digest = f"{mark['filas']}-{mark['huella_a']}-{mark['huella_b']}"
-            if mark["filas"] and not known(digest):
-                handler(snapshot, digest).write.mode("overwrite").parquet(f"{results}/huella={digest}")
-                one = spark.createDataFrame([(digest,)], "huella string")
-                one.write.mode("append").json(f"{results}/listas")
+            _handle_once(spark, row["carpeta"], schema, results, handler)
 
     return incoming.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()

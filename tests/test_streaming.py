@@ -196,3 +196,42 @@ def test_snapshot_is_handled_once(spark, tmp_path):
 
 def test_empty_quota():
     assert admit([], []) == ([], [])
+
+
+def test_a_folder_is_handled_when_two_observations_agree(spark, tmp_path):
+    folder, results = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    seen = []
+
+    def handler(snapshot, digest):
+        seen.append(digest)
+        return snapshot
+
+    def look(number):
+        return timers.observed_run(spark, str(folder), T.StructType().add("v", "long"), results, handler, number)
+
+    assert look(0) == "vacia"
+    (folder / "a.json").write_text('{"v": 1}\n')
+    assert look(1) == "pendiente"
+    (folder / "b.json").write_text('{"v": 2}\n')  # still being written
+    assert look(2) == "pendiente" and not seen
+    assert look(3) == "publicada" and look(4) == "conocida" and len(seen) == 1
+    assert look(4) == "conocida"  # a repeated observation
+    (folder / "b.json").write_text('{"v": 2}\n{"v": 3}\n')
+    assert look(5) == "pendiente" and look(6) == "publicada" and len(set(seen)) == 2
+    assert spark.read.parquet(f"{results}/huella={seen[1]}").count() == 3
+
+
+def test_a_folder_that_changes_during_the_run_waits(spark, tmp_path):
+    folder, results = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.json").write_text('{"v": 1}\n')
+
+    def handler(snapshot, digest):
+        if not (folder / "b.json").exists():
+            (folder / "b.json").write_text('{"v": 2}\n')
+        return snapshot
+
+    states = [timers.observed_run(
+        spark, str(folder), T.StructType().add("v", "long"), results, handler, n) for n in range(4)]
+    assert states == ["pendiente", "cambiada", "pendiente", "publicada"]
