@@ -82,6 +82,33 @@ def a9_json(t: Tables) -> DataFrame:
         t.spark, path, T.StructType.fromDDL("o_orderkey bigint, valor double, fecha string"), multiline=False)
 
 
+@query("a8_csv", """SELECT CAST(o_custkey AS VARCHAR) AS cliente, '[' || string_agg('{"k":' || o_orderkey || ',"s":"'
+        || o_orderstatus || ', \\"' || o_orderkey % 3 || '\\""}', ',' ORDER BY o_orderkey) || ']' AS pedidos,
+    strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS ultimo,
+    CASE WHEN o_custkey % 3 <> 0 THEN 'línea' || chr(10) || '"dos", tres' END AS nota FROM orders GROUP BY o_custkey""")
+def a8_csv(t: Tables) -> DataFrame:
+    """Nested columns, quotes, commas, line breaks and nulls through a CSV file, read back as text."""
+    path, k = place(t), F.col("o_orderkey")
+    quoted = F.concat("o_orderstatus", F.lit(', "'), k % 3, F.lit('"'))
+    writers.write_csv(t.orders.groupBy(F.col("o_custkey").alias("cliente")).agg(
+        F.sort_array(F.collect_list(F.struct(k.alias("k"), quoted.alias("s")))).alias("pedidos"),
+        F.max("o_orderdate").cast("timestamp_ntz").alias("ultimo")).withColumn(
+        "nota", F.when(F.col("cliente") % 3 != 0, 'línea\n"dos", tres')), path)
+    return t.spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+
+
+@query("a11_portable", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice END AS valor,
+    strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS fecha, o_orderstatus AS texto FROM orders""")
+def a11_portable(t: Tables) -> DataFrame:
+    k, odd = F.col("o_orderkey"), [float("nan"), float("inf"), float("-inf")]
+    value = F.when(k % 4 == 0, F.col("o_totalprice"))
+    for i, x in enumerate(odd):
+        value = value.when(k % 4 == i + 1, x)
+    return writers.portable(t.orders.select(
+        "o_orderkey", value.alias("valor"), F.col("o_orderdate").cast("timestamp_ntz").alias("fecha"),
+        F.col("o_orderstatus").alias("texto")))
+
+
 _LINES = """CASE o_orderkey % 5 WHEN 0 THEN '[1,2]' WHEN 1 THEN '{"o_orderkey": "x' || o_orderkey || '"}'
     WHEN 2 THEN 'no' || o_orderkey ELSE '{"o_orderkey": ' || o_orderkey || '}' END"""
 
