@@ -17,14 +17,11 @@ def reference_keys(catalogue: DataFrame) -> DataFrame:
     One row per (clave, sku) with ``exacta`` true for whole names, so a prefix search becomes an
     equality join.
     """
-    name = F.concat_ws(" ", "marca", "linea")
-    base = catalogue.select(
-        "sku",
-        name.alias("nombre"),
-        model_key("marca").alias("marca_clave"),
-        model_key(name).alias("completo"),
-        model_key("linea").alias("linea_clave"),
-    )
+    # dealt by product first: a small file is one task, and its keys are several times its rows
+    named = catalogue.select("sku", "marca", "linea", F.concat_ws(" ", "marca", "linea").alias("nombre"))
+    base = named.repartition("sku", "nombre").groupBy(
+        "sku", "nombre", model_key("marca").alias("marca_clave")).agg(
+        F.collect_set(model_key("linea")).alias("lineas")).withColumn("completo", model_key("nombre"))
 
     def prefixes(key):
         words = F.split(key, " ")
@@ -32,24 +29,19 @@ def reference_keys(catalogue: DataFrame) -> DataFrame:
             F.size(words) > 1,
             F.transform(
                 F.sequence(F.lit(1), F.size(words) - 1),
-                lambda k: F.struct(
-                    F.array_join(F.slice(words, F.lit(1), k), " ").alias("clave"),
-                    F.lit(False).alias("exacta"),
-                ),
-            ),
-        ).otherwise(F.array().cast("array<struct<clave:string,exacta:boolean>>"))
-
-    whole = F.array(*[
-        F.struct(F.col(c).alias("clave"), F.lit(True).alias("exacta"))
-        for c in ("completo", "linea_clave")
-    ])
-    entries = F.concat(whole, prefixes(F.col("completo")), prefixes(F.col("linea_clave")))
-    return (
-        base.select("sku", "nombre", "marca_clave", F.inline(entries))
-        .where(F.col("clave").isNotNull())
-        .groupBy("clave", "sku", "nombre", "marca_clave")
-        .agg(F.bool_or("exacta").alias("exacta"))
-    )
+                lambda k: F.array_join(F.slice(words, F.lit(1), k), " ")),
+        ).otherwise(F.array().cast("array<string>"))
+
+    every = F.array_compact(F.array_distinct(F.concat(F.array("completo"), "lineas")))
+    entries = base.select("sku", "nombre", "marca_clave", every.alias("_whole")).withColumn(
+        "_begun", F.array_except(F.flatten(F.transform("_whole", prefixes)), "_whole"))
+
+    def marked(keys, whole: bool):
+        return F.transform(keys, lambda k: F.struct(k.alias("clave"), F.lit(whole).alias("exacta")))
+
+    return entries.select(
+        "sku", "nombre", "marca_clave", F.inline(F.concat(marked("_whole", True), marked("_begun", False)))
+    ).select("clave", "sku", "nombre", "marca_clave", "exacta")
 
 
 def match_table(catalogue: DataFrame) -> DataFrame:
@@ -94,10 +86,11 @@ def candidates_by_key(df: DataFrame, text: str, catalogue: DataFrame) -> DataFra
     key; a row reaches its list by its key and carries the count (:func:`match_models`).
     """
     asked = df.select(model_key(text).alias("clave")).distinct()
-    keys = reference_keys(catalogue)
-    exact_keys = keys.groupBy("clave").agg(F.bool_or("exacta").alias("_any"))
-    chosen = keys.join(exact_keys, "clave").where(F.col("exacta") | ~F.col("_any"))
-    return asked.join(chosen, "clave").select("clave", "sku", "nombre")
+    # the size of the catalogue says little about the number of its keys, so none are broadcast
+    wanted = reference_keys(catalogue).hint("merge").join(asked, "clave")
+    exact_keys = wanted.groupBy("clave").agg(F.bool_or("exacta").alias("_any"))
+    return wanted.hint("merge").join(exact_keys, "clave").where(F.col("exacta") | ~F.col("_any")).select(
+        "clave", "sku", "nombre")
 
 
 def availability_state(

@@ -416,7 +416,8 @@ def wanted_models(t: Tables) -> DataFrame:
     k = F.col("o_orderkey") % 6
     picked = attach_single(t.orders.select("o_orderkey"), n).withColumn(
         "p_partkey", (F.col("o_orderkey") * 7) % F.col("_n"))
-    return picked.join(t.part, "p_partkey", "left").select(
+    # the file of a catalogue is far smaller than its rows, so its size would have them broadcast
+    return picked.join(t.part.hint("merge"), "p_partkey", "left").select(
         F.col("o_orderkey").alias("fila"),
         F.when(k == 0, F.concat_ws(" ", "p_brand", "p_name", F.col("p_size").cast("string")))
         .when(k == 1, F.concat_ws(" ", F.upper("p_name"), F.col("p_size").cast("string")))

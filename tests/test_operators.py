@@ -557,3 +557,30 @@ def test_a_load_happens_once_and_is_checked_every_time(spark):
     done = merge.load_once(runs, "r0", expected, {"t": ["k"]}, load, stored.get)
     assert [(r["tabla"], r["clave"], r["estado"]) for r in done.collect()] == [("t", "2", "ausente")] and not calls
     assert merge.load_once(runs, "r1", expected, {"t": ["k"]}, load, stored.get).count() == 0 and calls == [1]
+
+
+def test_catalogue_keys_are_dealt_before_they_multiply(spark):
+    """Keys of one catalogue row are told apart in the row; the rows of a small file are dealt first."""
+    from leadloom.operators import catalog
+
+    rows = [("s1", "Akt", "NKD 125"), ("s1", "Akt", "NKD 125"), ("s2", "Akt", "NKD"), ("s3", None, "solo"),
+            ("s4", "uno", None), (None, "x", "y"), ("s5", "dos dos", "dos")]
+    df = spark.createDataFrame(rows, "sku string, marca string, linea string")
+    keys = catalog.reference_keys(df)
+    got = {tuple(r) for r in keys.collect()}
+    assert keys.count() == len(got) and not {r for r in got if r[0] is None}
+    assert {(r[0], r[4]) for r in got if r[1] == "s1"} == {
+        ("akt nkd 125", True), ("nkd 125", True), ("akt", False), ("akt nkd", False), ("nkd", False)}
+    assert {(r[0], r[4]) for r in got if r[1] == "s5"} == {
+        ("dos dos dos", True), ("dos", True), ("dos dos", False)}
+    assert {(r[0], r[4]) for r in got if r[1] is None} == {("x y", True), ("y", True), ("x", False)}
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # read from the top: dealt before it is multiplied
+
+
+def test_a_catalogue_is_not_sent_whole_to_every_executor(spark):
+    from leadloom.plans.q_values import wanted_models
+    from leadloom.plans.registry import Tables
+
+    plan = wanted_models(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
