@@ -47,16 +47,16 @@ def reference_keys(catalogue: DataFrame) -> DataFrame:
 def match_table(catalogue: DataFrame) -> DataFrame:
     """One row per key with the decision it leads to."""
     keys = reference_keys(catalogue)
+    # whole names before beginnings, so the greatest is the only one where there is only one
     decided = keys.groupBy("clave").agg(
         F.count_if("exacta").alias("_exact"),
         F.count(F.lit(1)).alias("_all"),
-        F.max(F.when(F.col("exacta"), F.struct("sku", "nombre", "marca_clave"))).alias("_e"),
-        F.max(F.struct("sku", "nombre", "marca_clave")).alias("_p"),
+        F.max(F.struct("exacta", "sku", "nombre", (F.col("clave") != F.col("marca_clave")).alias("_more"))).alias("_one"),
     )
     exact = F.col("_exact") > 0
     n = F.when(exact, F.col("_exact")).otherwise(F.col("_all"))
-    one = F.when(exact, F.col("_e")).otherwise(F.col("_p"))
-    unique = (n == 1) & (F.col("clave") != one["marca_clave"])
+    one = F.col("_one")
+    unique = (n == 1) & one["_more"]
     return decided.select(
         "clave",
         F.when(unique, one["sku"]).alias("modelo_sku"),
