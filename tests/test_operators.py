@@ -584,3 +584,28 @@ def test_a_catalogue_is_not_sent_whole_to_every_executor(spark):
 
     plan = wanted_models(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
+
+
+def test_names_are_found_at_every_place_and_in_every_text(spark):
+    from leadloom.operators import catalog
+
+    catalogue = spark.createDataFrame(
+        [("a", "Moto", "Ñandú 1"), ("b", "Moto", "Ñandú 12"), ("c", "x", "y"), ("d", "moto", "nandu 1"), ("e", "", None),
+         (None, "zeta", "larga larga larga larga larga larga"), ("a", "Moto", "Ñandú 1")],
+        "sku string, marca string, linea string")
+    texts = [(1, "MOTO ÑANDÚ 12 y otra moto nandu 1"), (1, "moto nandu 1"), (1, "moto nandu 1"), (2, "x yx y"), (3, ""),
+             (4, None), (None, "x y"), (5, "zeta larga larga larga larga larga larga"), (6, "oto nandu 12"), (7, "x"),
+             (8, "nada\u0000moto nandu 1" * 3)]
+    df = spark.createDataFrame(texts, "id int, t string")
+    names = [(s, "".join(f"{m} {n}".lower().replace("ñ", "n").replace("ú", "u"))) for s, m, n in
+             [("a", "moto", "nandu 1"), ("b", "moto", "nandu 12"), ("c", "x", "y"), ("d", "moto", "nandu 1"),
+              (None, "zeta", "larga larga larga larga larga larga")]]
+    want = [(i, s) for i, t in texts if i is not None and t is not None
+            for s, n in names if n in t.lower().replace("ñ", "n").replace("ú", "u")]
+    key = lambda r: (r[0], str(r[1]))
+    got = sorted(map(tuple, catalog.names_in_text(df, "id", "t", catalogue.where("sku <> 'e' OR sku IS NULL")).collect()), key=key)
+    assert got == sorted(want, key=key)
+    once = catalog.names_in_text(df, "id", "t", catalogue.where("sku <> 'e' OR sku IS NULL"), each_row=False)
+    assert sorted(map(tuple, once.collect()), key=key) == sorted(set(want), key=key)
+    # grams of the texts stay in the tasks that read them
+    assert "_seen" not in once.columns and once.columns == ["id", "sku"]
