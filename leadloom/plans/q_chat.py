@@ -165,11 +165,8 @@ def h26_model_audit(t: Tables) -> DataFrame:
     wish = F.lower(F.concat_ws(" ", "p_brand", "p_name", F.col("p_size").cast("string")))
     said = B.messages(t).where("emisor = 'cliente'").join(
         t.part, F.col("p_partkey") == F.col("conv_id"), "left"
-    ).select("conversacion_id", "conv_id", F.concat_ws(" ", "texto", wish).alias("texto"),
-             F.concat_ws("#", "conversacion_id", "posicion").alias("_row"))
-    found = catalog.names_in_text(said, "_row", "texto", B.catalogue(t))
-    expected = found.select(
-        F.substring_index("_row", "#", 1).alias("conversacion_id"), "sku").distinct()
+    ).select("conversacion_id", "conv_id", F.concat_ws(" ", "texto", wish).alias("texto"))
+    expected = catalog.names_in_text(said, "conversacion_id", "texto", B.catalogue(t), each_row=False)
     extracted = said.where("conv_id % 5 <> 0").select(
         "conversacion_id", F.concat(F.lit("SKU-"), F.col("conv_id").cast("string")).alias("sku")
     ).distinct()
