@@ -60,3 +60,23 @@ def test_rows_written_twice_null_keys_other_columns_and_empty_batches(spark):
     none = _plan({"a": plan["a"].limit(0)}, stored)
     same, decisions = changes.apply_changes(none, stored)
     assert decisions.count() == 0 and _rows(same["a"]) == _rows(stored["a"])
+
+
+def test_log_is_written_compressed_and_tables_that_are_not_there_meet_nothing(spark):
+    """Repeated keys are told on keys, rows are compared by digest, and the fewer units choose the rows."""
+    stored = {"a": spark.createDataFrame([("x", 1), ("y", 1)], A)}
+    plan = {"a": spark.createDataFrame([("x", 2), ("y", 2), ("y", 3), (None, 1)], A),
+            "b": spark.createDataFrame([("x", 1, 0.5), ("n", 1, 0.5), ("m", 1, 0.5)], B)}
+    batch = _plan(plan, stored)
+    assert any(f.endswith(".zstd.parquet") for f in batch.log.inputFiles())
+    assert {(r["clave"], r["veces"]) for r in batch.log.where("tabla = 'a'").collect()} == {
+        ('{"k":"x"}', 1), ('{"k":"y"}', 2), ('{"k":null}', 1)}
+    after, decisions = changes.apply_changes(batch, stored)
+    assert _states(decisions) == {"x": "aplicada", "y": "ambigua", "n": "aplicada", "m": "aplicada", None: "sin_unidad"}
+    assert _rows(after["a"]) == {("x", 2), ("y", 1)}
+    assert _rows(after["b"]) == {("x", 1, 0.5), ("n", 1, 0.5), ("m", 1, 0.5)}
+    plan_text = changes.judge(batch, stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan_text
+    again, decisions = changes.apply_changes(batch, after)
+    assert _states(decisions) == {"x": "repetida", "y": "ambigua", "n": "repetida", "m": "repetida", None: "sin_unidad"}
+    assert _rows(again["a"]) == _rows(after["a"]) and _rows(again["b"]) == _rows(after["b"])
