@@ -69,16 +69,18 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     return joined.withColumn(indicator, F.coalesce(F.col(indicator), F.lit(False)))
 
 
-def left_join_sparse(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def left_join_sparse(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                     spread: Sequence[str] | None = None) -> DataFrame:
     """Left join on keys that are often null.
 
-    Rows without a key match nothing, yet would all meet in one task; a salt derived from the row
-    spreads them. Rows with a key keep salt 0 and meet their match as usual.
+    Rows without a key match nothing, yet would all meet in one task; a salt derived from the row,
+    or from its columns ``spread``, spreads them. Rows with a key keep salt 0 and meet their match
+    as usual. With ``spread``, columns that nobody asks for need not be worked out for the salt.
     """
     missing = F.lit(False)
     for k in keys:
         missing = missing | F.col(k).isNull()
-    plain = [f.name for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
+    plain = spread or [f.name for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
     salt = F.when(missing, F.pmod(F.xxhash64(*plain), F.lit(4096)) + 1).otherwise(0)
     salted = right.withColumn("_salt", F.lit(0).cast("bigint"))
     return left.withColumn("_salt", salt.cast("bigint")).join(

@@ -173,7 +173,7 @@ def resolve_identities(inquiries: DataFrame) -> DataFrame:
     eligible = F.col("telefono").isNotNull() & F.col("empresa_id").isNotNull()
     groups = compatible_groups(inquiries.where(eligible), OWNER_PHONE, "nombre").where(
         "compatibles").select(*OWNER_PHONE, F.lit(True).alias("_same"))
-    joined = left_join_sparse(inquiries, groups, OWNER_PHONE)
+    joined = left_join_sparse(inquiries, groups, OWNER_PHONE, spread=["lead_id", "nombre"])
     same = F.coalesce(F.col("_same"), F.lit(False))
     return joined.withColumns({
         "lead_consolidado_id": F.when(

@@ -609,3 +609,25 @@ def test_names_are_found_at_every_place_and_in_every_text(spark):
     assert sorted(map(tuple, once.collect()), key=key) == sorted(set(want), key=key)
     # grams of the texts stay in the tasks that read them
     assert "_seen" not in once.columns and once.columns == ["id", "sku"]
+
+
+def test_sparse_join_needs_no_columns_that_nobody_asks_for(spark):
+    from leadloom.operators.checks import left_join_sparse
+
+    left = spark.createDataFrame([(1, "k", "x"), (2, None, "y"), (3, None, None)], "i int, k string, w string")
+    left = left.withColumn("dear", F.upper("w"))
+    right = spark.createDataFrame([("k", 5)], "k string, v int")
+    out = left_join_sparse(left, right, ["k"], spread=["i"])
+    assert sorted((r["i"], r["v"], r["dear"]) for r in out.collect()) == sorted(
+        (r["i"], r["v"], r["dear"]) for r in left_join_sparse(left, right, ["k"]).collect())
+    assert "upper" not in out.select("i", "v")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_identity_does_not_work_out_other_columns(spark):
+    from leadloom.operators import identity
+
+    rows = spark.createDataFrame([("E", "+573", "Ana Ruiz", "1", "a@b.co"), ("E", None, "Ana", "2", None)],
+                                 "empresa_id string, telefono string, nombre string, lead_id string, email string")
+    out = identity.resolve_identities(rows.withColumn("dear", F.reverse("email")))
+    assert "reverse" not in out.select("lead_consolidado_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 2
