@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import sys
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -124,22 +125,25 @@ def on_new_snapshot(
 
 def in_event_order(
     events: DataFrame, key: str, kind: Column, number: Column, out: str, delay: str, step: Callable,
+    load: Callable = str, dump: Callable = str,
 ) -> DataFrame:
     """Fold the events of each key in event time, whatever batches they arrive in.
 
     Events wait in the state until the watermark has passed them; those of one key and ``delay``
     are held together. ``step(memo, micros, kind, number)`` returns the new memo, the rows to emit
     and the instant (microseconds, or None) at which to call it again with kind None if no event
-    comes before; a memo of None ends the state of the key. Results cover all events older than the
+    comes before; a memo of None ends the state of the key. Between batches a memo is the text that
+    ``dump`` makes of it and ``load`` reads, "" for a new key. Results cover all events older than the
     watermark.
     """
     kinds = T.StructType.fromDDL(out)
     name, names = kinds.fieldNames()[0], kinds.fieldNames()[1:]
 
     def fold(value, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, memo, due = [], "", None
+        waiting, memo, due = [], load(""), None
         if state.exists:
-            text, memo, due = state.get
+            text, kept, due = state.get
+            memo = load(kept)
             waiting = [tuple(x) for x in json.loads(text)]
         if not state.hasTimedOut:
             for frame in frames:
@@ -151,7 +155,7 @@ def in_event_order(
 
         def call(at: int, what: str | None, n: int) -> None:
             nonlocal memo, due
-            memo, made, due = step(memo or "", at, what, n)
+            memo, made, due = step(load("") if memo is None else memo, at, what, n)
             rows.extend(made)
 
         done = 0
@@ -168,7 +172,7 @@ def in_event_order(
         if not waiting and memo is None:
             state.remove()
         else:
-            state.update((json.dumps(waiting), memo or "", due))
+            state.update((json.dumps(waiting), "" if memo is None else dump(memo), due))
             later = [x for x in (waiting[0][0] if waiting else None, due) if x is not None]
             if later:
                 state.setTimeoutTimestamp(max(min(later) // 1000, now // 1000, 1))
@@ -189,15 +193,21 @@ def suppress_repeats(requests: DataFrame, ts: str = "ts", delay: str = "1 hour")
 def admit(instants: list[int], admitted: list[int], per_day: int = V.QUOTA_PER_DAY,
           per_minute: int = V.QUOTA_PER_MINUTE) -> tuple[list[bool], list[int]]:
     """Sequential admission over sorted instants (microseconds). Rejected ones do not count."""
+    held = deque(sorted(admitted))
+    flags = [_admits(held, t, per_day, per_minute) for t in instants]
+    return flags, list(held)
+
+
+def _admits(held: deque[int], t: int, per_day: int, per_minute: int) -> bool:
+    """Whether an attempt at ``t`` is admitted; ``held`` are the admissions of the day before, in order."""
     day, minute = 24 * 3600 * 1_000_000, 60 * 1_000_000
-    flags = []
-    for t in instants:
-        admitted = [a for a in admitted if a > t - day]
-        ok = len(admitted) < per_day and sum(a > t - minute for a in admitted) < per_minute
-        if ok:
-            admitted.append(t)
-        flags.append(ok)
-    return flags, admitted
+    while held and held[0] <= t - day:
+        held.popleft()
+    # of instants in order, the one that far from the end tells how many are inside the minute
+    ok = len(held) < per_day and per_minute > 0 and (len(held) < per_minute or held[-per_minute] <= t - minute)
+    if ok:
+        held.append(t)
+    return ok
 
 
 def rolling_quota(attempts: DataFrame, per_day: int = V.QUOTA_PER_DAY,
@@ -208,15 +218,15 @@ def rolling_quota(attempts: DataFrame, per_day: int = V.QUOTA_PER_DAY,
     """
     day = 24 * HOUR * 1000
 
-    def step(memo: str, at: int, kind: str | None, number: int):
-        held = [a for a in json.loads(memo or "[]") if a > at - day]
-        if kind is None:
-            return (json.dumps(held) if held else None), [], (held[-1] + day if held else None)
-        (ok,), held = admit([at], held, per_day, per_minute)
-        return json.dumps(held), [(number, ok)], (held[-1] + day if held else None)
+    def step(held: deque[int], at: int, kind: str | None, number: int):
+        made = [] if kind is None else [(number, _admits(held, at, per_day, per_minute))]
+        while held and held[0] <= at - day:
+            held.popleft()
+        return (held if held or made else None), made, (held[-1] + day if held else None)
 
     return in_event_order(attempts, "modelo", F.lit("intento"), F.col("intento_id"),
-                          "modelo string, intento_id long, admitido boolean", delay, step)
+                          "modelo string, intento_id long, admitido boolean", delay, step,
+                          lambda text: deque(json.loads(text or "[]")), lambda held: json.dumps(list(held)))
 
 
 def first_contact_deadline(events: DataFrame, delay: str = "1 hour", hours: int = 24,

@@ -235,3 +235,25 @@ def test_a_folder_that_changes_during_the_run_waits(spark, tmp_path):
     states = [timers.observed_run(
         spark, str(folder), T.StructType().add("v", "long"), results, handler, n) for n in range(4)]
     assert states == ["pendiente", "cambiada", "pendiente", "publicada"]
+
+
+def test_admission_takes_the_same_time_whatever_is_held():
+    """Instants leave at one end; the rule is that of counting the day and the minute again each time."""
+    import random
+    import time
+
+    day, minute = 24 * 3600 * 1_000_000, 60 * 1_000_000
+    draw = random.Random(7)
+    instants = sorted(draw.randrange(3 * day) for _ in range(3000))
+    for per_day, per_minute in ((300, 10), (20, 1), (5, 0), (0, 3), (2000, 2)):
+        held, want = [], []
+        for t in instants:
+            held = [a for a in held if a > t - day]
+            ok = len(held) < per_day and sum(a > t - minute for a in held) < per_minute
+            held += [t] * ok
+            want.append(ok)
+        flags, kept = admit(instants, [], per_day, per_minute)
+        assert flags == want and [a for a in kept if a > instants[-1] - day] == held
+    begin = time.process_time()
+    admit([i * minute // 5 for i in range(100_000)], [], 5000, 5)
+    assert time.process_time() - begin < 5  # counted again each time, this took over a minute
