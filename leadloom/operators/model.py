@@ -167,7 +167,8 @@ def score_grid(rounds: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
                 F.sum("n").alias("n"))
             train, check = (here.where(F.col("uso") == u) for u in ("entrenamiento", "validacion"))
             encoding = Pipeline(stages=encoder(PROFILES[profile])).fit(train)
-            encoded = encoding.transform(train).select("features", "y", "n").coalesce(parts).persist()
+            # dealt and not coalesced: a task would hold the tables of all partitions it counts
+            encoded = encoding.transform(train).select("features", "y", "n").repartition(parts).persist()
             unseen = encoding.transform(check).select("features", "y", "n")
             mine = [(order, c) for order, c in enumerate(candidates) if c.profile == profile]
             fits = [inheritable_thread_target(spark)(partial(_fitted_classifier, c, encoded, per_class)) for _, c in mine]

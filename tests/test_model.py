@@ -92,6 +92,20 @@ def test_cells_choose_as_rows_do(spark, data):
                 assert got[order, name][column] == pytest.approx(plain[column], abs=2e-4), (candidate.name, column)
 
 
+def test_no_task_counts_the_cells_of_many_partitions(spark, data, monkeypatch):
+    """The cells of a fit stand in one task, which reads them counted and counts none itself."""
+    plans, fitted = [], model._fitted_classifier
+
+    def watched(candidate, encoded, per_class):
+        plans.append((encoded._jdf.queryExecution().optimizedPlan().toString(), encoded.select(F.spark_partition_id()).distinct().count()))
+        return fitted(candidate, encoded, per_class)
+
+    monkeypatch.setattr(model, "_fitted_classifier", watched)
+    rounds = metrics.month_rounds(data, "fecha", [("r1", "1992-01-01", "1996-01-01", "1997-01-01")])
+    model.score_grid(rounds, [model.Candidate("comercial", "arbol", 2)])
+    assert [n for _, n in plans] == [1] and not any("Coalesce" in plan for plan, _ in plans)
+
+
 def test_a_round_without_training_rows_is_an_error(spark, data):
     empty = metrics.month_rounds(data, "fecha", [("r1", "1980-01-01", "1981-01-01", "1997-01-01")])
     with pytest.raises(ValueError, match="r1"):
