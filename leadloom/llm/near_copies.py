@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.llm import simhash
 from leadloom.llm.common import written
 from leadloom.llm.simhash import centres
 
@@ -54,27 +55,29 @@ def _row_id() -> Column:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, node, n, keys: one row per row; rows of one shingle set have one ``node``."""
+    """rid, doc_id, node, n, fp, keys: one row per row; rows of one shingle set have one ``node``."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = shingles(text)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
+                prints.append(simhash.majority(found))
                 keys.append(bands(found))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
-                    pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(sizes, pa.int64()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)),
+                    pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["rid", "doc_id", "node", "n", "keys"],
+                names=["rid", "doc_id", "node", "n", "fp", "keys"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(_row_id().alias("rid"), "doc_id", "text")
-    return rows.mapInArrow(mark, f"rid bigint, doc_id {kind}, node bigint, n bigint, keys array<bigint>")
+    return rows.mapInArrow(mark, f"rid bigint, doc_id {kind}, node bigint, n bigint, fp bigint, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -151,8 +154,22 @@ def _candidates(loose: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct()
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """node, n, key: sets whose fingerprints are within reach by SimHash links have one key.
+
+    The links are those of the pigeonring filter, directly or over others. The empty set has none.
+    """
+    held = nodes.where("n > 0").select("node", "n", "fp")
+    to = centres(simhash.links(written(held.select("fp").distinct(), "prints")))
+    placed = held.join(to.select(F.col("node").alias("fp"), "centre"), "fp", "left")
+    return placed.select("node", "n", F.xxhash64(F.lit("fingerprint"), F.coalesce("centre", "fp")).alias("key"))
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: alike pairs with the components of all alike pairs that meet in a band.
+    """a, b: alike pairs with the components of all alike pairs that meet by SimHash or in a band.
+
+    Sets meet in the bucket of their group of linked SimHash fingerprints, and, as a fingerprint is
+    seldom within its few bits at a similarity of 0.8, in those of their bands.
 
     First every set is held against the hub of each of its buckets, which joins most of a large group.
     What is then in buckets with sets of several components is joined on rare shingles: two sets of
@@ -160,7 +177,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     that leave room for enough others. So none of the pairs that meet is left out, and no bucket is
     paired with itself.
     """
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key")).unionByName(_by_fingerprint(nodes))
     crowd = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
     met = written(keyed.join(crowd, "key"), "buckets")
     star = met.join(_hubs(met), "key").where((F.col("node") != F.col("_hub.node")) & _near_in_size(F.col("n"), F.col("_hub.n")))
@@ -186,8 +203,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     marked = written(_marked(docs), "shingle-marks")
     first = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "rid")
     known = marked.groupBy("node").agg(F.min(first).alias("_first"))
-    held = marked.select("rid", "node", "n", "keys").join(known.select(F.col("_first.rid").alias("rid"), "node", "_first"), ["rid", "node"])
-    nodes = written(held.dropDuplicates(["node"]).select("node", "n", "keys", "_first"), "sets-known")
+    held = marked.select("rid", "node", "n", "fp", "keys").join(known.select(F.col("_first.rid").alias("rid"), "node", "_first"), ["rid", "node"])
+    nodes = written(held.dropDuplicates(["node"]).select("node", "n", "fp", "keys", "_first"), "sets-known")
     to = centres(links(docs, nodes))
     placed = nodes.select("node", "_first").join(to, "node", "left").select(F.coalesce("centre", "node").alias("centre"), "_first")
     least = placed.groupBy("centre").agg(F.min("_first").alias("_least"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -26,6 +26,15 @@ BLOCK = 4096
 PAIRS = 1 << 20
 
 
+def majority(hashes: Sequence[int] | np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, unsigned; 0 without hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), PAIRS):
+        part = np.array(hashes[at : at + PAIRS], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None) -> int:
     """Majority bits of the shingle hashes of a text, unsigned; 0 without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -38,11 +47,7 @@ def fingerprint(text: str | None) -> int:
     else:
         digest = xxhash.xxh64_intdigest
         hashes = [digest(body[a : b - 1], SEED) for a, b in zip(starts, starts[SHINGLE:])]
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), PAIRS):
-        part = np.array(hashes[at : at + PAIRS], dtype="<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:

@@ -90,3 +90,18 @@ def test_beginnings_hold_every_alike_pair(spark):
     alike = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2)
              if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
     assert alike and alike <= pairs
+
+
+def test_fingerprints_alone_join_close_copies(make, monkeypatch):
+    """Copies within the bits of a SimHash link meet by it, without any band."""
+    monkeypatch.setattr(near_copies, "bands", lambda found: [])
+    rng = random.Random(12)
+    rows = [(900, None), (901, "")]
+    for group in range(4):
+        text = [f"g{group}w{rng.randrange(5_000)}" for _ in range(900)]
+        for _ in range(6):
+            copy = list(text)
+            copy[rng.randrange(len(copy))] = "x"
+            rows.append((len(rows), " ".join(copy)))
+    got = sorted(r["doc_id"] for r in near_copies.one_of_each(make(rows)).collect())
+    assert got == _plain_kept(rows) and len(got) == 5
