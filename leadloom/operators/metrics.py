@@ -114,14 +114,18 @@ def balanced_weights(df: DataFrame, y: str, group: Sequence[str] = ()) -> DataFr
         *group, F.col(y), "filas", F.round(F.col("_n") / (2 * F.col("filas")), 6).alias("peso"))
 
 
-def month_rounds(df: DataFrame, date: str, rounds: Sequence[tuple[str, str, str, str]]) -> DataFrame:
-    """Rows tagged per rolling-origin round: (name, train start, validation start, end)."""
+def month_rounds(df: DataFrame, date: str, rounds: Sequence[tuple[str, str | None, str, str]]) -> DataFrame:
+    """Rows tagged per rolling-origin round: (name, train start, validation start, end).
+
+    A round without a train start learns from everything before its validation. Later rows belong to
+    no round, so that no choice is made on them.
+    """
     d = F.col(date)
     tags = []
     for name, start, cut, end in rounds:
-        at = [F.lit(x).cast("date") for x in (start, cut, end)]
-        use = F.when((d >= at[0]) & (d < at[1]), "entrenamiento").when(
-            (d >= at[1]) & (d < at[2]), "validacion")
+        cut_at, end_at = F.lit(cut).cast("date"), F.lit(end).cast("date")
+        learnt = d < cut_at if start is None else (d >= F.lit(start).cast("date")) & (d < cut_at)
+        use = F.when(learnt, "entrenamiento").when((d >= cut_at) & (d < end_at), "validacion")
         tags.append(F.struct(F.lit(name).alias("ronda"), use.alias("uso")))
     return df.select("*", F.inline(F.array(*tags))).where(F.col("uso").isNotNull())
 

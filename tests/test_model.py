@@ -112,6 +112,26 @@ def test_a_round_without_training_rows_is_an_error(spark, data):
         model.score_grid(empty, [model.Candidate("ingreso", "logistica", 1.0)])
 
 
+def test_the_grid_runs_every_round_on_all_rows_before_it(spark, monkeypatch):
+    """One labelled row a month: no round is left out, nor a month before its validation."""
+    from leadloom.plans import q_streams
+
+    schema = ("lead_id string, empresa_id string, fecha date, desenlace string, canal string, modelo_sku string, "
+              "manifesto_cuota_inicial string, forma_pago_declarada string, pidio_cita string")
+    rows = [(f"H-{i}", "EMP-1", f"{1995 + i // 12}-{1 + i % 12:02d}-15", "Cerrado" if i % 2 else "Perdido", *["SI"] * 5) for i in range(60)]
+    history = spark.createDataFrame([(*r[:2], None, *r[3:]) for r in rows[:1]], schema).unionByName(
+        spark.createDataFrame(rows, schema.replace("fecha date", "fecha string")).withColumn("fecha", F.col("fecha").cast("date")))
+    seen = []
+    monkeypatch.setattr(q_streams.B, "history", lambda t: history)
+    monkeypatch.setattr(q_streams.model, "select_candidates", lambda rounds, candidates: (seen.append((rounds, candidates)), None))
+    q_streams.k8_grid(None)
+    rounds, candidates = seen[0]
+    counted = {(r["ronda"], r["uso"]): r["count"] for r in rounds.groupBy("ronda", "uso").count().collect()}
+    assert counted == {("abril", "entrenamiento"): 39, ("abril", "validacion"): 1, ("mayo", "entrenamiento"): 40, ("mayo", "validacion"): 1,
+                       ("junio", "entrenamiento"): 41, ("junio", "validacion"): 1}
+    assert candidates == model.grid()
+
+
 def test_draws_follow_the_law(spark):
     """Mean and variance of Poisson(n), and the share of zeros, over many cells."""
     for n in (1, 3, 64, 65, 4_000):
