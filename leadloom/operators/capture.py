@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom import fixed_values as V
 from leadloom.functions import ids, signals
-from leadloom.operators.changes import ChangeSet, plan_changes
+from leadloom.operators.changes import ChangeSet, Together, plan_changes, written
 from leadloom.operators.merge import LEAD, audit_events
 
 ACTIONS = ["vincular", "rechazar", "crear_distinto"]
@@ -36,15 +36,8 @@ def _priority(df: DataFrame, sku: str, initial: Column, payment: str, visit: Col
     return out.withColumn("accion_sugerida", signals.action("cola", "temperatura"))
 
 
-def plan_intake(requests: DataFrame, states: DataFrame, origin: str = "captura_manual"
-                ) -> dict[str, DataFrame]:
-    """Rows of accepted captures.
-
-    ``requests``: solicitud_id, empresa_id, actor, nombre_limpio, telefono_valido, correo_valido,
-    sede_id, modelo_sku, cuota_inicial, forma_pago, cliente_pidio_cita, registrada_en and
-    ``lead_existente`` (null for a new person). Every capture raises the revision of its lead; of
-    several for one lead the last one's priority is the published one.
-    """
+def _captured(requests: DataFrame) -> DataFrame:
+    """The requests with the ids of their rows and their priority."""
     base = requests.withColumns({
         "lead_consolidado_id": F.coalesce("lead_existente", _web_id("lead", "solicitud_id")),
         "lead_id_origen": _web_id("consulta", "solicitud_id"),
@@ -52,47 +45,69 @@ def plan_intake(requests: DataFrame, states: DataFrame, origin: str = "captura_m
         "priorizacion_id": _web_id("prioridad", "solicitud_id"),
         "captura_id": _web_id("captura", "solicitud_id"),
     })
-    scored = _priority(
+    return _priority(
         base, "modelo_sku", F.coalesce(F.col("cuota_inicial"), F.lit(0)) > 0, "forma_pago",
         F.col("cliente_pidio_cita"))
-    at = F.struct("registrada_en", "solicitud_id")
-    last = scored.groupBy(*LEAD).agg(
-        F.count(F.lit(1)).alias("_n"), F.max_by("priorizacion_id", at).alias("priorizacion_id"))
-    known = states.select(*LEAD, F.col("revision_entrada").alias("_rev"))
-    revised = last.join(known, LEAD, "left").select(
-        *LEAD, "priorizacion_id",
-        # a new lead starts at revision 1 with its first capture
-        (F.coalesce("_rev", F.lit(0)) + F.col("_n")).cast("bigint").alias("revision_entrada"),
-        F.lit(origin).alias("origen"), F.lit(False).alias("conflicto_lote"),
-        F.lit(None).cast("string").alias("propuesta_lote_id"),
-        F.lit(None).cast("boolean").alias("revision_antes_conflicto"))
-    fresh = base.where(F.col("lead_existente").isNull())
+
+
+def _capture_rows(origin: str) -> dict[str, list]:
+    """The columns of the rows that a capture adds to each table; a lead is added for a new person only."""
     return {
-        "leads": fresh.select(
+        "leads": [
             *LEAD, F.col("nombre_limpio").alias("nombre_presentacion"),
             F.to_date("registrada_en").alias("primera_fecha_registro"),
             F.date_format("registrada_en", "HH:mm:ss").alias("primera_fecha_registro_hora"),
             F.lit("fecha_hora").alias("primera_fecha_registro_precision"),
-            F.lit("web").alias("origen_registro")),
-        "consultas": base.select(
+            F.lit("web").alias("origen_registro")],
+        "consultas": [
             "lead_id_origen", *LEAD, F.col("sede_id").alias("punto_venta_id"),
             F.col("nombre_limpio").alias("nombre_declarado"),
             F.col("telefono_valido").alias("telefono"), F.col("correo_valido").alias("email"),
-            "modelo_sku", F.lit("web").alias("origen_registro")),
-        "capturas": base.select(
+            "modelo_sku", F.lit("web").alias("origen_registro")],
+        "capturas": [
             "captura_id", *LEAD, "lead_id_origen", F.col("actor").alias("autor"),
-            F.lit(origin).alias("origen")),
-        "ejecuciones": base.select(
+            F.lit(origin).alias("origen")],
+        "ejecuciones": [
             "ejecucion_id", "empresa_id", F.lit("prioridad_manual").alias("etapa"),
             F.col("captura_id").alias("huella_entrada"), F.lit("completada").alias("estado"),
-            F.col("registrada_en")),
-        "priorizaciones": scored.select(
+            F.col("registrada_en")],
+        "priorizaciones": [
             "priorizacion_id", *LEAD, "ejecucion_id",
             F.col("lead_id_origen").alias("lead_id_contexto"), "score_prioridad", "temperatura",
-            "cola", "explicacion", "accion_sugerida", "version_reglas"),
-        "prioridades_publicadas": revised,
+            "cola", "explicacion", "accion_sugerida", "version_reglas"],
+    }
+
+
+def _raised_pointers(captured: DataFrame, states: DataFrame, origin: str) -> DataFrame:
+    """The published priority of each lead after its captures."""
+    last = captured.groupBy(*LEAD).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.struct("registrada_en", "solicitud_id")).alias("_last"))
+    known = states.select(*LEAD, F.col("revision_entrada").alias("_rev"))
+    return last.join(known, LEAD, "left").select(
+        *LEAD, _web_id("prioridad", "_last.solicitud_id").alias("priorizacion_id"),
+        # a new lead starts at revision 1 with its first capture
+        (F.coalesce("_rev", F.lit(0)) + F.col("_n")).cast("bigint").alias("revision_entrada"),
+        F.lit(origin).alias("origen"), F.lit(False).alias("conflicto_lote"),
+        F.lit(None).cast("string").alias("propuesta_lote_id"),
+        F.lit(None).cast("boolean").alias("revision_antes_conflicto"))
+
+
+def plan_intake(requests: DataFrame, states: DataFrame, origin: str = "captura_manual"
+                ) -> dict[str, DataFrame]:
+    """Rows of accepted captures.
+
+    ``requests``: solicitud_id, empresa_id, actor, nombre_limpio, telefono_valido, correo_valido,
+    sede_id, modelo_sku, cuota_inicial, forma_pago, cliente_pidio_cita, registrada_en and
+    ``lead_existente`` (null for a new person). Every capture raises the revision of its lead; of
+    several for one lead the last one's priority is the published one.
+    """
+    captured = _captured(requests)
+    fresh = captured.where(F.col("lead_existente").isNull())
+    return {
+        **{n: (fresh if n == "leads" else captured).select(*columns) for n, columns in _capture_rows(origin).items()},
+        "prioridades_publicadas": _raised_pointers(captured, states, origin),
         "auditoria": audit_events(
-            base, "capturar_lead", "lead", "lead_consolidado_id", ["lead_id_origen"]),
+            captured, "capturar_lead", "lead", "lead_consolidado_id", ["lead_id_origen"]),
     }
 
 
@@ -116,13 +131,17 @@ def intake_changes(requests: DataFrame, states: DataFrame, stored: dict[str, Dat
     if "capturas" in stored:
         requests = requests.withColumn("captura_id", _web_id("captura", "solicitud_id")).join(
             stored["capturas"].select("captura_id"), "captura_id", "left_anti").drop("captura_id")
-    plan = plan_intake(requests, states, origin)
-    plan.pop("auditoria")
-    unit = {n: _lead_unit() for n in plan}
+    # read once; the requests of a lead stand together, those of a very busy one in several files
+    requests = written(
+        requests.withColumn("_near", F.coalesce("lead_existente", "solicitud_id")).hint("rebalance", "empresa_id", "_near")
+        .sortWithinPartitions("lead_existente", "empresa_id", "solicitud_id").drop("_near"), "requests")
+    captured = _captured(requests)
+    rows = {n: F.struct(*columns) for n, columns in _capture_rows(origin).items()}
+    rows["leads"] = F.when(F.col("lead_existente").isNull(), rows["leads"])
     # a run belongs to the lead of its capture
-    of_run = plan["capturas"].select(F.col("captura_id").alias("huella_entrada"), _lead_unit().alias("_unidad"))
-    plan["ejecuciones"] = plan["ejecuciones"].join(of_run, "huella_entrada")
-    return plan_changes(plan, stored, KEYS, {**unit, "ejecuciones": F.col("_unidad")}, helpers=("_unidad",))
+    return plan_changes(
+        {"prioridades_publicadas": _raised_pointers(captured, states, origin)}, stored, KEYS,
+        {"prioridades_publicadas": _lead_unit()}, together=[Together(captured, rows, _lead_unit())])
 
 
 def review_changes(reviews: DataFrame, decisions: DataFrame, states: DataFrame) -> tuple[ChangeSet, DataFrame]:

@@ -1,8 +1,14 @@
 """Change logs: applied together, refused when outdated, without effect when repeated."""
 
+import glob
+import tempfile
+import time
+from datetime import datetime
+from itertools import groupby
+
 from pyspark.sql import functions as F
 
-from leadloom.operators import changes
+from leadloom.operators import capture, changes
 
 KEYS = {"a": ["k"], "b": ["k", "p"]}
 A, B = "k string, v long", "k string, p int, w double"
@@ -80,3 +86,66 @@ def test_log_is_written_compressed_and_tables_that_are_not_there_meet_nothing(sp
     again, decisions = changes.apply_changes(batch, after)
     assert _states(decisions) == {"x": "repetida", "y": "ambigua", "n": "repetida", "m": "repetida", None: "sin_unidad"}
     assert _rows(again["a"]) == _rows(after["a"]) and _rows(again["b"]) == _rows(after["b"])
+
+
+def test_rows_made_together_stand_together(spark):
+    """One pass makes the rows of several tables, a null struct is no row, and tables that are there are met one by one."""
+    frame = spark.createDataFrame([("x", 1, True), ("y", 2, False), ("z", 3, True), ("z", 4, True)], "k string, v long, more boolean")
+    rows = {"b": F.when(F.col("more"), F.struct("k", F.col("v").cast("int").alias("p"), F.lit(0.5).alias("w"))), "a": F.struct("k", "v"),
+            "c": F.struct("k", "v")}
+    keys = {**KEYS, "c": ["v"]}
+    stored = {"a": spark.createDataFrame([("x", 0), ("y", 0)], A)}
+    batch = changes.plan_changes({}, stored, keys, {}, together=[changes.Together(frame.coalesce(1), rows, F.col("k"))])
+    log = [(r["tabla"], r["unidad"], r["clave"], r["antes"], r["despues"], r["veces"]) for r in batch.log.collect()]
+    assert [(t, u) for t, u, *_ in log if t != "a"] == [("b", "x"), ("c", "x"), ("c", "y"), ("b", "z"), ("c", "z"), ("b", "z"), ("c", "z")]
+    assert ("b", "x", '{"k":"x","p":1}', None, '{"k":"x","p":1,"w":0.5}', 1) in log
+    assert ("a", "x", '{"k":"x"}', '{"k":"x","v":0}', '{"k":"x","v":1}', 1) in log and ("a", "z", '{"k":"z"}', None, '{"k":"z","v":4}', 2) in log
+    after, decisions = changes.apply_changes(batch, {"a": spark.createDataFrame([("x", 0), ("y", 5)], A)})
+    assert _states(decisions) == {"x": "aplicada", "y": "obsoleta", "z": "ambigua"}
+    assert {r["unidad"]: r["cambios"] for r in decisions.collect()} == {"x": 3, "y": 2, "z": 6}
+    assert _states(changes.judge(batch, after)) == {"x": "repetida", "y": "obsoleta", "z": "ambigua"}
+    assert _rows(after["a"]) == {("x", 1), ("y", 5)} and _rows(after["b"]) == {("x", 1, 0.5)} and _rows(after["c"]) == {("x", 1)}
+    again, _ = changes.apply_changes(batch, after)
+    assert all(again[n] is after[n] for n in after)
+
+
+def test_shuffle_files_go_with_the_job_that_wrote_them(spark):
+    place = spark.conf.get("spark.local.dir", tempfile.gettempdir())
+
+    def files():
+        return set(glob.glob(f"{place}/**/shuffle_*.data", recursive=True))
+
+    before, setting = files(), spark.conf.get(changes.CLEANUP, None)
+    assert changes.written(spark.range(1000).groupBy(F.col("id") % 100).count(), "test").count() == 100
+    counted = {f for f in files() - before}
+    for _ in range(50):
+        counted = files() - before
+        if len(counted) <= 4:  # those of the count above
+            break
+        time.sleep(0.2)
+    assert len(counted) <= 4 and spark.conf.get(changes.CLEANUP, None) == setting
+
+
+def _as_planned(batch, plan):
+    """The log's rows of each table are those of the plan."""
+    for n, shape in batch.shapes.items():
+        got = batch.log.where(F.col("tabla") == n).select(F.from_json("despues", shape).alias("r")).select("r.*")
+        assert sorted(map(str, got.collect())) == sorted(map(str, plan[n].select(got.columns).collect())), n
+
+
+def _side_by_side(batch):
+    units = [r["unidad"] for r in batch.log.where("tabla NOT IN ('prioridades_publicadas', 'intereses_modelo')").collect()]
+    assert len(units) > len(set(units)) == len(list(groupby(units)))
+
+
+def test_the_rows_of_captures_stand_side_by_side_by_lead(spark):
+    at = datetime(2026, 1, 2, 9)
+    schema = ("solicitud_id string, empresa_id string, actor string, nombre_limpio string, telefono_valido string, correo_valido string, "
+              "sede_id string, modelo_sku string, cuota_inicial double, forma_pago string, cliente_pidio_cita boolean, registrada_en timestamp, "
+              "lead_existente string")
+    rows = [(f"r{i}", "E", "u", "Ana", "+57", None, "S", "K1", float(i % 2), "contado", i % 3 == 0, at, f"L{i % 5}" if i % 4 else None) for i in range(40)]
+    requests = spark.createDataFrame(rows, schema).repartition(7, "solicitud_id")
+    states = spark.createDataFrame([("E", "L1", 4)], "empresa_id string, lead_consolidado_id string, revision_entrada long")
+    batch = capture.intake_changes(requests, states, {})
+    _as_planned(batch, capture.plan_intake(requests, states))
+    _side_by_side(batch)
