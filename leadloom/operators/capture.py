@@ -160,19 +160,26 @@ def publication_changes(results: DataFrame, catalogue: DataFrame, states: DataFr
     A lead's rows are one unit. Of several results for a lead all are kept, and the pointer goes to
     the one with the greatest job id.
     """
-    plan = publish_extractions(results, catalogue, states)
-    stale = plan.pop("obsoletas")
-    others = [c for c in plan["prioridades_publicadas"].columns if c not in LEAD]
-    plan["prioridades_publicadas"] = plan["prioridades_publicadas"].groupBy(*LEAD).agg(
+    now, stale = _present_results(results, states)
+    # scored once; the results of a lead stand together, those of a very busy one in several files
+    scored = _scored_results(now, _named_models(now, catalogue))
+    scored = written(scored.hint("rebalance", *LEAD).sortWithinPartitions(*LEAD, "extraccion_id"), "results")
+    named = _named_models(scored, catalogue)
+    columns = _result_rows()
+    pointers = scored.select(*columns.pop("prioridades_publicadas"))
+    others = [c for c in pointers.columns if c not in LEAD]
+    pointers = pointers.groupBy(*LEAD).agg(
         F.max_by(F.struct(*others), "priorizacion_id").alias("_p")).select(*LEAD, "_p.*")
-    of_lead = plan["priorizaciones"].select(F.col("priorizacion_id").alias("_x"), _lead_unit().alias("_unidad"))
-    unit = {}
-    for name, key in (("ejecuciones", "ejecucion_id"), ("extracciones_ia", "extraccion_id"),
-                      ("intereses_modelo", "extraccion_id")):
-        plan[name] = plan[name].join(of_lead, F.col(key) == F.col("_x")).drop("_x")
-        unit[name] = F.col("_unidad")
-    unit.update({n: _lead_unit() for n in ("priorizaciones", "prioridades_publicadas")})
-    return plan_changes(plan, stored, KEYS, unit, helpers=("_unidad",)), stale
+    rows = {n: F.struct(*c) for n, c in columns.items()}
+    # without an id only the priority is known
+    known = F.col("extraccion_id").isNotNull()
+    rows.update({n: F.when(known, rows[n]) for n in ("ejecuciones", "extracciones_ia")})
+    log = plan_changes(
+        {"prioridades_publicadas": pointers,
+         "intereses_modelo": named.where(known).withColumn("_unidad", _lead_unit()).drop(*LEAD)}, stored, KEYS,
+        {"prioridades_publicadas": _lead_unit(), "intereses_modelo": F.col("_unidad")}, helpers=("_unidad",),
+        together=[Together(scored, rows, _lead_unit())])
+    return log, stale
 
 
 def resolve_reviews(reviews: DataFrame, decisions: DataFrame, states: DataFrame
@@ -222,51 +229,75 @@ def resolve_reviews(reviews: DataFrame, decisions: DataFrame, states: DataFrame
     }
 
 
-def publish_extractions(results: DataFrame, catalogue: DataFrame, states: DataFrame
-                        ) -> dict[str, DataFrame]:
-    """Rows of finished single-chat extractions.
+def _present_results(results: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(results for the present revision of their lead, the obsolete ones)."""
+    from leadloom.operators.merge import guarded_publication
 
-    ``results``: trabajo_id, empresa_id, lead_consolidado_id, lead_id_origen, conversacion_id,
-    revision_entrada, modelos_interes (array), cuota_inicial, inicial_minimo, inicial_evidencias,
-    forma_pago, cliente_pidio_cita. Only a result for the lead's present revision is published;
-    the others are returned as ``obsoletas``.
-    """
+    now, stale = guarded_publication(
+        states, results.withColumn("extraccion_id", F.concat(F.lit("IA-"), F.col("trabajo_id"))))
+    return now, stale.select("trabajo_id", *LEAD, "revision_entrada")
+
+
+def _named_models(now: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """The models mentioned in each result, with its lead."""
     from leadloom.operators.catalog import resolve_mentions
-    from leadloom.operators.merge import guarded_publication
 
-    base = results.withColumn("extraccion_id", F.concat(F.lit("IA-"), F.col("trabajo_id")))
-    now, stale = guarded_publication(states, base)
     mentions = now.select(
-        "extraccion_id", F.posexplode("modelos_interes").alias("posicion", "texto_mencionado"))
-    named = resolve_mentions(mentions, "texto_mencionado", catalogue).select(
+        *LEAD, "extraccion_id", F.posexplode("modelos_interes").alias("posicion", "texto_mencionado"))
+    return resolve_mentions(mentions, "texto_mencionado", catalogue).select(
         F.concat_ws("-", "extraccion_id", F.col("posicion").cast("string")).alias("interes_id"),
         "extraccion_id", "texto_mencionado", F.col("sku").alias("modelo_sku"),
         F.when(F.col("sku").isNotNull(), "exacto").otherwise("no_identificado")
-        .alias("estado_identificacion"))
+        .alias("estado_identificacion"), *LEAD)
+
+
+def _scored_results(now: DataFrame, named: DataFrame) -> DataFrame:
+    """The results with their priority; a model counts when it is the only one that was meant."""
     single = named.groupBy("extraccion_id").agg(
         F.when((F.countDistinct("modelo_sku") == 1) & (F.count("modelo_sku") == F.count(F.lit(1))),
                F.max("modelo_sku")).alias("modelo_sku"))
     positive = (F.coalesce("inicial_evidencias", F.lit(0)) > 0) & (
         (F.coalesce("cuota_inicial", F.lit(0.0)) > 0)
         | (F.col("cuota_inicial").isNull() & (F.coalesce("inicial_minimo", F.lit(0.0)) > 0)))
-    scored = _priority(
+    return _priority(
         now.join(single, "extraccion_id", "left"), "modelo_sku", positive, "forma_pago",
         F.col("cliente_pidio_cita"))
+
+
+def _result_rows() -> dict[str, list]:
+    """The columns of the rows that a result adds to each table."""
     return {
-        "ejecuciones": now.select(
+        "ejecuciones": [
             F.col("extraccion_id").alias("ejecucion_id"), "empresa_id",
-            F.lit("extraccion_individual").alias("etapa"), F.lit("completada").alias("estado")),
-        "extracciones_ia": now.select(
+            F.lit("extraccion_individual").alias("etapa"), F.lit("completada").alias("estado")],
+        "extracciones_ia": [
             "extraccion_id", "conversacion_id", F.col("extraccion_id").alias("ejecucion_id"),
-            F.lit("valido").alias("estado_validacion")),
-        "intereses_modelo": named,
-        "priorizaciones": scored.select(
+            F.lit("valido").alias("estado_validacion")],
+        "priorizaciones": [
             F.col("extraccion_id").alias("priorizacion_id"), *LEAD,
             F.col("lead_id_origen").alias("lead_id_contexto"),
             F.col("conversacion_id").alias("conversacion_id_contexto"), "score_prioridad",
-            "temperatura", "cola", "explicacion", "accion_sugerida", "version_reglas"),
-        "prioridades_publicadas": now.select(
+            "temperatura", "cola", "explicacion", "accion_sugerida", "version_reglas"],
+        "prioridades_publicadas": [
             *LEAD, F.col("extraccion_id").alias("priorizacion_id"), "revision_entrada",
-            F.lit("gemini").alias("origen"), F.lit(False).alias("conflicto_lote")),
-        "obsoletas": stale.select("trabajo_id", *LEAD, "revision_entrada"),
+            F.lit("gemini").alias("origen"), F.lit(False).alias("conflicto_lote")],
+    }
+
+
+def publish_extractions(results: DataFrame, catalogue: DataFrame, states: DataFrame
+                        ) -> dict[str, DataFrame]:
+    """Rows of finished single-chat extractions.
+
+    ``results``: trabajo_id, empresa_id, lead_consolidado_id, lead_id_origen, conversacion_id,
+    revision_entrada, modelos_interes (array), cuota_inicial, inicial_minimo, inicial_evidencias,
+    forma_pago, cliente_pidio_cita. Only a result for the lead's present revision is published;
+    the others are returned as ``obsoletas``.
+    """
+    now, stale = _present_results(results, states)
+    named = _named_models(now, catalogue)
+    scored = _scored_results(now, named)
+    return {
+        **{n: (scored if n == "priorizaciones" else now).select(*columns) for n, columns in _result_rows().items()},
+        "intereses_modelo": named.drop(*LEAD),
+        "obsoletas": stale,
     }

@@ -149,3 +149,20 @@ def test_the_rows_of_captures_stand_side_by_side_by_lead(spark):
     batch = capture.intake_changes(requests, states, {})
     _as_planned(batch, capture.plan_intake(requests, states))
     _side_by_side(batch)
+
+
+def test_the_rows_of_results_stand_side_by_side_by_lead(spark):
+    schema = ("trabajo_id string, empresa_id string, lead_consolidado_id string, lead_id_origen string, conversacion_id string, "
+              "revision_entrada long, modelos_interes array<string>, cuota_inicial double, inicial_minimo double, inicial_evidencias int, "
+              "forma_pago string, cliente_pidio_cita boolean")
+    rows = [(f"t{i}", "E", f"L{i % 5}", f"C{i}", f"V{i}", 1 + (i % 7 == 0), ["AKT 125", "otra"][: i % 3], None, 2e6, 1, "credito", True) for i in range(40)]
+    results = spark.createDataFrame(rows, schema).repartition(7, "trabajo_id")
+    states = spark.createDataFrame([("E", f"L{i}", 1) for i in range(5)], "empresa_id string, lead_consolidado_id string, revision_entrada long")
+    catalogue = spark.createDataFrame([("K1", "AKT", "125")], "sku string, marca string, linea string")
+    batch, stale = capture.publication_changes(results, catalogue, states, {})
+    plan = capture.publish_extractions(results, catalogue, states)
+    last = plan["prioridades_publicadas"].groupBy("lead_consolidado_id").agg(F.max("priorizacion_id").alias("priorizacion_id"))
+    plan["prioridades_publicadas"] = plan["prioridades_publicadas"].join(last, ["lead_consolidado_id", "priorizacion_id"], "left_semi")
+    _as_planned(batch, plan)
+    _side_by_side(batch)
+    assert sorted(r["trabajo_id"] for r in stale.collect()) == sorted(f"t{i}" for i in range(0, 40, 7))
