@@ -124,8 +124,8 @@ def on_new_snapshot(
 
 
 def in_event_order(
-    events: DataFrame, key: str, kind: Column, number: Column, out: str, delay: str, step: Callable,
-    load: Callable = str, dump: Callable = str,
+    events: DataFrame, key: str, kind: Column, number: Column, out: str, delay: str, load: Callable, dump: Callable,
+    step: Callable,
 ) -> DataFrame:
     """Fold the events of each key in event time, whatever batches they arrive in.
 
@@ -219,14 +219,15 @@ def rolling_quota(attempts: DataFrame, per_day: int = V.QUOTA_PER_DAY,
     day = 24 * HOUR * 1000
 
     def step(held: deque[int], at: int, kind: str | None, number: int):
+        held = held or deque()
         made = [] if kind is None else [(number, _admits(held, at, per_day, per_minute))]
         while held and held[0] <= at - day:
             held.popleft()
         return (held if held or made else None), made, (held[-1] + day if held else None)
 
     return in_event_order(attempts, "modelo", F.lit("intento"), F.col("intento_id"),
-                          "modelo string, intento_id long, admitido boolean", delay, step,
-                          lambda text: deque(json.loads(text or "[]")), lambda held: json.dumps(list(held)))
+                          "modelo string, intento_id long, admitido boolean", delay,
+                          lambda text: deque(json.loads(text or "[]")), lambda held: json.dumps(list(held)), step)
 
 
 def first_contact_deadline(events: DataFrame, delay: str = "1 hour", hours: int = 24,
@@ -258,7 +259,7 @@ def first_contact_deadline(events: DataFrame, delay: str = "1 hour", hours: int
         return (memo or f"antes:{at}"), [], int(since or at) + kept
 
     return in_event_order(events, "lead_consolidado_id", F.col("tipo"), (F.col("tipo") != "inicio").cast("int"),
-                          "lead_consolidado_id string, estado string", delay, step)
+                          "lead_consolidado_id string, estado string", delay, str, str, step)
 
 
 def latest_revision(results: DataFrame, delay: str = "1 hour", keep_days: int = 90) -> DataFrame:
@@ -278,7 +279,7 @@ def latest_revision(results: DataFrame, delay: str = "1 hour", keep_days: int =
 
     return in_event_order(
         results, "lead_consolidado_id", F.col("revision").cast("string"), F.col("resultado_id"),
-        "lead_consolidado_id string, resultado_id long, estado string", delay, step)
+        "lead_consolidado_id string, resultado_id long, estado string", delay, str, str, step)
 
 
 def lease_expiry(events: DataFrame, delay: str = "1 minute", max_attempts: int = 3,
@@ -312,7 +313,7 @@ def lease_expiry(events: DataFrame, delay: str = "1 minute", max_attempts: int =
         F.col("lease_segundos").cast("string"))
     order = F.col("orden") if "orden" in events.columns else F.lit(0)
     return in_event_order(events, "trabajo_id", lease, order,
-                          "trabajo_id string, estado string", delay, step)
+                          "trabajo_id string, estado string", delay, str, str, step)
 
 
 def business_day(ts: Column | str) -> Column:
